@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierlake.llm import chat, decontam, packing, tokens
+from dossierlake.llm import chat, decontam, exact, packing, substring, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": chat.op1_chat,
+        "op2_substring": substring.op2_substring,
         "op4_packing": packing.op4_packing,
+        "op5_exact": exact.op5_exact,
         "op9_decontam": decontam.op9_decontam,
         "op10_token_counts": tokens.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.OP1_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op5_exact": exact.OP5_SQL}
