@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierlake.llm import chat, decontam, exact, packing, substring, tokens
+from dossierlake.llm import chat, decontam, exact, packing, pii, substring, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": chat.op1_chat,
         "op2_substring": substring.op2_substring,
+        "op3_pii": pii.op3_pii,
         "op4_packing": packing.op4_packing,
         "op5_exact": exact.op5_exact,
         "op9_decontam": decontam.op9_decontam,
