@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierlake.llm import chat, decontam, exact, packing, pii, quality, substring, tokens, toxicity
+from dossierlake.llm import chat, decontam, exact, minhash, packing, pii, quality, substring, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": packing.op4_packing,
         "op5_exact": exact.op5_exact,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_minhash": minhash.op7_minhash,
         "op8_quality": quality.op8_quality,
         "op9_decontam": decontam.op9_decontam,
         "op10_token_counts": tokens.op10_token_counts,
