@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossierlake.llm._bytes import LOWER, NOT_ALNUM, Words, cover, text_slices, window_hash, window_starts
+from dossierlake.llm._scratch import Scratch
 
 
 def winnow(grams: np.ndarray, run: int) -> np.ndarray:
@@ -111,7 +112,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, k: int =
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
     names = [*carry, id_col] if id_col not in carry else list(carry)
-    source = docs.select(*[docs[c] for c in names], docs[text].alias("_text"))
+    alone = text not in names
+    source = docs.select(*[docs[c] for c in names], *[docs[text].alias("_text")] * alone)
+    place = names.index(text) if not alone else len(names)
     kept = [docs.schema[c] for c in names]
     if blocks == 1:
         block = _block(spark, items, window, k)
@@ -120,14 +123,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, k: int =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n_words, n_hit, found = [], [], []
-                for words, hit, owners in _scan(batch.column(batch.num_columns - 1), block.value):
+                for words, hit, owners in _scan(batch.column(place), block.value):
                     n_words.append(words.counts)
                     n_hit.append(np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first]))
                     found += owners
-                yield _result(batch, schema, np.concatenate(n_words) if n_words else np.zeros(0, int), np.concatenate(n_hit) if n_hit else np.zeros(0, int), found, share)
+                yield _result(batch.columns[: len(names)], schema, np.concatenate(n_words) if n_words else np.zeros(0, int), np.concatenate(n_hit) if n_hit else np.zeros(0, int), found, share)
 
         return source.mapInArrow(run, schema)
-    return _in_blocks(source, items, blocks, window, k, share, names, kept)
+    return _in_blocks(source, items, blocks, window, k, share, names, "_text" if alone else text)
 
 
 def _block(spark, items: DataFrame, window: int, k: int):
@@ -153,15 +156,13 @@ def _scan(texts: pa.Array, items: Items) -> Iterator[tuple[Words, np.ndarray, li
         yield words, hit, [sorted({str(items.ids[j]) for j in x}) for x in found]
 
 
-def _result(batch: pa.RecordBatch, schema: T.StructType, n_words: np.ndarray, n_hit: np.ndarray, found: list, share: int) -> pa.RecordBatch:
+def _result(columns: list[pa.Array], schema: T.StructType, n_words: np.ndarray, n_hit: np.ndarray, found: list, share: int) -> pa.RecordBatch:
     bad = (n_hit > 0) & (share * n_hit >= n_words)
-    return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(bad, pa.bool_())], names=schema.names)
+    return pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(bad, pa.bool_())], names=schema.names)
 
 
-def _in_blocks(source: DataFrame, items: DataFrame, blocks: int, window: int, k: int, share: int, names: list[str], kept: list) -> DataFrame:
+def _in_blocks(source: DataFrame, items: DataFrame, blocks: int, window: int, k: int, share: int, names: list[str], text: str) -> DataFrame:
     """Every block of items against all documents; the hit words of a row are joined over the blocks."""
-    from dossierlake.llm._scratch import Scratch
-
     spark = source.sparkSession
     scratch = Scratch(spark, "decontam")
     keyed = scratch.keep(source.withColumn("_row", F.monotonically_increasing_id()), "documents")
@@ -187,7 +188,7 @@ def _in_blocks(source: DataFrame, items: DataFrame, blocks: int, window: int, k:
         return run
 
     parts = [
-        scratch.keep(keyed.select("_row", "_text").mapInArrow(scan(_block(spark, items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b), window, k)), span), f"block{b}")
+        scratch.keep(keyed.select("_row", text).mapInArrow(scan(_block(spark, items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b), window, k)), span), f"block{b}")
         for b in range(blocks)
     ]
     every = parts[0]
@@ -202,7 +203,14 @@ def _in_blocks(source: DataFrame, items: DataFrame, blocks: int, window: int, k:
     n_hit = F.aggregate("spans", state, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["ends"] - F.greatest(x["starts"], s["upto"]))).alias("n"), F.greatest(s["upto"], x["ends"]).alias("upto")))["n"]
     merged = merged.withColumn("n_hit", n_hit)
     bad = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
-    return keyed.drop("_text").join(merged, "_row").select(*names, "n_words", "n_hit", "items", bad.alias("contaminated"))
+    return keyed.join(merged, "_row").select(*names, "n_words", "n_hit", "items", bad.alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns; see ``contamination``."""
+    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
+    found = contamination(docs, items, carry=tuple(own), **options)
+    return found.where("NOT contaminated").select(*own)
 
 
 def op9_decontam(spark, sf_dir: str) -> DataFrame:
