@@ -8,8 +8,10 @@ own sequences: a shard leaves a few sequences partly filled, and shards grow in
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossierlake.llm._bytes import text_slices
+from dossierlake.llm._bytes import SLICE_BYTES, text_slices
+from dossierlake.llm._bpe import LONGEST, merges
 from dossierlake.llm._scratch import Scratch
 from dossierlake.llm._tokenizer import load
 
@@ -27,23 +30,60 @@ from dossierlake.llm._tokenizer import load
 REMEMBERED = 400_000
 
 
+#: A word of letters that the tokenizer's normalisers only lower-case, and the marks that may follow it.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+
+
+BLANK_BYTE = re.compile(rb"[ \t-\r]")
+
+
 class _Encoded(dict):
     """Ids of each word, as little-endian unsigned 32-bit numbers.
 
     Words are cut at ASCII white space. The tokenizer drops white space, no match of its pattern crosses any, and
     its normalisers work on single characters or on marks that join letters, so a text's ids are its words' ids
-    in a row.
+    in a row. Plain words are merged many at once, the rest by the library.
     """
 
     def __init__(self, tokenizer: str):
         super().__init__()
-        self.tokenizer = load(tokenizer)
+        self.tokenizer, self.merges = load(tokenizer), merges(tokenizer)
+
+    def _library(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > REMEMBERED:
+    def learn(self, words: list[bytes]) -> None:
+        """Makes the words of a part of a text known."""
+        new = list(set(words).difference(self))
+        if len(self) + len(new) > REMEMBERED:
             self.clear()
-        ids = self[word] = np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+            new = list(set(words))
+        plain, letters, marks = [], [], []
+        for word in new:
+            m = PLAIN.fullmatch(text := word.decode())
+            if m and len(low := m[1].lower().encode()) <= LONGEST:
+                plain.append(word)
+                letters.append(low)
+                marks.append(m[2])
+            else:
+                self[word] = self._library(text)
+        tails = {x: self._library(x) if x else b"" for x in set(marks)}
+        for word, ids, mark in zip(plain, self.merges.encode(letters), marks, strict=True):
+            self[word] = ids.astype("<u4").tobytes() + tails[mark]
+
+
+    def ids(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.__getitem__, words))
+
+
+def _parts(raw: bytes, size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, a part of about ``size`` bytes at a time."""
+    at = 0
+    while at < len(raw):
+        m = BLANK_BYTE.search(raw, at + size)
+        end = m.start() if m else len(raw)
+        yield raw[at:end].split()
+        at = end
 
 
 _process: dict[str, _Encoded] = {}
@@ -63,8 +103,14 @@ def encode_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_
             rows, keys, piece, start, length, crc = [], [], [], [], [], []
             for a, b, data, offsets in text_slices(batch.column(1)):
                 raw = data.tobytes()
-                for i in range(b - a):
-                    ids = b"".join(map(ids_of.__getitem__, raw[offsets[i] : offsets[i + 1]].split())) + end
+                if b - a == 1:
+                    encoded = [b"".join(ids_of.learn(words) or ids_of.ids(words) for words in _parts(raw))]
+                else:
+                    texts = [raw[offsets[i] : offsets[i + 1]].split() for i in range(b - a)]
+                    ids_of.learn(list(chain.from_iterable(texts)))
+                    encoded = map(ids_of.ids, texts)
+                for i, ids in enumerate(encoded):
+                    ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         rows.append(a + i)
