@@ -143,8 +143,10 @@ def _last_view(chunk: _Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _send(chunk_id: int, found: np.ndarray, width: int, buckets: int, flags=None, ids=None, starts=None) -> Iterator[tuple]:
+    if not len(found):
+        return
     bucket = (found >> U64(width - int(math.log2(buckets)))).astype(np.int64) if buckets > 1 else np.zeros(len(found), np.int64)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], len(found)), strict=True):
         yield (int(bucket[a]), chunk_id, int(b - a), _pack_sorted(found[a:b]), np.packbits(flags[a:b]).tobytes() if flags is not None else None, _pack(ids[a:b]) if ids is not None else None, _pack(starts[a:b].astype(np.int32)) if starts is not None else None)
 
