@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: From which score a name matches, or may match.
 MATCH, POSSIBLE = 90, 75
@@ -98,7 +99,7 @@ def fuzzy_score(a: str, b: str) -> float:
     return max(indel_ratio(a, b), indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), _token_set(a, b), _partial(a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
     """Best of the plain, sorted-word, shared-word and partial ratios; equal pairs of a batch are scored once."""
     known: dict[tuple[str, str], float] = {}
