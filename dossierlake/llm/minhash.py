@@ -213,7 +213,9 @@ def _compatible(threshold: tuple[int, int], a: str, b: str):
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: tuple[int, int] = (4, 5), block: int = 64, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of ``docs``: id_col, bag, class_id, class_size. ``class_id`` is the smallest id of the class.
+    """One row per row of ``docs``: id_col, bag, component, class_id, class_size.
+
+    ``class_id`` is the smallest id of the class; ``component`` tells classes apart even where ids repeat.
 
     Classes are the connected components of texts whose bags of five-word shingles have a weighted Jaccard
     similarity of at least ``threshold`` (a fraction). Words are lower-cased runs of letters and digits. A text of
@@ -259,15 +261,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     classed = rows.select("id", "bag").join(found, "bag", "left").withColumn("component", F.coalesce("component", "bag"))
     classed = scratch.keep(classed, "classed")
     names = scratch.keep(classed.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
-    return classed.join(names, "component").select(F.col("id").alias(id_col), "bag", "class_id", "class_size")
+    return classed.join(names, "component").select(F.col("id").alias(id_col), "bag", "component", "class_id", "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row of each class of ``near_classes``, that of the smallest id, with all its columns."""
     classes = near_classes(docs, id_col, text, scratch=scratch)
-    kept = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_id"), F.col("bag").alias("_own"), "class_id")
-    # Of rows that share the smallest id one stays.
-    kept = kept.groupBy("class_id").agg(F.min(F.struct("_id", "_own")).alias("k")).select("k._id", "k._own") if id_col else kept
+    # Ids without a value come last; of rows that share the smallest id one stays.
+    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("_id"), F.col("bag").alias("_own")))
+    kept = classes.groupBy("component").agg(least.alias("k")).select("k._id", "k._own")
     keyed = with_bag(docs, text)
     found = keyed.join(kept, (F.col("_bag") == F.col("_own")) & keyed[id_col].eqNullSafe(F.col("_id")), "left_semi")
     first = Window.partitionBy("_bag", id_col).orderBy(F.lit(1))
