@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.OP1_SQL, "op5_exact": exact.OP5_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op2_substring": substring.OP2_SQL, "op5_exact": exact.OP5_SQL, "op9_decontam": decontam.OP9_SQL}

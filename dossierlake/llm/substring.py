@@ -304,3 +304,13 @@ def op2_substring(spark, sf_dir: str) -> DataFrame:
     """Words of ``documents`` that are left without windows of 20 words that start earlier too."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, j, array_to_string(ws[j:j + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS j FROM d)),
+f AS (SELECT doc_id, j FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, j) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(j, j + 20)) AS p FROM f),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""

@@ -7,6 +7,7 @@ import pytest
 
 from dossierlake.llm import decontam
 from tests.llm.conftest import prose
+from tests.oracle import assert_same, connection
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -80,3 +81,7 @@ def test_query(spark, tiny):
     items = [tuple(r) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
     got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.op9_decontam(spark, tiny).collect()), key=str)
     assert got == [(*r[:3], len(r[3]), r[4]) for r in brute(docs, items)]
+
+
+def test_query_matches_sql(spark, tiny):
+    assert_same(decontam.op9_decontam(spark, tiny).toPandas(), connection(tiny).sql(decontam.OP9_SQL).df())

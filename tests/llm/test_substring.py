@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from dossierlake.llm.substring import remove_repeats
+from dossierlake.llm.substring import OP2_SQL, op2_substring, remove_repeats
+from tests.oracle import assert_same, connection
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,3 +52,7 @@ def test_a_text_that_repeats_itself(spark):
 def test_length_must_be_a_doubling(documents):
     with pytest.raises(ValueError, match="power of two"):
         remove_repeats(documents, 20, 7)
+
+
+def test_query_matches_sql(spark, tiny):
+    assert_same(op2_substring(spark, tiny).toPandas(), connection(tiny).sql(OP2_SQL).df())
