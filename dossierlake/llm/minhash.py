@@ -7,10 +7,12 @@ by one: levels of weight are halved into blocks [1, 2), [2, 4), [4, 8) ..., a bl
 width whose points also draw a level and count only below the shingle's weight, and a process is followed only while
 its time is below the text's latest slot.
 
-Signatures are cut into bands. Texts that share a band are compared with the first of the band, by exact overlap of
-their bags, and links join into components. Bands whose members are then still in several components are worked
-through in blocks of members until every pair across components has been compared, so no link between different
-bags that share a band is lost, and no band is ever expanded into all its pairs at once.
+Signatures are cut into bands. In each band the member that shares most bands with others is the hub; all members are
+compared with it by exact overlap of their bags, and links join into components. What is left are bands whose members
+are still in several components. Of these every pair across components is compared too: pairs of small bands as rows,
+those of large bands as products of blocks of members, a block pair a group, which hands back one link for a member
+and another component. So no link between different bags that share a band is lost, no band is ever expanded into rows
+of all its pairs, and no group holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -212,7 +214,94 @@ def _compatible(threshold: tuple[int, int], a: str, b: str):
     return below * F.least(a, b) >= above * F.greatest(a, b)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: tuple[int, int] = (4, 5), block: int = 64, scratch: Scratch | None = None) -> DataFrame:
+def _small_bands(rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """All pairs across components of bands of a few members."""
+    other = rest.select("band", F.col("bag").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
+    pairs = rest.join(other, "band").where((F.col("bag") > F.col("b")) & (F.col("component") != F.col("component_b")) & _compatible(threshold, "n", "n_b"))
+    return pairs.select(F.col("bag").alias("a"), "b")
+
+
+def _features(texts: DataFrame) -> DataFrame:
+    """Each bag's shingles, numbered where they repeat, as 32-bit hashes."""
+    schema = T.StructType([T.StructField("bag", T.BinaryType()), T.StructField("features", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, t, h in _read(batch.column(1)):
+                order = np.lexsort((h, t))
+                t, h = t[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+                at = np.arange(len(h))
+                again = at - np.maximum.accumulate(np.where(new, at, 0))
+                short = (mix(h + mix(again.astype(U64))) >> U64(32)).astype(np.uint32)
+                bounds = np.searchsorted(t, np.arange(n + 1))
+                out += [short[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def _common(rows: list[bytes]) -> np.ndarray:
+    """How many features each two rows have in common, as products of slices of the features that several rows have."""
+    size = np.array([len(x) // 4 for x in rows])
+    values, place, count = np.unique(np.frombuffer(b"".join(rows), np.uint32), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(rows)), size)
+    some = count[place] > 1
+    owner, place = owner[some], (np.cumsum(count > 1) - 1)[place[some]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out, width = np.zeros((len(rows), len(rows)), np.float32), 2048
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(place, (low, low + width))
+        x = np.zeros((len(rows), width), np.float32)
+        np.add.at(x, (owner[a:b], place[a:b] - low), 1)
+        out += x @ x.T
+    return out
+
+
+def _large_bands(rest: DataFrame, texts: DataFrame, threshold: tuple[int, int], block: int) -> DataFrame:
+    """For each member of a large band and each other component there, the likeliest link, to be compared exactly.
+
+    Short hashes can count a shingle too many, so where the likeliest one is within two shingles of the threshold all
+    that reach so far are handed back.
+    """
+    above, below = threshold
+    ranked = rest.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("band").orderBy("bag")) - 1) / block).cast("int"))
+    last = F.floor((F.col("size") - 1) / block).cast("int")
+    spread = ranked.select("band", "bag", "component", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    spread = spread.select("band", "bag", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    held = spread.join(_features(texts), "bag")
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        bags, parts, blocks = table["bag"].to_pylist(), table["component"].to_pylist(), np.asarray(table["block"])
+        part = np.unique(np.array(parts, dtype=object).astype("S32"), return_inverse=True)[1]
+        a, b = [], []
+        if len(set(parts)) > 1:
+            rows = table["features"].to_pylist()
+            size = np.array([len(x) // 4 for x in rows], float)
+            inter = _common(rows)
+            slack = below * (inter + 2) - above * (size[:, None] + size[None] - inter - 2)
+            slack[part[:, None] == part[None]] = -1
+            if len(set(blocks.tolist())) > 1:  # pairs within a block have a group of their own
+                slack[blocks[:, None] == blocks[None]] = -1
+            for i in np.flatnonzero((slack >= 0).any(1)):
+                fits = np.flatnonzero(slack[i] >= 0)
+                for c in np.unique(part[fits]):
+                    own = fits[part[fits] == c]
+                    best = own[np.argmax(slack[i, own])]
+                    sure = below * (inter[i, best] - 2) >= above * (size[i] + size[best] - inter[i, best] + 2)
+                    for k in [best] if sure else own.tolist():
+                        a.append(max(bags[i], bags[k]))
+                        b.append(min(bags[i], bags[k]))
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return held.groupBy("band", "i", "j").applyInArrow(run, schema)
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: tuple[int, int] = (4, 5), small: int = 8, block: int = 512, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: id_col, bag, component, class_id, class_size.
 
     ``class_id`` is the smallest id of the class; ``component`` tells classes apart even where ids repeat.
@@ -228,36 +317,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     rows = scratch.keep(_sketches(docs, id_col, text), "sketches")
     distinct = rows.groupBy("bag").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))  # equal bags have equal bands
     banded = scratch.keep(distinct.select("bag", "n", F.explode("bands").alias("band")), "bands")
-    shared = scratch.keep(banded.groupBy("band").agg(F.min(F.struct("bag", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
-    member = banded.join(shared, "band").select("band", "bag", "n", F.col("first.bag").alias("hub"), F.col("first.n").alias("hub_n"))
-    star = scratch.keep(member.select("bag", "n", "hub", "hub_n").distinct(), "stars")
-    own = docs.select(docs[text].alias("text"))
+    shared = scratch.keep(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+    member = scratch.keep(banded.join(shared, "band"), "members")
+    scratch.discard("bands")
+    central = scratch.keep(member.groupBy("bag").agg(F.sum("size").alias("central")), "central")
+    hubs = member.join(central, "bag").groupBy("band").agg(F.max(F.struct("central", "bag", "n")).alias("hub"))
+    hubs = scratch.keep(hubs.select("band", F.col("hub.bag").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    star = member.join(hubs, "band").where((F.col("bag") != F.col("hub")) & _compatible(threshold, "n", "hub_n")).select(F.col("bag").alias("a"), F.col("hub").alias("b")).distinct()
     # One text of each bag that shares a band.
-    texts = with_bag(own, "text").select(F.col("_bag").alias("bag"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = scratch.keep(texts.join(star.select("bag").distinct(), "bag", "left_semi").dropDuplicates(["bag"]), "texts")
+    texts = with_bag(docs.select(docs[text].alias("text")), "text").select(F.col("_bag").alias("bag"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = scratch.keep(texts.join(central.select("bag"), "bag", "left_semi").dropDuplicates(["bag"]), "texts")
     links = _Links(scratch, texts, threshold)
-    links.compare(star.where((F.col("bag") != F.col("hub")) & _compatible(threshold, "n", "hub_n")).select(F.col("bag").alias("a"), F.col("hub").alias("b")))
-    found = links.components()
-    low = 0
-    rest = None
-    while True:
-        # Members of bands that still have several components, with their rank in the band.
-        source = member.select("band", "bag", "n") if rest is None else rest.select("band", "bag", "n", "rank")
-        named = source.join(found, "bag", "left").withColumn("component", F.coalesce("component", "bag"))
-        apart = named.groupBy("band").agg(F.min("component").alias("_least"), F.max("component").alias("_most"), F.count(F.lit(1)).alias("_size")).where(f"_least <> _most AND _size > {low}").select("band")
-        left = named.join(apart, "band", "left_semi")
-        if rest is None:
-            left = left.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("bag")) - 1)
-        rest = scratch.keep(left, f"rest{low}")
-        hubs = rest.where((F.col("rank") >= low) & (F.col("rank") < low + block)).select("band", F.col("bag").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), F.col("rank").alias("rank_b"))
-        pairs = rest.join(hubs, "band").where((F.col("rank") > F.col("rank_b")) & (F.col("component") != F.col("component_b")) & _compatible(threshold, "n", "n_b"))
-        pairs = scratch.keep(pairs.select(F.col("bag").alias("a"), "b").distinct(), f"pairs{low}")
-        if not pairs.isEmpty():
-            links.compare(pairs)
-            found = links.components()
-        low += block
-        if rest.where(F.col("rank") >= low).isEmpty():
-            break
+    links.compare(scratch.keep(star, "stars"))
+    found = scratch.keep(links.components(), "found")
+    named = member.join(found, "bag", "left").withColumn("component", F.coalesce("component", "bag"))
+    named = scratch.keep(named, "named")
+    apart = named.groupBy("band").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least <> _most").select("band")
+    rest = scratch.keep(named.join(scratch.keep(apart, "apart"), "band", "left_semi"), "rest")
+    scratch.discard("named")
+    pairs = _small_bands(rest.where(F.col("size") <= small), threshold).unionByName(_large_bands(rest.where(F.col("size") > small), texts, threshold, block))
+    pairs = scratch.keep(pairs.distinct(), "pairs")
+    if not pairs.isEmpty():
+        links.compare(pairs)
+        found = links.components()
     classed = rows.select("id", "bag").join(found, "bag", "left").withColumn("component", F.coalesce("component", "bag"))
     classed = scratch.keep(classed, "classed")
     names = scratch.keep(classed.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")

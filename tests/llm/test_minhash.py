@@ -59,7 +59,7 @@ def test_bands_of_several_families(spark):
             words = list(words)
             words[20 + 15 * k] = f"f{family}k{k}"
             rows.append((family * 10 + k, " ".join(words)))
-    assert classes(spark, rows, block=2) == brute(rows)
+    assert classes(spark, rows, small=2, block=4) == brute(rows)
 
 
 def test_signatures_estimate_weighted_jaccard():

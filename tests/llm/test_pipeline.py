@@ -24,7 +24,7 @@ def table(spark, tmp_path_factory):
         if i % 4 == 0:
             text, grade = " ".join(f"{w}%%%" for w in text.split(" ")), 0
         elif i % 9 == 1:
-            text = next(t for _, t, g in rows if g)
+            text = next((t for _, t, g in rows if g), text)
         elif i % 9 == 2:
             text += " " + items[i % 5][1]
         elif i % 9 == 3 and len(rows) > 3:
