@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from dossierlake.llm._scratch import Scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: How the state is kept. Stores are many and small, so none reserves disk ahead.
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def _digest(name: str, text: Column) -> Column:
@@ -32,15 +33,17 @@ def _fold(scratch: Scratch, arrivals: DataFrame, name: str, files_per_batch: int
     stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(scratch.at(name))
     state = stream.groupBy("digest").agg(F.max(F.struct("known", "id", "place")).alias("keep"), F.count(F.lit(1)).alias("size"))
     scratch.keep(spark.createDataFrame([], state.schema), f"{name}-updates/batch=-1")  # so that there is a folder without any arrival
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         # A batch that is tried again writes the same folder again.
         writer = state.writeStream.outputMode("update").option("checkpointLocation", scratch.at(f"{name}-state")).trigger(availableNow=True)
         query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").option("compression", "zstd").parquet(scratch.at(f"{name}-updates/batch={n}"))).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     updates = spark.read.schema(state.schema).parquet(scratch.at(f"{name}-updates"))
     # The state of a digest only grows, so its last update has the largest of each.
     return scratch.keep(updates.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("size").alias("size")), f"{name}-groups")
