@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
 A word comes in as the sum of two inputs: an embedding of the whole word and the pooled embeddings of its
-character n-grams, both hashed. Windows of ``LENGTH`` words overlap; a forward and a backward gated recurrent
+character n-grams, both hashed. A word of more than ``WHOLE`` bytes, as a text without blanks is, comes in as
+overlapping pieces that together hold all its bytes. Windows of ``LENGTH`` words overlap; a forward and a backward gated recurrent
 layer read each, attention pools their states, and a linear layer scores the pool. A text scores as its highest
 window, over all windows of the whole text, and a logistic curve fitted on held-back training rows turns that
 into a probability.
@@ -28,6 +29,8 @@ from dossierlake.llm._bytes import LOWER, NOT_ALNUM, U64, Words, mix, text_slice
 LENGTH, STRIDE = 32, 24
 EMBED, HIDDEN, TABLE = 12, 8, 1 << 14
 GRAMS = (3, 4, 5)
+#: Bytes of the longest word that is read as one; those of a longer word's pieces, and from one's beginning to the next.
+WHOLE, PIECE, STEP = 64, 12, 2
 #: Windows that are scored at once.
 BLOCK = 4096
 
@@ -51,30 +54,51 @@ class Vocabulary:
     place: np.ndarray  # distinct word of each word
 
 
-def vocabulary(words: Words) -> Vocabulary:
-    found, at, place = np.unique(words.hash, return_index=True, return_inverse=True)
+class Pieces(Words):
+    """The words of a run of texts; one of more than ``WHOLE`` bytes is cut into overlapping pieces that are words of their own.
+
+    Pieces are as short as a word, as an insult among the pooled n-grams of a long one would weigh next to nothing.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(data, offsets, NOT_ALNUM, LOWER)
+        size = self.end - self.start
+        per = np.where(size > WHOLE, 1 - (PIECE - size) // STEP, 1)
+        total = np.concatenate([[0], np.cumsum(per)])
+        k = np.arange(total[-1]) - np.repeat(total[:-1], per)
+        self.start = np.repeat(self.start, per) + k * STEP
+        self.end = np.where(np.repeat(size > WHOLE, per), np.minimum(self.start + PIECE, np.repeat(self.end, per)), np.repeat(self.end, per))
+        self.first = total[self.first]
+
+
+def vocabulary(words: Words, lo: int = 0, hi: int | None = None) -> Vocabulary:
+    """Of the words from ``lo`` to ``hi``, all by default; n-grams are of all bytes of a word."""
+    found, at, place = np.unique(words.hash[lo:hi], return_index=True, return_inverse=True)
+    at = at + lo
     start, size = words.start[at], words.end[at] - words.start[at]
-    size = np.minimum(size, 64)  # n-grams of a longer word: of its first bytes
-    # Each word between marks of its beginning and end.
-    total = np.concatenate([[0], np.cumsum(size + 2)])
-    owner = np.repeat(np.arange(len(found), dtype=np.int32), size + 2)
-    inner = (np.arange(total[-1]) - total[:-1][owner]).astype(np.int32)
-    data = np.where(inner == 0, 1, 2).astype(np.uint8)
-    letter = (inner > 0) & (inner <= size[owner])
-    data[letter] = words.data[(start[owner[letter]] + inner[letter] - 1)]
     per = np.stack([np.maximum(size + 3 - n, 0) for n in GRAMS])
     first = np.concatenate([[0], np.cumsum(per.sum(0))])
-    grams = np.empty(first[-1], np.int32)
-    for k, n in enumerate(GRAMS):
-        before = first[:-1] + per[:k].sum(0)
-        for a in range(0, max(0, len(data) - n + 1), 1 << 18):
-            b = min(len(data) - n + 1, a + (1 << 18))
-            code = np.full(b - a, n, U64)
+    grams = np.empty(first[-1], np.uint16)
+    # Each word between marks of its beginning and end; words are taken some bytes at a time.
+    total = np.concatenate([[0], np.cumsum(size + 2)])
+    a = 0
+    while a < len(found):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + (1 << 18), side="right")) - 1)
+        own = size[a:b]
+        owner = np.repeat(np.arange(b - a, dtype=np.int32), own + 2)
+        inner = (np.arange(total[a], total[b]) - total[a:b][owner]).astype(np.int32)
+        data = np.where(inner == 0, 1, 2).astype(np.uint8)
+        letter = (inner > 0) & (inner <= own[owner])
+        data[letter] = words.data[start[a:b][owner[letter]] + inner[letter] - 1]
+        for k, n in enumerate(GRAMS):
+            before = first[a:b] + per[:k, a:b].sum(0)
+            count = max(0, len(data) - n + 1)
+            code = np.full(count, n, U64)
             for j in range(n):
-                code = (code << U64(8)) | data[a + j : b + j]
-            whole = np.flatnonzero(owner[a:b] == owner[a + n - 1 : b + n - 1])
-            own = owner[a:b][whole]
-            grams[before[own] + inner[a:b][whole]] = (mix(code[whole]) % U64(TABLE)).astype(np.int32)
+                code = (code << U64(8)) | data[j : j + count]
+            whole = np.flatnonzero(owner[:count] == owner[n - 1 :])
+            grams[before[owner[whole]] + inner[whole]] = (mix(code[whole]) % U64(TABLE)).astype(np.uint16)
+        a = b
     return Vocabulary((mix(found) % U64(TABLE)).astype(np.int32), grams, first, place.astype(np.int32))
 
 
@@ -202,14 +226,14 @@ class Network:
 
     def highest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The highest logit of each text's windows; a text without words has that of an empty pool."""
-        words = Words(data, offsets, NOT_ALNUM, LOWER)
+        words = Pieces(data, offsets)
         text, start, size = windows(words.first)
         out = np.full(len(offsets) - 1, -np.inf, np.float32)
-        if len(text):
-            v = vocabulary(words)
-            x = self.inputs(v)
-            for a in range(0, len(text), BLOCK):
-                np.maximum.at(out, text[a : a + BLOCK], self.forward(x, v.place, start[a : a + BLOCK], size[a : a + BLOCK]))
+        for a in range(0, len(text), BLOCK):
+            own = slice(a, a + BLOCK)
+            lo = int(start[a])
+            v = vocabulary(words, lo, int((start[own] + size[own]).max()))
+            np.maximum.at(out, text[own], self.forward(self.inputs(v), v.place, start[own] - lo, size[own]))
         out[words.counts == 0] = min(float(self.p["bias"][0]), float(out[np.isfinite(out)].min(initial=0)))
         return out
 
@@ -223,14 +247,15 @@ def _first_choice(v: Vocabulary, text: np.ndarray, first: np.ndarray, y: np.ndar
     counts = np.zeros((2, TABLE))
     pairs = np.unique(np.repeat(np.arange(len(first) - 1), np.diff(first)) * len(n) + v.place)
     text, place = pairs // len(n), pairs % len(n)
-    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    blocks = [(a, min(len(n), a + (1 << 14))) for a in range(0, len(n), 1 << 14)]
     for kind in (0, 1):
         times = np.bincount(place[y[text] == kind], minlength=len(n))
-        counts[kind] = np.bincount(v.grams, times[owner], TABLE)
+        for a, b in blocks:
+            counts[kind] += np.bincount(v.grams[v.first[a] : v.first[b]], np.repeat(times[a:b], n[a:b]), TABLE)
     odds = np.log((counts[1] + 0.5) / (y.sum() + 1)) - np.log((counts[0] + 0.5) / ((1 - y).sum() + 1))
-    out = np.full(len(n), -9.0)
-    some = n > 0
-    out[some] = np.maximum.reduceat(odds[v.grams], v.first[:-1][some])
+    out = np.empty(len(n))
+    for a, b in blocks:  # every word has an n-gram
+        out[a:b] = np.maximum.reduceat(odds[v.grams[v.first[a] : v.first[b]]], v.first[a:b] - v.first[a])
     return out
 
 
@@ -244,7 +269,7 @@ def fit(texts: list[str], y: np.ndarray, share: float, epochs: int = 12, batch:
         return net
     joined = pa.array(texts, pa.large_string())
     (_, _, data, offsets), = text_slices(joined, 1 << 62)
-    words = Words(data, offsets, NOT_ALNUM, LOWER)
+    words = Pieces(data, offsets)
     v = vocabulary(words)
     text, start, size = windows(words.first)
     rng = np.random.default_rng(seed)

@@ -177,3 +177,34 @@ def test_words_of_bytes():
     data, offsets = slices(["a  b\n", "", " c", "d"])
     w = Words(data, offsets, BLANK)
     assert [bytes(data[s:e]) for s, e in zip(w.start, w.end, strict=True)] == [b"a", b"b", b"c", b"d"] and w.counts.tolist() == [2, 0, 1, 1]
+
+
+def glued(insults, at: int, word: str) -> str:
+    """Clean words without blanks, with ``word`` after ``at`` bytes."""
+    clean = "".join(t.replace(" ", "") for t, k in ((t, k) for _, t, k in insults) if not k).encode("ascii", "ignore").decode()[:600]
+    return clean[:at] + word + clean[at:]
+
+
+def test_an_insult_after_byte_64_of_one_word_is_read(insults):
+    y = np.array([t for *_, t in insults])
+    net = toxicity.fit([t for _, t, _ in insults], y, 0.33)
+    for before in ("", "é" * 200):
+        base = net.highest(*slices([before + glued(insults, 0, "")]))[0]
+        for at in (64, 90, 96, 100, 300, 590):
+            assert net.highest(*slices([before + glued(insults, at, "idiotscum")]))[0] > base + 0.1, (before, at)
+
+
+def test_pieces_hold_all_bytes_of_long_words():
+    texts = ["short", "x" * 64, "", "".join(map(chr, range(0x4E00, 0x4E00 + 100))) + " end", "y" * 65]
+    data, offsets = slices(texts)
+    w = toxicity.Pieces(data, offsets)
+    assert w.counts.tolist() == [1, 1, 0, 146, 28] and (w.end - w.start)[2:147].max() == toxicity.PIECE
+    seen = np.zeros(len(data), bool)
+    for s, e in zip(w.start, w.end, strict=True):
+        seen[s:e] = True
+    assert (seen | (data == 32)).all()
+    v = toxicity.vocabulary(w)
+    parts = [toxicity.vocabulary(w, a, a + 1) for a in range(len(w.start))]
+    for k, p in enumerate(parts):
+        own = v.grams[v.first[v.place[k]] : v.first[v.place[k] + 1]]
+        assert (own == p.grams).all() and len(own) == sum(max(w.end[k] - w.start[k] + 3 - n, 0) for n in toxicity.GRAMS)
