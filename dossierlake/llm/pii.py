@@ -5,13 +5,16 @@ asks which other terms give such an entity away. Over the whole corpus, ``n(e)``
 hold term t and ``n(t, e)`` hold t near e. The information that t gives on e is PMI = log2(N n(t,e) / (n(t) n(e)));
 as a share of all the information in e, log2(N / n(e)), it is 0 where t says nothing and 1 where t occurs with e
 alone. A term near an entity whose share passes a threshold, and that stands by it in at least two different
-contexts, is disclosed: at ``generalise`` it is replaced by its kind, at ``remove`` it goes.
+contexts, is disclosed: at ``generalise`` it is replaced by its kind, at ``remove`` it goes, wherever it stands in
+any text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ DIGIT = re.compile(r"[0-9]")
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 #: Words on each side of an entity that count as near it, and the characters in which they are looked for.
 NEAR_WORDS, NEAR_CHARS = 10, 400
+#: Bits of the filter through which words go before they are joined with the disclosed terms.
+SIEVE = 1 << 26
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -83,14 +88,27 @@ def _hash_texts(texts: list[str]) -> np.ndarray:
 
 
 def near_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[tuple[int, int, int, list]]]:
-    """Entities of a text, and (entity, term, context, spans of the term) for each term near an entity."""
+    """Entities of a text, and (entity, term, context, spans of the term) for each term near an entity.
+
+    Spans are those of terms that an entity cuts off from a longer word; all others are found by ``occurrences``.
+    """
     names, around = [], []
+    ends, starts = sorted(e for _, _, e in spans), [s for s, _, _ in spans]
     for start, kind, end in spans:
         value = text[start:end]
         names.append(f"{KINDS[kind]}:{_digits(value) if kind > 1 else value.lower()}")
-        left, right = text[max(0, start - NEAR_CHARS) : start], text[end : end + NEAR_CHARS]
-        words = [(m.start() + start - len(left), m.end() + start - len(left)) for m in WORD.finditer(left) if m.start() or start <= NEAR_CHARS][-NEAR_WORDS:]
-        words += [(m.start() + end, m.end() + end) for m in WORD.finditer(right) if m.end() < len(right) or end + NEAR_CHARS >= len(text)][:NEAR_WORDS]
+        # A word across the edge counts whole, up to another entity.
+        lo, hi = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
+        k = bisect_right(ends, lo)
+        least = ends[k - 1] if k else 0
+        while lo > least and WORD.match(text, lo, lo + 1) and WORD.match(text, lo - 1, lo):
+            lo -= 1
+        k = bisect_left(starts, hi)
+        most = starts[k] if k < len(starts) else len(text)
+        while hi < most and WORD.match(text, hi - 1, hi) and WORD.match(text, hi, hi + 1):
+            hi += 1
+        words = [m.span() for m in WORD.finditer(text, lo, start)][-NEAR_WORDS:]
+        words += [m.span() for m in islice(WORD.finditer(text, end, hi), NEAR_WORDS)]
         around.append([(a, b) for a, b in words if not any(s < b and a < e for s, _, e in spans)])
     entities = _hash_texts(names).view(np.int64).tolist()
     flat = [text[a:b] for words in around for a, b in words]
@@ -102,7 +120,9 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int],
         at += len(words)
         context = int(np.bitwise_xor.reduce(mix(terms)).view(np.int64)) if len(words) else 0
         for term, span in zip(terms.view(np.int64).tolist(), words, strict=True):
-            found.setdefault((entity, term), [context, []])[1].append(span)
+            here = found.setdefault((entity, term), [context, []])[1]
+            if WORD.match(text, max(0, span[0] - 1), span[0]) or WORD.match(text, span[1], span[1] + 1):
+                here.append(span)
     return sorted(set(entities)), [(e, t, c, sorted(set(s))) for (e, t), (c, s) in found.items()]
 
 
@@ -112,10 +132,10 @@ _ARROW_SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa
 _ARROW_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("spans", pa.list_(_ARROW_SPAN))])
 
 
-def _scan(docs: DataFrame, id_col: str, text: str, with_text: bool) -> DataFrame:
+def _scan(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Base spans of each row, its entities and the terms near them; ``row`` names the row within the written table."""
     fields = [T.StructField("row", T.LongType()), T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("base", T.ArrayType(_SPAN)), T.StructField("entities", T.ArrayType(T.LongType())), T.StructField("near", T.ArrayType(_NEAR))]
-    schema = T.StructType(fields + [T.StructField("text", T.StringType())] * with_text)
+    schema = T.StructType([*fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -129,7 +149,7 @@ def _scan(docs: DataFrame, id_col: str, text: str, with_text: bool) -> DataFrame
                 near.append([{"entity": e, "term": t, "context": c, "spans": [{"start": a, "kind": 4, "end": b} for a, b in s]} for e, t, c, s in terms])
             n = batch.num_rows
             columns = [pa.array(np.arange(row, row + n)), batch.column(0), pa.array(base, pa.list_(_ARROW_SPAN)), pa.array(entities, pa.list_(pa.int64())), pa.array(near, pa.list_(_ARROW_NEAR))]
-            yield pa.RecordBatch.from_arrays(columns + [batch.column(1)] * with_text, names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], names=schema.names)
             row += n
 
     return docs.select(docs[id_col], docs[text]).mapInArrow(run, schema)
@@ -155,28 +175,68 @@ def term_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(docs[text]).mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _sieve(terms: DataFrame) -> np.ndarray:
+    """A filter of ``SIEVE`` bits that lets all ``terms`` through, and others seldom; its size never grows."""
+    places = terms.select(F.explode(F.array(F.col("term").bitwiseAND(F.lit(SIEVE - 1)), F.shiftrightunsigned("term", 32).bitwiseAND(F.lit(SIEVE - 1)))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(SIEVE >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, term, span) of every word of the whole texts that may be one of ``terms``, but those in base spans."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(_sieve(terms)))  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            for a, _, data, offsets in text_slices(batch.column(2)):
+                words = Words(data, offsets, NOT_ALNUM, LOWER)
+                hit = np.flatnonzero(sieve[words.hash & U64(SIEVE - 1)])
+                hit = hit[sieve[(words.hash[hit] >> U64(32)) & U64(SIEVE - 1)]]
+                if not len(hit):
+                    continue
+                # Code points before each byte, as every byte but those that continue one begins one.
+                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                own = words.text_of[hit]
+                start, end = (points[x[hit]] - points[offsets[own]] for x in (words.start, words.end))
+                keep = np.ones(len(hit), bool)
+                for k in np.unique(own):
+                    here = slice(*np.searchsorted(own, (k, k + 1)))
+                    for span in batch.column(1)[a + int(k)].as_py():
+                        keep[here] &= (start[here] >= span["end"]) | (end[here] <= span["start"])
+                row = batch.column(0).take(pa.array(a + own[keep]))
+                span = pa.StructArray.from_arrays([pa.array(start[keep]), pa.array(np.full(keep.sum(), 4, np.int32)), pa.array(end[keep])], fields=list(_ARROW_SPAN))
+                yield pa.RecordBatch.from_arrays([row, pa.array(words.hash[hit[keep]].view(np.int64)), span], names=["row", "term", "span"])
+
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("term", T.LongType()), T.StructField("span", _SPAN)])
+    return rows.select("row", "base", "text").mapInArrow(run, schema)
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", generalise: float = 0.6, remove: float = 0.9, with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: id_col, base and spans, arrays of (start, kind, end) in code points, end exclusive.
 
     ``kind`` is a place in ``KINDS``. ``base`` has what the patterns find; ``spans`` has these and the disclosed
-    terms, by start and kind; ``removed`` has the disclosed terms that go altogether. With ``with_text`` the text
+    terms wherever they stand in any text, by start and kind; ``removed`` has the disclosed terms that go altogether. With ``with_text`` the text
     comes along. A null text counts as empty. Null, tied and repeated ids are rows of their own; an empty table
     gives an empty table; other columns are not read. Every text is read whole.
     """
     scratch = scratch or Scratch(docs.sparkSession, "pii")
-    rows = scratch.keep(_scan(docs, id_col, text, with_text), "rows")
+    rows = scratch.keep(_scan(docs, id_col, text), "rows")
     total = F.lit(float(rows.count()))
     entities = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     near = rows.select("row", F.inline("near"))
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), (F.min("context") != F.max("context")).alias("varied")).where("varied")
-    measured = pairs.join(entities, "entity").join(term_documents(docs, text), "term")
+    measured = pairs.join(entities, "entity").join(term_documents(rows), "term")
     share = F.log2(total * F.col("n_both") / (F.col("n") * F.col("n_entity"))) / F.log2(total / F.col("n_entity"))
     disclosed = measured.withColumn("share", F.when(total > F.col("n_entity"), share)).where(F.col("share") >= generalise)
-    disclosed = disclosed.select("entity", "term", (F.col("share") >= remove).alias("goes"))
-    found = near.join(disclosed, ["entity", "term"]).select("row", "goes", F.explode("spans").alias("span"))
+    disclosed = scratch.keep(disclosed.groupBy("term").agg((F.max("share") >= remove).alias("goes")), "disclosed")
+    cut_off = near.where(F.size("spans") > 0).select("row", "term", F.explode("spans").alias("span"))
+    found = occurrences(rows, disclosed).unionByName(cut_off).join(disclosed, "term")
     added = found.groupBy("row").agg(F.collect_set("span").alias("terms"), F.collect_set(F.when(F.col("goes"), F.col("span"))).alias("removed"))
     none = F.array().cast(T.ArrayType(_SPAN))
-    out = rows.drop("entities", "near").join(added, "row", "left")
+    out = rows.drop("entities", "near", *["text"] * (not with_text)).join(added, "row", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("terms", none)))
     return out.select(id_col, "base", spans.alias("spans"), F.coalesce("removed", none).alias("removed"), *["text"] * with_text)
 

@@ -67,6 +67,27 @@ def test_sanitise(spark):
     assert out[10].startswith("holder of the text")
 
 
+def test_disclosed_terms_are_found_in_all_texts(spark):
+    far = "é Zanthor " + "of the text " * 300 + "zanthor"
+    more = spark.createDataFrame([(50, far), (51, "zan@thor.org " + "and the " * 300 + "zanthor"), (52, "xzanthor zanthors")], "doc_id long, text string")
+    both = docs(spark).unionByName(more).repartition(3)
+    found = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in pii.find_spans(both).collect()}
+    assert found[50] == [(2, 4, 9), (len(far) - 7, 4, len(far))]
+    assert found[51] == [(0, 0, 12), (13 + 8 * 300, 4, 20 + 8 * 300)]
+    assert found[52] == [] and all(not found[i] for i in range(10, 50))
+    out = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(both).collect()}
+    assert not any("zanthor" in out[i].lower() for i in (0, 50, 51))
+
+
+def test_words_across_the_edge_count_whole():
+    run = "é" * 500
+    for text in (f"a {run} zan@thor.org", f"zan@thor.org {run} a", f"{run}4111111111111111"):
+        spans = pii.base_spans(text)
+        terms = {t for _, t, *_ in pii.near_terms(text, spans)[1]}
+        assert int(pii._hash_texts([run]).view("int64")[0]) in terms
+    assert [s for *_, s in pii.near_terms(text, spans)[1]] == [[(0, 500)]]  # cut off by the entity
+
+
 def test_strange_rows(spark, strange, empty):
     assert pii.find_spans(strange).count() == strange.count()
     assert pii.find_spans(empty).collect() == []
