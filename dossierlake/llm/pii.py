@@ -4,8 +4,8 @@ The base finds e-mail addresses, IP addresses, card and telephone numbers. The i
 asks which other terms give such an entity away. Over the whole corpus, ``n(e)`` documents hold entity e, ``n(t)``
 hold term t and ``n(t, e)`` hold t near e. The information that t gives on e is PMI = log2(N n(t,e) / (n(t) n(e)));
 as a share of all the information in e, log2(N / n(e)), it is 0 where t says nothing and 1 where t occurs with e
-alone. A term near an entity whose share passes a threshold, and that stands by it in at least two different
-contexts, is disclosed: at ``generalise`` it is replaced by its kind, at ``remove`` it goes, wherever it stands in
+alone. A term whose share passes a threshold, and that stands near the entity at least ``support`` times, in one
+document or in several and whatever else stands there, is disclosed: at ``generalise`` it is replaced by its kind, at ``remove`` it goes, wherever it stands in
 any text.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossierlake.llm._bytes import LOWER, NOT_ALNUM, U64, Words, hash_spans, mix, text_slices
+from dossierlake.llm._bytes import LOWER, NOT_ALNUM, U64, Words, hash_spans, text_slices
 from dossierlake.llm._scratch import Scratch
 
 #: The kinds in the order in which spans with one start are listed.
@@ -88,9 +88,9 @@ def _hash_texts(texts: list[str]) -> np.ndarray:
 
 
 def near_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[tuple[int, int, int, list]]]:
-    """Entities of a text, and (entity, term, context, spans of the term) for each term near an entity.
+    """Entities of a text, and (entity, term, times, spans of the term) for each term near an entity.
 
-    Spans are those of terms that an entity cuts off from a longer word; all others are found by ``occurrences``.
+    ``times`` counts the places of the entity that have the term near. Spans are those of terms that an entity cuts off from a longer word; all others are found by ``occurrences``.
     """
     names, around = [], []
     ends, starts = sorted(e for _, _, e in spans), [s for s, _, _ in spans]
@@ -118,18 +118,18 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int],
     for entity, words in zip(entities, around, strict=True):
         terms = hashes[at : at + len(words)]
         at += len(words)
-        context = int(np.bitwise_xor.reduce(mix(terms)).view(np.int64)) if len(words) else 0
+        for term in set(terms.view(np.int64).tolist()):
+            found.setdefault((entity, term), [0, []])[0] += 1
         for term, span in zip(terms.view(np.int64).tolist(), words, strict=True):
-            here = found.setdefault((entity, term), [context, []])[1]
             if WORD.match(text, max(0, span[0] - 1), span[0]) or WORD.match(text, span[1], span[1] + 1):
-                here.append(span)
-    return sorted(set(entities)), [(e, t, c, sorted(set(s))) for (e, t), (c, s) in found.items()]
+                found[entity, term][1].append(span)
+    return sorted(set(entities)), [(e, t, n, sorted(set(s))) for (e, t), (n, s) in found.items()]
 
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType())])
-_NEAR = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.LongType()), T.StructField("context", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN))])
+_NEAR = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.LongType()), T.StructField("times", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN))])
 _ARROW_SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_ARROW_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("spans", pa.list_(_ARROW_SPAN))])
+_ARROW_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("times", pa.int64()), ("spans", pa.list_(_ARROW_SPAN))])
 
 
 def _scan(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -146,7 +146,7 @@ def _scan(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 names, terms = near_terms(body, spans) if spans else ([], [])
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
                 entities.append(names)
-                near.append([{"entity": e, "term": t, "context": c, "spans": [{"start": a, "kind": 4, "end": b} for a, b in s]} for e, t, c, s in terms])
+                near.append([{"entity": e, "term": t, "times": times, "spans": [{"start": a, "kind": 4, "end": b} for a, b in s]} for e, t, times, s in terms])
             n = batch.num_rows
             columns = [pa.array(np.arange(row, row + n)), batch.column(0), pa.array(base, pa.list_(_ARROW_SPAN)), pa.array(entities, pa.list_(pa.int64())), pa.array(near, pa.list_(_ARROW_NEAR))]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], names=schema.names)
@@ -214,11 +214,13 @@ def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.select("row", "base", "text").mapInArrow(run, schema)
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", generalise: float = 0.6, remove: float = 0.9, with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", generalise: float = 0.6, remove: float = 0.9, support: int = 2, with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: id_col, base and spans, arrays of (start, kind, end) in code points, end exclusive.
 
     ``kind`` is a place in ``KINDS``. ``base`` has what the patterns find; ``spans`` has these and the disclosed
-    terms wherever they stand in any text, by start and kind; ``removed`` has the disclosed terms that go altogether. With ``with_text`` the text
+    terms wherever they stand in any text, by start and kind; ``removed`` has the disclosed terms that go altogether. A term
+    that stands near an entity fewer than ``support`` times in all isn't disclosed by it; 1 lets the share alone
+    decide. With ``with_text`` the text
     comes along. A null text counts as empty. Null, tied and repeated ids are rows of their own; an empty table
     gives an empty table; other columns are not read. Every text is read whole.
     """
@@ -227,7 +229,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gene
     total = F.lit(float(rows.count()))
     entities = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     near = rows.select("row", F.inline("near"))
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), (F.min("context") != F.max("context")).alias("varied")).where("varied")
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.sum("times").alias("times")).where(F.col("times") >= support)
     measured = pairs.join(entities, "entity").join(term_documents(rows), "term")
     share = F.log2(total * F.col("n_both") / (F.col("n") * F.col("n_entity"))) / F.log2(total / F.col("n_entity"))
     disclosed = measured.withColumn("share", F.when(total > F.col("n_entity"), share)).where(F.col("share") >= generalise)

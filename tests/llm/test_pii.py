@@ -88,6 +88,17 @@ def test_words_across_the_edge_count_whole():
     assert [s for *_, s in pii.near_terms(text, spans)[1]] == [[(0, 500)]]  # cut off by the entity
 
 
+def test_repeats_in_one_document_and_fixed_surroundings_disclose(spark):
+    near = "about zanthor mails zan@thor.org from text"
+    others = [(10 + i, f"holder of the text number{i} from the end about mails") for i in range(40)]
+    for rows in ([(0, f"{near} {'and the ' * 20}in zanthor of zan@thor.org")], [(i, near) for i in range(6)]):
+        found = pii.find_spans(spark.createDataFrame(rows + others, "doc_id long, text string")).where("doc_id < 10").collect()
+        assert all((6, 4, 13) in [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in found) and len(found) == len(rows)
+    once = spark.createDataFrame([(0, near), *others], "doc_id long, text string")
+    assert [s["kind"] for s in pii.find_spans(once).where("doc_id = 0").first()["spans"]] == [0]
+    assert 4 in [s["kind"] for s in pii.find_spans(once, support=1).where("doc_id = 0").first()["spans"]]
+
+
 def test_strange_rows(spark, strange, empty):
     assert pii.find_spans(strange).count() == strange.count()
     assert pii.find_spans(empty).collect() == []
