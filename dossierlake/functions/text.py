@@ -16,6 +16,74 @@ PATTERNS = {
 #: What a format adds to the score of a type, 0.95 at most, and the least score that names one.
 BOOSTS = {"aadhaar": ("has_12digit", 0.20), "pan": ("has_pan", 0.25), "invoice": ("has_gstin", 0.20), "bank_statement": ("has_ifsc", 0.15), "passport": ("has_mrz", 0.30)}
 LEAST, MOST = 0.08, 0.95
+#: Weighted patterns of each document type, (weight, pattern), in the syntax and sense of Python's ``re``.
+SIGNATURES = {
+    "aadhaar": (
+        (0.4, r"\b\d{4}\s?\d{4}\s?\d{4}\b"),
+        (0.25, r"\bXXXX\s?XXXX\s?\d{4}\b"),
+        (0.15, r"(?i)\b(aadhaar|आधार|uid|uidai|unique\s*identification)\b"),
+        (0.1, r"(?i)\b(dob|date\s+of\s+birth|जन्म\s*तिथि)\b"),
+        (0.1, r"(?i)\b(address|पता|s/o|d/o|w/o|c/o)\b"),
+    ),
+    "pan": (
+        (0.45, r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"),
+        (0.2, r"(?i)\b(permanent\s*account|income\s*tax|pan\s*card|आयकर)\b"),
+        (0.15, r"(?i)\b(father|father\'s\s*name|पिता|s/o)\b"),
+        (0.1, r"(?i)\b(dob|date\s+of\s+birth)\b"),
+        (0.1, r"(?i)\b(government\s+of\s+india|भारत\s+सरकार|income\s+tax\s+department)\b"),
+    ),
+    "bank_statement": (
+        (0.2, r"(?i)\b(a/?c|account\s*no|acc\s*no)[\s:]+\d{8,18}\b"),
+        (0.25, r"(?i)\b(dr|cr|debit|credit|neft|rtgs|imps|upi|atm)\b"),
+        (0.2, r"[₹]\s*[\d,]+\.?\d{0,2}"),
+        (0.15, r"(?i)\b(balance|closing|opening|available)\b"),
+        (0.1, r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\s+[\d,.]+"),
+        (0.1, r"\b[A-Z]{4}0[A-Z0-9]{6}\b"),
+    ),
+    "invoice": (
+        (0.3, r"\b\d{2}[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b"),
+        (0.2, r"(?i)\b(invoice|bill|receipt|challan|tax\s*invoice|proforma)\b"),
+        (0.15, r"(?i)\b(gst|cgst|sgst|igst|hsn|sac)\b"),
+        (0.15, r"(?i)\b(total|grand\s+total|subtotal|amount\s+due|net\s+amount)\b"),
+        (0.1, r"(?i)\b(qty|quantity|unit|price|rate|discount)\b"),
+        (0.1, r"(?i)(tax|%)[\s:]+[\d,.]+"),
+    ),
+    "marksheet": (
+        (0.25, r"(?i)\b(marks|score|grade|gpa|cgpa|percentage|pass|fail)\b"),
+        (0.2, r"(?i)\b(subject|paper|theory|practical|total\s+marks)\b"),
+        (0.2, r"(?i)\b(result|declaration|exam|examination|university|board)\b"),
+        (0.15, r"(?i)\b(roll\s*(no|number)|enrollment|reg(istration)?\s*(no|number))\b"),
+        (0.1, r"\d{2,3}\s*/\s*\d{2,3}"),
+        (0.1, r"(?i)\b(first|second|third)\s+division\b"),
+    ),
+    "ration_card": (
+        (0.35, r"(?i)\b(ration|राशन|fair\s+price|ration\s+card|bpl|apl)\b"),
+        (0.2, r"(?i)\b(head\s+of\s+family|परिवार\s+के\s+मुखिया|family\s+member)\b"),
+        (0.15, r"(?i)\b(fair\s+price\s+shop|fps|ration\s+shop|dealer)\b"),
+        (0.15, r"(?i)\b(state\s+government|राज्य\s+सरकार|district|tehsil|taluka)\b"),
+        (0.15, r"(?i)\b(wheat|rice|sugar|kerosene|dal|गेहूं|चावल|चीनी)\b"),
+    ),
+    "government_doc": (
+        (0.25, r"(?i)\b(government\s+of|ministry|department\s+of|official|gazette|notification)\b"),
+        (0.15, r"(?i)\b(seal|stamp|office\s+of|under\s+secretary|section\s+officer)\b"),
+        (0.15, r"(?i)\b(order|circular|memorandum|letter|no\.)\s+\d"),
+        (0.2, r"(?i)\b(collector|magistrate|tehsildar|officer|director|commissioner)\b"),
+        (0.15, r"(?i)\b(ref\.?\s*no|file\s*no|dated|subject)\b"),
+        (0.1, r"(?i)\b(to\s+whomsoever|this\s+is\s+to\s+certify|certified\s+that)\b"),
+    ),
+    "passport": (
+        (0.25, r"(?i)\b(passport|travel\s+document|republic\s+of\s+india)\b"),
+        (0.35, r"[A-Z<]{9,}"),
+        (0.15, r"(?i)\b(nationality|ind|indian)\b"),
+        (0.1, r"(?i)\b(visa|entry|departure|immigration)\b"),
+        (0.15, r"(?i)\b(valid\s+until|expiry|expires|date\s+of\s+issue)\b"),
+    ),
+}
+#: Formats that raise the score of a type beside its patterns.
+FORMATS = {t: (PATTERNS[f], x) for t, (f, x) in BOOSTS.items()}
+#: Python's classes in those of Java: letters and numbers make words, marks don't.
+_JAVA = {r"\b": r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))", r"\d": r"\p{Nd}", r"\s": r"\t-\r\x1C-\x20\x85\p{Z}"}
+_LINE_END = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 #: Multiplication and permutation of the check digit scheme over five-sided rotations.
 _TIMES = [[(a + b) % 5 if a < 5 and b < 5 else 5 + (a + b) % 5 if a < 5 else 5 + (a - b) % 5 if b < 5 else (a - b) % 5 for b in range(10)] for a in range(10)]
 _TURN = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
@@ -57,6 +125,54 @@ def document_type(found: dict[str, Column]) -> Column:
     return F.when(best["score"] >= LEAST, best["type"]).otherwise("unknown")
 
 
+def _java(pattern: str) -> str:
+    """A pattern of Python's ``re`` that finds the same in Spark."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        step = 2 if two[0] == "\\" else 1
+        inside = {"[": True, "]": False}.get(two[:step], inside)
+        found = _JAVA.get(two, two[:step])
+        out.append(f"[{found}]" if two == r"\s" and not inside else found)
+        at += step
+    return "".join(out).replace("(?i)", "(?iu)")
+
+
+def signature_type(text: Column, table_density: Column | None = None, hint: Column | None = None) -> Column:
+    """The type of the highest score over all eight, the first of equals; unknown below the least score.
+
+    A score is the sum of the weights of the type's patterns that occur and of what formats, tables, scripts and the
+    hint add. ``table_density`` is the share of blocks that are tables.
+    """
+    scores = {}
+    for kind, patterns in SIGNATURES.items():
+        found = F.lit(0.0)
+        for weight, pattern in patterns:
+            found = found + F.when(text.rlike(_java(pattern)), weight).otherwise(0.0)
+        scores[kind] = F.least(F.lit(MOST), found / max(sum(x for x, _ in patterns), 1.0))
+
+    def add(kind: str, when: Column, points: float) -> None:
+        scores[kind] = F.when(when, F.least(F.lit(MOST), scores[kind] + points)).otherwise(scores[kind])
+
+    for kind, (pattern, points) in FORMATS.items():
+        add(kind, text.rlike(_java(pattern)), points)
+    lines = F.filter(F.split(text, _LINE_END), lambda x: x.rlike(_java(r"[^\s]")))
+    numbers = F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"[\p{Nd},.₹/\- ]")) / F.char_length(x) > 0.5)
+    numeric = F.round(F.size(numbers) / F.greatest(F.size(lines), F.lit(1)), 3) > 0.3
+    if table_density is not None:
+        tabular = F.coalesce((F.round(table_density, 3) > 0.4) & numeric, F.lit(False))
+        add("bank_statement", tabular, 0.10)
+        add("marksheet", tabular, 0.08)
+    devanagari = F.round(F.regexp_count(text, F.lit("[\u0900-\u097F]")) / F.greatest(F.char_length(text), F.lit(1)), 3) > 0.30
+    add("ration_card", devanagari, 0.08)
+    add("government_doc", devanagari, 0.05)
+    if hint is not None:
+        for kind in SIGNATURES:
+            add(kind, F.coalesce(hint == kind, F.lit(False)), 0.10)
+    best = F.array_max(F.array(*[F.struct(x.alias("score"), F.lit(-k).alias("place"), F.lit(t).alias("type")) for k, (t, x) in enumerate(scores.items())]))
+    return F.when(best["score"] >= LEAST, best["type"]).otherwise("unknown")
+
+
 def first_match(text: Column, *patterns: str) -> Column:
     """What the first pattern that occurs finds, null if none does."""
     return F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for p in patterns])

@@ -29,6 +29,7 @@ def _documents(s: SparkSession, d: str) -> DataFrame:
 query("x20_text_features", _FEATURES)(lambda s, d: _documents(s, d).select("doc_id", *[v.alias(k) for k, v in tx.features(F.col("text")).items()]))
 _KIND = "CASE WHEN has_mrz THEN 'passport' WHEN has_pan THEN 'pan' WHEN has_12digit THEN 'aadhaar' WHEN has_gstin THEN 'invoice' WHEN has_ifsc THEN 'bank_statement' ELSE 'unknown' END"
 query("x21_document_type", f"SELECT doc_id, {_KIND} AS doc_type FROM ({_FEATURES})")(lambda s, d: _documents(s, d).select("doc_id", tx.document_type(tx.features(F.col("text"))).alias("doc_type")))
+query("x21_signature_type")(lambda s, d: _documents(s, d).select("doc_id", tx.signature_type(F.col("text")).alias("doc_type")))
 query("x16_first_matches", f"SELECT doc_id, nullif(regexp_extract({_T}, '\\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\\b'), '') AS pan, nullif(regexp_extract({_T}, '\\b[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}\\b'), '') AS dob, coalesce(nullif(regexp_extract({_T}, '\\+[0-9]{{2}}[0-9]{{10}}'), ''), nullif(regexp_extract({_T}, '[0-9]{{10,}}'), '')) AS phone FROM documents")(
     lambda s, d: _documents(s, d).select("doc_id", tx.first_match(F.col("text"), r"\b[A-Z]{5}[0-9]{4}[A-Z]\b").alias("pan"), tx.first_match(F.col("text"), r"\b[0-9]{2}/[0-9]{2}/[0-9]{4}\b").alias("dob"), tx.first_match(F.col("text"), r"\+[0-9]{2}[0-9]{10}", "[0-9]{10,}").alias("phone")))
 query("x23_key_values", f"SELECT doc_id, trim(regexp_extract(line, '^([^:]*):(.*)$', 1)) AS key, trim(regexp_extract(line, '^([^:]*):(.*)$', 2)) AS val FROM (SELECT doc_id, unnest(string_split({_T}, chr(10))) AS line FROM documents) WHERE contains(line, ':')")(
