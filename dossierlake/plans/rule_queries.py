@@ -122,6 +122,7 @@ def compared(s: SparkSession, d: str) -> DataFrame:
 
 
 query("r1_validation", w(f"WITH {_PAIRS} SELECT id, name_score, name_status, dob_status, id_status, overall_status FROM o", "reviews", "users"))(lambda s, d: compared(s, d).select("id", "name_score", "name_status", "dob_status", "id_status", "overall_status"))
+query("r1_validation_fuzzy")(lambda s, d: rules.compare_fields(field_pairs(s, d)).select("id", "name_score", "name_status", "dob_status", "id_status", "overall_status"))
 query("j9_fuzzy_validation")(lambda s, d: rules.compare_fields(field_pairs(s, d)).select("id", "name_score", "name_status", "overall_status"))
 _STEPS = (("ocr_confidence < 0.40", "j", "ocr_below_minimum"), ("mi >= 2", "j", "fields_missing"), ("mi = 1", "w", "field_missing"), ("overall_status = 'OCR_FAILED'", "j", "ocr_failed"), ("id_status = 'MISMATCH'", "j", "id_mismatch"), ("id_status = 'MATCH'", "p", "id_match"),
   ("name_status = 'MISMATCH'", "j", "name_mismatch"), ("name_status = 'POSSIBLE_MATCH'", "w", "name_variation"), ("name_status = 'MATCH' AND name_score < 95", "w", "name_below_approval"), ("name_status = 'MATCH' AND name_score >= 95", "p", "name_match"),
@@ -138,7 +139,8 @@ _EVAL = f"""{_PAIRS}, e0 AS (SELECT *, (coalesce(found_name, '') = '')::INT + (c
   e1 AS (SELECT *, {_P[0]} AS p0 FROM e0), e2 AS (SELECT *, {_P[1]} AS p1 FROM e1), e3 AS (SELECT *, {_P[2]} AS p2 FROM e2), e4 AS (SELECT *, {_P[3]} AS p3 FROM e3), e5 AS (SELECT *, {_P[4]} AS p4 FROM e4), e6 AS (SELECT *, {_P[5]} AS p5, {_codes('p')} AS ok, {_codes('w')} AS rv, {_codes('j')} AS rj FROM e5)
   SELECT id, CASE WHEN len(rj) > 0 THEN 'AUTO_REJECTED' WHEN len(rv) > 0 THEN 'REVIEW_REQUIRED' ELSE 'AUTO_APPROVED' END AS decision, CASE WHEN len(rj) = 0 AND len(rv) = 0 THEN 3 ELSE p5 END AS priority, array_to_string(ok || rv || rj, ',') AS reasons FROM e6"""
 query("r2_approval", w(f"WITH {_EVAL}", "reviews", "users"))(lambda s, d: rules.evaluate(compared(s, d)).select("id", "decision", "priority", F.concat_ws(",", "reasons").alias("reasons")))
-query("r2_approval_intended")(lambda s, d: rules.evaluate(compared(s, d), intended=True).groupBy("decision", "priority").agg(F.count(F.lit(1)).alias("n")))
+query("r2_approval_fuzzy")(lambda s, d: rules.evaluate(rules.compare_fields(field_pairs(s, d))).select("id", "decision", "priority", F.concat_ws(",", "reasons").alias("reasons")))
+query("r2_approval_intended")(lambda s, d: rules.evaluate(rules.compare_fields(field_pairs(s, d)), intended=True).groupBy("decision", "priority").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("r3_comparison", w(f"""WITH {_PAIRS}, z AS (SELECT id, 'name' AS field, CASE WHEN name_status = 'MATCH' THEN 'exact_match' WHEN found_name IS NULL THEN 'missing_value' WHEN name_score >= 50 THEN 'significant_name_difference' ELSE 'completely_different_name' END AS difference FROM o
@@ -146,7 +148,13 @@ query("r2_approval_intended")(lambda s, d: rules.evaluate(compared(s, d), intend
   UNION ALL SELECT id, 'id', CASE WHEN id_status = 'MATCH' THEN 'exact_match' WHEN found_id IS NULL THEN 'missing_value' ELSE 'id_number_mismatch' END FROM o)
   SELECT id, field, difference, CASE WHEN difference = 'exact_match' THEN 'no_action' WHEN difference = 'missing_value' THEN 're_upload_document' WHEN difference IN ('id_number_mismatch', 'completely_different_name', 'date_mismatch') THEN 'reject_document' ELSE 'manual_review' END AS action FROM z""", "reviews", "users"))
 def comparison(s: SparkSession, d: str) -> DataFrame:
-    x = compared(s, d)
+    return _differences(compared(s, d))
+
+
+query("r3_comparison_fuzzy")(lambda s, d: _differences(rules.compare_fields(field_pairs(s, d))))
+
+
+def _differences(x: DataFrame) -> DataFrame:
     one = [F.struct(F.lit(f).alias("field"), (diff := rules.difference_type(f, F.col(f"stored_{f}"), F.col(f"found_{f}"), F.col(f"{f}_status"), F.col(f"{f}_score"))).alias("difference"), rules.recommended_action(F.col(f"{f}_status"), diff).alias("action")) for f in ("name", "dob", "id")]
     return x.select("id", F.inline(F.array(*one)))
 

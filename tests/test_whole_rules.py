@@ -6,7 +6,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from dossierlake.functions import names as nm
 from dossierlake.functions import text as tx
+from dossierlake.plans import rule_queries as rq
+from dossierlake.plans.registry import QUERIES
 
 
 def plain_type(text: str) -> str:
@@ -46,3 +49,22 @@ def test_all_eight_document_types(spark, tiny):
     assert all(r["t"] == plain_type(r["text"]) for r in docs.select("text", tx.signature_type(F.col("text")).alias("t")).collect())
     hinted = rows.select(tx.signature_type(F.lit("12.50\n13.00"), F.lit(0.5)).alias("a"), tx.signature_type(F.lit("x"), hint=F.lit("invoice")).alias("b")).first()
     assert tuple(hinted) == ("bank_statement", "invoice")
+
+
+def test_misread_names_are_scored_in_approvals(spark, tiny):
+    pairs = {r["id"]: r for r in rq.field_pairs(spark, tiny).select("id", nm.normal_name(F.col("stored_name")).alias("a"), nm.normal_name(F.col("found_name")).alias("b")).collect()}
+    scores = {r["id"]: r for r in QUERIES["r1_validation_fuzzy"](spark, tiny).collect()}
+    reasons = {r["id"]: r["reasons"].split(",") for r in QUERIES["r2_approval_fuzzy"](spark, tiny).collect()}
+    names = {r["id"]: r["difference"] for r in QUERIES["r3_comparison_fuzzy"](spark, tiny).where("field = 'name'").collect()}
+    assert scores.keys() == reasons.keys() == names.keys() == pairs.keys()
+    misread = 0
+    for k, p in pairs.items():
+        score = nm.fuzzy_score(p["a"] or "", p["b"] or "")
+        if score < nm.MATCH and p["b"]:
+            continue  # these may be raised by their sound
+        assert abs(scores[k]["name_score"] - score) <= 0.051
+        assert (scores[k]["name_status"] == "MATCH") == ("name_mismatch" not in reasons[k]) == (names[k] == "exact_match") == (score >= nm.MATCH)
+        misread += p["a"] != p["b"]
+    assert misread > 0
+    few = QUERIES["r2_approval_intended"](spark, tiny).agg(F.sum("n")).first()[0]
+    assert few == len(pairs)
