@@ -38,7 +38,7 @@ def near_images(hashes: DataFrame, threshold: int = NEAR) -> DataFrame:
     """Pairs of documents of different users within ``threshold`` bits in any of the three hashes; similarity is that of phash.
 
     Hashes within t bits agree on one of t + 1 bands, so bands are joined, never all pairs; a document whose three
-    hashes and user repeat joins once for all its copies.
+    hashes and user repeat joins once for all its copies, by its least id; ``image_members`` has the others.
     """
     names = ("phash", "ahash", "dhash")
     unique = hashes.groupBy("user_id", *names).agg(F.min("document_id").alias("document_id"), F.count(F.lit(1)).alias("copies"))
@@ -61,6 +61,15 @@ def near_images(hashes: DataFrame, threshold: int = NEAR) -> DataFrame:
     return found.withColumn("match_class", match_class(F.col("distance")))
 
 
+def image_members(hashes: DataFrame) -> DataFrame:
+    """Each document, the one that stands for it in ``near_images``, and how many have its user and three hashes."""
+    key = ("user_id", "phash", "ahash", "dhash")
+    unique = hashes.groupBy(*key).agg(F.min("document_id").alias("representative"), F.count(F.lit(1)).alias("copies"))
+    u = unique.select(*[F.col(c).alias(f"{c}_u") for c in key], "representative", "copies")
+    same = reduce(lambda x, y: x & y, [hashes[c].eqNullSafe(u[f"{c}_u"]) for c in key])
+    return hashes.join(u, same).select("document_id", "representative", "copies")
+
+
 def duplicate_score(matches: DataFrame, key: str) -> DataFrame:
     """70 for a shared number, 60, 40 and 20 by class of image match, 100 at most."""
     points = F.when(F.col("match_type").isin("AADHAAR_NUMBER", "PAN_NUMBER"), 70).when(F.col("match_class") == "IDENTICAL", 60).when(F.col("match_class") == "NEAR_DUPLICATE", 40).when(F.col("match_class") == "SIMILAR", 20).otherwise(0)

@@ -155,3 +155,4 @@ query("j7_near_images", w(f"""WITH q AS (SELECT user_id, phash, ahash, dhash, mi
   p AS (SELECT a.document_id AS doc_a, b.document_id AS doc_b, {_bits('phash')} AS pd, {_bits('ahash')} AS ad, {_bits('dhash')} AS dd FROM q a JOIN q b ON a.document_id < b.document_id AND a.user_id <> b.user_id),
   r AS (SELECT *, least(pd, ad, dd) AS distance FROM p)
   SELECT doc_a, doc_b, distance, greatest(0, floor((1 - pd / 64.0::DOUBLE) * 100))::INT AS similarity, CASE WHEN distance <= 3 THEN 'IDENTICAL' WHEN distance <= 10 THEN 'NEAR_DUPLICATE' ELSE 'SIMILAR' END AS match_class FROM r WHERE distance <= 10""", "hashes"))(lambda s, d: dup.near_images(lt.hashes(s, d)))
+query("j7_image_members", w("SELECT document_id, min(document_id) OVER k AS representative, count(*) OVER k AS copies FROM hashes WINDOW k AS (PARTITION BY user_id, phash, ahash, dhash)", "hashes"))(lambda s, d: dup.image_members(lt.hashes(s, d)))

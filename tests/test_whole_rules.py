@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import names as nm
 from dossierlake.functions import text as tx
+from dossierlake.operators import duplicates as dup
 from dossierlake.plans import rule_queries as rq
 from dossierlake.plans.registry import QUERIES
 
@@ -68,3 +69,14 @@ def test_misread_names_are_scored_in_approvals(spark, tiny):
     assert misread > 0
     few = QUERIES["r2_approval_intended"](spark, tiny).agg(F.sum("n")).first()[0]
     assert few == len(pairs)
+
+
+def test_members_and_pairs_give_all_near_images(spark):
+    near, far = "00000000000000ff", "ffff0000ffff0000"
+    rows = [(1, 1, near), (2, 1, near), (3, 1, near), (4, 2, near), (5, 2, near), (6, 3, far), (7, None, far), (8, None, far)]
+    hashes = spark.createDataFrame([(d, u, h, h, h) for d, u, h in rows], "document_id long, user_id long, phash string, ahash string, dhash string")
+    stands = {r["document_id"]: (r["representative"], r["copies"]) for r in dup.image_members(hashes).collect()}
+    assert stands == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (4, 2), 5: (4, 2), 6: (6, 1), 7: (7, 2), 8: (7, 2)}
+    pairs = {(r["doc_a"], r["doc_b"]) for r in dup.near_images(hashes).collect()}
+    found = {(a, b) for a in stands for b in stands if a < b and tuple(sorted((stands[a][0], stands[b][0]))) in pairs}
+    assert found == {(a, b) for a, u, g in rows for b, v, h in rows if a < b and u and v and u != v and g == h}
