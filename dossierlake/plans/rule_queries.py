@@ -254,6 +254,45 @@ for _name, _text, _where in (
     ("o7_toppers", "toppers", "true"),
 ):
     query(_name, w(f"{_PROF} SELECT id, full_name, best_pct, best_cgpa FROM pr WHERE {_where}", "users", "reviews"))(lambda s, d, t=_text: search.search(profiles(s, d), t, O_AT).select("id", "full_name", "best_pct", "best_cgpa"))
+
+
+# The reference's whole ladder, over profiles with the kinds of academic documents and the names on two documents
+def ladder_profiles(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    parts = [F.when(k % n < r, F.lit(t)) for t, n, r in (("aadhaar", 4, 3), ("pan", 5, 3), ("tenth", 2, 1), ("twelfth", 3, 1), ("degree", 7, 2), ("diploma", 11, 1))]
+    names = F.when(k % 3 > 0, F.upper("full_name")), F.when(k % 4 > 0, F.when(k % 5 == 0, F.concat("full_name", F.lit("x"))).otherwise(F.col("full_name")))
+    return profiles(s, d).withColumn("doc_types", F.array_compact(F.array(*parts))).withColumns(dict(zip(("aadhaar_name", "pan_name"), names, strict=True)))
+
+
+_LADDER = f"""{_PROF}, lp AS (SELECT id, full_name, dob, best_pct, best_cgpa, id % 4 < 3 AS aadhaar, id % 5 < 3 AS pan, id % 2 < 1 AS t, id % 3 < 1 AS h, id % 7 < 2 OR id % 11 < 1 AS g,
+  CASE WHEN id % 3 > 0 THEN lower(full_name) END AS an, CASE WHEN id % 4 > 0 THEN lower(CASE WHEN id % 5 = 0 THEN full_name || 'x' ELSE full_name END) END AS pn FROM pr)"""
+for _name, _text, _where in (
+    ("aadhaar", "no adhar", "NOT aadhaar"),
+    ("pan", "missing PAN", "NOT pan"),
+    ("mismatch", "name mismatch", "an <> pn"),
+    ("older", "age > 40", f"{_AGE} > 40"),
+    ("younger", "age < 40", f"{_AGE} < 40"),
+    ("75", "above 75", "best_pct >= 75"),
+    ("80", "above 80", "best_pct >= 80"),
+    ("first", "first class", "best_pct >= 60 AND best_pct < 75"),
+    ("60", "low marks", "best_pct < 60"),
+    ("40", "failed", "best_pct < 40"),
+    ("toppers", "toppers", "coalesce(best_pct, 0) <> 0 OR coalesce(best_cgpa, 0) <> 0"),
+    ("cgpa_8", "cgpa above 8", "best_cgpa >= 8"),
+    ("cgpa_7", "cgpa above 7", "best_cgpa >= 7"),
+    ("cgpa_6", "low cgpa", "best_cgpa < 6"),
+    ("cgpa_best", "highest cgpa", "best_cgpa <> 0"),
+    ("no_academic", "no marksheet", "NOT (t OR h OR g)"),
+    ("some_academic", "with academic", "t OR h OR g"),
+    ("all_academic", "all academic", "t AND h AND g"),
+    ("only_tenth", "only 10th", "t AND NOT h AND NOT g"),
+    ("only_twelfth", "only 12th", "h AND NOT t AND NOT g"),
+    ("degree", "bachelor", "g"),
+    ("tenth", "ssc", "t"),
+    ("twelfth", "hsc", "h"),
+    ("name", "name7", "contains(lower(full_name), 'name7') OR contains(id::VARCHAR, 'name7')"),
+):
+    query(f"f13_ladder_{_name}", w(f"{_LADDER} SELECT id, full_name, best_pct, best_cgpa FROM lp WHERE {_where}", "users", "reviews"))(lambda s, d, t=_text: search.ladder(ladder_profiles(s, d), t, O_AT).select("id", "full_name", "best_pct", "best_cgpa"))
 query("f14_ages", w(f"SELECT id, {_AGE}::INT AS age FROM users", "users"))(lambda s, d: lt.users(s, d).select("id", search.age(F.col("dob"), O_AT).alias("age")))
 
 

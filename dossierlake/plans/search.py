@@ -71,6 +71,67 @@ def predicate(text: str, as_of: str) -> Column:
     return F.contains(F.lower("full_name"), F.lit(q))
 
 
+def _branches() -> list[_Rule]:
+    """The reference's branches in its order; ages stand third and are read by ``ladder``."""
+    pct, cgpa = F.col("best_pct"), F.col("best_cgpa")
+    types = F.coalesce("doc_types", F.array().cast("array<string>"))
+    some = F.size(F.array_except(types, F.array(F.lit("aadhaar"), F.lit("pan")))) > 0
+    tenth, twelfth, degree = F.array_contains(types, "tenth"), F.array_contains(types, "twelfth"), F.arrays_overlap(types, F.array(F.lit("degree"), F.lit("diploma")))
+    names = [F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in ("aadhaar_name", "pan_name")]
+    return [
+        (("missing aadhaar", "missing adhar", "no aadhaar", "no adhar"), lambda: ~F.array_contains(types, "aadhaar")),
+        (("missing pan", "no pan"), lambda: ~F.array_contains(types, "pan")),
+        (("mismatch",), lambda: (names[0] != "") & (names[1] != "") & (names[0] != names[1])),
+        (("distinction", "above 75", "> 75", "75%"), lambda: pct >= 75),
+        (("above 80", "> 80", "80%"), lambda: pct >= 80),
+        (("first class", "first division"), lambda: (pct >= 60) & (pct < 75)),
+        (("below 60", "< 60", "low marks", "low score"), lambda: pct < 60),
+        (("failed", "fail", "below 40", "< 40"), lambda: pct < 40),
+        (("toppers", "top scorer", "top students", "highest marks", "best score"), lambda: (F.coalesce(pct, F.lit(0.0)) != 0) | (F.coalesce(cgpa, F.lit(0.0)) != 0)),
+        (("cgpa > 8", "cgpa>8", "cgpa above 8"), lambda: cgpa >= 8),
+        (("cgpa > 7", "cgpa>7", "cgpa above 7"), lambda: cgpa >= 7),
+        (("low cgpa", "cgpa < 6", "weak cgpa"), lambda: cgpa < 6),
+        (("highest cgpa", "best cgpa", "top cgpa"), lambda: cgpa != 0),
+        (("missing academic", "no marksheet", "no academic"), lambda: ~some),
+        (("has academic", "with academic", "academic docs"), lambda: some),
+        (("all academic", "complete academic", "full academic"), lambda: tenth & twelfth & degree),
+        (("only 10th", "only tenth", "ssc only"), lambda: tenth & ~twelfth & ~degree),
+        (("only 12th", "only twelfth", "hsc only"), lambda: twelfth & ~tenth & ~degree),
+        (("degree", "graduate", "graduation", "bachelor"), lambda: degree),
+        (("10th", "tenth", "ssc"), lambda: tenth),
+        (("12th", "twelfth", "hsc"), lambda: twelfth),
+    ]
+
+
+#: Words whose users come ordered by their marks.
+RANKED = ("toppers", "top scorer", "highest marks", "highest cgpa", "best cgpa", "top students", "best score")
+
+
+def ladder(profiles: DataFrame, text: str, as_of: str) -> DataFrame:
+    """Users that a query asks for by all branches of the reference and its conditions; anything else is looked for in names and ids.
+
+    ``profiles`` has id, full_name, dob, aadhaar_name, pan_name, doc_types (with tenth, twelfth, degree or diploma),
+    best_pct and best_cgpa.
+    """
+    q = text.lower().strip()
+    condition = F.contains(F.lower(F.coalesce("full_name", F.lit(""))), F.lit(q)) | F.contains(F.col("id").cast("string"), F.lit(q))
+    m = re.search(r"age\s*([<>])\s*(\d+)", q)
+    if over := re.search(r"age\s*>\s*(\d+)", q):
+        m = over
+    for k, (words, branch) in enumerate(_branches()):
+        if k == 3 and m:
+            years = age(F.col("dob"), as_of)
+            condition = years > int(m[m.lastindex]) if ">" in m[0] else years < int(m[m.lastindex])
+            break
+        if any(x in q for x in words):
+            condition = branch()
+            break
+    found = profiles.where(F.coalesce(condition, F.lit(False)))
+    if any(x in q for x in RANKED):
+        return found.orderBy(F.desc(F.coalesce("best_pct", F.lit(0.0)) + 10 * F.coalesce("best_cgpa", F.lit(0.0))), "id")
+    return found
+
+
 def search(profiles: DataFrame, text: str, as_of: str) -> DataFrame:
     """Users that a query asks for. ``profiles`` has full_name, dob, doc_types, review_status, confidence, best_pct and best_cgpa; toppers come ordered by percentage and ten times the average."""
     found = profiles.where(F.coalesce(predicate(text, as_of), F.lit(False)))

@@ -10,6 +10,7 @@ from dossierlake.functions import names as nm
 from dossierlake.functions import text as tx
 from dossierlake.operators import duplicates as dup
 from dossierlake.plans import rule_queries as rq
+from dossierlake.plans import search
 from dossierlake.plans.registry import QUERIES
 
 
@@ -80,3 +81,18 @@ def test_members_and_pairs_give_all_near_images(spark):
     pairs = {(r["doc_a"], r["doc_b"]) for r in dup.near_images(hashes).collect()}
     found = {(a, b) for a in stands for b in stands if a < b and tuple(sorted((stands[a][0], stands[b][0]))) in pairs}
     assert found == {(a, b) for a, u, g in rows for b, v, h in rows if a < b and u and v and u != v and g == h}
+
+
+def test_all_branches_of_the_search(spark):
+    rows = [
+        (1, "Asha Rao", "01/02/1980", "Asha Rao", "asha rao ", ["aadhaar", "pan", "tenth", "twelfth", "degree"], 75.0, None),
+        (2, "Ravi Das", "01/12/2000", "Ravi", "Ravi Das", ["tenth"], 60.0, 7.0),
+        (3, "Mina Sen", None, None, "Mina", ["twelfth"], None, 8.0),
+        (12, "Om Pal", "bad", None, None, None, None, None),
+        (5, "Zed Ali", "01/01/1990", None, None, ["pan", "diploma"], 39.0, 5.0),
+    ]
+    people = spark.createDataFrame(rows, "id long, full_name string, dob string, aadhaar_name string, pan_name string, doc_types array<string>, best_pct double, best_cgpa double")
+    want = {"no adhar": {2, 3, 12, 5}, "name mismatch": {2}, "age > 30": {1, 5}, "age<30": {2}, "above 75": {1}, "above 80": set(), "first class": {2}, "below 60": {5}, "fail": {5}, "cgpa > 7": {2, 3}, "low cgpa": {5}, "best cgpa": {2, 3, 5}, "no academic": {12}, "all academic": {1}, "only 10th": {2}, "only 12th": {3}, "degree": {1, 5}, "12th": {1, 3}, "12": {12}, "rao": {1}}
+    for q, ids in want.items():
+        assert {r["id"] for r in search.ladder(people, q, "2024-06-01 00:00:00").collect()} == ids, q
+    assert [r["id"] for r in search.ladder(people, "toppers", "2024-06-01 00:00:00").collect()] == [2, 5, 3, 1]
