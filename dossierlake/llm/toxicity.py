@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from dossierlake.llm._bytes import LOWER, NOT_ALNUM, U64, Words, mix, text_slices
 
-LENGTH, STRIDE = 32, 24
+LENGTH, STRIDE = 32, 16
 EMBED, HIDDEN, TABLE = 12, 8, 1 << 14
 GRAMS = (3, 4, 5)
 #: Bytes of the longest word that is read as one; those of a longer word's pieces, and from one's beginning to the next.

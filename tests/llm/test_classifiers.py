@@ -208,3 +208,11 @@ def test_pieces_hold_all_bytes_of_long_words():
     for k, p in enumerate(parts):
         own = v.grams[v.first[v.place[k]] : v.first[v.place[k] + 1]]
         assert (own == p.grams).all() and len(own) == sum(max(w.end[k] - w.start[k] + 3 - n, 0) for n in toxicity.GRAMS)
+
+
+def test_phrases_of_half_a_window_are_seen_whole():
+    first = np.array([0, 200, 233])
+    _, start, size = toxicity.windows(first)
+    for a, b in zip(first, first[1:], strict=False):
+        for at in range(a, b - 16):
+            assert ((start <= at) & (start + size >= at + 17)).any(), at
