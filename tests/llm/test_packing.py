@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from itertools import pairwise
 
 import numpy as np
 from hypothesis import given, settings
@@ -51,25 +52,51 @@ def test_strange_rows(spark, strange, empty):
     assert packing.pack(empty).collect() == []
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60))
-def test_ids_equal_the_library(text):
-    known = packing._Encoded(NAME)
-    words = text.encode("utf-8", "replace").split()
-    known.learn(words)
-    assert np.frombuffer(known.ids(words), "<u4").tolist() == library(text.encode("utf-8", "replace").decode())[:-1]
+def encoded(known, *texts):
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    ids, first = known.texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [ids[a:b].tolist() for a, b in pairwise(first.tolist())]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("abZÉé×÷ßÿ 1.,'<|\n\t%"), st.characters()), max_size=60), max_size=4))
+def test_ids_equal_the_library(texts):
+    texts = [t.encode("utf-8", "replace").decode() for t in texts]
+    assert encoded(packing._Encoded(NAME), *texts) == [library(t)[:-1] for t in texts]
 
 
 def test_special_strings_and_contractions():
-    for text in ("a<|endoftext|>b", "it's we'll DON'T 'sam", "x y ź Å", "3.14 %%% ###", "ΑΣ ΣΑΣ", "İx"):
-        known = packing._Encoded(NAME)
-        known.learn(text.encode().split())
-        assert np.frombuffer(known.ids(text.encode().split()), "<u4").tolist() == library(text)[:-1]
+    known = packing._Encoded(NAME)
+    for text in ("a<|endoftext|>b", "it's we'll DON'T 'sam", "x y ź Å", "3.14 %%% ###", "ΑΣ ΣΑΣ", "İx", "ÀÉ×É÷", "e\u0301 é", "a" * 500 + "!" * 90, "12ab34.-5"):
+        assert encoded(known, text) == [library(text)[:-1]]
+        assert encoded(known, text, "", text) == [library(text)[:-1], [], library(text)[:-1]]  # now remembered
+
+
+def test_what_is_forgotten_and_hashes_that_meet(monkeypatch, corpus):
+    """Ids don't depend on what is remembered, how much is encoded at once, or on hashes that meet."""
+    texts = [t for _, t in corpus[:30]]
+    want = [library(t)[:-1] for t in texts]
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing, "AT_ONCE", 64)
+    known = packing._Encoded(NAME)
+    assert encoded(known, *texts) == want == encoded(known, *texts) and len(known.hash) <= 64 + 50
+    spans = packing.hash_spans
+    monkeypatch.setattr(packing, "hash_spans", lambda *a: spans(*a) % np.uint64(5))
+    known = packing._Encoded(NAME)
+    assert encoded(known, *texts) == want == encoded(known, *texts)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "word " * 300_000), (2, "x" * 200_000), (3, None)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, out, 4096)
 
 
-def test_a_long_text_is_encoded_in_parts():
-    raw = ("word " * 1000).encode()
-    assert [w for part in packing._parts(raw, 64) for w in part] == raw.split()
+def test_query(spark, tiny):
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
+    out = packing.op4_packing(spark, tiny).collect()
+    bins = check(rows, out, 4096)
+    assert bins <= 1.02 * sum(r["length"] for r in out) / 4096 + 2
 
 
 def brute_sum_of_squares(lengths, capacity):
