@@ -14,13 +14,13 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
-#: Words on each side of an entity that count as near it, and the characters in which they are looked for.
-NEAR_WORDS, NEAR_CHARS = 10, 400
+#: Words on each side of an entity that count as near it.
+NEAR_WORDS = 10
 #: Bits of the filter through which words go before they are joined with the disclosed terms.
 SIEVE = 1 << 26
 
@@ -93,23 +93,16 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int],
     ``times`` counts the places of the entity that have the term near. Spans are those of terms that an entity cuts off from a longer word; all others are found by ``occurrences``.
     """
     names, around = [], []
-    ends, starts = sorted(e for _, _, e in spans), [s for s, _, _ in spans]
+    words = [m.span() for m in WORD.finditer(text)]
+    opens, closes = [a for a, _ in words], [b for _, b in words]
+    starts, furthest = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max, initial=0))
     for start, kind, end in spans:
         value = text[start:end]
         names.append(f"{KINDS[kind]}:{_digits(value) if kind > 1 else value.lower()}")
-        # A word across the edge counts whole, up to another entity.
-        lo, hi = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-        k = bisect_right(ends, lo)
-        least = ends[k - 1] if k else 0
-        while lo > least and WORD.match(text, lo, lo + 1) and WORD.match(text, lo - 1, lo):
-            lo -= 1
-        k = bisect_left(starts, hi)
-        most = starts[k] if k < len(starts) else len(text)
-        while hi < most and WORD.match(text, hi - 1, hi) and WORD.match(text, hi, hi + 1):
-            hi += 1
-        words = [m.span() for m in WORD.finditer(text, lo, start)][-NEAR_WORDS:]
-        words += [m.span() for m in islice(WORD.finditer(text, end, hi), NEAR_WORDS)]
-        around.append([(a, b) for a, b in words if not any(s < b and a < e for s, _, e in spans)])
+        before, after = bisect_left(opens, start), bisect_right(closes, end)  # words that begin before and end after
+        near = [(a, min(b, start)) for a, b in words[max(0, before - NEAR_WORDS) : before]]
+        near += [(max(a, end), b) for a, b in words[after : after + NEAR_WORDS]]
+        around.append([(a, b) for a, b in near if furthest[bisect_left(starts, b)] <= a])  # no part of a span
     entities = _hash_texts(names).view(np.int64).tolist()
     flat = [text[a:b] for words in around for a, b in words]
     hashes = _hash_texts(flat) if flat else np.zeros(0, U64)
@@ -270,8 +263,12 @@ def _listed(spans: str):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _number(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == F.lit(kind))).cast("long")
+
+
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of ``documents``."""
     found = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [_number("base", k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
