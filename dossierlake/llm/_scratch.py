@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,20 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_open: list[list[Scratch]] = []
+
+
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables of all operators that run inside, once what is written inside no longer reads them."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for scratch in _open.pop():
+            scratch.discard()
+
+
 class Scratch:
     """Names and writes the tables of one run of an operator.
 
@@ -30,6 +46,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{operator}-{uuid.uuid4().hex}"
+        if _open:
+            _open[-1].append(self)
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -39,8 +57,19 @@ class Scratch:
         df.write.option("compression", "zstd").mode("overwrite").parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
+    def _folder(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def discard(self, *names: str) -> None:
         """Removes the named tables, or all of them."""
         for path in [self.at(n) for n in names] or [self.path]:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            at, system = self._folder(path)
+            system.delete(at, True)
+
+    def keep_only(self, *names: str) -> None:
+        """Removes all tables but the named, which a result still reads."""
+        at, system = self._folder(self.path)
+        for entry in system.listStatus(at):
+            if entry.getPath().getName() not in names:
+                system.delete(entry.getPath(), True)

@@ -4,7 +4,9 @@ Every row arrives as (digest, id, place). A stream folds arrivals into state kep
 without expiry: the stable identifier of the row that stays, its place among the arrivals, and the number of rows.
 Rows of one digest are folded in each task before the shuffle, so a group of copies costs a task one row, however
 large. Digest and identifier locate a row's content in the source. Arrivals whose digest is met again are hits:
-their full bytes are fetched by that locator and compared with those of the row that stays. If any differ, the whole run is repeated with the next, wider digest.
+their full bytes are fetched by that locator and compared with those of the row that stays, of which a group has one
+copy for some hundred hits, so its comparisons are spread over tasks. If any differ, the whole run is repeated with
+the next, wider digest.
 """
 
 from __future__ import annotations
@@ -14,11 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossierlake.llm._columns import join_groups, spare
 from dossierlake.llm._scratch import Scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How the state is kept. Stores are many and small, so none reserves disk ahead.
 STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+#: Hits of a group that are compared with one copy of the text that stays.
+HITS = 256
 
 
 def _digest(name: str, text: Column) -> Column:
@@ -46,59 +51,69 @@ def _fold(scratch: Scratch, arrivals: DataFrame, name: str, files_per_batch: int
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     updates = spark.read.schema(state.schema).parquet(scratch.at(f"{name}-updates"))
     # The state of a digest only grows, so its last update has the largest of each.
-    return scratch.keep(updates.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("size").alias("size")), f"{name}-groups")
+    groups = scratch.keep(updates.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("size").alias("size")), f"{name}-groups")
+    scratch.discard(f"{name}-updates", f"{name}-state")
+    return groups
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", digests: Sequence[str] = ("sha256", "sha512"), files_per_batch: int = 64, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of ``docs``: id_col, digest, keep_id, group_size, kept.
+    """One row per row of ``docs``: id_col, digest, keep_id, group_size, kept, and the text's sha256 whichever digest told texts apart.
 
     Texts are equal when their bytes are; null counts as empty. Of equal texts the row with the largest id stays;
     a null id is smaller than any other, and of rows that share id and text one stays. Empty tables give empty
     tables; other columns are not read. Every text is hashed and, in groups, compared whole.
     """
     rows, _ = _resolve(docs, id_col, text, digests, files_per_batch, scratch or Scratch(docs.sparkSession, "exact"))
-    return rows.select(F.col("id").alias(id_col), "digest", F.col("keep.id").alias("keep_id"), F.col("size").alias("group_size"), "kept")
+    return rows.select(F.col("id").alias(id_col), "digest", F.col("keep.id").alias("keep_id"), F.col("size").alias("group_size"), "kept", "sha256")
 
 
 def _resolve(docs: DataFrame, id_col: str, text: str, digests: Sequence[str], files_per_batch: int, scratch: Scratch) -> tuple[DataFrame, str]:
     """The arrivals with their groups, and the digest that told all texts apart."""
     body = F.coalesce(docs[text], F.lit(""))
     for name in digests:
-        arrived = docs.select(docs[id_col].isNotNull().alias("known"), docs[id_col].alias("id"), _digest(name, body).alias("digest"), F.monotonically_increasing_id().alias("place"))
-        arrivals = scratch.keep(arrived, name)
+        also = [] if name == "sha256" else [_digest("sha256", body).alias("sha256")]
+        arrivals = scratch.keep(docs.select(docs[id_col].isNotNull().alias("known"), docs[id_col].alias("id"), _digest(name, body).alias("digest"), F.monotonically_increasing_id().alias("place"), *also), name)
         groups = _fold(scratch, arrivals, name, files_per_batch)
-        rows = arrivals.join(groups, "digest")
+        rows = join_groups(arrivals, groups, "digest", arrivals.count())
+        if name == "sha256":
+            rows = rows.withColumn("sha256", F.col("digest"))
         if _bytes_agree(scratch, docs.select(docs[id_col].alias("id"), body.alias("body"), _digest(name, body).alias("digest")), rows, name):
             return rows.withColumn("kept", F.col("place") == F.col("keep.place")), name
+        scratch.discard(name, f"{name}-groups")
     raise ValueError("different texts share every digest; name a wider one")
 
 
 def _bytes_agree(scratch: Scratch, texts: DataFrame, rows: DataFrame, name: str) -> bool:
     """Whether every hit has the bytes of the row that stays. Hits are found by digest and id, which no group makes large."""
-    hits = rows.where(F.col("size") > 1).select("digest", "id", F.col("keep.id").alias("keep_id")).distinct()
-    found = texts.alias("t").join(hits.alias("h"), (F.col("t.digest") == F.col("h.digest")) & F.col("t.id").eqNullSafe(F.col("h.id"))).select("t.digest", "t.id", "body", "keep_id")
+    hits = rows.where(F.col("size") > 1).select("digest", "id", F.col("keep.id").alias("keep_id"), "size").distinct()
+    found = texts.alias("t").join(hits.alias("h"), (F.col("t.digest") == F.col("h.digest")) & F.col("t.id").eqNullSafe(F.col("h.id"))).select("t.digest", "t.id", "body", "keep_id", "size")
     found = scratch.keep(found, f"{name}-hits")
-    kept = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("body").alias("kept_body"))
-    agree = found.join(kept, "digest").where(F.col("body") != F.col("kept_body")).isEmpty()
+    # Of rows that share the id that stays, any one serves: the others are compared with it.
+    kept = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.any_value("body").alias("kept_body"), F.max("size").alias("size"))
+    copies = F.ceil(F.col("size") / HITS)
+    kept = kept.select("digest", "kept_body", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))).alias("copy"))
+    dealt = found.withColumn("copy", F.pmod(F.xxhash64(F.monotonically_increasing_id()), copies).cast("int"))
+    agree = dealt.join(kept, ["digest", "copy"]).where(F.col("body") != F.col("kept_body")).isEmpty()
     scratch.discard(f"{name}-hits")
     return agree
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; see ``exact_groups``."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; see ``exact_groups``."""
     rows, name = _resolve(docs, id_col, text, ("sha256", "sha512"), 64, scratch or Scratch(docs.sparkSession, "exact"))
-    kept = rows.where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
-    keyed = docs.withColumn("_own", _digest(name, F.coalesce(docs[text], F.lit(""))))
-    found = keyed.join(kept, (F.col("_own") == F.col("_digest")) & keyed[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    own, known, digest, number = spare(docs, "own_digest", "kept_id", "kept_digest", "number")
+    kept = rows.where("kept").select(F.col("id").alias(known), F.col("digest").alias(digest))
+    keyed = docs.withColumn(own, _digest(name, F.coalesce(docs[text], F.lit(""))))
+    found = keyed.join(kept, (F.col(own) == F.col(digest)) & F.col(id_col).eqNullSafe(F.col(known)), "left_semi")
     # Rows that share id and text are told apart by nothing but their place, so any one of them stays.
-    first = Window.partitionBy("_own", id_col).orderBy(F.lit(1))
-    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_own", "_n")
+    first = Window.partitionBy(own, id_col).orderBy(F.lit(1))
+    return found.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(own, number)
 
 
 def op5_exact(spark, sf_dir: str) -> DataFrame:
     """Groups of equal texts in ``documents``."""
     groups = exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
 
 
 OP5_SQL = """

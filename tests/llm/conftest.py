@@ -62,3 +62,20 @@ def documents(spark, corpus):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string")
+
+
+#: Columns of a caller that operators might name their own like.
+CLASHING = ["_bag", "_own", "_id", "_n", "_digest", "own_bag", "Kept_ID", "kept_bag", "kept_digest", "own_digest", "number", "n_words", "n_hit", "items", "contaminated", "selected", "expected_grade", "tail_probability", "digest", "bag", "size", "id", "_text", "_row", "row_key", "shard", "label", "kept"]
+
+
+@pytest.fixture(scope="session")
+def clashing(spark, corpus):
+    """Documents whose further columns are named like those that operators add."""
+    rows = [(i, t, *[f"{c}{i}" for c in CLASHING]) for i, t in corpus]
+    return spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING)).repartition(2)
+
+
+def whole(left, docs) -> bool:
+    """Whether the rows that are left have all their columns as they came."""
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    return left.columns == docs.columns and all(r == rows[r["doc_id"]] for r in left.collect())

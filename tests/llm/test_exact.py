@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 from dossierlake.llm import exact
+from tests.llm.conftest import whole
 from tests.oracle import assert_same, connection
 
 
@@ -40,5 +41,26 @@ def test_strange_rows(spark, strange, empty):
     assert exact.exact_groups(empty).collect() == [] and exact.drop_duplicates(empty).collect() == []
 
 
+def test_clashing_columns(clashing, corpus):
+    left = exact.drop_duplicates(clashing)
+    assert whole(left, clashing) and sorted(r["doc_id"] for r in left.collect()) == sorted({k for _, k, _ in brute(corpus)})
+    assert exact.exact_groups(clashing).count() == len(corpus)
+
+
+def test_large_groups_and_long_texts(spark):
+    """A group of a third of all rows, null ids among them, and texts of some megabytes that differ at their ends."""
+    rows = [(i if i % 7 else None, "one text") for i in range(2000)] + [(i, f"text {i % 1500}") for i in range(2000, 6000)]
+    rows += [(6000 + i, "x" * 3_000_000 + str(i % 2)) for i in range(4)]
+    out = exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in out if r["doc_id"] is not None) == brute(rows)
+    assert sum(r["kept"] for r in out) == len({t for _, t in rows})
+
+
+def test_null_ids_alone(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b")], "doc_id long, text string")
+    assert sorted((r["group_size"], r["kept"]) for r in exact.exact_groups(docs).collect()) == [(1, True), (2, False), (2, True)]
+    assert sorted(r["text"] for r in exact.drop_duplicates(docs).collect()) == ["a", "b"]
+
+
 def test_query_matches_sql(spark, tiny):
     assert_same(exact.op5_exact(spark, tiny).toPandas(), connection(tiny).sql(exact.OP5_SQL).df())
