@@ -37,6 +37,9 @@ def seeded(n: int, seed: int) -> np.ndarray:
 
 BYTE_CODE = seeded(256, 1)
 BASE, WORD_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Codes and bases of a second, independent hash.
+SECOND_CODE = seeded(256, 2)
+SECOND_BASE, SECOND_WORD_BASE = 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
 
 
 @lru_cache(maxsize=8)
@@ -132,23 +135,23 @@ class Words:
         return self._hash
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = BLOCK_BYTES) -> np.ndarray:
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray = BYTE_CODE, base: int = BASE, block: int = BLOCK_BYTES) -> np.ndarray:
     """A hash of the bytes of each span; spans are in order and apart."""
     out = np.empty(len(start), U64)
     a = 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(end, start[a] + block, side="right")))
         lo, hi = int(start[a]), int(end[b - 1])
-        p, inverse = powers(BASE, hi - lo + 1)
+        p, inverse = powers(base, hi - lo + 1)
         total = np.zeros(hi - lo + 1, U64)
-        np.cumsum(BYTE_CODE[data[lo:hi]] * p[: hi - lo], out=total[1:])
+        np.cumsum(code[data[lo:hi]] * p[: hi - lo], out=total[1:])
         s, e = start[a:b] - lo, end[a:b] - lo
         out[a:b] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U64))
         a = b
     return out
 
 
-def window_hash(words: np.ndarray, length: int) -> np.ndarray:
+def window_hash(words: np.ndarray, length: int, base: int = WORD_BASE) -> np.ndarray:
     """A hash of each run of ``length`` consecutive numbers, texts' ends ignored."""
     n = len(words) - length + 1
     if n <= 0:
@@ -158,7 +161,7 @@ def window_hash(words: np.ndarray, length: int) -> np.ndarray:
     for a in range(0, n, step):
         b = min(n, a + step)
         part = words[a : b + length - 1]
-        p, inverse = powers(WORD_BASE, len(part) + 1)
+        p, inverse = powers(base, len(part) + 1)
         total = np.zeros(len(part) + 1, U64)
         np.cumsum(part * p[: len(part)], out=total[1:])
         out[a:b] = mix((total[length:] - total[: b - a]) * inverse[: b - a] + U64(length))

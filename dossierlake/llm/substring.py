@@ -4,6 +4,7 @@ Words are ``[^\\x20\\x09-\\x0D]+``. Levels are window lengths, each twice the on
 level only windows whose two halves were both repeated at the level before are candidates; those repeated
 survive to the next level. At the last level each candidate is told whether its word sequence also starts
 earlier, and words covered by such windows are removed. When no candidate survives, later levels have no rows.
+Word sequences are taken as equal at the last level if two independent hashes of theirs, 128 bits together, are.
 
 Texts lie in chunks of a few megabytes in a shared table. Per level a chunk sends each distinct window hash once,
 sorted and delta-coded, to the bucket of its hash; the bucket answers with one bit per hash. So a passage that
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossierlake.llm._bytes import BLANK, SLICE_BYTES, U64, Words, cover, mix, text_slices, window_hash, window_starts
+from dossierlake.llm._bytes import BLANK, SECOND_BASE, SECOND_CODE, SECOND_WORD_BASE, SLICE_BYTES, U64, Words, cover, hash_spans, mix, text_slices, window_hash, window_starts
 from dossierlake.llm._scratch import Scratch
 
 _LOWEST = np.iinfo(np.int64).min
 CHUNK = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("packed", T.BinaryType())])
-SENT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("flags", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("starts", T.BinaryType())])
+SENT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("flags", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("starts", T.BinaryType()), T.StructField("seconds", T.BinaryType())])
 REPLY = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType())])
 
 
@@ -99,6 +100,11 @@ class _Chunk:
         self.held = None  # places of candidates
         self.level = None
 
+    def second(self) -> np.ndarray:
+        """A second hash of each candidate, from other hashes of its words."""
+        words = [hash_spans(w.data, w.start, w.end, SECOND_CODE, SECOND_BASE) for _, _, w in self.parts]
+        return window_hash(np.concatenate(words), self.level, SECOND_WORD_BASE)[self.held] if words else np.zeros(0, U64)
+
     def start(self, length: int) -> None:
         self.level = length
         self.hash = window_hash(self.words, length)
@@ -115,11 +121,10 @@ class _Chunk:
         self.held = np.flatnonzero(both & fits[: len(both)])
         self.hash = mix(self.hash[: max(0, n - half)] * U64(3) + mix(self.hash[half:]))
 
-    def order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Id and first word in its text of each candidate, and the candidates by (hash, id, start)."""
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Id and first word in its text of each candidate."""
         text = np.searchsorted(self.first, self.held, side="right") - 1
-        ids, starts = self.key[text], self.held - self.first[text]
-        return ids, starts, np.lexsort((starts, ids, self.hash[self.held]))
+        return self.key[text], self.held - self.first[text]
 
 
 def _filter_view(chunk: _Chunk, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,26 +134,32 @@ def _filter_view(chunk: _Chunk, bits: int) -> tuple[np.ndarray, np.ndarray, np.n
     return found, place, count > 1
 
 
-def _last_view(chunk: _Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes with the earliest window of each, the hash of each candidate, and those later than the earliest here."""
-    ids, starts, order = chunk.order()
-    h = chunk.hash[chunk.held][order]
+def _runs(h: np.ndarray, second: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows by (both hashes, id, start), and which of them is the first of its hashes."""
+    order = np.lexsort((starts, ids, second, h))
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    head = order[new]
-    place = np.empty(len(h), np.int64)
+    new[1:] = (np.diff(h[order]) != 0) | (np.diff(second[order]) != 0)
+    return order, new
+
+
+def _last_view(chunk: _Chunk) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """Distinct hashes with the earliest window of each, the place of each candidate among them, and those later than the earliest here."""
+    (ids, starts), second, h = chunk.places(), chunk.second(), chunk.hash[chunk.held]
+    order, new = _runs(h, second, ids, starts)
+    head, place = order[new], np.empty(len(h), np.int64)
     place[order] = np.cumsum(new) - 1
     later = (ids != ids[head][place]) | (starts != starts[head][place])
-    return h[new], ids[head], starts[head], place, later
+    return (h[head], ids[head], starts[head], second[head]), place, later
 
 
-def _send(chunk_id: int, found: np.ndarray, width: int, buckets: int, flags=None, ids=None, starts=None) -> Iterator[tuple]:
+def _send(chunk_id: int, found: np.ndarray, width: int, buckets: int, flags=None, ids=None, starts=None, second=None) -> Iterator[tuple]:
     if not len(found):
         return
     bucket = (found >> U64(width - int(math.log2(buckets)))).astype(np.int64) if buckets > 1 else np.zeros(len(found), np.int64)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], len(found)), strict=True):
-        yield (int(bucket[a]), chunk_id, int(b - a), _pack_sorted(found[a:b]), np.packbits(flags[a:b]).tobytes() if flags is not None else None, _pack(ids[a:b]) if ids is not None else None, _pack(starts[a:b].astype(np.int32)) if starts is not None else None)
+        last = (_pack(ids[a:b]), _pack(starts[a:b].astype(np.int32)), second[a:b].tobytes()) if flags is None else (None, None, None)
+        yield (int(bucket[a]), chunk_id, int(b - a), _pack_sorted(found[a:b]), None if flags is None else np.packbits(flags[a:b]).tobytes(), *last)
 
 
 def _table(rows: list[tuple], schema: T.StructType) -> pa.Table:
@@ -183,13 +194,11 @@ def _reply(level: int, last: bool):
         if last:
             ids = np.concatenate([_unpack(x, n, np.int64) for x, n in zip(sent["ids"].to_pylist(), ns, strict=True)])
             starts = np.concatenate([_unpack(x, n, np.int32) for x, n in zip(sent["starts"].to_pylist(), ns, strict=True)])
-            order = np.lexsort((starts, ids, h))
+            order, new = _runs(h, np.frombuffer(b"".join(sent["seconds"].to_pylist()), U64), ids, starts)
         else:
             order = np.argsort(h, kind="stable")
-        o = h[order]
-        new = np.ones(len(o), bool)
-        new[1:] = o[1:] != o[:-1]
-        run_of, answer = np.cumsum(new) - 1, np.empty(len(o), bool)
+            new = np.diff(h[order], prepend=~h[order][:1]) != 0
+        run_of, answer = np.cumsum(new) - 1, np.empty(len(h), bool)
         if last:
             head = order[new][run_of]
             answer[order] = (ids[order] != ids[head]) | (starts[order] != starts[head])
@@ -216,8 +225,8 @@ def _sender(levels: list[int], k: int, bits: int, buckets: int):
         chunk, chunk_id = _Chunk(row), row["chunk"][0].as_py()
         _replay(chunk, answers, levels, k, bits)
         if k == len(levels) - 1:
-            found, ids, starts, _, _ = _last_view(chunk)
-            return _table(list(_send(chunk_id, found, 64, buckets, ids=ids, starts=starts)), SENT)
+            (found, ids, starts, second), _, _ = _last_view(chunk)
+            return _table(list(_send(chunk_id, found, 64, buckets, ids=ids, starts=starts, second=second)), SENT)
         found, _, many = _filter_view(chunk, bits)
         return _table(list(_send(chunk_id, found, bits, buckets, flags=many)), SENT)
 
@@ -247,8 +256,8 @@ def kept_text(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data[taken], total[words.offsets]
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, start: int = 10, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20, bucket_words: int = 2_000_000, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of ``docs``: id_col (as long), n_words, n_removed, kept.
+def remove_repeats(docs: DataFrame, length: int = 20, start: int = 5, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20, bucket_words: int = 2_000_000, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of ``docs``: id_col (a whole number, as long; other types are refused), n_words, n_removed, kept.
 
     ``length`` is the windows' number of words and ``start`` that of the first level; ``length`` is ``start``
     times a power of two. A window goes if its words also start earlier: in a smaller id, or in the same id at an
@@ -264,6 +273,8 @@ def remove_repeats(docs: DataFrame, length: int = 20, start: int = 10, id_col: s
         levels.append(2 * levels[-1])
     if levels[-1] != length:
         raise ValueError("length is start times a power of two")
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} is no whole number, and what starts earlier is told by number")
     scratch = scratch or Scratch(docs.sparkSession, "substring")
     chunks = scratch.keep(_chunks(docs, id_col, text, chunk_bytes), "chunks")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
@@ -284,7 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, start: int = 10, id_col: s
     def finish(row: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _Chunk(row)
         _replay(chunk, answers, levels, len(levels) - 1, bits)
-        _, _, _, place, later = _last_view(chunk)
+        _, place, later = _last_view(chunk)
         earlier = later | _answer(answers, length)[place]
         gone = cover(chunk.held[earlier], length, len(chunk.words))
         texts, at = [], 0

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 
+from dossierlake.llm import substring
 from dossierlake.llm.substring import OP2_SQL, op2_substring, remove_repeats
 from tests.oracle import assert_same, connection
 
@@ -49,6 +51,23 @@ def test_a_text_that_repeats_itself(spark):
     assert sorted(map(tuple, remove_repeats(docs, 8, 4).collect()), key=str) == brute(rows, 8)
 
 
+def test_levels_above_one_doubling_and_long_texts(spark):
+    rows = [(i, " ".join(f"w{(k * (i + 3)) % 97}" for k in range(400))) for i in range(12)] + [(20, "ab cd " * 200_000 + "z"), (21, "x" * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, remove_repeats(docs, 16, 2).collect()), key=str) == brute(rows, 16)
+
+
+def test_windows_of_one_hash_are_told_apart_by_the_second():
+    h, second = np.array([5, 5, 5, 7], np.uint64), np.array([2, 1, 2, 1], np.uint64)
+    order, new = substring._runs(h, second, np.array([3, 2, 1, 1]), np.array([0, 0, 0, 0]))
+    assert order.tolist() == [1, 2, 0, 3] and new.tolist() == [True, True, False, True]
+
+
+def test_other_ids_are_refused(spark):
+    with pytest.raises(ValueError, match="whole number"):
+        remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_length_must_be_a_doubling(documents):
     with pytest.raises(ValueError, match="power of two"):
         remove_repeats(documents, 20, 7)
