@@ -3,15 +3,16 @@
 Words are hashed; a k-gram's hash is that of k consecutive words. Of every run of ``window - k + 1`` consecutive
 k-grams the smallest hash is kept, the last of equals. Two texts that share ``window`` words share such a run, so
 they share the fingerprint kept of it. Fingerprints of documents and items are joined, and each hit is extended:
-every window of ``window`` words around it is compared whole with the items' windows.
+every window of ``window`` words around it is compared whole with the items' windows. A benchmark of bounded size is
+joined within the tasks that read the documents; of a larger one a filter of fixed size goes there, and the windows
+around what passes are joined with the items' windows by a shuffle.
 
 An item of fewer words than a window is one window of its own length; for these lengths the k-gram is the window.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from dossierlake.llm._bytes import LOWER, NOT_ALNUM, Words, cover, text_slices, window_hash, window_starts
 from dossierlake.llm._scratch import Scratch
+from dossierlake.llm._sieve import passing, sieve
 
 
 def winnow(grams: np.ndarray, run: int) -> np.ndarray:
@@ -37,16 +39,16 @@ def winnow(grams: np.ndarray, run: int) -> np.ndarray:
 
 
 class Items:
-    """Windows and fingerprints of a block of benchmark items."""
+    """Windows and fingerprints of benchmark items."""
 
-    def __init__(self, ids: list, texts: list, window: int, k: int):
+    def __init__(self, ids: list, texts: pa.Array, window: int, k: int):
         self.ids, self.window, self.k = ids, window, k
         self.prints: dict[int, np.ndarray] = {}  # by window length
         self.hashes: dict[int, np.ndarray] = {}
         self.owners: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # bounds in the list of items of each window
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         prints: dict[int, list[np.ndarray]] = {}
-        for a, _, data, offsets in text_slices(pa.array(texts, pa.large_string())):
+        for a, _, data, offsets in text_slices(texts):
             words = Words(data, offsets, NOT_ALNUM, LOWER)
             for i, n in enumerate(words.counts):
                 if not n:
@@ -67,20 +69,25 @@ class Items:
 
     def hits(self, words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows of ``length`` words of the texts that are windows of items: their first words and places in ``hashes``."""
-        full = window_hash(words.hash, length)
-        fits = window_starts(words.first, length)[: len(full)]
-        if length == self.window:
-            run = length - self.k + 1
-            grams = window_hash(words.hash, self.k)
-            kept = winnow(grams, run)  # a run over a text's end only adds fingerprints
-            kept = kept[is_in(grams[kept], self.prints[length])]
-            starts = np.unique((kept[:, None] - np.arange(run)).ravel())
-            starts = starts[(starts >= 0) & (starts < len(full))]
-        else:
-            starts = np.arange(len(full))
-        starts = starts[fits[starts]]
-        starts = starts[is_in(full[starts], self.hashes[length])]
-        return starts, np.searchsorted(self.hashes[length], full[starts])
+        starts, full = around(words, length, self.window, self.k, lambda h: np.flatnonzero(is_in(h, self.prints[length])))
+        own = is_in(full, self.hashes[length])
+        return starts[own], np.searchsorted(self.hashes[length], full[own])
+
+
+def around(words: Words, length: int, window: int, k: int, passing: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of each window of ``length`` words around a fingerprint that ``passing`` finds."""
+    full = window_hash(words.hash, length)
+    if length == window:
+        run = length - k + 1
+        grams = window_hash(words.hash, k)
+        kept = winnow(grams, run)  # a run over a text's end only adds fingerprints
+        kept = kept[passing(grams[kept])]
+        starts = np.unique((kept[:, None] - np.arange(run)).ravel())
+        starts = starts[(starts >= 0) & (starts < len(full))]
+    else:
+        starts = passing(full)
+    starts = starts[window_starts(words.first, length)[starts]]
+    return starts, full[starts]
 
 
 def is_in(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -89,57 +96,55 @@ def is_in(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def _digest(ids: list) -> str:
-    return hashlib.sha256(",".join(sorted(str(x) for x in ids)).encode()).hexdigest()
+def _items(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(id, text) of the items that have a text, equal ones once."""
+    return items.select(items[item_id].cast("string").alias("id"), items[item_text].alias("text")).where(F.col("text").isNotNull()).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, k: int = 7, share: int = 20, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: the ``carry`` columns, id_col, n_words, n_hit, items, contaminated.
+def _block(items: DataFrame, window: int, k: int, most: int):
+    """The broadcast items, or None if their texts have more than ``most`` bytes."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
+    if size > most:
+        return None
+    rows = items.toArrow()
+    return items.sparkSession.sparkContext.broadcast(Items(rows["id"].to_pylist(), rows["text"].combine_chunks(), window, k))  # of checked size
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, k: int = 7, share: int = 20, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of ``docs``: id_col, n_words, n_hit, items, contaminated.
 
     ``items`` are the ids of items with occurring windows, as ordered distinct strings. A document is contaminated
     if ``n_hit > 0 and share * n_hit >= n_words``.
 
-    The benchmark is measured first. Up to ``block_bytes`` of it is sent to the executors with its fingerprints;
-    a larger one is taken in blocks of that size, one pass over the documents each, and the passes' word spans are
-    joined by row, so no size of benchmark is out of reach and memory stays bounded.
+    The benchmark is measured first. Up to ``block_bytes`` of it is sent to the executors with its fingerprints; a
+    larger one is joined by shuffles, after one pass over the documents that leaves the windows that may be hits.
 
-    Null texts have no words; null items have no windows; null or repeated item ids are told apart by place but
-    share a name in ``items``; repeated documents are rows of their own; empty tables give no hits or no rows;
-    other columns are not read.
+    Null texts have no words; null items have no windows; windows of an item without an id are hits, but it isn't
+    among ``items``; items that share an id are one name there; repeated documents are rows of their own; empty
+    tables give no hits or no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    items = items.select(items[item_id].cast("string").alias("id"), items[item_text].alias("text")).where(F.col("text").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // block_bytes))
-    names = [*carry, id_col] if id_col not in carry else list(carry)
-    alone = text not in names
-    source = docs.select(*[docs[c] for c in names], *[docs[text].alias("_text")] * alone)
-    place = names.index(text) if not alone else len(names)
-    kept = [docs.schema[c] for c in names]
-    if blocks == 1:
-        block = _block(spark, items, window, k)
-        schema = T.StructType(kept + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n_words, n_hit, found = [], [], []
-                for words, hit, owners in _scan(batch.column(place), block.value):
-                    n_words.append(words.counts)
-                    n_hit.append(np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first]))
-                    found += owners
-                yield _result(batch.columns[: len(names)], schema, np.concatenate(n_words) if n_words else np.zeros(0, int), np.concatenate(n_hit) if n_hit else np.zeros(0, int), found, share)
-
-        return source.mapInArrow(run, schema)
-    return _in_blocks(source, items, blocks, window, k, share, names, "_text" if alone else text)
-
-
-def _block(spark, items: DataFrame, window: int, k: int):
-    rows = items.collect()
-    return spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], window, k))
-
-
-def _scan(texts: pa.Array, items: Items) -> Iterator[tuple[Words, np.ndarray, list[list[str]]]]:
-    """For slices of texts: words, whether each word is hit, and the items found in each text."""
+    items = _items(items, item_id, item_text)
+    source = docs.select(docs[id_col].alias("id"), docs[text].alias("text"))
+    block = _block(items, window, k, block_bytes)
+    if block is None:
+        scratch = scratch or Scratch(docs.sparkSession, "decontam")
+        return _by_join(source, items, window, k, share, scratch).drop("row").withColumnRenamed("id", id_col)
+    schema = T.StructType([docs.schema[id_col], *_FOUND])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, n_hit, found, bad = _judge(batch.column(1), block.value, share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(bad, pa.bool_())], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())]
+
+
+def _judge(texts: pa.Array, items: Items, share: int) -> tuple[np.ndarray, np.ndarray, list[list[str]], np.ndarray]:
+    """Of each text: words, words hit, items found, and whether it is contaminated."""
+    n_words, n_hit, named = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for _, _, data, offsets in text_slices(texts):
         words = Words(data, offsets, NOT_ALNUM, LOWER)
         hit = np.zeros(int(words.first[-1]), bool)
@@ -153,64 +158,88 @@ def _scan(texts: pa.Array, items: Items) -> Iterator[tuple[Words, np.ndarray, li
             text_of = np.searchsorted(words.first, starts, side="right") - 1
             for t, p in np.unique(np.stack([text_of, place], 1), axis=0):
                 found[t].update(owner[bounds[p] : bounds[p + 1]].tolist())
-        yield words, hit, [sorted({str(items.ids[j]) for j in x}) for x in found]
+        n_words.append(words.counts)
+        n_hit.append(np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first]))
+        named += [sorted({items.ids[j] for j in x} - {None}) for x in found]
+    n_words, n_hit = np.concatenate(n_words), np.concatenate(n_hit)
+    return n_words, n_hit, named, (n_hit > 0) & (share * n_hit >= n_words)
+
+
+#: Copies of an item's window, among which the windows of documents are dealt, as one window may be in most documents.
+SALT = 16
+
 
+def _item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
+    """(length, window, id, print) of all items: their windows, and apart from these their fingerprints."""
+    schema = T.StructType([T.StructField("length", T.IntegerType()), T.StructField("window", T.LongType()), T.StructField("id", T.StringType()), T.StructField("print", T.LongType())])
 
-def _result(columns: list[pa.Array], schema: T.StructType, n_words: np.ndarray, n_hit: np.ndarray, found: list, share: int) -> pa.RecordBatch:
-    bad = (n_hit > 0) & (share * n_hit >= n_words)
-    return pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(bad, pa.bool_())], names=schema.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = Items(batch.column(0).to_pylist(), batch.column(1), window, k)
+            for length, h in own.hashes.items():
+                bounds, owner = own.owners[length]
+                hashes = np.repeat(h, np.diff(bounds)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), length, np.int32)), pa.array(hashes), pa.array([own.ids[j] for j in owner], pa.string()), pa.nulls(len(hashes), pa.int64())], names=schema.names)
+                prints = own.prints[length].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(prints), length, np.int32)), pa.nulls(len(prints), pa.int64()), pa.nulls(len(prints), pa.string()), pa.array(prints)], names=schema.names)
 
+    return items.mapInArrow(run, schema)
 
-def _in_blocks(source: DataFrame, items: DataFrame, blocks: int, window: int, k: int, share: int, names: list[str], text: str) -> DataFrame:
-    """Every block of items against all documents; the hit words of a row are joined over the blocks."""
+
+def _by_join(source: DataFrame, items: DataFrame, window: int, k: int, share: int, scratch: Scratch) -> DataFrame:
+    """(row, id, n_words, n_hit, items, contaminated) of ``source``, (id, text) and maybe more columns, which stay too."""
     spark = source.sparkSession
-    scratch = Scratch(spark, "decontam")
-    keyed = scratch.keep(source.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    span = T.StructType([T.StructField("_row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
-
-    def scan(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                row = 0
-                for words, hit, owners in _scan(batch.column(1), block.value):
-                    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                    opens, closes = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                    cuts = np.unique(np.concatenate([opens, words.first[np.isin(words.first, np.flatnonzero(hit))]]))
-                    ends = np.minimum(closes[np.searchsorted(closes, cuts, side="right")], words.first[1:][np.searchsorted(words.first[1:], cuts, side="right")]) if len(cuts) else cuts
-                    owner = np.searchsorted(words.first, cuts, side="right") - 1
-                    for i, n in enumerate(words.counts):
-                        mine = owner == i
-                        out.append((batch.column(0)[row].as_py(), int(n), (cuts[mine] - words.first[i]).tolist(), (ends[mine] - words.first[i]).tolist(), owners[i]))
-                        row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())), strict=True)], names=span.names)
-
-        return run
-
-    parts = [
-        scratch.keep(keyed.select("_row", text).mapInArrow(scan(_block(spark, items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b), window, k)), span), f"block{b}")
-        for b in range(blocks)
-    ]
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
-    merged = every.groupBy("_row").agg(
-        F.max("n_words").alias("n_words"),
-        F.sort_array(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    table = scratch.keep(_item_windows(items, window, k), "items")
+    lengths = [r[0] for r in table.select("length").distinct().collect()]  # at most ``window`` of them
+    filters = spark.sparkContext.broadcast({n: sieve(table.where((F.col("length") == n) & F.col("print").isNotNull()), "print") for n in lengths})  # of fixed size
+    rows = scratch.keep(source.withColumn("row", F.monotonically_increasing_id()), "documents")
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("window", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                words, row = Words(data, offsets, NOT_ALNUM, LOWER), np.asarray(batch.column(0))
+                blank = pa.nulls(b - a, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(row[a:b]), pa.array(words.counts, pa.int64()), pa.nulls(b - a, pa.int32()), blank, blank], names=schema.names)
+                for length in lengths:
+                    starts, full = around(words, length, window, k, lambda h, n=length: passing(filters.value[n], h))
+                    own = np.searchsorted(words.first, starts, side="right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(row[a + own]), pa.nulls(len(own), pa.int64()), pa.array(np.full(len(own), length, np.int32)), pa.array(starts - words.first[own]), pa.array(full.view(np.int64))], names=schema.names)
+
+    scanned = scratch.keep(rows.select("row", "text").mapInArrow(run, schema), "scanned")
+    named = table.where(F.col("window").isNotNull()).groupBy("length", "window").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    hits = scanned.where(F.col("window").isNotNull()).withColumn("salt", F.pmod("row", F.lit(SALT)).cast("int")).join(named, ["length", "window", "salt"])
+    merged = hits.groupBy("row").agg(
+        F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
     )
-    state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
-    n_hit = F.aggregate("spans", state, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["ends"] - F.greatest(x["starts"], s["upto"]))).alias("n"), F.greatest(s["upto"], x["ends"]).alias("upto")))["n"]
-    merged = merged.withColumn("n_hit", n_hit)
+    none = F.lit(0).cast("long")
+    covered = F.aggregate("spans", F.struct(none.alias("n"), none.alias("upto")), lambda s, x: F.struct((s["n"] + F.greatest(none, x["end"] - F.greatest(x["start"], s["upto"]))).alias("n"), F.greatest(s["upto"], x["end"]).alias("upto")))["n"]
+    merged = merged.select("row", covered.alias("n_hit"), "items")
+    counted = scanned.where(F.col("n_words").isNotNull()).select("row", "n_words").join(merged, "row", "left")
+    counted = counted.select("row", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     bad = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
-    return keyed.join(merged, "_row").select(*names, "n_words", "n_hit", "items", bad.alias("contaminated"))
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns; see ``contamination``."""
-    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
-    found = contamination(docs, items, carry=tuple(own), **options)
-    return found.where("NOT contaminated").select(*own)
+    return rows.select("row", "id").join(counted, "row").select("row", "id", "n_words", "n_hit", "items", bad.alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, k: int = 7, share: int = 20, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns, whatever their names; see ``contamination``."""
+    items = _items(items, item_id, item_text)
+    block = _block(items, window, k, block_bytes)
+    if block is None:
+        # The caller's columns travel as one, so that none can clash.
+        scratch = scratch or Scratch(docs.sparkSession, "decontam")
+        kept = scratch.keep(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("own"), F.monotonically_increasing_id().alias("place")), "own")
+        found = _by_join(kept.select(F.col("place").alias("id"), F.col("own").getField(text).alias("text")), items, window, k, share, scratch)
+        return kept.join(found.where("NOT contaminated").select(F.col("id").alias("place")), "place").select("own.*")
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~_judge(batch.column(place), block.value, share)[3], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_decontam(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from dossierlake.llm._bytes import LOWER, NOT_ALNUM, U64, Words, hash_spans, text_slices
 from dossierlake.llm._scratch import Scratch
+from dossierlake.llm._sieve import passing, sieve
 
 #: The kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -39,8 +40,6 @@ DIGIT = re.compile(r"[0-9]")
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 #: Words on each side of an entity that count as near it.
 NEAR_WORDS = 10
-#: Bits of the filter through which words go before they are joined with the disclosed terms.
-SIEVE = 1 << 26
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -168,26 +167,15 @@ def term_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(docs[text]).mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _sieve(terms: DataFrame) -> np.ndarray:
-    """A filter of ``SIEVE`` bits that lets all ``terms`` through, and others seldom; its size never grows."""
-    places = terms.select(F.explode(F.array(F.col("term").bitwiseAND(F.lit(SIEVE - 1)), F.shiftrightunsigned("term", 32).bitwiseAND(F.lit(SIEVE - 1)))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits")).toArrow()
-    out = np.zeros(SIEVE >> 6, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
-
-
 def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(row, term, span) of every word of the whole texts that may be one of ``terms``, but those in base spans."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(_sieve(terms)))  # of fixed size
+    shared = rows.sparkSession.sparkContext.broadcast(sieve(terms, "term"))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             for a, _, data, offsets in text_slices(batch.column(2)):
                 words = Words(data, offsets, NOT_ALNUM, LOWER)
-                hit = np.flatnonzero(sieve[words.hash & U64(SIEVE - 1)])
-                hit = hit[sieve[(words.hash[hit] >> U64(32)) & U64(SIEVE - 1)]]
+                hit = passing(shared.value, words.hash)
                 if not len(hit):
                     continue
                 # Code points before each byte, as every byte but those that continue one begins one.

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from dossierlake.llm import decontam
-from tests.llm.conftest import prose
+from tests.llm.conftest import prose, whole
 from tests.oracle import assert_same, connection
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -22,14 +22,14 @@ def brute(docs, items, window=13):
         w = words(t)
         n = min(window, len(w))
         for j in range(len(w) - n + 1 if w else 0):
-            found.setdefault(tuple(w[j : j + n]), set()).add(str(i))
+            found.setdefault(tuple(w[j : j + n]), set()).update([] if i is None else [str(i)])
     lengths = {len(k) for k in found}
     out = []
     for i, t in docs:
         w, hit, got = words(t), set(), set()
         for n in lengths:
             for j in range(len(w) - n + 1):
-                if own := found.get(tuple(w[j : j + n])):
+                if (own := found.get(tuple(w[j : j + n]))) is not None:
                     got |= own
                     hit |= set(range(j, j + n))
         out.append((i, len(w), len(hit), sorted(got), bool(hit) and 20 * len(hit) >= len(w)))
@@ -58,16 +58,31 @@ def planted(items):
     return [*rows, (50, None), (51, ""), (51, "a " * 30), (None, items[0][1])]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 900])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 900, 1])
 def test_brute_force(spark, planted, items, block_bytes):
     docs, bench = spark.createDataFrame(planted, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
     got = decontam.contamination(docs, bench, block_bytes=block_bytes).collect()
-    # An item without an id has no name to list.
-    want = [(*r[:3], sorted(set(r[3]) - {"None"}), r[4]) for r in brute(planted, items)]
-    found = sorted(((r["doc_id"], r["n_words"], r["n_hit"], [x for x in r["items"] if x != "None"], r["contaminated"]) for r in got), key=str)
+    found, want = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got), key=str), brute(planted, items)
     assert found == want and any(r[4] for r in want)
 
 
+def test_an_item_named_none(spark):
+    """A real id ``None`` is listed; an item without an id isn't, though its words are hits."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c"), ("None", "d e f")], "item_id string, text string")
+    for most in (1 << 20, 1):
+        got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.contamination(docs, bench, block_bytes=most).collect()}
+        assert got == {1: (3, []), 2: (3, ["None"])}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 900])
+def test_clashing_columns(spark, clashing, corpus, items, block_bytes):
+    bench = spark.createDataFrame([*items, (99, corpus[5][1])], "item_id long, text string")
+    left = decontam.drop_contaminated(clashing, bench, block_bytes=block_bytes)
+    want = {r[0] for r in brute(corpus, [*items, (99, corpus[5][1])]) if not r[4]}
+    assert whole(left, clashing) and {r["doc_id"] for r in left.collect()} == want and len(want) < len(corpus)
+
+
 def test_stage_keeps_columns(spark, strange, items, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     left = decontam.drop_contaminated(strange, bench)
