@@ -8,6 +8,7 @@ distinct pre-token once a process.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -22,10 +23,13 @@ from dossierlake.llm._tokenizer import load, special_strings
 
 #: Fixed value: how the byte-level vocabulary of the file cuts a text into pre-tokens.
 PRE_TOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters on whose class this module's Unicode tables and the library's may differ; a text with one goes to the library.
-UNSURE = re.compile("[\u0558-\u1fff\u2070-\u2fff\u3100-\u4dff\u9fa6-\uabff\ud7a4-\U0010ffff]")
+#: Characters on whose class this module's Unicode tables and the library's may differ; what is around one goes to the library.
+_DOUBTED = "\u0558-\u1fff\u2070-\u2fff\u3100-\u4dff\u9fa6-\uabff\ud7a4-\U0010ffff"
+UNSURE = re.compile(f"[{_DOUBTED}]")
+#: A single blank between two other characters of known class: a pre-token begins there, whatever stands further on.
+CUT = re.compile(rf"(?<=[^\s{_DOUBTED}]) (?=[^\s{_DOUBTED}])")
 #: Merged pre-tokens that a process remembers.
-REMEMBERED = 1_000_000
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 128
 #: Pre-tokens that are held at once of one text.
 HELD = 100_000
 
@@ -63,16 +67,33 @@ class _Counts(dict):
         if len(self) > len(self.proven) + REMEMBERED:
             self.clear()
             self.update(dict.fromkeys(self.proven, 1))
-        n = self[pre_token] = len(self.tokenizer.encode(pre_token, add_special_tokens=False).ids)
+        n = self.library(pre_token)
+        if len(pre_token) < REMEMBERED_CHARS:
+            self[pre_token] = n
         return n
 
+    def library(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
 
 _process: dict[str, _Counts] = {}
 
 
 def count_tokens(text: str, counts: _Counts, special: list[str]) -> int:
-    if any(s in text for s in special) or not text.isascii() and UNSURE.search(text):
-        return len(counts.tokenizer.encode(text, add_special_tokens=False).ids)
+    if any(s in text for s in special):
+        return counts.library(text)
+    if text.isascii() or not UNSURE.search(text):
+        return _count(text, counts)
+    cuts, n, at = [m.start() for m in CUT.finditer(text)], 0, 0
+    while m := UNSURE.search(text, at):
+        k = bisect_right(cuts, m.start())
+        low, high = max(at, cuts[k - 1] if k else 0), cuts[k] if k < len(cuts) else len(text)
+        n += _count(text[at:low], counts) + (counts[text[low:high]] if high - low < REMEMBERED_CHARS else counts.library(text[low:high]))
+        at = high
+    return n + _count(text[at:], counts)
+
+
+def _count(text: str, counts: _Counts) -> int:
     if len(text) < HELD:
         return sum(map(counts.__getitem__, PRE_TOKEN.findall(text)))
     n, found = 0, PRE_TOKEN.finditer(text)
@@ -84,9 +105,9 @@ def count_tokens(text: str, counts: _Counts, special: list[str]) -> int:
 def with_token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """One row per row of ``docs``: id_col, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
-    Counts equal the library's with its defaults and without added begin or end tokens; a text that holds the
-    string of a special token, or a character of a block that Unicode still extends, goes to the library whole. A null text counts as empty: no bytes, no tokens. Null,
-    tied and repeated ids are kept as they are, one row for each row; an empty table gives an empty table; other
+    Counts equal the library's with its defaults and without added begin or end tokens. A text that holds the string
+    of a special token goes to the library whole; of one with characters of blocks that Unicode still extends, only
+    the part around these, to the next single blank between others. A null text counts as empty: no bytes, no tokens. Null, tied and repeated ids are kept as they are, one row for each row; an empty table gives an empty table; other
     columns are not read. Texts of any length are counted whole; of one text a bounded number of pre-tokens is held.
     ``tokenizer`` is a path or the name of an installed file, and is needed on every executor.
     """

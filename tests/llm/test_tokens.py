@@ -27,6 +27,21 @@ def test_any_text(counts, text):
     assert tokens.count_tokens(text, counts, special_strings(load(NAME))) == len(load(NAME).encode(text, add_special_tokens=False).ids)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("ab 1.'\n\t\u00a0\u1680\u2009\u05d0\u0e01\U0001f600\u1ea5\u0301\u3000"), st.characters()), max_size=60))
+def test_doubted_characters_among_others(counts, text):
+    text = text.encode("utf-8", "replace").decode()
+    assert tokens.count_tokens(text, counts, special_strings(load(NAME))) == len(load(NAME).encode(text, add_special_tokens=False).ids)
+
+
+def test_only_what_is_around_doubted_characters_goes_to_the_library(counts, monkeypatch):
+    asked = []
+    monkeypatch.setattr(counts, "library", lambda x: asked.append(x) or len(load(NAME).encode(x, add_special_tokens=False).ids))
+    text = "some words \u05d0\u05d1 and then \U0001f600 the end " + "of it all " * 50
+    assert tokens.count_tokens(text, counts, []) == len(load(NAME).encode(text, add_special_tokens=False).ids)
+    assert sum(map(len, asked)) < 60
+
+
 def test_known_texts(counts):
     for text in ("it's we'll  two\n\n three", "a<|endoftext|>b", "’quoted’ – 漢字 한글", "½ ² x1", "\t\t end ", "é" * 500):
         assert tokens.count_tokens(text, counts, special_strings(load(NAME))) == len(load(NAME).encode(text, add_special_tokens=False).ids)
@@ -70,3 +85,15 @@ def test_own_merges(name):
     words = ["".join(r.choice("abcdeéüst") for _ in range(r.randint(1, 25))) for _ in range(2000)]
     found = merges(name).encode([w.encode() for w in words])
     assert [x.tolist() for x in found] == [load(name).encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_query(spark, tiny):
+    texts = {r[0]: r[1] or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()}
+    want = {i: (len(t.encode()), n := len(load(NAME).encode(t, add_special_tokens=False).ids), n > 512) for i, t in texts.items()}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.op10_token_counts(spark, tiny).collect()} == want
+
+
+def test_a_very_long_text(spark):
+    text = "some w\u00f6rds \u05d0 and, \U0001f600 " * 60_000
+    got = tokens.with_token_counts(spark.createDataFrame([(1, text), (2, "x" * 300_000)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {1: len(load(NAME).encode(text, add_special_tokens=False).ids), 2: len(load(NAME).encode("x" * 300_000, add_special_tokens=False).ids)}
