@@ -122,7 +122,8 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, steps: int = 300, r
 def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", id_col: str = "doc_id", text: str = "text", sample_rows: int = 4096) -> Ordinal:
     """Fits on at most ``sample_rows`` rated rows, those of the smallest hashes of their ids.
 
-    Rows without id or grade are left out; of an id's ratings the lowest counts; of rows that share an id one is taken.
+    Rows without id or grade are left out; of an id's ratings the lowest counts; of rows that share an id the
+    smallest text is taken.
     """
     rated = labels.where(F.col(id_col).isNotNull() & F.col(grade).isNotNull()).groupBy(id_col).agg(F.min(grade).cast("double").alias("_grade"))
     sample = rated.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
@@ -134,18 +135,36 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=schema.names)
 
     found = docs.select(docs[id_col].alias("_id"), docs[text].alias("_text")).join(F.broadcast(sample.withColumnRenamed(id_col, "_id")), "_id")  # at most sample_rows rows
-    rows = found.select("_id", "_grade", "_text").mapInArrow(run, schema).dropDuplicates(["_id"]).collect()
+    single = found.groupBy("_id").agg(F.min(F.struct("_text", "_grade")).alias("least")).select("_id", "least._grade", "least._text")
+    rows = single.mapInArrow(run, schema).collect()
     rows.sort(key=lambda r: r[0])
     x = np.stack([np.frombuffer(r[2], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, WIDTH), np.float32)
     return fit(x, np.array([r[1] for r in rows]))
 
 
+def _above(model: Ordinal, texts: pa.Array) -> np.ndarray:
+    parts = [model.above(features(data, offsets)) for _, _, data, offsets in text_slices(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(model.thresholds)))
+
+
+def keep_selected(docs: DataFrame, model: Ordinal, accept: float = 1, probability: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``score`` selects, with all their columns, whatever their names."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.tail(_above(model, batch.column(place)), accept) >= probability, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Ordinal, accept: float = 1, probability: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` with expected_grade, tail_probability (of grade ``accept`` or more) and selected.
 
     A document is selected if that probability is at least ``probability``. A null text counts as empty; null,
     tied and repeated ids make no difference; an empty table gives an empty table; columns of ``docs`` stay as
-    they are, but for those named like the three. Whole texts are read. A model of a single grade gives it to all.
+    they are, but for those named like the three, which are replaced. Whole texts are read. A model of a single
+    grade gives it to all.
     """
     added = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("selected", T.BooleanType())]
     docs = docs.drop(*[f.name for f in added])
@@ -154,8 +173,7 @@ def score(docs: DataFrame, model: Ordinal, accept: float = 1, probability: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            above = [model.above(features(data, offsets)) for _, _, data, offsets in text_slices(batch.column(place))]
-            above = np.concatenate(above) if above else np.zeros((0, len(model.thresholds)))
+            above = _above(model, batch.column(place))
             tail = model.tail(above, accept)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.expected(above), pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= probability, pa.bool_())], names=schema.names)
 

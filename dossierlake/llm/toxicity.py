@@ -343,7 +343,8 @@ def _set_curve(net: Network, logit: np.ndarray, y: np.ndarray, share: float) ->
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", sample_rows: int = 2048, sample_bytes: int = 8192) -> Network:
     """Fits on at most ``sample_rows`` rows of either label, those of the smallest hashes of their ids.
 
-    Rows that ``held_out`` names are never learned from, nor are rows without id or label. Texts of more than
+    Rows that ``held_out`` names are never learned from, nor are rows without id or label; of rows that share an id
+    the smallest text is taken. Texts of more than
     ``sample_bytes`` aren't taken into the sample, which is at most 2 * sample_rows * sample_bytes on the driver.
     """
     given = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("_label"))
@@ -351,7 +352,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     drawn = [given.where(f"_label = {k}").orderBy(F.xxhash64(id_col), id_col).limit(sample_rows) for k in (0, 1)]
     sample = F.broadcast(drawn[0].unionByName(drawn[1]).withColumnRenamed(id_col, "_id"))  # at most twice sample_rows rows
     fits = docs.where(docs[text].isNotNull() & (F.octet_length(docs[text]) <= sample_bytes))
-    rows = fits.select(fits[id_col].alias("_id"), fits[text].alias("_text")).join(sample, "_id").dropDuplicates(["_id"]).select("_id", "_text", "_label").collect()
+    rows = fits.select(fits[id_col].alias("_id"), fits[text].alias("_text")).join(sample, "_id").groupBy("_id").agg(F.min(F.struct("_text", "_label")).alias("least")).select("_id", "least._text", "least._label").collect()
     rows.sort(key=lambda r: (zlib.crc32(f"{r[0]}:".encode()), r[0]))
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     return fit([r[1] for r in rows], np.array([r[2] for r in rows]), min(max(share, 0.001), 0.999))
