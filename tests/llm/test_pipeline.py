@@ -28,7 +28,7 @@ def table(spark, tmp_path_factory):
         elif i % 9 == 2:
             text += " " + items[i % 5][1]
         elif i % 9 == 3 and len(rows) > 3:
-            text = rows[-1][1].rsplit(" ", 1)[0]
+            text, grade = rows[-1][1].rsplit(" ", 1)[0], rows[-1][2]
         rows.append((i, text, grade))
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], COLUMNS).write.parquet(f"file://{at}/documents.parquet")
     spark.createDataFrame([(i, g, 0) for i, _, g in rows], "doc_id long, quality int, toxic int").write.parquet(f"file://{at}/labels.parquet")
