@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
 next one's docs. All but the last return the columns of their docs; the last returns a row per piece, with its
-place in a sequence. A stage may leave tables in the shared folder that its lazy result reads; the next stage, which
-reads what was written, removes them.
+place in a sequence. A stage leaves the tables that its lazy result reads in the shared folder; ``run``, which
+writes each stage before the next, removes them and its own tables, but those of the last.
 """
 
 from __future__ import annotations
@@ -11,43 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dossierlake.llm import decontam, exact, minhash, packing, quality
-from dossierlake.llm._scratch import Scratch
-
-_left: list[Scratch] = []
-
-
-def _scratch(spark: SparkSession, stage: str) -> Scratch:
-    while _left:
-        _left.pop().discard()
-    _left.append(Scratch(spark, f"pipeline-{stage}"))
-    return _left[-1]
+from dossierlake.llm._scratch import Scratch, stage_tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the rated ones among them, doesn't reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("selected").select(*docs.columns)
+    return quality.keep_selected(docs, model)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact.drop_duplicates(docs, scratch=_scratch(spark, "exact"))
+    return exact.drop_duplicates(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    return minhash.drop_near_duplicates(docs, scratch=_scratch(spark, "near"))
+    return minhash.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    _scratch(spark, "leaks")
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents that are left, packed."""
-    return packing.pack(docs, scratch=_scratch(spark, "pack"))
+    return packing.pack(docs)
 
 
 STAGES = [
@@ -67,6 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     between = Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else between.keep(out, name)
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with stage_tables(spark):
+            docs = between.keep(stage(spark, docs, sf_dir), name)
+        if k:
+            between.discard(STAGES[k - 1][0])
