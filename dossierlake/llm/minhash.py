@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossierlake.llm._bytes import LOWER, NOT_ALNUM, U64, Words, mix, text_slices, window_hash, window_starts
+from dossierlake.llm._columns import join_groups, spare
 from dossierlake.llm._scratch import Scratch
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -120,9 +121,9 @@ def _sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(docs[id_col], docs[text]).mapInArrow(run, schema)
 
 
-def with_bag(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with the name of each text's bag."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_bag", T.BinaryType())])
+def with_bag(docs: DataFrame, text: str, bag: str) -> DataFrame:
+    """``docs`` with the name of each text's bag in column ``bag``."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(bag, T.BinaryType())])
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,7 @@ def _small_bands(rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 
 def _features(texts: DataFrame) -> DataFrame:
-    """Each bag's shingles, numbered where they repeat, as 32-bit hashes."""
+    """Each bag's shingles, numbered where they repeat, as 64-bit hashes."""
     schema = T.StructType([T.StructField("bag", T.BinaryType()), T.StructField("features", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +236,9 @@ def _features(texts: DataFrame) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
                 at = np.arange(len(h))
                 again = at - np.maximum.accumulate(np.where(new, at, 0))
-                short = (mix(h + mix(again.astype(U64))) >> U64(32)).astype(np.uint32)
+                numbered = mix(h + mix(again.astype(U64)))
                 bounds = np.searchsorted(t, np.arange(n + 1))
-                out += [short[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+                out += [numbered[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=schema.names)
 
     return texts.mapInArrow(run, schema)
@@ -245,14 +246,14 @@ def _features(texts: DataFrame) -> DataFrame:
 
 def _common(rows: list[bytes]) -> np.ndarray:
     """How many features each two rows have in common, as products of slices of the features that several rows have."""
-    size = np.array([len(x) // 4 for x in rows])
-    values, place, count = np.unique(np.frombuffer(b"".join(rows), np.uint32), return_inverse=True, return_counts=True)
+    size = np.array([len(x) // 8 for x in rows])
+    _, place, count = np.unique(np.frombuffer(b"".join(rows), U64), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(rows)), size)
     some = count[place] > 1
     owner, place = owner[some], (np.cumsum(count > 1) - 1)[place[some]]
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
-    out, width = np.zeros((len(rows), len(rows)), np.float32), 2048
+    out, width = np.zeros((len(rows), len(rows))), 2048
     for low in range(0, int(place[-1]) + 1 if len(place) else 0, width):
         a, b = np.searchsorted(place, (low, low + width))
         x = np.zeros((len(rows), width), np.float32)
@@ -264,13 +265,12 @@ def _common(rows: list[bytes]) -> np.ndarray:
 def _large_bands(rest: DataFrame, texts: DataFrame, threshold: tuple[int, int], block: int) -> DataFrame:
     """For each member of a large band and each other component there, the likeliest link, to be compared exactly.
 
-    Short hashes can count a shingle too many, so where the likeliest one is within two shingles of the threshold all
-    that reach so far are handed back.
+    A band's members are dealt to blocks of about ``block`` by hash, and each two blocks are a group.
     """
     above, below = threshold
-    ranked = rest.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("band").orderBy("bag")) - 1) / block).cast("int"))
-    last = F.floor((F.col("size") - 1) / block).cast("int")
-    spread = ranked.select("band", "bag", "component", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    blocks = F.ceil(F.col("size") / block)
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("bag", "band"), blocks).cast("int"))
+    spread = dealt.select("band", "bag", "component", "block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
     spread = spread.select("band", "bag", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     held = spread.join(_features(texts), "bag")
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
@@ -281,27 +281,24 @@ def _large_bands(rest: DataFrame, texts: DataFrame, threshold: tuple[int, int],
         a, b = [], []
         if len(set(parts)) > 1:
             rows = table["features"].to_pylist()
-            size = np.array([len(x) // 4 for x in rows], float)
+            size = np.array([len(x) // 8 for x in rows], float)
             inter = _common(rows)
-            slack = below * (inter + 2) - above * (size[:, None] + size[None] - inter - 2)
-            slack[part[:, None] == part[None]] = -1
+            excess = below * inter - above * (size[:, None] + size[None] - inter)
+            excess[part[:, None] == part[None]] = -1
             if len(set(blocks.tolist())) > 1:  # pairs within a block have a group of their own
-                slack[blocks[:, None] == blocks[None]] = -1
-            for i in np.flatnonzero((slack >= 0).any(1)):
-                fits = np.flatnonzero(slack[i] >= 0)
-                for c in np.unique(part[fits]):
-                    own = fits[part[fits] == c]
-                    best = own[np.argmax(slack[i, own])]
-                    sure = below * (inter[i, best] - 2) >= above * (size[i] + size[best] - inter[i, best] + 2)
-                    for k in [best] if sure else own.tolist():
-                        a.append(max(bags[i], bags[k]))
-                        b.append(min(bags[i], bags[k]))
+                excess[blocks[:, None] == blocks[None]] = -1
+            for i in np.flatnonzero((excess >= 0).any(1)):
+                fits = np.flatnonzero(excess[i] >= 0)
+                order = fits[np.lexsort((-excess[i, fits], part[fits]))]
+                for k in order[np.unique(part[order], return_index=True)[1]]:
+                    a.append(max(bags[i], bags[k]))
+                    b.append(min(bags[i], bags[k]))
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return held.groupBy("band", "i", "j").applyInArrow(run, schema)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: tuple[int, int] = (4, 5), small: int = 8, block: int = 512, scratch: Scratch | None = None) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: tuple[int, int] = (4, 5), small: int = 8, block: int = 1024, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: id_col, bag, component, class_id, class_size.
 
     ``class_id`` is the smallest id of the class; ``component`` tells classes apart even where ids repeat.
@@ -318,14 +315,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     distinct = rows.groupBy("bag").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))  # equal bags have equal bands
     banded = scratch.keep(distinct.select("bag", "n", F.explode("bands").alias("band")), "bands")
     shared = scratch.keep(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
-    member = scratch.keep(banded.join(shared, "band"), "members")
-    scratch.discard("bands")
+    total = banded.count()
+    member = scratch.keep(join_groups(banded, shared, "band", total), "members")
+    scratch.discard("bands", "shared")
     central = scratch.keep(member.groupBy("bag").agg(F.sum("size").alias("central")), "central")
-    hubs = member.join(central, "bag").groupBy("band").agg(F.max(F.struct("central", "bag", "n")).alias("hub"))
-    hubs = scratch.keep(hubs.select("band", F.col("hub.bag").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    star = member.join(hubs, "band").where((F.col("bag") != F.col("hub")) & _compatible(threshold, "n", "hub_n")).select(F.col("bag").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = member.join(central, "bag").groupBy("band").agg(F.max(F.struct("central", "bag", "n")).alias("hub"), F.max("size").alias("size"))
+    hubs = scratch.keep(hubs.select("band", F.col("hub.bag").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "hubs")
+    star = join_groups(member.drop("size"), hubs, "band", total).where((F.col("bag") != F.col("hub")) & _compatible(threshold, "n", "hub_n")).select(F.col("bag").alias("a"), F.col("hub").alias("b")).distinct()
     # One text of each bag that shares a band.
-    texts = with_bag(docs.select(docs[text].alias("text")), "text").select(F.col("_bag").alias("bag"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = with_bag(docs.select(docs[text].alias("text")), "text", "bag").select("bag", F.coalesce("text", F.lit("")).alias("text"))
     # Joined alike at every size: a broadcast would only serve tables so small that nothing is gained.
     texts = scratch.keep(texts.join(central.select("bag").hint("merge"), "bag", "left_semi").dropDuplicates(["bag"]), "texts")
     links = _Links(scratch, texts, threshold)
@@ -333,9 +331,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     found = scratch.keep(links.components(), "found")
     named = member.join(found, "bag", "left").withColumn("component", F.coalesce("component", "bag"))
     named = scratch.keep(named, "named")
-    apart = named.groupBy("band").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least <> _most").select("band")
-    rest = scratch.keep(named.join(scratch.keep(apart, "apart"), "band", "left_semi"), "rest")
-    scratch.discard("named")
+    apart = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("size").alias("size")).where("least <> most").select("band", "size")
+    rest = scratch.keep(join_groups(named.drop("size"), scratch.keep(apart, "apart"), "band", total), "rest")
+    scratch.discard("named", "members", "hubs", "stars")
     pairs = _small_bands(rest.where(F.col("size") <= small), threshold).unionByName(_large_bands(rest.where(F.col("size") > small), texts, threshold, block))
     pairs = scratch.keep(pairs.distinct(), "pairs")
     if not pairs.isEmpty():
@@ -343,20 +341,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
         found = links.components()
     classed = rows.select("id", "bag").join(found, "bag", "left").withColumn("component", F.coalesce("component", "bag"))
     classed = scratch.keep(classed, "classed")
-    names = scratch.keep(classed.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
-    return classed.join(names, "component").select(F.col("id").alias(id_col), "bag", "component", "class_id", "class_size")
+    names = scratch.keep(classed.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")), "classes")
+    scratch.keep_only("classed", "classes")
+    every = join_groups(classed, names, "component", classed.count())
+    return every.select(F.col("id").alias(id_col), "bag", "component", "class_id", F.col("size").alias("class_size"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """One row of each class of ``near_classes``, that of the smallest id, with all its columns."""
+    """One row of each class of ``near_classes``, that of the smallest id, with all its columns, whatever their names."""
     classes = near_classes(docs, id_col, text, scratch=scratch)
     # Ids without a value come last; of rows that share the smallest id one stays.
-    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("_id"), F.col("bag").alias("_own")))
-    kept = classes.groupBy("component").agg(least.alias("k")).select("k._id", "k._own")
-    keyed = with_bag(docs, text)
-    found = keyed.join(kept, (F.col("_bag") == F.col("_own")) & keyed[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    first = Window.partitionBy("_bag", id_col).orderBy(F.lit(1))
-    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_bag", "_n")
+    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("bag").alias("bag")))
+    own, known, bag, number = spare(docs, "own_bag", "kept_id", "kept_bag", "number")
+    kept = classes.groupBy("component").agg(least.alias("k")).select(F.col("k.id").alias(known), F.col("k.bag").alias(bag))
+    found = with_bag(docs, text, own).join(kept, (F.col(own) == F.col(bag)) & F.col(id_col).eqNullSafe(F.col(known)), "left_semi")
+    first = Window.partitionBy(own, id_col).orderBy(F.lit(1))
+    return found.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(own, number)
 
 
 def op7_minhash(spark, sf_dir: str) -> DataFrame:

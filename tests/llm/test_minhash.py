@@ -9,7 +9,7 @@ import pytest
 
 from dossierlake.llm import minhash
 from dossierlake.llm._bytes import mix
-from tests.llm.conftest import prose
+from tests.llm.conftest import prose, whole
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -91,6 +91,36 @@ def test_strange_rows(spark, strange, empty):
     assert minhash.near_classes(empty).collect() == [] and minhash.drop_near_duplicates(empty).collect() == []
 
 
+def test_clashing_columns(clashing, corpus):
+    left = minhash.drop_near_duplicates(clashing)
+    assert whole(left, clashing) and sorted(r["doc_id"] for r in left.collect()) == sorted(set(brute(corpus).values()))
+
+
+def test_common_features_are_counted_exactly():
+    r = np.random.default_rng(3)
+    bags_ = [r.choice(5000, int(n), replace=False).astype(np.uint64) for n in r.integers(1, 4000, 20)]
+    found = minhash._common([mix(x).tobytes() for x in bags_])
+    assert all(found[i, j] == len(np.intersect1d(bags_[i], bags_[j])) for i in range(20) for j in range(20) if i != j)
+
+
+def test_long_texts(spark):
+    r = random.Random(6)
+    long = prose(r, 60_000).split(" ")
+    near, far = list(long), list(long)
+    near[::100] = ["changed"] * len(near[::100])
+    far[::10] = ["changed"] * len(far[::10])
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far)), (4, "x" * 300_000)]
+    assert classes(spark, rows) == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_query(spark, tiny):
+    """The query on its small table against all pairs."""
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute(rows)
+    size = Counter(want.values())
+    assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in minhash.op7_minhash(spark, tiny).collect()} == {i: (c, size[c]) for i, c in want.items()}
+
+
 def test_components(spark, tmp_path):
     from dossierlake.llm._scratch import Scratch
 
