@@ -15,9 +15,14 @@ _ACCENTED = "".join(chr(c) for c in range(0xC0, 0x180) if len(unicodedata.normal
 _PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED)
 
 
+def without_accents(text: Column) -> Column:
+    """Latin letters without the accents that Unicode composes with them."""
+    return F.translate(text, _ACCENTED, _PLAIN)
+
+
 def normal_name(name: Column) -> Column:
     """Latin letters without accents in lower case, single spaces between words."""
-    plain = F.lower(F.translate(F.coalesce(name, F.lit("")), _ACCENTED, _PLAIN))
+    plain = F.lower(without_accents(F.coalesce(name, F.lit(""))))
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z\s]", " "), r"\s+", " "))
 
 
@@ -37,7 +42,8 @@ def sound(word: Column) -> Column:
     Vowels neither count nor part equal codes, the first letter has no code, and Y counts as 2.
     """
     up = F.upper(F.trim(word))
-    codes = F.translate(F.regexp_replace(F.substring(up, 2, 1000), "[^BCDFGJKLMNPQRSTVXYZ]", ""), "BFPVCGJKQSXYZDTLMNR", "1111222222222334556")
+    # Fixed value: the code of each consonant.
+    codes = F.translate(F.regexp_replace(F.substr(up, F.lit(2)), "[^BCDFGJKLMNPQRSTVXYZ]", ""), "BFPVCGJKQSXYZDTLMNR", "1111222222222334556")
     squeezed = F.regexp_replace(codes, r"(\d)\1+", "$1")
     return F.when(up == "", "").otherwise(F.rpad(F.concat(F.substring(up, 1, 1), F.substring(squeezed, 1, 3)), 4, "0"))
 
@@ -99,11 +105,23 @@ def fuzzy_score(a: str, b: str) -> float:
     return max(indel_ratio(a, b), indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), _token_set(a, b), _partial(a, b))
 
 
+def _each_pair(score, a: pd.Series, b: pd.Series) -> pd.Series:
+    """The score of each pair; equal pairs of a batch are scored once."""
+    pairs = pd.MultiIndex.from_arrays([a.fillna(""), b.fillna("")])
+    place, distinct = pd.factorize(pairs)
+    return pd.Series([score(x, y) for x, y in distinct], dtype="float64").take(place).reset_index(drop=True)
+
+
+@F.pandas_udf(T.DoubleType())
+def sorted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The better of the plain ratio and that of the words in order."""
+    return _each_pair(lambda x, y: max(indel_ratio(x, y), indel_ratio(" ".join(sorted(x.split())), " ".join(sorted(y.split())))) if x and y else 0.0, a, b)
+
+
 @F.pandas_udf(T.DoubleType())
 def fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Best of the plain, sorted-word, shared-word and partial ratios; equal pairs of a batch are scored once."""
-    known: dict[tuple[str, str], float] = {}
-    return pd.Series([known[p] if (p := (x or "", y or "")) in known else known.setdefault(p, fuzzy_score(*p)) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Best of the plain, sorted-word, shared-word and partial ratios."""
+    return _each_pair(fuzzy_score, a, b)
 
 
 def name_score(a: Column, b: Column) -> Column:

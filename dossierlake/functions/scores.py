@@ -15,6 +15,7 @@ def clip(x: Column, low: float = 0, high: float = 100) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+# The penalties of unreadable text, and the upper ends of the risk levels.
 def ocr_penalty(confidence: Column) -> Column:
     return F.when(confidence < 0.40, (0.40 - confidence) * 30).when(confidence < 0.70, (0.70 - confidence) * 10).otherwise(0.0)
 
@@ -50,13 +51,55 @@ def pattern_score(flags: Column) -> Column:
     return F.least(F.lit(100), points)
 
 
+#: How texts state a percentage, and averages of a course or a term, in the order in which they are tried.
+PERCENTAGES = (
+    r"(?i)percentage[:\s]+([0-9]{1,3}(?:\.[0-9]{1,2})?)\s*%?",
+    r"(?i)([0-9]{1,3}(?:\.[0-9]{1,2})?)\s*%",
+    r"(?i)percent(?:age)?\s*[:\-]\s*([0-9]{1,3}(?:\.[0-9]{1,2})?)",
+    r"(?i)aggregate\s*(?:percentage|%)?\s*[:\-]?\s*([0-9]{1,3}(?:\.[0-9]{1,2})?)",
+    r"(?i)([0-9]{2,3}\.[0-9]{2})\s*(?:percent|%|pct)",
+)
+CGPA = r"(?i)(?:cgpa|cumulative\s+gpa)[:\s\-]*([0-9]+(?:\.[0-9]{1,2})?)"
+SGPA = r"(?i)(?:sgpa|semester\s+gpa|sem\s+gpa)[:\s\-]*([0-9]+(?:\.[0-9]{1,2})?)"
+
+
 def percentage(obtained: Column, total: Column) -> Column:
-    """Two digits; null without a positive total."""
-    return F.when(total > 0, F.round(obtained / total * 100, 2))
+    """Two digits; null without a positive total that holds the marks."""
+    return F.when((total > 0) & (obtained <= total), F.round(obtained / total * 100, 2))
+
+
+def stated_percentage(text: Column) -> Column:
+    """The first percentage up to 100 that a text states, by the first pattern whose first match is one."""
+    found = [F.when(text.rlike(p), F.regexp_extract(text, p, 1).cast("double")) for p in PERCENTAGES]
+    return F.coalesce(*[F.when(x <= 100, F.round(x, 2)) for x in found])
+
+
+def resolved_percentage(given: Column, obtained: Column, total: Column, text: Column) -> Column:
+    """The given percentage if it can be one, else what the marks make, else what the text states."""
+    return F.coalesce(F.when((given > 0) & (given <= 100), given), percentage(obtained, total), stated_percentage(text))
+
+
+def stated_average(text: Column) -> Column:
+    x = F.when(text.rlike(CGPA), F.regexp_extract(text, CGPA, 1).cast("double"))
+    return F.when(x <= 10, F.round(x, 2))
+
+
+def stated_terms(text: Column) -> Column:
+    """All averages of terms that a text states, up to 10."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(SGPA), 1), lambda x: F.round(x.cast("double"), 2)), lambda x: x <= 10)
+
+
+def course_average(terms: Column) -> Column:
+    """The average of terms (structs of sgpa and credits), by credits where all have them; terms of average 0 don't count."""
+    some = F.filter(terms, lambda t: F.coalesce(t["sgpa"], F.lit(0.0)) != 0)
+    add = lambda of: F.aggregate(some, F.lit(0.0), lambda a, t: a + of(t))
+    credits = add(lambda t: t["credits"])
+    weighted = F.when(F.forall(some, lambda t: t["credits"].isNotNull()) & (credits > 0), add(lambda t: t["sgpa"] * t["credits"]) / F.nullif(credits, F.lit(0.0)))
+    return F.when(F.size(some) > 0, F.round(F.coalesce(weighted, add(lambda t: t["sgpa"]) / F.size(some)), 2))
 
 
-def cgpa_percentage(cgpa: Column, factor: float = 9.5) -> Column:
-    return F.when((cgpa > 0) & (cgpa <= 10), F.round(cgpa * factor, 2))
+def cgpa_percentage(cgpa: Column, scale: float = 10.0) -> Column:
+    return F.round(cgpa / scale * 100, 2)
 
 
 def recalibrated(confidence: Column, valid: Column, repaired: Column, retries: Column) -> Column:

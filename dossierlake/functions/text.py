@@ -206,4 +206,4 @@ def title_case(text: Column) -> Column:
     """A capital after anything that isn't a letter, the rest small."""
     marked = F.regexp_replace(F.lower(text), r"([^a-z]|^)([a-z])", "$1\u0001$2")
     parts = F.split(marked, "\u0001")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))).otherwise(p)), "")

@@ -81,7 +81,7 @@ def patterns(s: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "pattern_score", F.concat_ws(",", "f").alias("flags"), ((F.col("pattern_score") >= 25) | (F.size("f") >= 2)).alias("is_suspicious"))
 
 
-query("m9_percentages", f"""SELECT {_K} AS id, CASE WHEN {_K} % 700 > 0 THEN round(({_K} % 500) / ({_K} % 700)::DOUBLE * 100, 2) END AS pct, CASE WHEN ({_K} % 110) / 10.0 > 0 AND ({_K} % 110) / 10.0 <= 10 THEN round(({_K} % 110) / 10.0::DOUBLE * 9.5::DOUBLE, 2) END AS from_cgpa FROM orders""")(
+query("m9_percentages", f"""SELECT {_K} AS id, CASE WHEN {_K} % 700 > 0 AND {_K} % 500 <= {_K} % 700 THEN round(({_K} % 500) / ({_K} % 700)::DOUBLE * 100, 2) END AS pct, round(({_K} % 110) / 10.0::DOUBLE / 10.0::DOUBLE * 100, 2) AS from_cgpa FROM orders""")(
     lambda s, d: lt.table(s, d, "orders").select(F.col(_K).alias("id"), sc.percentage(F.col(_K) % 500, F.col(_K) % 700).alias("pct"), sc.cgpa_percentage(F.col(_K) % 110 / F.lit(10.0)).alias("from_cgpa")))
 query("m12_recalibrated", f"""SELECT id, round(greatest(0.0, least(1.0, CASE WHEN id % 3 = 0 THEN (c + 0.9::DOUBLE) / 2 ELSE c END + CASE WHEN id % 2 = 0 THEN 0.1::DOUBLE ELSE -0.3::DOUBLE END - (id % 4) * 0.05::DOUBLE)), 6) AS confidence
   FROM (SELECT {_K} AS id, ({_K} % 100) / 100.0::DOUBLE AS c FROM orders)""")(
