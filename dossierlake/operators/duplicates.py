@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +13,14 @@ IDENTICAL, NEAR, SIMILAR = 3, 10, 20
 INCOMPARABLE = 999
 
 
-def halves(digits: str) -> tuple[Column, Column]:
-    """A hash of up to 16 hex digits as two numbers of 32 bits."""
-    full = F.lpad(F.col(digits), 16, "0")
-    return F.conv(F.substring(full, 1, 8), 16, 10).cast("long"), F.conv(F.substring(full, 9, 8), 16, 10).cast("long")
+def bits(digits: Column) -> Column:
+    """A hash of up to 16 hex digits as one signed number of 64 bits."""
+    return F.conv(digits, 16, -10).cast("long")
 
 
-def hamming(a: str, b: str) -> Column:
-    (ah, al), (bh, bl) = halves(a), halves(b)
-    bits = F.bit_count(ah.bitwiseXOR(bh)) + F.bit_count(al.bitwiseXOR(bl))
-    return F.when(F.length(F.col(a)) == F.length(F.col(b)), bits).otherwise(INCOMPARABLE)
+def hamming(a: Column, b: Column) -> Column:
+    """Bits in which two hashes differ; hashes of different lengths can't be compared."""
+    return F.when(F.length(a) == F.length(b), F.bit_count(bits(a).bitwiseXOR(bits(b)))).otherwise(INCOMPARABLE)
 
 
 def similarity(distance: Column, bits: int = 64) -> Column:
@@ -34,40 +32,56 @@ def match_class(distance: Column) -> Column:
     return F.when(distance <= IDENTICAL, "IDENTICAL").when(distance <= NEAR, "NEAR_DUPLICATE").when(distance <= SIMILAR, "SIMILAR").otherwise("DIFFERENT")
 
 
+KINDS = ("phash", "ahash", "dhash")
+#: Bands of 16 bits into which a hash is cut.
+BANDS = 4
+
+
+def _masks(most: int) -> list[int]:
+    """All numbers of 16 bits with at most ``most`` bits set."""
+    return [sum(1 << i for i in on) for k in range(most + 1) for on in combinations(range(16), k)]
+
+
+def image_hashes(hashes: DataFrame) -> DataFrame:
+    """Each document and kind with its hash: the class that ``near_images`` links."""
+    return hashes.select("document_id", "user_id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("hash")) for k in KINDS])))
+
+
+def hash_classes(hashes: DataFrame) -> DataFrame:
+    """Each distinct hash of a kind with the documents and users that have it."""
+    return image_hashes(hashes).where(F.col("hash").isNotNull()).groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("documents"), F.min("document_id").alias("first_document"), F.min("user_id").alias("least_user"), F.max("user_id").alias("most_user"))
+
+
 def near_images(hashes: DataFrame, threshold: int = NEAR) -> DataFrame:
-    """Pairs of documents of different users within ``threshold`` bits in any of the three hashes; similarity is that of phash.
+    """Pairs of distinct hashes of a kind within ``threshold`` bits that documents of different users have, equal ones as a pair of themselves.
 
-    Hashes within t bits agree on one of t + 1 bands, so bands are joined, never all pairs; a document whose three
-    hashes and user repeat joins once for all its copies, by its least id; ``image_members`` has the others.
+    Pairs are of hashes, not of documents, so copies are never expanded; ``image_hashes`` tells the documents of each.
+    Hashes within t bits differ in at most t // 4 bits in one of four bands. Each side is put down under all band
+    values half that far from its own, so near ones meet under one value, and the distance is taken where they meet.
     """
-    names = ("phash", "ahash", "dhash")
-    unique = hashes.groupBy("user_id", *names).agg(F.min("document_id").alias("document_id"), F.count(F.lit(1)).alias("copies"))
-    bands = threshold + 1
-    cuts = [round(k * 64 / bands) for k in range(bands + 1)]
-
-    def keys(name: str) -> Column:
-        bits = F.lpad(F.conv(F.substring(F.lpad(name, 16, "0"), 1, 8), 16, 2), 32, "0"), F.lpad(F.conv(F.substring(F.lpad(name, 16, "0"), 9, 8), 16, 2), 32, "0")
-        text = F.concat(*bits)
-        return F.array(*[F.concat_ws(":", F.lit(name[0]), F.length(name).cast("string"), F.lit(str(k)), F.substring(text, a + 1, b - a)) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-
-    banded = unique.select("document_id", "user_id", *names, F.explode(F.concat(*[keys(n) for n in names])).alias("band"))
-    a = banded.select("band", *[F.col(c).alias(f"{c}_a") for c in ("document_id", "user_id", *names)])
-    b = banded.select("band", *[F.col(c).alias(f"{c}_b") for c in ("document_id", "user_id", *names)])
-    distances = [hamming(f"{n}_a", f"{n}_b") for n in names]
-    least = reduce(lambda x, y: F.least(x, y), distances)
-    # The distance filters inside the join, so pairs that merely share a band never leave it.
-    pairs = a.join(b, (a["band"] == b["band"]) & (F.col("document_id_a") < F.col("document_id_b")) & (F.col("user_id_a") != F.col("user_id_b")) & (least <= threshold))
-    found = pairs.select(F.col("document_id_a").alias("doc_a"), F.col("document_id_b").alias("doc_b"), least.alias("distance"), similarity(distances[0]).alias("similarity")).distinct()
-    return found.withColumn("match_class", match_class(F.col("distance")))
-
-
-def image_members(hashes: DataFrame) -> DataFrame:
-    """Each document, the one that stands for it in ``near_images``, and how many have its user and three hashes."""
-    key = ("user_id", "phash", "ahash", "dhash")
-    unique = hashes.groupBy(*key).agg(F.min("document_id").alias("representative"), F.count(F.lit(1)).alias("copies"))
-    u = unique.select(*[F.col(c).alias(f"{c}_u") for c in key], "representative", "copies")
-    same = reduce(lambda x, y: x & y, [hashes[c].eqNullSafe(u[f"{c}_u"]) for c in key])
-    return hashes.join(u, same).select("document_id", "representative", "copies")
+    classes = hash_classes(hashes)
+    coded = classes.withColumn("code", bits(F.col("hash"))).withColumn("digits", F.length("hash"))
+    radius = threshold // BANDS
+
+    def under(most: int, side: str) -> DataFrame:
+        masks = F.array(*[F.lit(m) for m in _masks(most)])
+        keys = [F.transform(masks, _put_down(16 * i, i)) for i in range(BANDS)]
+        return coded.select("kind", "digits", *[F.col(c).alias(f"{c}_{side}") for c in ("hash", "code", "documents", "least_user", "most_user")], F.explode(F.concat(*keys)).alias("key"))
+
+    apart = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b")))
+    met = under(radius // 2, "a").join(under(radius - radius // 2, "b"), ["kind", "digits", "key"]).where((F.col("hash_a") != F.col("hash_b")) & (apart <= threshold))
+    shown = ["kind", F.least("hash_a", "hash_b").alias("hash_a"), F.greatest("hash_a", "hash_b").alias("hash_b"), apart.alias("distance")]
+    turned = F.col("hash_a") < F.col("hash_b")
+    shown += [F.when(turned, F.col(f"documents_{x}")).otherwise(F.col(f"documents_{y}")).alias(f"documents_{x}") for x, y in (("a", "b"), ("b", "a"))]
+    users = F.least("least_user_a", "least_user_b") < F.greatest("most_user_a", "most_user_b")
+    pairs = met.where(users).select(*shown).distinct()
+    same = classes.where("least_user < most_user").select("kind", F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("distance"), F.col("documents").alias("documents_a"), F.col("documents").alias("documents_b"))
+    return pairs.unionByName(same).withColumns({"similarity": similarity(F.col("distance")), "match_class": match_class(F.col("distance"))})
+
+
+def _put_down(shift: int, band: int):
+    """The band's value after a mask, with the band's number above it."""
+    return lambda m: F.shiftright("code", shift).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(m) + F.lit(band << 16)
 
 
 def duplicate_score(matches: DataFrame, key: str) -> DataFrame:

@@ -7,8 +7,6 @@ is spread by page.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +17,9 @@ PAGE = ["doc", "page"]
 LEAST_CONF, LEAST_WIDTH, LEAST_HEIGHT = 0.55, 2, 3
 #: Row tolerance by policy, as a factor of the median height, a floor and a ceiling.
 TOLERANCE = {"line": (0.55, 5.0, None), "strict": (0.70, 3.0, 30.0), "block": (0.55, 6.0, None)}
-DATE = re.compile(r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b")
-AMOUNT = re.compile(r"\d[\d,]*\.\d{2}\b")
+#: What looks like a date or an amount in a table's row.
+DATE = r"(?i)\b(\d{1,2}[-/\s]?\w{3}|\d{4}[-/]\d{2}[-/]\d{2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4})\b"
+AMOUNT = r"\b\d[\d,]*\.?\d*\b"
 
 
 def clean_words(words: DataFrame) -> DataFrame:
@@ -86,18 +85,16 @@ def region_type(width: float, height: float) -> Column:
 
 
 def regions(rows: DataFrame, width: float = 1000.0, height: float = 1600.0) -> DataFrame:
-    """Lines with their region. Going down, a paragraph between table rows, or a short one under a table row, joins the table, and the next line sees that."""
-    first = rows.withColumn("region", region_type(width, height))
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line", kind="stable")
-        kind, tokens = pdf["region"].tolist(), pdf["tokens"].tolist()
-        for i in range(1, len(kind) - 1):
-            if kind[i] == "paragraph" and kind[i - 1] == "table" and (kind[i + 1] == "table" or tokens[i] < 5):
-                kind[i] = "table"
-        return pdf.assign(region=kind)
+    """Lines with their region. Going down, a paragraph between table rows, or a short one under a table row, joins the table, and the next line sees that.
 
-    return first.groupBy(*PAGE).applyInPandas(page, first.schema)
+    Such a paragraph passes on what is above it, so it is a table row if the last line that isn't such a one is.
+    """
+    down = Window.partitionBy(*PAGE).orderBy("line")
+    kind = F.col("region")
+    passes = (kind == "paragraph") & F.lag("line").over(down).isNotNull() & ((F.lead("region").over(down) == "table") | ((F.col("tokens") < 5) & F.lead("line").over(down).isNotNull()))
+    x = rows.withColumn("region", region_type(width, height)).withColumn("_passes", F.coalesce(passes, F.lit(False)))
+    above = F.last(F.when(~F.col("_passes"), kind), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("region", F.when(F.col("_passes") & (above == "table"), "table").otherwise(kind)).drop("_passes")
 
 
 def x_clusters(parts: DataFrame, share: float = 0.05, width: float = 1000.0) -> DataFrame:
@@ -118,56 +115,81 @@ def column_anchors(centres: np.ndarray, tolerance: float = 45.0) -> np.ndarray:
     return np.asarray([*out, total / count] if count else out)
 
 
-def _continues(row: list[str], before: list[str]) -> bool:
-    filled = [c for c in row if c.strip()]
-    text = " ".join(filled)
-    if not filled or len(filled) >= 0.65 * len(row) or DATE.search(text) or (AMOUNT.search(text) and len(filled) >= 2):
-        return False
-    return sum(bool(c.strip()) for c in before) >= 2
+def table_cells(parts: DataFrame, most_columns: int = 12) -> DataFrame:
+    """Rows (doc, page, line, column, columns, text) of the table of each page before rows are merged.
 
-
-def table_grid(parts: DataFrame, most_columns: int = 12) -> DataFrame:
-    """Rows (doc, page, row, cells) of the table of each page: anchors met on two lines or more, phrases at the nearest anchor, continuation rows appended to the row above. With too many columns, or none, a cell per line."""
+    Anchors are met on two lines or more, and a phrase is in the column of its nearest anchor. With too many columns,
+    or none, a line is one cell.
+    """
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["line", "x1"], kind="stable")
-        doc, number = pdf["doc"].iloc[0], pdf["page"].iloc[0]
-        anchors = column_anchors(pdf["cx"].to_numpy())
-        nearest = lambda a: np.abs(pdf["cx"].to_numpy()[:, None] - a[None]).argmin(1)
+        centres = pdf["cx"].to_numpy()
+        nearest = lambda a: np.abs(centres[:, None] - a[None]).argmin(1)
+        anchors = column_anchors(centres)
         hits = pd.DataFrame({"line": pdf["line"].to_numpy(), "a": nearest(anchors)}).drop_duplicates()["a"].value_counts()
         anchors = anchors[[k for k in range(len(anchors)) if hits.get(k, 0) >= 2]]
-        if not len(anchors) or len(anchors) > most_columns:
-            grid = [[" ".join(t)] for _, t in pdf.groupby("line", sort=True)["text"]]
-        else:
-            grid, raw = [], pdf.assign(a=nearest(anchors))
-            for _, line in raw.groupby("line", sort=True):
-                cells = [""] * len(anchors)
-                for a, text in zip(line["a"], line["text"], strict=True):
-                    cells[a] = f"{cells[a]} {text}".strip()
-                if grid and _continues(cells, grid[-1]):
-                    grid[-1] = [f"{x} {y}".strip() if y.strip() else x for x, y in zip(grid[-1], cells, strict=True)]
-                else:
-                    grid.append(cells)
-        return pd.DataFrame({"doc": doc, "page": number, "row": range(len(grid)), "cells": grid})
-
-    return parts.groupBy(*PAGE).applyInPandas(page, "doc long, page long, row long, cells array<string>")
-
-
-def nearest_right(words: DataFrame) -> DataFrame:
-    """The word to the right of each word whose centre is within .8 of its height, at the smallest gap from 0 on."""
-    a = words.select(*PAGE, F.col("word_id").alias("a"), F.col("x2").alias("ax2"), F.col("cy").alias("acy"), F.col("height").alias("ah"))
-    b = words.select(*PAGE, F.col("word_id").alias("b"), F.col("x1").alias("bx1"), F.col("cy").alias("bcy"))
-    near = a.join(b, PAGE).where((F.col("a") != F.col("b")) & (F.abs(F.col("acy") - F.col("bcy")) < 0.8 * F.col("ah")) & (F.col("bx1") >= F.col("ax2")))
+        usable = 0 < len(anchors) <= most_columns
+        return pdf[["doc", "page", "line", "x1", "phrase", "text"]].assign(column=nearest(anchors) if usable else 0, columns=len(anchors) if usable else 1)
+
+    placed = parts.groupBy(*PAGE).applyInPandas(page, "doc long, page long, line long, x1 double, phrase long, text string, column int, columns int")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x1", "phrase", "text"))), lambda w: w["text"]), " ")
+    return placed.groupBy(*PAGE, "line", "column", "columns").agg(F.trim(text).alias("text"))
+
+
+def table_grid(parts: DataFrame, most_columns: int = 12) -> DataFrame:
+    """Rows (doc, page, row, cells) of the table of each page, continuation rows appended to the row above.
+
+    A row can continue another if it has text in less than .65 of the columns, no date, and no number beside other
+    text; it does if the row it would continue has text in two columns. Rows that can't continue begin runs: within a
+    run a row continues as soon as any row before it there has two columns filled.
+    """
+    cells = table_cells(parts, most_columns)
+    filled = F.count_if(F.col("text") != "")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "text"))), lambda c: c["text"]), " ")
+    lines = cells.groupBy(*PAGE, "line", "columns").agg(filled.alias("filled"), whole.alias("whole"))
+    can = (F.col("filled") > 0) & (F.col("filled") < 0.65 * F.col("columns")) & ~F.col("whole").rlike(DATE) & ~(F.col("whole").rlike(AMOUNT) & (F.col("filled") >= 2))
+    down = Window.partitionBy(*PAGE).orderBy("line")
+    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
+    x = lines.withColumn("can", can & F.lag("line").over(down).isNotNull())
+    x = x.withColumn("run", F.sum(F.when(F.col("can"), 0).otherwise(1)).over(so_far))
+    run = Window.partitionBy(*PAGE, "run").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("merged", F.col("can") & F.coalesce(F.max("filled").over(run) >= 2, F.lit(False)))
+    x = x.withColumn("row", F.sum(F.when(F.col("merged"), 0).otherwise(1)).over(so_far) - 1)
+    joined = cells.join(x.select(*PAGE, "line", "row"), [*PAGE, "line"]).where("text <> ''")
+    cell = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda c: c["text"]), " ")
+    texts = joined.groupBy(*PAGE, "row", "column").agg(cell.alias("text"))
+    filled_cells = texts.groupBy(*PAGE, "row").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("by_column"))
+    rows = x.where("NOT merged").select(*PAGE, "row", "columns").join(filled_cells, [*PAGE, "row"], "left")
+    return rows.select(*PAGE, "row", F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda k: F.coalesce(F.element_at("by_column", k), F.lit(""))).alias("cells"))
+
+
+def _bands(words: DataFrame, size: float, low: Column, high: Column) -> DataFrame:
+    """Words once for each horizontal band of the page that low..high touches."""
+    first, last = F.floor(low / size), F.floor(high / size)
+    return words.withColumn("band", F.explode(F.sequence(first, last)))
+
+
+def nearest_right(words: DataFrame, band: float = 64.0) -> DataFrame:
+    """The word to the right of each word whose centre is within .8 of its height, at the smallest gap from 0 on.
+
+    Words meet by bands of the page: one in the band of its centre, the other in all that its reach touches.
+    """
+    reach = 0.8 * F.col("height")
+    a = _bands(words, band, F.col("cy") - reach, F.col("cy") + reach).select(*PAGE, "band", F.col("word_id").alias("a"), F.col("x2").alias("ax2"), F.col("cy").alias("acy"), F.col("height").alias("ah"))
+    b = words.select(*PAGE, F.floor(F.col("cy") / band).alias("band"), F.col("word_id").alias("b"), F.col("x1").alias("bx1"), F.col("cy").alias("bcy"))
+    near = a.join(b, [*PAGE, "band"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("acy") - F.col("bcy")) < 0.8 * F.col("ah")) & (F.col("bx1") >= F.col("ax2")))
     return near.groupBy(*PAGE, "a").agg(F.min_by("b", F.struct(F.col("bx1") - F.col("ax2"), "b")).alias("right"))
 
 
-def overlaps(words: DataFrame, least: float = 0.4) -> DataFrame:
-    """Pairs of boxes of one page whose intersection over union is above ``least``."""
+def overlaps(words: DataFrame, least: float = 0.4, band: float = 64.0) -> DataFrame:
+    """Pairs of boxes of one page whose intersection over union is above ``least``. Boxes meet in the band of the page where the lower of their upper edges is."""
     from dossierlake.functions.scores import box_overlap
 
-    a = words.select(*PAGE, *[F.col(c).alias(f"a_{c}") for c in ("word_id", "x1", "y1", "x2", "y2")])
-    b = words.select(*PAGE, *[F.col(c).alias(f"b_{c}") for c in ("word_id", "x1", "y1", "x2", "y2")])
-    return a.join(b, PAGE).where("a_word_id < b_word_id").withColumn("iou", F.round(box_overlap("a_", "b_"), 6)).where(F.col("iou") > least).select(*PAGE, F.col("a_word_id").alias("a"), F.col("b_word_id").alias("b"), "iou")
+    cut = _bands(words, band, F.col("y1"), F.col("y2"))
+    a = cut.select(*PAGE, "band", *[F.col(c).alias(f"a_{c}") for c in ("word_id", "x1", "y1", "x2", "y2")])
+    b = cut.select(*PAGE, "band", *[F.col(c).alias(f"b_{c}") for c in ("word_id", "x1", "y1", "x2", "y2")])
+    met = a.join(b, [*PAGE, "band"]).where("a_word_id < b_word_id").where(F.col("band") == F.floor(F.greatest("a_y1", "b_y1") / band))
+    return met.withColumn("iou", F.round(box_overlap("a_", "b_"), 6)).where(F.col("iou") > least).select(*PAGE, F.col("a_word_id").alias("a"), F.col("b_word_id").alias("b"), "iou")
 
 
 def key_values(rows: DataFrame) -> DataFrame:

@@ -24,32 +24,43 @@ def latest_reviews(reviews: DataFrame) -> DataFrame:
 
 
 def user_overview(users: DataFrame, extracted: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Every user with the types that have an extraction, the newest confidence and the state of the latest review."""
+    """Every user with the types that have an extraction, the newest confidence, the state of the latest review and the status that is shown."""
     last = latest_extractions(extracted)
     types = last.groupBy("user_id").agg(F.concat_ws(",", F.sort_array(F.collect_set("doc_type"))).alias("doc_types"), F.max_by("confidence_score", F.struct("processed_at", "id")).alias("confidence"))
     review = latest_reviews(reviews).select("user_id", F.col("status").alias("review_status"), F.col("decision").alias("review_decision"))
     u = users.withColumnRenamed("id", "user_id")
     joined = u.join(types, "user_id", "left").join(review, "user_id", "left")
-    return joined.select("user_id", "full_name", "doc_types", "confidence", "review_status", "review_decision", display_status().alias("display_status"))
+    shown = display_status(F.col("status"), F.col("workflow_state"), F.col("review_status"), F.col("review_decision"))
+    return joined.select("user_id", "full_name", "doc_types", "confidence", "review_status", "review_decision", shown.alias("display_status"))
 
 
-def display_status() -> Column:
-    """What is shown of a user: an approval, else what the review says, else pending."""
-    s = F.col("review_status")
-    return F.when(s == "approved", "VERIFIED").when(s.isin("rejected", "corrected"), F.upper(s)).when(s.isNotNull(), "UNDER_REVIEW").otherwise("PENDING")
+#: States of a user that stand as they are set.
+SET_STATES = ("REJECTED", "APPROVED", "REVIEW_REQUIRED", "UPLOADED", "PROCESSING")
 
 
-def id_collisions(rows: DataFrame, column: str, normalise: Column, kind: str) -> DataFrame:
-    """Pairs of different users (the smaller id first) that share a non-empty number, with the number of rows of each.
+def display_status(status: Column, workflow: Column, review_status: Column, review_decision: Column) -> Column:
+    """What is shown of a user: verified, then a state that was set, then what the latest review says, then pending."""
+    own, flow = F.upper(F.coalesce(status, F.lit(""))), F.upper(F.coalesce(workflow, F.lit("")))
+    return (
+        F.when((own == "VERIFIED") | (flow == "VERIFIED"), "VERIFIED")
+        .when(own.isin(*SET_STATES), own)
+        .when((review_status == "completed") & (review_decision == "approved"), "VERIFIED")
+        .when(review_decision == "rejected", "REJECTED")
+        .when(review_status == "pending", "REVIEW_REQUIRED")
+        .when(review_status.isNotNull(), own)
+        .otherwise("PENDING")
+    )
 
-    Rows are first folded to one per number and user, so a number that one user repeats joins once; only numbers of
-    several users reach the join.
+
+def id_collisions(rows: DataFrame, normalise: Column, kind: str) -> DataFrame:
+    """Users that share a non-empty number with others: the number, the user, the first of its users, the rows of this one and the number of others.
+
+    A number is a class and its users the members, so a placeholder that many share gives a row a user, never a row a
+    pair. Users of one number are those whose rows name it.
     """
     folded = rows.select("user_id", normalise.alias("number")).where(F.length("number") > 0).groupBy("number", "user_id").agg(F.count(F.lit(1)).alias("n"))
-    shared = folded.groupBy("number").agg(F.count(F.lit(1)).alias("users")).where("users > 1")
-    some = folded.join(shared.select("number"), "number", "left_semi")
-    a, b = some.select("number", F.col("user_id").alias("user_a"), F.col("n").alias("n_a")), some.select("number", F.col("user_id").alias("user_b"), F.col("n").alias("n_b"))
-    return a.join(b, "number").where("user_a < user_b").select(F.lit(kind).alias("match_type"), "number", "user_a", "user_b", "n_a", "n_b")
+    shared = folded.groupBy("number").agg(F.count(F.lit(1)).alias("users"), F.min("user_id").alias("first_user")).where("users > 1")
+    return folded.join(shared, "number").select(F.lit(kind).alias("match_type"), "number", "user_id", "first_user", "n", (F.col("users") - 1).alias("others"))
 
 
 def aadhaar_number(column: str = "aadhaar_number") -> Column:

@@ -75,9 +75,11 @@ def severity_curve(rows: DataFrame) -> DataFrame:
 
 
 def failure_clusters(rows: DataFrame, least: int = 2, samples: int = 3) -> DataFrame:
-    """Failures by transform, field and mode that occur at least twice, with the first few ids."""
-    g = rows.groupBy("transform", "field", "mode").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("id")), 1, samples), ",").alias("samples"))
-    return g.where(F.col("n") >= least)
+    """Failures by transform, field and mode that occur at least twice, with the first few ids, which are ranked before they are gathered."""
+    key = ["transform", "field", "mode"]
+    first = rows.select(*key, "id").withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where(F.col("_rank") <= samples)
+    few = first.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("samples"))
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).join(few, key)
 
 
 def worst(rows: DataFrame, key: str, top: int = 3) -> DataFrame:

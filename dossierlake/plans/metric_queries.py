@@ -120,20 +120,35 @@ _LAST_X = "SELECT * FROM extracted QUALIFY row_number() OVER (PARTITION BY user_
 _LAST_R = "SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) = 1"
 query("w7_latest_extractions", w(_LAST_X, "extracted"))(lambda s, d: rec.latest_extractions(lt.extracted(s, d)))
 query("w8_latest_reviews", w(_LAST_R, "reviews"))(lambda s, d: rec.latest_reviews(lt.reviews(s, d)))
-query("j4_user_overview", w(f"""WITH x AS ({_LAST_X}), t AS (SELECT user_id, string_agg(DISTINCT doc_type, ',' ORDER BY doc_type) AS doc_types, arg_max_null(confidence_score, (processed_at, id)) AS confidence FROM x GROUP BY 1), r AS ({_LAST_R})
-  SELECT u.id AS user_id, full_name, doc_types, confidence, r.status AS review_status, r.decision AS review_decision, CASE WHEN r.status = 'approved' THEN 'VERIFIED' WHEN r.status IN ('rejected', 'corrected') THEN upper(r.status) WHEN r.status IS NOT NULL THEN 'UNDER_REVIEW' ELSE 'PENDING' END AS display_status
-  FROM users u LEFT JOIN t ON t.user_id = u.id LEFT JOIN r ON r.user_id = u.id""", "users", "extracted", "reviews"))(lambda s, d: rec.user_overview(lt.users(s, d), lt.extracted(s, d), lt.reviews(s, d)))
+_STATE = "CASE WHEN id % 13 = 0 THEN 'verified' WHEN id % 11 = 0 THEN 'UPLOADED' WHEN id % 7 = 0 THEN 'Rejected' END"
+_OUTCOME = "CASE WHEN status IN ('approved', 'corrected') THEN 'completed' ELSE status END AS status, CASE WHEN status IN ('approved', 'corrected') THEN 'approved' WHEN status = 'rejected' THEN 'rejected' END AS decision"
+query("j4_user_overview", w(f"""WITH x AS ({_LAST_X}), t AS (SELECT user_id, string_agg(DISTINCT doc_type, ',' ORDER BY doc_type) AS doc_types, arg_max_null(confidence_score, (processed_at, id)) AS confidence FROM x GROUP BY 1), r AS (SELECT user_id, {_OUTCOME} FROM ({_LAST_R})),
+  v AS (SELECT *, {_STATE} AS st, CASE WHEN id % 17 = 0 THEN 'Verified' END AS wf FROM users)
+  SELECT u.id AS user_id, full_name, doc_types, confidence, r.status AS review_status, r.decision AS review_decision, CASE WHEN upper(coalesce(st, '')) = 'VERIFIED' OR upper(coalesce(wf, '')) = 'VERIFIED' THEN 'VERIFIED' WHEN upper(st) IN ('REJECTED', 'APPROVED', 'REVIEW_REQUIRED', 'UPLOADED', 'PROCESSING') THEN upper(st)
+    WHEN r.status = 'completed' AND r.decision = 'approved' THEN 'VERIFIED' WHEN r.decision = 'rejected' THEN 'REJECTED' WHEN r.status = 'pending' THEN 'REVIEW_REQUIRED' WHEN r.status IS NOT NULL THEN upper(coalesce(st, '')) ELSE 'PENDING' END AS display_status
+  FROM v u LEFT JOIN t ON t.user_id = u.id LEFT JOIN r ON r.user_id = u.id""", "users", "extracted", "reviews"))(lambda s, d: rec.user_overview(_stateful(lt.users(s, d)), lt.extracted(s, d), _outcomes(lt.reviews(s, d))))
+
+
+def _stateful(users: DataFrame) -> DataFrame:
+    k = F.col("id")
+    return users.withColumns({"status": F.when(k % 13 == 0, "verified").when(k % 11 == 0, "UPLOADED").when(k % 7 == 0, "Rejected"), "workflow_state": F.when(k % 17 == 0, "Verified")})
+
+
+def _outcomes(reviews: DataFrame) -> DataFrame:
+    """Reviews whose decision is the reviewer's."""
+    done = F.col("status").isin("approved", "corrected")
+    return reviews.withColumn("decision", F.when(done, "approved").when(F.col("status") == "rejected", "rejected")).withColumn("status", F.when(done, "completed").otherwise(F.col("status")))
 
 
 def collisions(expr: str, kind: str) -> str:
     return w(f"""WITH g AS (SELECT {expr} AS number, user_id FROM identities), f AS (SELECT number, user_id, count(*) AS n FROM g WHERE length(number) > 0 GROUP BY number, user_id)
-  SELECT '{kind}' AS match_type, a.number, a.user_id AS user_a, b.user_id AS user_b, a.n AS n_a, b.n AS n_b FROM f a JOIN f b ON a.number = b.number AND a.user_id < b.user_id""", "identities")
+  SELECT '{kind}' AS match_type, number, user_id, min(user_id) OVER k AS first_user, n, count(*) OVER k - 1 AS others FROM f WINDOW k AS (PARTITION BY number) QUALIFY others > 0""", "identities")
 
 
 _AADHAAR, _PAN = collisions("regexp_replace(coalesce(aadhaar_number, ''), '\\s', '', 'g')", "AADHAAR_NUMBER"), collisions("upper(coalesce(pan_number, ''))", "PAN_NUMBER")
-query("j6_aadhaar_collisions", _AADHAAR)(lambda s, d: rec.id_collisions(lt.identities(s, d), "aadhaar_number", rec.aadhaar_number(), "AADHAAR_NUMBER"))
-query("j6_pan_collisions", _PAN)(lambda s, d: rec.id_collisions(lt.identities(s, d), "pan_number", rec.pan_number(), "PAN_NUMBER"))
-query("u2_all_collisions", f"SELECT * FROM ({_AADHAAR}) UNION ALL SELECT * FROM ({_PAN})")(lambda s, d: rec.id_collisions(lt.identities(s, d), "aadhaar_number", rec.aadhaar_number(), "AADHAAR_NUMBER").unionByName(rec.id_collisions(lt.identities(s, d), "pan_number", rec.pan_number(), "PAN_NUMBER")))
+query("j6_aadhaar_collisions", _AADHAAR)(lambda s, d: rec.id_collisions(lt.identities(s, d), rec.aadhaar_number(), "AADHAAR_NUMBER"))
+query("j6_pan_collisions", _PAN)(lambda s, d: rec.id_collisions(lt.identities(s, d), rec.pan_number(), "PAN_NUMBER"))
+query("u2_all_collisions", f"SELECT * FROM ({_AADHAAR}) UNION ALL SELECT * FROM ({_PAN})")(lambda s, d: rec.id_collisions(lt.identities(s, d), rec.aadhaar_number(), "AADHAAR_NUMBER").unionByName(rec.id_collisions(lt.identities(s, d), rec.pan_number(), "PAN_NUMBER")))
 query("j8_same_names", w("SELECT id, full_name, count(*) OVER (PARTITION BY lower(trim(full_name))) - 1 AS others FROM users WHERE len(regexp_split_to_array(trim(full_name), '\\s+')) >= 2 QUALIFY others >= 3", "users"))(lambda s, d: rec.same_names(lt.users(s, d)))
 query("j10_users_with_rejections", w("SELECT id, full_name FROM users WHERE id IN (SELECT user_id FROM reviews WHERE status = 'rejected')", "users", "reviews"))(lambda s, d: lt.users(s, d).join(lt.reviews(s, d).where("status = 'rejected'").select(F.col("user_id").alias("id")), "id", "left_semi").select("id", "full_name"))
 query("j11_missing_type", w("SELECT id, full_name FROM users WHERE id NOT IN (SELECT user_id FROM reviews WHERE doc_type = 'pan')", "users", "reviews"))(lambda s, d: rec.missing_type(lt.users(s, d), lt.reviews(s, d), "pan"))
@@ -147,12 +162,9 @@ query("u3_types_of_users", w("SELECT user_id, string_agg(DISTINCT doc_type, ','
     lambda s, d: lt.uploads(s, d).select("user_id", "doc_type").union(lt.reviews(s, d).select("user_id", "doc_type")).distinct().groupBy("user_id").agg(F.concat_ws(",", F.sort_array(F.collect_set("doc_type"))).alias("types")))
 
 
-def _bits(x: str) -> str:
-    return f"CASE WHEN length(a.{x}) = length(b.{x}) THEN bit_count(xor(('0x' || a.{x})::UBIGINT, ('0x' || b.{x})::UBIGINT))::INT ELSE 999 END"
-
-
-query("j7_near_images", w(f"""WITH q AS (SELECT user_id, phash, ahash, dhash, min(document_id) AS document_id FROM hashes GROUP BY ALL),
-  p AS (SELECT a.document_id AS doc_a, b.document_id AS doc_b, {_bits('phash')} AS pd, {_bits('ahash')} AS ad, {_bits('dhash')} AS dd FROM q a JOIN q b ON a.document_id < b.document_id AND a.user_id <> b.user_id),
-  r AS (SELECT *, least(pd, ad, dd) AS distance FROM p)
-  SELECT doc_a, doc_b, distance, greatest(0, floor((1 - pd / 64.0::DOUBLE) * 100))::INT AS similarity, CASE WHEN distance <= 3 THEN 'IDENTICAL' WHEN distance <= 10 THEN 'NEAR_DUPLICATE' ELSE 'SIMILAR' END AS match_class FROM r WHERE distance <= 10""", "hashes"))(lambda s, d: dup.near_images(lt.hashes(s, d)))
-query("j7_image_members", w("SELECT document_id, min(document_id) OVER k AS representative, count(*) OVER k AS copies FROM hashes WINDOW k AS (PARTITION BY user_id, phash, ahash, dhash)", "hashes"))(lambda s, d: dup.image_members(lt.hashes(s, d)))
+_CLASSES = "SELECT kind, hash, count(*) AS documents, min(user_id) AS lu, max(user_id) AS mu FROM (" + " UNION ALL ".join(f"SELECT user_id, '{k}' AS kind, {k} AS hash FROM hashes" for k in dup.KINDS) + ") GROUP BY ALL"
+query("j7_near_images", w(f"""WITH c AS ({_CLASSES}), p AS (SELECT a.kind, a.hash AS hash_a, b.hash AS hash_b, bit_count(xor(('0x' || a.hash)::UBIGINT, ('0x' || b.hash)::UBIGINT))::INT AS distance, a.documents AS documents_a, b.documents AS documents_b, least(a.lu, b.lu) AS lu, greatest(a.mu, b.mu) AS mu
+    FROM c a JOIN c b ON a.kind = b.kind AND length(a.hash) = length(b.hash) AND a.hash <= b.hash)
+  SELECT kind, hash_a, hash_b, distance, documents_a, documents_b, greatest(0, floor((1 - distance / 64.0::DOUBLE) * 100))::INT AS similarity, CASE WHEN distance <= 3 THEN 'IDENTICAL' WHEN distance <= 10 THEN 'NEAR_DUPLICATE' ELSE 'SIMILAR' END AS match_class FROM p WHERE distance <= 10 AND lu < mu""", "hashes"))(lambda s, d: dup.near_images(lt.hashes(s, d)))
+query("j7_image_hashes", w("SELECT document_id, user_id, unnest(['phash', 'ahash', 'dhash']) AS kind, unnest([phash, ahash, dhash]) AS hash FROM hashes", "hashes"))(lambda s, d: dup.image_hashes(lt.hashes(s, d)))
+query("m5_hash_distances", w("SELECT document_id, CASE WHEN length(phash) = length(ahash) THEN bit_count(xor(('0x' || phash)::UBIGINT, ('0x' || ahash)::UBIGINT))::INT ELSE 999 END AS distance FROM hashes", "hashes"))(lambda s, d: lt.hashes(s, d).select("document_id", dup.hamming(F.col("phash"), F.col("ahash")).alias("distance")))

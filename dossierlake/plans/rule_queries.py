@@ -140,7 +140,11 @@ _EVAL = f"""{_PAIRS}, e0 AS (SELECT *, (coalesce(found_name, '') = '')::INT + (c
   SELECT id, CASE WHEN len(rj) > 0 THEN 'AUTO_REJECTED' WHEN len(rv) > 0 THEN 'REVIEW_REQUIRED' ELSE 'AUTO_APPROVED' END AS decision, CASE WHEN len(rj) = 0 AND len(rv) = 0 THEN 3 ELSE p5 END AS priority, array_to_string(ok || rv || rj, ',') AS reasons FROM e6"""
 query("r2_approval", w(f"WITH {_EVAL}", "reviews", "users"))(lambda s, d: rules.evaluate(compared(s, d)).select("id", "decision", "priority", F.concat_ws(",", "reasons").alias("reasons")))
 query("r2_approval_fuzzy")(lambda s, d: rules.evaluate(rules.compare_fields(field_pairs(s, d))).select("id", "decision", "priority", F.concat_ws(",", "reasons").alias("reasons")))
-query("r2_approval_intended")(lambda s, d: rules.evaluate(rules.compare_fields(field_pairs(s, d)), intended=True).groupBy("decision", "priority").agg(F.count(F.lit(1)).alias("n")))
+_PI = ("CASE WHEN ocr_confidence < 0.40 THEN 1 ELSE 3 END", "CASE WHEN mi >= 2 THEN 1 WHEN mi = 1 THEN least(p0, 2) ELSE p0 END", "CASE WHEN overall_status = 'OCR_FAILED' OR id_status = 'MISMATCH' THEN 1 ELSE p1 END", "CASE WHEN name_status = 'MISMATCH' THEN 1 WHEN name_status = 'POSSIBLE_MATCH' OR (name_status = 'MATCH' AND name_score < 95) THEN least(p2, 2) ELSE p2 END", "CASE WHEN dob_status = 'MISMATCH' THEN 1 WHEN dob_status = 'POSSIBLE_MATCH' THEN least(p3, 2) ELSE p3 END", "CASE WHEN ocr_confidence >= 0.40 AND ocr_confidence < 0.85 THEN least(p4, 2) ELSE p4 END")
+_EVAL_I = _EVAL
+for _old, _new in zip(_P, _PI, strict=True):
+    _EVAL_I = _EVAL_I.replace(_old + " AS p", _new + " AS p")
+query("r2_approval_intended", w(f"WITH {_EVAL_I}", "reviews", "users"))(lambda s, d: rules.evaluate(compared(s, d), intended=True).select("id", "decision", "priority", F.concat_ws(",", "reasons").alias("reasons")))
 
 
 @query("r3_comparison", w(f"""WITH {_PAIRS}, z AS (SELECT id, 'name' AS field, CASE WHEN name_status = 'MATCH' THEN 'exact_match' WHEN found_name IS NULL THEN 'missing_value' WHEN name_score >= 50 THEN 'significant_name_difference' ELSE 'completely_different_name' END AS difference FROM o
@@ -159,7 +163,10 @@ def _differences(x: DataFrame) -> DataFrame:
     return x.select("id", F.inline(F.array(*one)))
 
 
-query("x4_sound_codes")(lambda s, d: lt.users(s, d).select("id", nm.sound(F.element_at(F.split("full_name", " "), 1)).alias("code")))
+_RUNS = "translate(regexp_replace(upper(split_part(full_name, ' ', 1))[2:], '[^BCDFGJKLMNPQRSTVXYZ]', '', 'g'), 'BFPVCGJKQSXYZDTLMNR', '1111222222222334556')"
+for _c in "123456":
+    _RUNS = f"regexp_replace({_RUNS}, '{_c}+', '{_c}', 'g')"
+query("x4_sound_codes", w(f"SELECT id, rpad(upper(full_name[1:1]) || ({_RUNS})[1:3], 4, '0') AS code FROM users", "users"))(lambda s, d: lt.users(s, d).select("id", nm.sound(F.element_at(F.split("full_name", " "), 1)).alias("code")))
 query("x1_normal_names", w("SELECT id, trim(regexp_replace(regexp_replace(lower(full_name), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM users", "users"))(lambda s, d: lt.users(s, d).select("id", nm.normal_name(F.col("full_name")).alias("name")))
 query("x2_normal_ids", w("SELECT id, upper(regexp_replace(aadhaar_number, '[\\s-]', '', 'g')) AS number FROM identities", "identities"))(lambda s, d: lt.identities(s, d).select("id", nm.normal_id(F.col("aadhaar_number")).alias("number")))
 query("u4_word_difference", w("SELECT u.id, array_to_string(list_sort(list_distinct(list_concat(list_filter(a, lambda x: NOT list_contains(b, x)), list_filter(b, lambda x: NOT list_contains(a, x))))), ',') AS words FROM (SELECT id, string_split(lower(full_name), ' ') AS a, string_split('asha name' || (id % 25), ' ') AS b FROM users) u", "users"))(
@@ -244,19 +251,7 @@ _BEST = f"SELECT user_id, max(mark) FILTER (mark > 10) AS best_pct, max(mark) FI
 _PROF = f"""WITH b AS ({_BEST}), r AS ({mq._LAST_R}), pr AS (SELECT u.id, full_name, dob, best_pct, best_cgpa, doc_types, r.status AS review_status, r.ocr_confidence AS confidence FROM users u LEFT JOIN b ON b.user_id = u.id LEFT JOIN r ON r.user_id = u.id)"""
 query("a34_academic_best", f"SELECT user_id, best_pct, best_cgpa, array_to_string(doc_types, ',') AS doc_types FROM ({_BEST})")(lambda s, d: search.academic_best(marks(s, d)).withColumn("doc_types", F.concat_ws(",", "doc_types")))
 _AGE = f"(year(TIMESTAMP '{O_AT}') - right(dob, 4)::INT - (CASE WHEN (7, 30) < (dob[4:5]::INT, dob[1:2]::INT) THEN 1 ELSE 0 END))"
-for _name, _text, _where in (
-    ("f13_search_missing", "users missing PAN", "NOT coalesce(list_contains(doc_types, 'pan'), false)"),
-    ("f13_search_rejected", "show rejected users", "review_status = 'rejected'"),
-    ("f13_search_above", "students above 90", "best_pct > 90"),
-    ("f13_search_age", "age over 30", f"{_AGE} > 30"),
-    ("f13_search_confidence", "low confidence", "confidence < 0.6"),
-    ("f13_search_name", "ravi name7", "contains(lower(full_name), 'ravi name7')"),
-    ("o7_toppers", "toppers", "true"),
-):
-    query(_name, w(f"{_PROF} SELECT id, full_name, best_pct, best_cgpa FROM pr WHERE {_where}", "users", "reviews"))(lambda s, d, t=_text: search.search(profiles(s, d), t, O_AT).select("id", "full_name", "best_pct", "best_cgpa"))
-
-
-# The reference's whole ladder, over profiles with the kinds of academic documents and the names on two documents
+# The whole ladder, over profiles with the kinds of academic documents and the names on two documents
 def ladder_profiles(s: SparkSession, d: str) -> DataFrame:
     k = F.col("id")
     parts = [F.when(k % n < r, F.lit(t)) for t, n, r in (("aadhaar", 4, 3), ("pan", 5, 3), ("tenth", 2, 1), ("twelfth", 3, 1), ("degree", 7, 2), ("diploma", 11, 1))]
@@ -293,6 +288,7 @@ for _name, _text, _where in (
     ("name", "name7", "contains(lower(full_name), 'name7') OR contains(id::VARCHAR, 'name7')"),
 ):
     query(f"f13_ladder_{_name}", w(f"{_LADDER} SELECT id, full_name, best_pct, best_cgpa FROM lp WHERE {_where}", "users", "reviews"))(lambda s, d, t=_text: search.ladder(ladder_profiles(s, d), t, O_AT).select("id", "full_name", "best_pct", "best_cgpa"))
+query("o7_toppers", w(f"{_LADDER} SELECT id, full_name, best_pct, best_cgpa FROM lp WHERE coalesce(best_pct, 0) <> 0 OR coalesce(best_cgpa, 0) <> 0 ORDER BY coalesce(best_pct, 0) + 10 * coalesce(best_cgpa, 0) DESC, id", "users", "reviews"))(lambda s, d: search.ladder(ladder_profiles(s, d), "toppers", O_AT).select("id", "full_name", "best_pct", "best_cgpa"))
 query("f14_ages", w(f"SELECT id, {_AGE}::INT AS age FROM users", "users"))(lambda s, d: lt.users(s, d).select("id", search.age(F.col("dob"), O_AT).alias("age")))
 
 

@@ -84,12 +84,9 @@ def evaluate(rows: DataFrame, intended: bool = False) -> DataFrame:
         ((c >= OCR_MEDIUM) & (c < OCR_HIGH), "review", "ocr_acceptable", "medium"),
         (c >= OCR_HIGH, "pass", "ocr_high", ""),
     ]
-    priority = F.lit(LOW)
-    for hit, _, _, how in steps:
-        if how == "set":
-            priority = F.when(hit, HIGH).otherwise(priority)
-        elif how:
-            priority = F.when(hit, weaker(priority, F.lit(HIGH if how == "high" else MEDIUM))).otherwise(priority)
+    level = {"set": HIGH, "high": HIGH, "medium": MEDIUM}
+    marks = F.array(*[F.struct(hit.alias("hit"), F.lit(how == "set").alias("set"), F.lit(level[how]).alias("level")) for hit, _, _, how in steps if how])
+    priority = F.aggregate(marks, F.lit(LOW), lambda p, x: F.when(x["hit"], F.when(x["set"], x["level"]).otherwise(weaker(p, x["level"]))).otherwise(p))
     codes = {k: F.array_compact(F.array(*[F.when(hit, code) for hit, kind, code, _ in steps if kind == k])) for k in ("pass", "review", "reject")}
     unknown = F.col("doc_type") == "unknown"
     rejected, reviewed = F.size(codes["reject"]) > 0, F.size(codes["review"]) > 0

@@ -30,49 +30,8 @@ def score_parts(value: Column) -> tuple[Column, Column]:
     return F.when(v > 10, v), F.when(v <= 10, v)
 
 
-def _rules() -> list[_Rule]:
-    def has(kind: str) -> Callable[[], Column]:
-        return lambda: F.array_contains("doc_types", kind)
-
-    def lacks(kind: str) -> Callable[[], Column]:
-        return lambda: ~F.coalesce(F.array_contains("doc_types", kind), F.lit(False))
-
-    return [
-        (("missing aadhaar", "no aadhaar"), lacks("aadhaar")),
-        (("missing pan", "no pan"), lacks("pan")),
-        (("missing academic", "no academic", "no marksheet"), lacks("academic")),
-        (("rejected",), lambda: F.col("review_status") == "rejected"),
-        (("pending", "in review"), lambda: F.col("review_status").isin("pending", "in_review")),
-        (("approved", "verified"), lambda: F.col("review_status") == "approved"),
-        (("above 90", "over 90"), lambda: F.col("best_pct") > 90),
-        (("above 75", "over 75", "distinction"), lambda: F.col("best_pct") > 75),
-        (("above 60", "first class"), lambda: F.col("best_pct") > 60),
-        (("below 40", "failed"), lambda: F.col("best_pct") < 40),
-        (("cgpa above 9",), lambda: F.col("best_cgpa") > 9),
-        (("cgpa above 8",), lambda: F.col("best_cgpa") > 8),
-        (("low confidence",), lambda: F.col("confidence") < 0.6),
-        (("high confidence",), lambda: F.col("confidence") >= 0.85),
-        (("aadhaar",), has("aadhaar")),
-        (("pan",), has("pan")),
-        (("academic", "marksheet"), has("academic")),
-    ]
-
-
-def predicate(text: str, as_of: str) -> Column:
-    q = " ".join(text.lower().split())
-    if m := re.search(r"\bage (above|over|below|under) (\d{1,3})\b", q):
-        years = age(F.col("dob"), as_of)
-        return years > int(m[2]) if m[1] in ("above", "over") else years < int(m[2])
-    if q in ("", "all", "all users", "topper", "toppers"):
-        return F.lit(True)
-    for words, condition in _rules():
-        if any(w in q for w in words):
-            return condition()
-    return F.contains(F.lower("full_name"), F.lit(q))
-
-
 def _branches() -> list[_Rule]:
-    """The reference's branches in its order; ages stand third and are read by ``ladder``."""
+    """The branches in their order; ages stand fourth and are read by ``ladder``."""
     pct, cgpa = F.col("best_pct"), F.col("best_cgpa")
     types = F.coalesce("doc_types", F.array().cast("array<string>"))
     some = F.size(F.array_except(types, F.array(F.lit("aadhaar"), F.lit("pan")))) > 0
@@ -108,7 +67,7 @@ RANKED = ("toppers", "top scorer", "highest marks", "highest cgpa", "best cgpa",
 
 
 def ladder(profiles: DataFrame, text: str, as_of: str) -> DataFrame:
-    """Users that a query asks for by all branches of the reference and its conditions; anything else is looked for in names and ids.
+    """Users that a query asks for; anything that no branch knows is looked for in names and ids.
 
     ``profiles`` has id, full_name, dob, aadhaar_name, pan_name, doc_types (with tenth, twelfth, degree or diploma),
     best_pct and best_cgpa.
@@ -132,14 +91,6 @@ def ladder(profiles: DataFrame, text: str, as_of: str) -> DataFrame:
     return found
 
 
-def search(profiles: DataFrame, text: str, as_of: str) -> DataFrame:
-    """Users that a query asks for. ``profiles`` has full_name, dob, doc_types, review_status, confidence, best_pct and best_cgpa; toppers come ordered by percentage and ten times the average."""
-    found = profiles.where(F.coalesce(predicate(text, as_of), F.lit(False)))
-    if "topper" in text.lower():
-        return found.orderBy(F.desc(F.coalesce("best_pct", F.lit(0.0)) + 10 * F.coalesce("best_cgpa", F.lit(0.0))), "id")
-    return found
-
-
 def academic_best(marks: DataFrame) -> DataFrame:
     """Per user the best percentage, the best grade point average and the distinct types in order."""
     pct, cgpa = score_parts(F.col("mark"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from dossierlake.operators import layout as ly
 from dossierlake.plans._registry import query
 from dossierlake.sources import logical as lt
 from dossierlake.sources import sinks
+from dossierlake.sources.shared import shared_root
 from dossierlake.sources.logical import with_tables as w
 from dossierlake.streaming import jobs
 
@@ -37,7 +37,8 @@ query("x23_key_values", f"SELECT doc_id, trim(regexp_extract(line, '^([^:]*):(.*
 _DIG = "lpad((o_orderkey * 7919 % 4001)::VARCHAR, 12, '2')"
 query("x18_grouped_and_masked", f"SELECT o_orderkey AS id, {_DIG}[1:4] || ' ' || {_DIG}[5:8] || ' ' || {_DIG}[9:12] AS grouped, 'XXXX XXXX ' || right({_DIG}, 4) AS masked FROM orders")(
     lambda s, d: lt.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lpad((F.col("o_orderkey") * 7919 % 4001).cast("string"), 12, "2").alias("n")).select("id", tx.grouped_digits(F.col("n")).alias("grouped"), tx.masked(F.col("n")).alias("masked")))
-query("x17_check_digits")(lambda s, d: lt.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), tx.check_digit_holds(F.lpad((F.col("o_orderkey") * 7919 % 4001).cast("string"), 12, "2")).alias("holds")))
+_TIMES, _TURNS = [x for row in tx._TIMES for x in row], [x for row in tx._permutations() for x in row]
+query("x17_check_digits", f"SELECT o_orderkey AS id, list_reduce(list_transform(list_reverse(string_split({_DIG}, '')), lambda x, i: ({_TURNS})[((i - 1) % 8) * 10 + x::INT + 1]), lambda c, x: ({_TIMES})[c * 10 + x + 1], 0) = 0 AS holds FROM orders")(lambda s, d: lt.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), tx.check_digit_holds(F.lpad((F.col("o_orderkey") * 7919 % 4001).cast("string"), 12, "2")).alias("holds")))
 query("x3_years", "SELECT o_orderkey AS id, (CASE WHEN o_orderkey % 100 <= 25 THEN 2000 ELSE 1900 END + o_orderkey % 100)::INT AS year, o_orderkey % 40 BETWEEN 1 AND 31 AND o_orderkey % 15 BETWEEN 1 AND 12 AND CASE WHEN o_orderkey % 100 <= 25 THEN 2000 ELSE 1900 END + o_orderkey % 100 BETWEEN 1900 AND 2025 AS plausible FROM orders")(
     lambda s, d: lt.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), tx.four_digit_year(F.col("o_orderkey") % 100).alias("year")).withColumn("plausible", tx.plausible_dob(F.col("id") % 40, F.col("id") % 15, F.col("year"))))
 query("x15_repaired_digits", "SELECT s_suppkey AS id, translate(s_name, 'OoQDIlisSBZ', '00001115582') AS repaired FROM supplier")(lambda s, d: lt.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), tx.repaired_digits(F.col("s_name")).alias("repaired")))
@@ -71,10 +72,12 @@ _LINES = f"""{_PHR}, ln AS (SELECT doc, page, line, string_agg(text, ' ' ORDER B
 query("w11_lines", f"{_LINES} SELECT doc, page, line, text, tokens, numbers FROM ln")(lambda s, d: ly.lines(ly.phrases(gridded(s, d))).select("doc", "page", "line", "text", "tokens", "numbers"))
 query("r14_region_types", f"""{_LINES} SELECT doc, page, line, CASE WHEN cy < 1600.0 * 0.18 THEN CASE WHEN contains(text, ':') THEN 'kv_block' ELSE 'header' END WHEN cy > 1600.0 * 0.90 THEN 'footer' WHEN (tokens > 5 AND (x2 - x1) / 1000.0 > 0.4 AND numbers >= 2) OR (tokens > 3 AND numbers >= 1 AND x2 - x1 > 200) THEN 'table' WHEN contains(text, ':') THEN 'kv_block' ELSE 'paragraph' END AS region FROM ln""")(
     lambda s, d: ly.lines(ly.phrases(gridded(s, d))).select("doc", "page", "line", ly.region_type(1000.0, 1600.0).alias("region")))
-query("r14_regions_smoothed")(lambda s, d: ly.regions(ly.lines(ly.phrases(gridded(s, d)))).groupBy("region").agg(F.count(F.lit(1)).alias("n")))
+_KINDS = """CASE WHEN cy < 1600.0 * 0.18 THEN CASE WHEN contains(text, ':') THEN 'kv_block' ELSE 'header' END WHEN cy > 1600.0 * 0.90 THEN 'footer' WHEN (tokens > 5 AND (x2 - x1) / 1000.0 > 0.4 AND numbers >= 2) OR (tokens > 3 AND numbers >= 1 AND x2 - x1 > 200) THEN 'table' WHEN contains(text, ':') THEN 'kv_block' ELSE 'paragraph' END"""
+query("r14_regions_smoothed", f"""WITH RECURSIVE {_LINES.removeprefix("WITH ")}, kd AS (SELECT doc, page, line, tokens, {_KINDS} AS kind FROM ln), nb AS (SELECT *, lead(kind) OVER v AS below, row_number() OVER v AS r FROM kd WINDOW v AS (PARTITION BY doc, page ORDER BY line)),
+  sm AS (SELECT doc, page, line, r, kind AS region FROM nb WHERE r = 1 UNION ALL SELECT nb.doc, nb.page, nb.line, nb.r, CASE WHEN nb.kind = 'paragraph' AND nb.below IS NOT NULL AND sm.region = 'table' AND (nb.below = 'table' OR nb.tokens < 5) THEN 'table' ELSE nb.kind END FROM sm JOIN nb ON nb.doc = sm.doc AND nb.page = sm.page AND nb.r = sm.r + 1) SELECT doc, page, line, region FROM sm""")(lambda s, d: ly.regions(ly.lines(ly.phrases(gridded(s, d)))).select("doc", "page", "line", "region"))
 query("w11_x_clusters", f"{_PHR}, cl AS (SELECT doc, page, line, phrase, (x1 + x2) / 2 AS cx FROM ph), cg AS (SELECT *, cx - lag(cx) OVER (PARTITION BY doc, page ORDER BY cx, line, phrase) AS gap FROM cl) SELECT doc, page, line, phrase, sum(CASE WHEN gap > 50.0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY cx, line, phrase)::BIGINT AS cluster FROM cg")(
     lambda s, d: ly.x_clusters(ly.phrases(gridded(s, d))).select("doc", "page", "line", "phrase", "cluster"))
-query("r13_table_grid")(lambda s, d: ly.table_grid(ly.phrases(gridded(s, d))).select("doc", "page", "row", F.size("cells").alias("columns")))
+query("r13_table_grid")(lambda s, d: ly.table_grid(ly.phrases(gridded(s, d))).select("doc", "page", "row", F.concat_ws(" | ", "cells").alias("cells")))
 query("j12_nearest_right", f"{_WORDS}, q AS (SELECT *, (y1 + y2) / 2 AS cy FROM ok) SELECT a.doc, a.page, a.word_id AS a, arg_min(b.word_id, (b.x1 - a.x2, b.word_id)) AS right FROM q a JOIN q b ON a.doc = b.doc AND a.page = b.page AND a.word_id <> b.word_id AND abs(a.cy - b.cy) < 0.8 * 20 AND b.x1 >= a.x2 GROUP BY ALL".replace("AS right", 'AS "right"'))(lambda s, d: ly.nearest_right(ly.clean_words(words(s, d))))
 query("j16_box_overlaps", f"""{_WORDS}, i AS (SELECT a.doc, a.page, a.word_id AS a, b.word_id AS b, greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS v, (a.x2 - a.x1) * 20.0 AS s1, (b.x2 - b.x1) * 20.0 AS s2 FROM ok a JOIN ok b ON a.doc = b.doc AND a.page = b.page AND a.word_id < b.word_id)
   SELECT doc, page, a, b, round(v / (s1 + s2 - v), 6) AS iou FROM i WHERE round(v / (s1 + s2 - v), 6) > 0.4""")(lambda s, d: ly.overlaps(ly.clean_words(words(s, d))))
@@ -84,7 +87,7 @@ query("s6_upsert", w("SELECT * FROM reviews WHERE NOT (status = 'pending' AND id
     lambda s, d: sinks.upsert(lt.reviews(s, d), lt.reviews(s, d).where("status = 'pending' AND id % 2 = 0").withColumn("status", F.lit("approved")), ["id"]))
 query("s7_replace_by_key", w("SELECT * FROM extracted WHERE user_id % 3 <> 0 UNION ALL SELECT * REPLACE (0.5::DOUBLE AS confidence_score) FROM extracted WHERE user_id % 3 = 0 AND doc_type = 'view'", "extracted"))(
     lambda s, d: sinks.replace_by_key(lt.extracted(s, d), lt.extracted(s, d).where("user_id % 3 = 0 AND doc_type = 'view'").withColumn("confidence_score", F.lit(0.5)), ["user_id"]))
-query("s8_claims", w("SELECT r.id, coalesce(e.s, r.status) AS status FROM reviews r LEFT JOIN (SELECT l_orderkey, arg_max(CASE WHEN l_linestatus = 'O' THEN 'in_review' ELSE 'pending' END, l_linenumber * 1000000 + l_partkey) AS s FROM lineitem GROUP BY 1) e ON e.l_orderkey = r.id", "reviews"))(
+query("s8_claims", w("SELECT r.id, coalesce(e.s, r.status) AS status FROM reviews r LEFT JOIN (SELECT l_orderkey, arg_max(CASE WHEN l_linestatus = 'O' THEN 'in_review' ELSE 'pending' END, (l_linenumber * 1000000 + l_partkey, CASE WHEN l_linestatus = 'O' THEN 'in_review' ELSE 'pending' END)) AS s FROM lineitem GROUP BY 1) e ON e.l_orderkey = r.id", "reviews"))(
     lambda s, d: sinks.fold_events(lt.reviews(s, d).select("id", "status"), lt.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linestatus") == "O", "in_review").otherwise("pending").alias("status"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("at")), "id", "status", "at"))
 query("s9_bulk_approve", w("SELECT id, CASE WHEN id % 10 = 0 AND status IN ('pending', 'in_review') THEN 'approved' ELSE status END AS status FROM reviews", "reviews"))(
     lambda s, d: sinks.bulk_update(lt.reviews(s, d).select("id", "status"), lt.reviews(s, d).where("id % 10 = 0"), "id", "status", F.lit("approved")))
@@ -96,21 +99,15 @@ query("s20_content_keys", f"SELECT sha256({_T}) AS content_key, count(*) AS n, m
 # Streams
 def _streamed(s: SparkSession, d: str, build, mode: str = "append") -> DataFrame:
     """Runs a stream over the events once into a memory of files, and returns what it wrote."""
-    from urllib.parse import urlparse
-
-    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="dossierlake-stream-")
-    assert urlparse(root).path
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_root(s)}/stream-{uuid.uuid4().hex}"
     lt.uploads(s, d).write.parquet(f"{at}/in")
     stream = build(jobs.read_files(s, f"{at}/in", lt.uploads(s, d).schema))
     s.createDataFrame([], stream.schema).write.parquet(f"{at}/out/batch=-1")
     jobs.run_once(stream, f"{at}/state", lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), mode)
-    return s.read.schema(stream.schema).parquet(f"{at}/out")
+    return s.read.schema(stream.schema).parquet(f"{at}/out").select(*stream.columns)
 
 
 query("st1_upload_bursts", w("SELECT user_id, start, start + INTERVAL 1 HOUR AS \"end\", count(*) AS uploads FROM (SELECT user_id, unnest([time_bucket(INTERVAL 5 MINUTE, uploaded_at) - to_minutes(5 * k) FOR k IN range(12)]) AS start FROM uploads) GROUP BY ALL HAVING count(*) > 1", "uploads"))(lambda s, d: jobs.upload_bursts(lt.uploads(s, d), over=1))
 query("st2_daily_buckets", w("SELECT uploaded_at::DATE AS date, doc_type, count(*) AS count FROM uploads GROUP BY ALL", "uploads"))(lambda s, d: _streamed(s, d, jobs.daily_buckets, "update").groupBy("date", "doc_type").agg(F.max("count").alias("count")))
-query("st5_first_seen")(lambda s, d: _streamed(s, d, lambda x: jobs.first_seen(x, "user_id", "doc_type", late="60 days").select("user_id", "doc_type")))
+query("st5_first_seen", w("SELECT DISTINCT user_id, doc_type FROM uploads", "uploads"))(lambda s, d: _streamed(s, d, lambda x: jobs.first_seen(x, "user_id", "doc_type", late="60 days").select("user_id", "doc_type")))
 query("st7_sessions", w("WITH g AS (SELECT user_id, uploaded_at, CASE WHEN uploaded_at - lag(uploaded_at) OVER (PARTITION BY user_id ORDER BY uploaded_at) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM uploads), h AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY uploaded_at ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(uploaded_at) AS start, count(*) AS uploads FROM h GROUP BY user_id, k", "uploads"))(lambda s, d: jobs.sessions(lt.uploads(s, d)))

@@ -48,9 +48,9 @@ def single(rows: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` over those of ``old`` with the same keys; of equals in ``new`` any one."""
+    """Rows of ``new`` over those of ``old`` with the same keys; of several with the same keys the one whose columns come first in order."""
     both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)))
-    first = Window.partitionBy(*keys).orderBy("_age")
+    first = Window.partitionBy(*keys).orderBy("_age", *[c for c in old.columns if c not in keys])
     return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_age")
 
 
@@ -60,8 +60,8 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def fold_events(start: DataFrame, events: DataFrame, key: str, state: str, order: str) -> DataFrame:
-    """Each row's state after its last event; claims, releases and decisions are events, never updates in place."""
-    last = events.groupBy(key).agg(F.max_by(state, order).alias("_state"))
+    """Each row's state after its last event; claims, releases and decisions are events, never updates in place. Of events at one time the largest state counts."""
+    last = events.groupBy(key).agg(F.max_by(state, F.struct(order, state)).alias("_state"))
     return start.join(last, key, "left").withColumn(state, F.coalesce("_state", state)).drop("_state")
 
 

@@ -51,13 +51,19 @@ def run_once(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int
 
 
 def append_new(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Appends the rows of a batch whose keys the target doesn't have: rows already in a final state are passed over."""
+    """Appends the rows of a batch whose keys the target doesn't have: rows already in a final state are passed over.
+
+    Of rows of one batch with the same keys the one whose columns come first in order is taken. The target is read by
+    its keys alone.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
             batch = batch.join(spark.read.schema(batch.schema).parquet(target).select(*keys), keys, "left_anti")
-        batch.dropDuplicates(keys).write.mode("append").parquet(target)
+        rest = [c for c in batch.columns if c not in keys]
+        single = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("least")).select(*keys, "least.*") if rest else batch.distinct()
+        single.select(*batch.columns).write.mode("append").parquet(target)
 
     return write
