@@ -324,8 +324,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     star = join_groups(member.drop("size"), hubs, "band", total).where((F.col("bag") != F.col("hub")) & _compatible(threshold, "n", "hub_n")).select(F.col("bag").alias("a"), F.col("hub").alias("b")).distinct()
     # One text of each bag that shares a band.
     texts = with_bag(docs.select(docs[text].alias("text")), "text", "bag").select("bag", F.coalesce("text", F.lit("")).alias("text"))
-    # Joined alike at every size: a broadcast would only serve tables so small that nothing is gained.
-    texts = scratch.keep(texts.join(central.select("bag").hint("merge"), "bag", "left_semi").dropDuplicates(["bag"]), "texts")
+    # Copies fold to one a task before the shuffle. Joined alike at every size: a broadcast would only serve tables so
+    # small that nothing is gained.
+    texts = texts.groupBy("bag").agg(F.any_value("text").alias("text"))
+    texts = scratch.keep(texts.join(central.select("bag").hint("merge"), "bag", "left_semi"), "texts")
     links = _Links(scratch, texts, threshold)
     links.compare(scratch.keep(star, "stars"))
     found = scratch.keep(links.components(), "found")
