@@ -13,7 +13,7 @@ PATTERNS = {
     "has_ifsc": r"\b[A-Z]{4}0[A-Z0-9]{6}\b",
     "has_mrz": r"[A-Z<]{9,}",
 }
-#: What a format adds to the score of a type, 0.95 at most, and the least score that names one.
+#: What a format adds to the score of a type, the most that a score can be, and the least that names a type.
 BOOSTS = {"aadhaar": ("has_12digit", 0.20), "pan": ("has_pan", 0.25), "invoice": ("has_gstin", 0.20), "bank_statement": ("has_ifsc", 0.15), "passport": ("has_mrz", 0.30)}
 LEAST, MOST = 0.08, 0.95
 #: Weighted patterns of each document type, (weight, pattern), in the syntax and sense of Python's ``re``.
@@ -81,9 +81,6 @@ SIGNATURES = {
 }
 #: Formats that raise the score of a type beside its patterns.
 FORMATS = {t: (PATTERNS[f], x) for t, (f, x) in BOOSTS.items()}
-#: Python's classes in those of Java: letters and numbers make words, marks don't.
-_JAVA = {r"\b": r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))", r"\d": r"\p{Nd}", r"\s": r"\t-\r\x1C-\x20\x85\p{Z}"}
-_LINE_END = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 #: Multiplication and permutation of the check digit scheme over five-sided rotations.
 _TIMES = [[(a + b) % 5 if a < 5 and b < 5 else 5 + (a + b) % 5 if a < 5 else 5 + (a - b) % 5 if b < 5 else (a - b) % 5 for b in range(10)] for a in range(10)]
 _TURN = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
@@ -105,37 +102,47 @@ def check_digit_holds(number: Column) -> Column:
     return F.when(number.rlike("^[0-9]+$"), F.aggregate(coded, F.lit(0), lambda c, d: F.get(times, c * 10 + d)) == 0).otherwise(False)
 
 
+_LINE_END = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+#: Fixed value: a line that names a field before a colon.
+FIELD = r"[A-Za-z\x{0900}-\x{097F}][^:]+:\s*\S"
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _share(text: Column, characters: str) -> Column:
+    """The share of characters that are among some; counted by leaving them out, without a pattern."""
+    n = F.char_length(text)
+    return (n - F.char_length(F.translate(text, characters, ""))) / F.greatest(n, F.lit(1))
+
+
+def _fields(text: Column) -> Column:
+    """How many fields a text names. Only what stands before its last colon, and the next character, can be of one, so the pattern never runs on to the end in vain."""
+    tail = F.substring_index(text, ":", -1)
+    body = F.concat(F.left(text, F.char_length(text) - F.char_length(tail)), F.when(tail.rlike(r"\S"), "x").otherwise(""))
+    return F.when(F.contains(text, F.lit(":")), F.regexp_count(body, F.lit(FIELD))).otherwise(0)
+
+
 def features(text: Column) -> dict[str, Column]:
-    """Counts and shares of words, lines, letters and digits, and which formats occur."""
-    n = F.greatest(F.char_length(text), F.lit(1))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    """Counts and shares of words, lines, scripts, digits, fields and rows of numbers, and which formats occur."""
+    lines = F.filter(F.split(text, _LINE_END), lambda x: x.rlike(r"\S"))
+    count = F.size(lines)
+    numeric = F.size(F.filter(lines, lambda x: _share(x, "0123456789,.₹/- ") > 0.5))
     out = {
         "word_count": F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")),
-        "line_count": F.size(lines),
-        "latin_ratio": F.round(F.regexp_count(text, F.lit("[A-Za-z]")) / n, 3),
-        "numeric_ratio": F.round(F.regexp_count(text, F.lit("[0-9]")) / n, 3),
+        "line_count": count,
+        "devanagari_ratio": F.round(F.when(text.rlike(r"[\x{0900}-\x{097F}]"), F.regexp_count(text, F.lit(r"[\x{0900}-\x{097F}]")) / F.greatest(F.char_length(text), F.lit(1))).otherwise(0.0), 3),
+        "latin_ratio": F.round(_share(text, _LETTERS), 3),
+        "numeric_ratio": F.round(_share(text, "0123456789"), 3),
+        "currency_present": text.rlike("[₹$€£]"),
+        "has_currency_amounts": text.rlike(r"₹\s*[0-9,]+"),
+        "field_pattern_density": F.round(_fields(text) / F.greatest(count, F.lit(1)), 3),
+        "numeric_row_density": F.round(numeric / F.greatest(count, F.lit(1)), 3),
     }
     return out | {k: text.rlike(p) for k, p in PATTERNS.items()}
 
 
-def document_type(found: dict[str, Column]) -> Column:
-    """The type of the highest score, the first named of equals; unknown below the least score."""
-    scores = [F.struct(F.when(found[f], F.least(F.lit(MOST), F.lit(x))).otherwise(0.0).alias("score"), F.lit(-k).alias("place"), F.lit(t).alias("type")) for k, (t, (f, x)) in enumerate(BOOSTS.items())]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["score"] >= LEAST, best["type"]).otherwise("unknown")
-
-
-def _java(pattern: str) -> str:
-    """A pattern of Python's ``re`` that finds the same in Spark."""
-    out, inside, at = [], False, 0
-    while at < len(pattern):
-        two = pattern[at : at + 2]
-        step = 2 if two[0] == "\\" else 1
-        inside = {"[": True, "]": False}.get(two[:step], inside)
-        found = _JAVA.get(two, two[:step])
-        out.append(f"[{found}]" if two == r"\s" and not inside else found)
-        at += step
-    return "".join(out).replace("(?i)", "(?iu)")
+def java_pattern(pattern: str) -> str:
+    """A pattern of Python's ``re`` that finds the same in Spark: classes and cases of all of Unicode."""
+    return "(?U)" + pattern
 
 
 def signature_type(text: Column, table_density: Column | None = None, hint: Column | None = None) -> Column:
@@ -148,16 +155,16 @@ def signature_type(text: Column, table_density: Column | None = None, hint: Colu
     for kind, patterns in SIGNATURES.items():
         found = F.lit(0.0)
         for weight, pattern in patterns:
-            found = found + F.when(text.rlike(_java(pattern)), weight).otherwise(0.0)
+            found = found + F.when(text.rlike(java_pattern(pattern)), weight).otherwise(0.0)
         scores[kind] = F.least(F.lit(MOST), found / max(sum(x for x, _ in patterns), 1.0))
 
     def add(kind: str, when: Column, points: float) -> None:
-        scores[kind] = F.when(when, F.least(F.lit(MOST), scores[kind] + points)).otherwise(scores[kind])
+        scores[kind] = F.least(F.lit(MOST), scores[kind] + F.when(when, points).otherwise(0.0))
 
     for kind, (pattern, points) in FORMATS.items():
-        add(kind, text.rlike(_java(pattern)), points)
-    lines = F.filter(F.split(text, _LINE_END), lambda x: x.rlike(_java(r"[^\s]")))
-    numbers = F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"[\p{Nd},.₹/\- ]")) / F.char_length(x) > 0.5)
+        add(kind, text.rlike(java_pattern(pattern)), points)
+    lines = F.filter(F.split(text, _LINE_END), lambda x: x.rlike(r"(?U)[^\s]"))
+    numbers = F.filter(lines, lambda x: _share(x, "0123456789,.₹/- ") > 0.5)
     numeric = F.round(F.size(numbers) / F.greatest(F.size(lines), F.lit(1)), 3) > 0.3
     if table_density is not None:
         tabular = F.coalesce((F.round(table_density, 3) > 0.4) & numeric, F.lit(False))
@@ -170,7 +177,8 @@ def signature_type(text: Column, table_density: Column | None = None, hint: Colu
         for kind in SIGNATURES:
             add(kind, F.coalesce(hint == kind, F.lit(False)), 0.10)
     best = F.array_max(F.array(*[F.struct(x.alias("score"), F.lit(-k).alias("place"), F.lit(t).alias("type")) for k, (t, x) in enumerate(scores.items())]))
-    return F.when(best["score"] >= LEAST, best["type"]).otherwise("unknown")
+    # Inside a function of arrays, so that all patterns are looked for once.
+    return F.get(F.transform(F.array(best), lambda b: F.when(b["score"] >= LEAST, b["type"]).otherwise("unknown")), F.lit(0))
 
 
 def first_match(text: Column, *patterns: str) -> Column:

@@ -21,3 +21,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
+
+
+def edges(pattern: str) -> str:
+    """A pattern for DuckDB in which letters of any script make words; it may take the characters beside a word along."""
+    parts, word = pattern.split(r"\b"), r"[\p{L}\p{N}_]"
+    out = parts[0]
+    for before, after in zip(parts, parts[1:], strict=False):
+        opens = after[:1] not in ("", ".", "|", ")")
+        out += (f"(?:^|[^{word[1:]})" if opens else f"(?:$|[^{word[1:]})") + after
+    return out

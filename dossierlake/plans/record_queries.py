@@ -26,7 +26,10 @@ READ = {
     "obtained_marks": (13, ["407+05", "412", "£407", "5", None, "3l2", "600", "99999", "4O0 of 500"]),
     "total_marks": (17, ["500", "650", "6000", None, "S00", "£ 500", "0", "1200"]),
 }
-_K = F.col("o_orderkey")
+
+
+def _key() -> Column:
+    return F.col("o_orderkey")
 
 
 def _pick(key: Column, values: list) -> Column:
@@ -40,8 +43,8 @@ def _sql_pick(key: str, values: list) -> str:
 
 def readings(s: SparkSession, d: str) -> DataFrame:
     """(id, field, value, confidence); documents of keys divisible by 9 have no percentage."""
-    rows = [F.struct(F.lit(f).alias("field"), _pick(F.floor(_K / m), values).alias("value"), (_K * m % 97 / F.lit(97.0)).alias("confidence")) for f, (m, values) in READ.items()]
-    x = lt.table(s, d, "orders").select(_K.alias("id"), F.inline(F.array(*rows)))
+    rows = [F.struct(F.lit(f).alias("field"), _pick(F.floor(_key() / m), values).alias("value"), (_key() * m % 97 / F.lit(97.0)).alias("confidence")) for f, (m, values) in READ.items()]
+    x = lt.table(s, d, "orders").select(_key().alias("id"), F.inline(F.array(*rows)))
     return x.where(~((F.col("id") % 9 == 0) & (F.col("field") == "percentage")))
 
 
@@ -99,13 +102,13 @@ query("m13_inconsistencies", f"""WITH {_HEALED}, {_WIDE}, nn AS (SELECT id, {_NU
   SELECT id, concat_ws(',', CASE WHEN p <= 10 AND c <= 10 THEN 'percentage_and_grade_on_one_scale' END, CASE WHEN o > t THEN 'obtained_exceeds_total' END, CASE WHEN t > 0 AND abs(o / nullif(t, 0) * 100 - p) > 1 THEN 'percentage_disagrees_with_marks' END) AS warnings FROM nn""")(
     lambda s, d: hl.inconsistent(hl.heal(readings(s, d))).select("id", F.concat_ws(",", "warnings").alias("warnings")))
 
-_NUMBERS = {"obtained": _K * 7 % 700 - 5, "total": _K * 3 % 650 - 2, "percentage": _K % 120 - 3, "year": _K % 150 + 1930, "cgpa": _K % 130 / F.lit(10.0) - 1}
 _NUMBERS_SQL = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 <> 0 THEN o_orderkey * 7 % 700 - 5 END AS o, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey * 3 % 650 - 2 END AS t, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 120 - 3 END AS p, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 150 + 1930 END AS y, CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 130) / 10.0::DOUBLE - 1 END AS c, o_orderkey % 3 = 0 AS degree, CASE WHEN o_orderkey % 7 > 2 THEN 'A' END AS grade, CASE WHEN o_orderkey % 11 > 3 THEN 'PASS' END AS result FROM orders"
 
 
 def numbers(s: SparkSession, d: str) -> DataFrame:
+    values = {"obtained": _key() * 7 % 700 - 5, "total": _key() * 3 % 650 - 2, "percentage": _key() % 120 - 3, "year": _key() % 150 + 1930, "cgpa": _key() % 130 / F.lit(10.0) - 1}
     gaps = {"obtained": 8, "total": 9, "percentage": 5, "year": 6, "cgpa": 4}
-    return lt.table(s, d, "orders").select(_K.alias("id"), *[F.when(_K % gaps[c] != 0, x).alias(c) for c, x in _NUMBERS.items()], F.when(_K % 3 == 0, "degree").otherwise("ssc").alias("doc_type"), F.when(_K % 7 > 2, "A").alias("grade"), F.when(_K % 11 > 3, "PASS").alias("result"))
+    return lt.table(s, d, "orders").select(_key().alias("id"), *[F.when(_key() % gaps[c] != 0, x).alias(c) for c, x in values.items()], F.when(_key() % 3 == 0, "degree").otherwise("ssc").alias("doc_type"), F.when(_key() % 7 > 2, "A").alias("grade"), F.when(_key() % 11 > 3, "PASS").alias("result"))
 
 
 query("m10_mark_warnings", f"""SELECT id, concat_ws(',', CASE WHEN o > t THEN 'obtained_exceeds_total' END, CASE WHEN o IS NOT NULL AND t <= 0 THEN 'total_invalid' END, CASE WHEN t IS NOT NULL AND o < 0 THEN 'obtained_negative' END,
@@ -121,7 +124,7 @@ query("m16_recovered_readings", f"""WITH a AS (SELECT o_orderkey AS id, {_sql_pi
   c AS (SELECT id, regexp_replace(regexp_replace({_LETTERS.format("regexp_replace(x, '([0-9])\\s+([0-9])', '\\1.\\2', 'g')")}, '[^0-9.]', '', 'g'), '\\.{{2,}}', '.', 'g') AS p, regexp_replace(regexp_replace({_LETTERS.format('x')}, '[^0-9.]', '', 'g'), '\\.{{2,}}', '.', 'g') AS g FROM b),
   e AS (SELECT id, try_cast(regexp_replace(regexp_replace(p, '^([0-9]{{2}})([0-9]{{1,2}})$', '\\1.\\2'), '^([0-9]{{3}})([0-9]{{2}})$', '\\1.\\2') AS DOUBLE) AS p, try_cast(regexp_replace(g, '^([0-9])([0-9]{{2}})$', '\\1.\\2') AS DOUBLE) AS g FROM c)
   SELECT id, CASE WHEN p > 0 AND p <= 100 THEN round(p, 2) END AS percentage, CASE WHEN g > 0 AND g <= 10 THEN round(g, 2) END AS cgpa FROM e""")(
-    lambda s, d: lt.table(s, d, "orders").select(_K.alias("id"), _pick(_K, _DAMAGED).alias("raw")).select("id", v.recovered_percentage(F.col("raw")).alias("percentage"), v.recovered_grade(F.col("raw")).alias("cgpa")))
+    lambda s, d: lt.table(s, d, "orders").select(_key().alias("id"), _pick(_key(), _DAMAGED).alias("raw")).select("id", v.recovered_percentage(F.col("raw")).alias("percentage"), v.recovered_grade(F.col("raw")).alias("cgpa")))
 
 # Confidence of whole documents
 _FORMS = {
@@ -136,7 +139,7 @@ _FORMS = {
 
 
 def forms(s: SparkSession, d: str) -> DataFrame:
-    return lt.table(s, d, "orders").select(_K.alias("id"), *[_pick(F.floor(_K / (i + 1)), values).alias(f) for i, (f, values) in enumerate(_FORMS.items())], (_K % 130 / F.lit(100.0)).alias("ocr"))
+    return lt.table(s, d, "orders").select(_key().alias("id"), *[_pick(F.floor(_key() / (i + 1)), values).alias(f) for i, (f, values) in enumerate(_FORMS.items())], (_key() % 130 / F.lit(100.0)).alias("ocr"))
 
 
 _D = "try_cast({0} AS DOUBLE)"
@@ -157,7 +160,7 @@ query("m11_overall_confidence", f"""WITH a AS (SELECT o_orderkey AS id, {', '.jo
 _STATED = ["Percentage: 82.456 %", "scored 75 % in all", "aggregate 640 marks", "Aggregate % : 61.2", "percent-71", "none", "percentage 150 then 45.50 pct", "CGPA: 8.74 SGPA 7.5 sem gpa - 9.25 sgpa: 12", ""]
 query("m9_stated", f"""WITH a AS (SELECT o_orderkey AS id, {_sql_pick('o_orderkey', _STATED)} AS x FROM orders), b AS (SELECT id, x, {', '.join(f"try_cast(nullif({_RX}(x, '{p}', 1), '') AS DOUBLE) AS p{i}" for i, p in enumerate(sc.PERCENTAGES))}, try_cast(nullif({_RX}(x, '{sc.CGPA}', 1), '') AS DOUBLE) AS g FROM a)
   SELECT id, coalesce({', '.join(f'CASE WHEN p{i} <= 100 THEN round(p{i}, 2) END' for i in range(len(sc.PERCENTAGES)))}) AS percentage, CASE WHEN g <= 10 THEN round(g, 2) END AS cgpa, list_sum(list_filter(regexp_extract_all(x, '{sc.SGPA}', 1)::DOUBLE[], lambda y: y <= 10)) AS terms FROM b""")(
-    lambda s, d: lt.table(s, d, "orders").select(_K.alias("id"), _pick(_K, _STATED).alias("x")).select("id", sc.stated_percentage(F.col("x")).alias("percentage"), sc.stated_average(F.col("x")).alias("cgpa"), F.when(F.size(sc.stated_terms(F.col("x"))) > 0, F.aggregate(sc.stated_terms(F.col("x")), F.lit(0.0), lambda a, y: a + y)).alias("terms")))
+    lambda s, d: lt.table(s, d, "orders").select(_key().alias("id"), _pick(_key(), _STATED).alias("x")).select("id", sc.stated_percentage(F.col("x")).alias("percentage"), sc.stated_average(F.col("x")).alias("cgpa"), F.when(F.size(sc.stated_terms(F.col("x"))) > 0, F.aggregate(sc.stated_terms(F.col("x")), F.lit(0.0), lambda a, y: a + y)).alias("terms")))
 query("m9_course_averages", """WITH t AS (SELECT l_orderkey AS id, (l_partkey % 11)::DOUBLE AS sgpa, CASE WHEN l_orderkey % 3 <> 0 OR l_linenumber <> 2 THEN (l_quantity % 5)::DOUBLE END AS credits FROM lineitem),
   u AS (SELECT id, count(*) AS n, count(credits) AS c, sum(sgpa) AS s, sum(sgpa * credits) AS w, sum(credits) AS k FROM t WHERE sgpa <> 0 GROUP BY 1)
   SELECT i.id, CASE WHEN n > 0 THEN round(CASE WHEN n = c AND k > 0 THEN w / k ELSE s / n END, 2) END AS average FROM (SELECT DISTINCT id FROM t) i LEFT JOIN u USING (id)""")(
@@ -172,7 +175,7 @@ _WRONG_SQL = f"p AS (SELECT o_orderkey AS id, 'ASHA RAO' AS stored, {_sql_pick('
 
 
 def wrong(s: SparkSession, d: str) -> DataFrame:
-    return lt.table(s, d, "orders").select(_K.alias("id"), F.lit("ASHA RAO").alias("stored"), _pick(_K, _WRONG).alias("x"), _pick(F.floor(_K / 3), ["MATCH", "POSSIBLE_MATCH", "MISMATCH", "MISMATCH"]).alias("status"), (_K * 7 % 101).cast("double").alias("score"))
+    return lt.table(s, d, "orders").select(_key().alias("id"), F.lit("ASHA RAO").alias("stored"), _pick(_key(), _WRONG).alias("x"), _pick(F.floor(_key() / 3), ["MATCH", "POSSIBLE_MATCH", "MISMATCH", "MISMATCH"]).alias("status"), (_key() * 7 % 101).cast("double").alias("score"))
 
 
 @query("x11_fixed_values", f"WITH {_WRONG_SQL}, {_FIX} SELECT id, a5 AS fixed, CASE WHEN x IS NOT NULL THEN applied ELSE '' END AS applied FROM f6")
@@ -196,7 +199,7 @@ _SOFT = ["Adobe Photoshop 25", "", None, "Screenshot tool", "Camera 1.0", "paint
 
 
 def measures(s: SparkSession, d: str) -> DataFrame:
-    k = _K
+    k = _key()
     real = {"sharpness": k * 7 % 300, "brightness": k * 11 % 256, "contrast": k * 5 % 60, "noise": k * 3 % 20 / F.lit(100.0), "edges": k % 10 / F.lit(100.0), "entropy": k * 13 % 80 / F.lit(10.0), "glare": k * 23 % 10 / F.lit(100.0), "ela_share": k * 29 % 20 / F.lit(100.0), "ela_spread": k * 31 % 12, "contrast_share": k * 37 % 16 / F.lit(100.0), "flat_share": k * 41 % 16 / F.lit(100.0), "flat_blocks": k * 43 % 6, "edge_ratio": k * 47 % 50 / F.lit(10.0), "top_spread": k * 53 % 40, "bottom_spread": k * 59 % 40}
     sides = {"width": _pick(k, [100, 640, 1080, 1280, 856, 500]), "height": _pick(F.floor(k / 5), [140, 480, 1920, 720, 540, 900])}
     taken = F.lit(O_AT).cast("timestamp") - F.make_dt_interval((k % 4000 - 100).cast("int"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import text as tx
 from dossierlake.operators import layout as ly
-from dossierlake.plans._registry import query
+from dossierlake.plans._registry import edges, query
 from dossierlake.sources import logical as lt
 from dossierlake.sources import sinks
 from dossierlake.sources.shared import shared_root
@@ -17,8 +17,12 @@ from dossierlake.sources.logical import with_tables as w
 from dossierlake.streaming import jobs
 
 _T = "coalesce(text, '')"
-_FEATURES = f"""SELECT doc_id, len(list_filter(regexp_split_to_array({_T}, '\\s+'), lambda x: x <> ''))::INT AS word_count, len(list_filter(string_split({_T}, chr(10)), lambda x: trim(x) <> ''))::INT AS line_count,
-  round(len(regexp_extract_all({_T}, '[A-Za-z]')) / greatest(length({_T}), 1)::DOUBLE, 3) AS latin_ratio, round(len(regexp_extract_all({_T}, '[0-9]')) / greatest(length({_T}), 1)::DOUBLE, 3) AS numeric_ratio,
+_NL = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
+_LN = f"list_filter(regexp_split_to_array({_T}, '{_NL}'), lambda x: regexp_matches(x, '\\S'))"
+_ALL = "len(regexp_extract_all({0}, '{1}')) / greatest(length({0}), 1)::DOUBLE"
+_FEATURES = f"""SELECT doc_id, len(list_filter(regexp_split_to_array({_T}, '\\s+'), lambda x: x <> ''))::INT AS word_count, len({_LN})::INT AS line_count, round(len(regexp_extract_all({_T}, '[\\x{{0900}}-\\x{{097F}}]')) / greatest(length({_T}), 1)::DOUBLE, 3) AS devanagari_ratio,
+  round({_ALL.format(_T, '[A-Za-z]')}, 3) AS latin_ratio, round({_ALL.format(_T, '[0-9]')}, 3) AS numeric_ratio, regexp_matches({_T}, '[₹$€£]') AS currency_present, regexp_matches({_T}, '₹\\s*[0-9,]+') AS has_currency_amounts,
+  round(len(regexp_extract_all({_T}, '[A-Za-z\\x{{0900}}-\\x{{097F}}][^:]+:\\s*\\S')) / greatest(len({_LN}), 1)::DOUBLE, 3) AS field_pattern_density, round(len(list_filter({_LN}, lambda x: len(regexp_extract_all(x, '[0-9,.₹/\\- ]')) / length(x)::DOUBLE > 0.5)) / greatest(len({_LN}), 1)::DOUBLE, 3) AS numeric_row_density,
   {', '.join(f"regexp_matches({_T}, '{p}') AS {k}" for k, p in tx.PATTERNS.items())} FROM documents"""
 
 
@@ -27,9 +31,12 @@ def _documents(s: SparkSession, d: str) -> DataFrame:
 
 
 query("x20_text_features", _FEATURES)(lambda s, d: _documents(s, d).select("doc_id", *[v.alias(k) for k, v in tx.features(F.col("text")).items()]))
-_KIND = "CASE WHEN has_mrz THEN 'passport' WHEN has_pan THEN 'pan' WHEN has_12digit THEN 'aadhaar' WHEN has_gstin THEN 'invoice' WHEN has_ifsc THEN 'bank_statement' ELSE 'unknown' END"
-query("x21_document_type", f"SELECT doc_id, {_KIND} AS doc_type FROM ({_FEATURES})")(lambda s, d: _documents(s, d).select("doc_id", tx.document_type(tx.features(F.col("text"))).alias("doc_type")))
-query("x21_signature_type")(lambda s, d: _documents(s, d).select("doc_id", tx.signature_type(F.col("text")).alias("doc_type")))
+_Q = lambda p: edges(p).replace("'", "''")
+_RAW = ", ".join("least(0.95::DOUBLE, (0.0::DOUBLE + " + " + ".join(f"CASE WHEN regexp_matches(t, '{_Q(p)}') THEN {x}::DOUBLE ELSE 0.0::DOUBLE END" for x, p in ps) + f") / greatest({sum(x for x, _ in ps)!r}::DOUBLE, 1.0::DOUBLE)) AS s_{k}" for k, ps in tx.SIGNATURES.items())
+_BOOST = ", ".join(f"CASE WHEN regexp_matches(t, '{_Q(tx.FORMATS[k][0])}') THEN least(0.95::DOUBLE, s_{k} + {tx.FORMATS[k][1]}::DOUBLE) ELSE s_{k} END AS b_{k}" if k in tx.FORMATS else f"CASE WHEN devanagari > 0.30 THEN least(0.95::DOUBLE, s_{k} + {x}::DOUBLE) ELSE s_{k} END AS b_{k}" for k, x in ((k, {"ration_card": 0.08, "government_doc": 0.05}.get(k, 0.0)) for k in tx.SIGNATURES))
+_TOP = "greatest(" + ", ".join(f"b_{k}" for k in tx.SIGNATURES) + ")"
+query("x21_document_type", f"""WITH a AS (SELECT doc_id, {_T} AS t, round(len(regexp_extract_all({_T}, '[\\x{{0900}}-\\x{{097F}}]')) / greatest(length({_T}), 1)::DOUBLE, 3) AS devanagari FROM documents), b AS (SELECT *, {_RAW} FROM a), c AS (SELECT *, {_BOOST} FROM b)
+  SELECT doc_id, CASE WHEN {_TOP} < 0.08 THEN 'unknown' {' '.join(f"WHEN b_{k} = {_TOP} THEN '{k}'" for k in tx.SIGNATURES)} END AS doc_type FROM c""")(lambda s, d: _documents(s, d).select("doc_id", tx.signature_type(F.col("text")).alias("doc_type")))
 query("x16_first_matches", f"SELECT doc_id, nullif(regexp_extract({_T}, '\\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\\b'), '') AS pan, nullif(regexp_extract({_T}, '\\b[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}\\b'), '') AS dob, coalesce(nullif(regexp_extract({_T}, '\\+[0-9]{{2}}[0-9]{{10}}'), ''), nullif(regexp_extract({_T}, '[0-9]{{10,}}'), '')) AS phone FROM documents")(
     lambda s, d: _documents(s, d).select("doc_id", tx.first_match(F.col("text"), r"\b[A-Z]{5}[0-9]{4}[A-Z]\b").alias("pan"), tx.first_match(F.col("text"), r"\b[0-9]{2}/[0-9]{2}/[0-9]{4}\b").alias("dob"), tx.first_match(F.col("text"), r"\+[0-9]{2}[0-9]{10}", "[0-9]{10,}").alias("phone")))
 query("x23_key_values", f"SELECT doc_id, trim(regexp_extract(line, '^([^:]*):(.*)$', 1)) AS key, trim(regexp_extract(line, '^([^:]*):(.*)$', 2)) AS val FROM (SELECT doc_id, unnest(string_split({_T}, chr(10))) AS line FROM documents) WHERE contains(line, ':')")(
