@@ -196,3 +196,217 @@ def key_values(rows: DataFrame) -> DataFrame:
     """Key and value of lines, cut at the first colon."""
     m = r"^([^:]*):(.*)$"
     return rows.where(F.contains("text", F.lit(":"))).select(*PAGE, "line", F.trim(F.regexp_extract("text", m, 1)).alias("key"), F.trim(F.regexp_extract("text", m, 2)).alias("value"))
+
+
+def nearest_below(words: DataFrame, aside: float = 50.0) -> DataFrame:
+    """The word below each word whose centre is less than ``aside`` to either side, at the smallest fall of centres. Words meet by vertical strips of the page."""
+    near = words.select(*PAGE, F.explode(F.sequence(F.floor((F.col("cx") - aside) / aside), F.floor((F.col("cx") + aside) / aside))).alias("strip"), F.col("word_id").alias("a"), F.col("cx").alias("acx"), F.col("cy").alias("acy"))
+    b = words.select(*PAGE, F.floor(F.col("cx") / aside).alias("strip"), F.col("word_id").alias("b"), F.col("cx").alias("bcx"), F.col("cy").alias("bcy"))
+    met = near.join(b, [*PAGE, "strip"]).where((F.col("a") != F.col("b")) & (F.col("bcy") > F.col("acy")) & (F.abs(F.col("acx") - F.col("bcx")) < aside))
+    return met.groupBy(*PAGE, "a").agg(F.min_by("b", F.struct(F.col("bcy") - F.col("acy"), "b")).alias("below"))
+
+
+def label_values(words: DataFrame, labels: list[str]) -> DataFrame:
+    """(doc, page, label, value, strategy): candidates for the value of each word that holds a label.
+
+    Candidates are the word to the right, the word below, the next two words to the right of that, and what is left
+    of the word without the labels. A value that a page has shown before, going through labels in order and
+    strategies in this one, isn't repeated.
+    """
+    text = words.select(*PAGE, "word_id", "text")
+    right, below = nearest_right(words), nearest_below(words)
+    hit = text.where(F.lower("text").rlike("|".join(labels))).select(*PAGE, F.col("word_id").alias("label_id"), F.col("text").alias("label"))
+    hop = right.select(*PAGE, F.col("a").alias("at"), F.col("right").alias("next"))
+    one = hit.join(hop, (hit["doc"] == hop["doc"]) & (hit["page"] == hop["page"]) & (hit["label_id"] == hop["at"]), "left").select(hit["*"], F.col("next").alias("r1"))
+    for k in (1, 2):
+        one = one.alias("o").join(hop.alias("h"), (F.col("o.doc") == F.col("h.doc")) & (F.col("o.page") == F.col("h.page")) & (F.col(f"o.r{k}") == F.col("h.at")), "left").select("o.*", F.col("h.next").alias(f"r{k + 1}"))
+    under = below.select(*PAGE, F.col("a").alias("label_id"), "below")
+    spread = one.join(under, [*PAGE, "label_id"], "left")
+    places = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(name).alias("strategy"), F.col(c).alias("word_id")) for i, (name, c) in enumerate((("nearest_right", "r1"), ("nearest_below", "below"), ("right_hop", "r2"), ("right_hop", "r3")))])
+    linked = spread.select(*PAGE, "label_id", "label", F.inline(places)).where(F.col("word_id").isNotNull()).join(text, [*PAGE, "word_id"]).select(*PAGE, "label_id", "label", "step", "strategy", F.col("text").alias("value"))
+    rest = F.regexp_replace(F.col("label"), "(?i)" + "|".join(labels), "")
+    rest = F.regexp_replace(rest, r"^[ :/\-|]+|[ :/\-|]+$", "")
+    inline = hit.select(*PAGE, "label_id", "label", F.lit(4).alias("step"), F.lit("inline").alias("strategy"), rest.alias("value")).where((F.col("value") != "") & (F.col("value") != F.trim("label")))
+    first = Window.partitionBy(*PAGE, "value").orderBy("label_id", "step")
+    return linked.unionByName(inline).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*PAGE, "label_id", "label", "value", "strategy")
+
+
+def anchor_scores(words: DataFrame, anchors: DataFrame, reach: float = 500.0) -> DataFrame:
+    """The best value of each anchor (doc, page, anchor_id, kind, text, x1, y1, x2, y2, line): (doc, page, anchor_id, word_id, score).
+
+    Nearness gives up to 40 points, the same row or column 10 and its right or lower side 10 more, the same line 10,
+    about the same height 10, and a percent sign beside a percentage 20. A page's few anchors meet its words.
+    """
+    mid = lambda p, a, b: (F.col(f"{p}{a}") + F.col(f"{p}{b}")) / 2
+    a = anchors.select(*PAGE, "anchor_id", "kind", *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2", "line")]).withColumns({"a_cx": mid("a_", "x1", "x2"), "a_cy": mid("a_", "y1", "y2")})
+    b = words.select(*PAGE, "word_id", "text", "x1", "y1", "x2", "y2", "line", mid("", "x1", "x2").alias("cx"), mid("", "y1", "y2").alias("cy"))
+    dx, dy = F.abs(F.col("cx") - F.col("a_cx")), F.abs(F.col("cy") - F.col("a_cy"))
+    far = F.sqrt(dx * dx + dy * dy)
+    beside = F.when(dy < 20, 10 + F.when(F.col("x1") > F.col("a_x2"), 10).otherwise(0)).when(dx < 50, 10 + F.when(F.col("y1") > F.col("a_y2"), 10).otherwise(0)).otherwise(0)
+    height = F.abs((F.col("y2") - F.col("y1")) - (F.col("a_y2") - F.col("a_y1"))) < 5
+    score = F.when(far < reach, (1 - far / reach) * 40.0).otherwise(0.0) + beside + F.when(F.col("line") == F.col("a_line"), 10).otherwise(0) + F.when(height, 10).otherwise(0) + F.when((F.col("kind") == "PERCENTAGE") & F.contains("text", F.lit("%")), 20).otherwise(0)
+    met = a.join(b, PAGE).where(F.col("word_id") != F.col("anchor_id")).withColumn("score", F.round(score, 6))
+    return met.groupBy(*PAGE, "anchor_id").agg(F.max_by("word_id", F.struct("score", -F.col("word_id"))).alias("word_id"), F.max("score").alias("score"))
+
+
+def wrapped_lines(rows: DataFrame, indent: float = 20.0) -> DataFrame:
+    """Adds ``logical``: a line that is indented, overlaps the row above, follows it closely and is short or no further left joins that row.
+
+    The row grows with each line that joins it, so a page's lines are taken in order.
+    """
+
+    def page(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line", kind="stable")
+        steps = np.diff(pdf["cy"].to_numpy())
+        spacing = float(np.median(steps[steps > 0])) if (steps > 0).any() else 15.0
+        margin, number, out, row = pdf["x1"].min(), -1, [], None
+        for x1, x2, y1, y2, tokens in pdf[["x1", "x2", "y1", "y2", "tokens"]].itertuples(index=False):
+            joins = row is not None and x1 > margin + indent and x2 >= row[0] and x1 <= row[1] and y1 - row[2] < spacing * 1.5 and (tokens < 5 or x1 >= row[0])
+            number, row = (number, (min(row[0], x1), max(row[1], x2), max(row[2], y2))) if joins else (number + 1, (x1, x2, y2))
+            out.append(number)
+        return pdf.assign(logical=np.asarray(out, "int64"))
+
+    return rows.groupBy(*PAGE).applyInPandas(page, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "logical long"]))
+
+
+def positioned_text(words: DataFrame, least: float = 5.0, most: float = 15.0, usual: float = 8.0) -> DataFrame:
+    """(doc, page, line, text): each line with its words at the columns where they stand.
+
+    A column is the median width of a page's characters. Of words in one column the last from the left is shown, and
+    a word covers the end of one that runs into it.
+    """
+    width = F.col("width") / F.length("text")
+    char = F.coalesce(F.median(F.when(F.col("width") > 0, width)).over(Window.partitionBy(*PAGE)), F.lit(usual))
+    x = words.withColumn("column", F.greatest(F.lit(0), F.floor(F.col("x1") / F.least(F.greatest(char, F.lit(least)), F.lit(most)))))
+    slots = x.groupBy(*PAGE, "line", "column").agg(F.max_by("text", F.struct("x1", "word_id")).alias("text"))
+    held = slots.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("column", "text"))).alias("slots"))
+    written = F.aggregate("slots", F.lit(""), lambda line, s: F.concat(F.rpad(F.substr(line, F.lit(1), s["column"].cast("int")), s["column"].cast("int"), " "), s["text"], F.substr(line, (s["column"] + F.length(s["text"]) + 1).cast("int"))))
+    return held.select(*PAGE, "line", F.rtrim(written).alias("text"))
+
+
+#: Words of a header by the column's role, and what dates, amounts and references look like.
+ROLES = {
+    "date": ("date", "dated", "txn date", "value date", "post date", "trans date"),
+    "description": ("description", "particulars", "narration", "details", "remarks", "transaction"),
+    "debit": ("debit", "dr", "withdrawal", "dr.", "dr amount"),
+    "credit": ("credit", "cr", "deposit", "cr.", "cr amount"),
+    "balance": ("balance", "bal", "closing", "running balance"),
+    "ref": ("ref", "chq", "reference", "cheque", "utr", "txn id", "txn ref"),
+}
+TX_DATE, TX_AMOUNT, TX_REF = r"\b[0-9]{2}[/\-][0-9]{2}[/\-][0-9]{2,4}\b|\b[0-9]{2}\s*[A-Za-z]{3}\s*[0-9]{2,4}\b", r"^[0-9][0-9,]*\.[0-9]{2}$", r"\b[A-Z0-9]{10,}\b"
+
+
+def role(cell: Column) -> Column:
+    """The role that a header's cell names, the first whose words it has."""
+    low = F.lower(F.trim(cell))
+    return F.coalesce(*[F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)), name) for name, words in ROLES.items()], F.lit("unknown"))
+
+
+def _header_score(cells: Column) -> Column:
+    def points(c: Column) -> Column:
+        t = F.trim(c)
+        return F.when(t == "", 0).otherwise(F.when(F.length(t) < 30, 1).otherwise(0) + F.when(F.replace(t, F.lit(" "), F.lit("")).rlike(r"^\p{L}+$"), 2).otherwise(0) + F.when(role(t) != "unknown", 4).otherwise(0))
+
+    return F.aggregate(F.transform(cells, points), F.lit(0), lambda a, x: a + x)
+
+
+def _inferred(values: Column) -> Column:
+    """The role of a column by its values: dates or amounts in more than half, references in more than .3."""
+    some = F.greatest(F.size(F.filter(values, lambda x: F.trim(x) != "")), F.lit(1))
+    share = lambda test: F.size(F.filter(values, test)) / some
+    return F.when(share(lambda x: x.rlike(TX_DATE)) > 0.5, "date").when(share(lambda x: F.replace(x, F.lit(","), F.lit("")).rlike(TX_AMOUNT)) > 0.5, "amount").when(share(lambda x: x.rlike(TX_REF)) > 0.3, "ref").otherwise("description")
+
+
+def transactions(grid: DataFrame) -> DataFrame:
+    """(doc, page, row, date, description, amount, balance, ref) of the rows of a grid that have a date in their first 60 characters.
+
+    The header is the likeliest of the first six rows, from three points on; its cells name the roles. Without one, or
+    if it names none, roles come from the first twenty rows. Cells without a role go by what they look like. Of a
+    row's amounts the last is the balance unless a column has it, and the one before it the amount.
+    """
+    scored = grid.withColumn("score", F.when(F.col("row") < 6, _header_score(F.col("cells"))).otherwise(0))
+    best = scored.groupBy(*PAGE).agg(F.max(F.struct("score", (-F.col("row")).alias("up"), "cells")).alias("best"), F.array_sort(F.collect_list(F.when(F.col("row") < 20, F.struct("row", "cells")))).alias("first"), F.max(F.size("cells")).alias("columns"))
+    named = F.when(F.col("best.score") >= 3, F.transform("best.cells", role))
+    usable = named.isNotNull() & F.exists(named, lambda r: r != "unknown")
+    columns = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda k: F.filter(F.transform("first", lambda r: F.get(r["cells"], k)), lambda c: c.isNotNull()))
+    heads = best.select(*PAGE, F.when(usable, -F.col("best.up")).otherwise(-1).alias("header"), F.when(usable, named).otherwise(F.transform(columns, _inferred)).alias("roles"))
+    rows = grid.join(heads, PAGE).where((F.col("row") > F.col("header")) & F.left(F.concat_ws(" ", "cells"), F.lit(60)).rlike(TX_DATE))
+    cells = F.filter(F.zip_with(F.transform("cells", lambda c: F.trim(c)), "roles", lambda c, r: F.struct(c.alias("text"), r.alias("role"))), lambda x: (x["text"] != "") & x["role"].isNotNull())
+    start = F.struct(*[F.lit("").alias(c) for c in ("date", "description", "balance", "ref")], F.array().cast("array<string>").alias("amounts"))
+
+    def put(t: Column, x: Column) -> Column:
+        text, kind = x["text"], x["role"]
+        looks = F.when((t["date"] == "") & text.rlike(TX_DATE), "date").when(F.replace(text, F.lit(","), F.lit("")).rlike(TX_AMOUNT), "amount").when(F.length(text) > 4, "description")
+        kind = F.when(kind == "unknown", looks).when(kind.isin("debit", "credit"), "amount").otherwise(kind)
+        kind = F.coalesce(kind, F.lit("none"))
+        return F.struct(
+            F.when((kind == "date") & (t["date"] == ""), text).otherwise(t["date"]).alias("date"),
+            F.when(kind == "description", F.trim(F.concat_ws(" ", t["description"], text))).otherwise(t["description"]).alias("description"),
+            F.when(kind == "balance", text).otherwise(t["balance"]).alias("balance"),
+            F.when(kind == "ref", text).otherwise(t["ref"]).alias("ref"),
+            F.when(kind == "amount", F.concat(t["amounts"], F.array(text))).otherwise(t["amounts"]).alias("amounts"),
+        )
+
+    x = rows.select(*PAGE, "row", F.aggregate(cells, start, put).alias("t")).select(*PAGE, "row", "t.*")
+    n = F.size("amounts")
+    balance = F.when((F.col("balance") == "") & (n > 0), F.element_at("amounts", -1)).otherwise(F.col("balance"))
+    amount = F.when(n >= 2, F.element_at("amounts", -2)).otherwise("")
+    return x.where((F.col("date") != "") | (F.col("description") != "")).select(*PAGE, "row", "date", "description", amount.alias("amount"), balance.alias("balance"), "ref")
+
+
+def labelled_rows(grid: DataFrame, least: int = 2) -> DataFrame:
+    """(doc, page, row, label, value) of a grid whose first row fills half its columns, two at least: its cells are the labels of the others."""
+    first = grid.where("row = 0").select(*PAGE, F.col("cells").alias("labels"))
+    filled = F.size(F.filter("labels", lambda c: F.trim(c) != ""))
+    sized = grid.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least)
+    heads = first.join(sized, PAGE, "left_semi").where(filled >= F.greatest(F.lit(2), F.floor(F.size("labels") * 0.5)))
+    named = F.transform("labels", lambda c, i: F.when(F.trim(c) == "", F.concat(F.lit("col_"), i.cast("string"))).otherwise(F.trim(c)))
+    rows = grid.where("row > 0").join(heads, PAGE).select(*PAGE, "row", F.posexplode(F.arrays_zip(named.alias("label"), F.col("cells").alias("value"))).alias("column", "cell"))
+    return rows.select(*PAGE, "row", "column", F.col("cell.label").alias("label"), F.coalesce("cell.value", F.lit("")).alias("value"))
+
+
+def column_gaps(words: DataFrame, width: int = 1000, least: int = 20) -> DataFrame:
+    """(doc, page, column, x_left, x_right): columns of a page parted where no word stands for ``least`` pixels or more.
+
+    Covered stretches are joined, so a gap is what lies between one's end and the next one's beginning; a smoothing of
+    six pixels widens each stretch by two to the left and three to the right, and a separator is a gap's middle. A
+    page without a gap is one column.
+    """
+    on = words.select(*PAGE, F.greatest(F.lit(0), F.floor("x1").cast("int")).alias("a"), F.least(F.lit(width), F.floor("x2").cast("int")).alias("b")).where("b > a").select(*PAGE, F.greatest(F.lit(0), F.col("a") - 2).alias("a"), F.least(F.lit(width), F.col("b") + 3).alias("b"))
+    order = Window.partitionBy(*PAGE).orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = on.withColumn("start", F.coalesce(reach + 1, F.lit(0))).where(F.col("a") - F.col("start") >= least).select(*PAGE, F.floor((F.col("start") + F.col("a")) / 2).cast("int").alias("cut"))
+    end = on.groupBy(*PAGE).agg((F.max("b") + 1).alias("start")).where(F.lit(width + 1) - F.col("start") >= least).select(*PAGE, F.floor((F.col("start") + width + 1) / 2).cast("int").alias("cut"))
+    cuts = gaps.unionByName(end).groupBy(*PAGE).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
+    pages = words.select(*PAGE).distinct().join(cuts, PAGE, "left")
+    edges = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.lit(width)))
+    many = F.size(F.coalesce("cuts", F.array().cast("array<int>"))) > 0
+    spans = F.when(many, F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda k: F.struct(F.get(edges, k).alias("x_left"), F.get(edges, k + 1).alias("x_right")))).otherwise(F.array(F.struct(F.lit(0).alias("x_left"), F.lit(width).alias("x_right"))))
+    return pages.select(*PAGE, F.posexplode(spans).alias("column", "span")).select(*PAGE, "column", "span.*")
+
+
+def row_blocks(rows: DataFrame) -> DataFrame:
+    """Lines with their block: those from the first to the last that has half the page's most words, two at least, are the table, the others its header and footer."""
+    page = Window.partitionBy(*PAGE)
+    wide = F.col("tokens") >= F.greatest(F.lit(2.0), F.max("tokens").over(page) * 0.5)
+    x = rows.withColumn("_wide", wide)
+    first, last = F.min(F.when(F.col("_wide"), F.col("line"))).over(page), F.max(F.when(F.col("_wide"), F.col("line"))).over(page)
+    return x.withColumn("block", F.when(first.isNull() | (F.col("line") < first), "header").when(F.col("line") > last, "footer").otherwise("table")).drop("_wide")
+
+
+def nearest_anchor(centre: Column, anchors: list[float]) -> Column:
+    """The place of the anchor nearest to a centre, the first of equals."""
+    return F.array_min(F.array(*[F.struct(F.abs(centre - a).alias("far"), F.lit(i).alias("i")) for i, a in enumerate(anchors)]))["i"]
+
+
+def neighbours(words: DataFrame, aside: float = 50.0) -> DataFrame:
+    """Each word and the next by number: whether they share a row or a column, and how far apart their centres are."""
+    b = words.select(*PAGE, (F.col("word_id") - 1).alias("a"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("height").alias("bh"))
+    x = words.select(*PAGE, F.col("word_id").alias("a"), "cx", "cy", "height").join(b, [*PAGE, "a"])
+    dx, dy = F.col("cx") - F.col("bx"), F.col("cy") - F.col("by")
+    return x.select(*PAGE, "a", (F.abs(dy) < 0.5 * F.least("height", "bh")).alias("same_row"), (F.abs(dx) < aside).alias("same_column"), F.round(F.sqrt(dx * dx + dy * dy), 6).alias("distance"))
+
+
+def reading_order(words: DataFrame) -> DataFrame:
+    """Words by line, then from left to right."""
+    return words.select(*PAGE, "word_id", F.row_number().over(Window.partitionBy(*PAGE).orderBy("line", "x1", "word_id")).alias("place"))

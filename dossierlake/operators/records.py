@@ -107,3 +107,42 @@ def audit_events(reviews: DataFrame, corrections: DataFrame, uploads: DataFrame,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def filtered(reviews: DataFrame, status: str | None = None, **equal: object) -> DataFrame:
+    """Reviews of a status, the waiting ones without one, and of the given values of other columns; None asks for nothing."""
+    out = reviews.where(F.col("status") == status) if status else reviews.where(F.col("status").isin("pending", "in_review"))
+    for column, value in equal.items():
+        out = out if value is None else out.where(F.col(column) == value)
+    return out
+
+
+def first_filled(*values: Column) -> Column:
+    """The first value that isn't null or blank, trimmed."""
+    return F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in values])
+
+
+def audit_filter(events: DataFrame, action: str | None = None, text: str | None = None) -> DataFrame:
+    """Events of an action and with a text in any of their words."""
+    out = events if action is None else events.where(F.col("action") == action)
+    return out if text is None else out.where(F.contains(F.lower(F.concat_ws(" ", "source", "action", F.col("ref").cast("string"))), F.lit(text.lower())))
+
+
+def user_documents(users: DataFrame, documents: DataFrame) -> DataFrame:
+    """Users with their last Aadhaar and PAN document and all academic ones."""
+    last = lambda kind: F.max_by(F.when(F.col("doc_type") == kind, F.col("id")), F.when(F.col("doc_type") == kind, F.struct("created_at", "id")))
+    ids = F.array_sort(F.collect_list(F.when(F.col("doc_type") == "academic", F.col("id"))))
+    some = documents.groupBy("user_id").agg(last("aadhaar").alias("aadhaar"), last("pan").alias("pan"), F.nullif(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("")).alias("academic"))
+    return users.select("id").join(some, F.col("id") == F.col("user_id"), "left").drop("user_id")
+
+
+def top_of_each(rows: DataFrame, key: str, top: int, *order: Column) -> DataFrame:
+    """The first ``top`` rows of each key; ranks are cut in each task before the shuffle."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= top).drop("_n")
+
+
+def ranked(counts: DataFrame, top: int) -> DataFrame:
+    """The ``top`` largest counts with their place; ties go by the key, the first column."""
+    key = counts.columns[0]
+    best = counts.orderBy(F.desc("n"), key).limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), key)))

@@ -95,3 +95,10 @@ def recent_mean_ratio(series: DataFrame, value: str, recent: int, earlier: int,
 
 
 __all__ = ["confidence_trend", "daily", "daily_counts", "duplicate_trend", "fraud_rate_trend", "growth", "latest_value", "quality_trend", "rate", "recent_mean_ratio", "risk_trend", "rolling_mean", "spikes", "spine", "weekly"]
+
+
+def two_weeks(series: DataFrame) -> DataFrame:
+    """One row: the sums of the last seven days of a series and of the seven before."""
+    back = F.row_number().over(Window.orderBy(F.desc("date")))  # as many rows as days
+    x = series.withColumn("_n", back)
+    return x.agg(F.sum(F.when(F.col("_n") <= 7, F.col("count"))).alias("recent"), F.sum(F.when(F.col("_n").between(8, 14), F.col("count"))).alias("previous"))

@@ -195,3 +195,16 @@ def dashboard(figures: DataFrame, found: DataFrame, users: DataFrame, uploads: D
     totals = m.review_queue_totals(reviews).select("auto_approved", "auto_rejected")
     parts = [system_alert(found).select(F.col("system_alert").alias("system_health")), figures.select(F.col("success_rate").alias("ocr_success_rate"), "avg_confidence", "fraud_rate", "duplicate_rate", F.col("total_pending").alias("review_queue_size"), F.col("high_risk_count").alias("high_risk_cases")), lead, totals, m.count_rows(users).select(F.col("n").alias("total_users")), m.count_rows(uploads).select(F.col("n").alias("total_documents"))]
     return reduce(lambda x, y: x.crossJoin(y), parts)  # rows of one
+
+
+def active_alerts(alerts: DataFrame, most: int = 20) -> DataFrame:
+    """Alerts that nobody has resolved, the gravest first; the limit is that of the list."""
+    return alerts.where("NOT resolved").orderBy(F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "WARNING", 1).otherwise(2), "alert_type").limit(most)
+
+
+def system_health(alerts: DataFrame, queue: DataFrame, verified: DataFrame) -> DataFrame:
+    """One row: health by open alerts and the queue, their numbers, and the success rate of reading."""
+    a = alerts.where("NOT resolved").agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"))
+    one = a.crossJoin(queue.select(F.col("status").alias("queue_status"))).crossJoin(m.ocr_success_rate(verified).select(F.col("success_rate").alias("ocr_success_rate")))  # one row each
+    health = F.when(F.col("critical") > 0, "CRITICAL").when((F.col("alerts") > 0) | (F.col("queue_status") != "healthy"), "WARNING").otherwise("HEALTHY")
+    return one.select(health.alias("health"), "alerts", "critical", "queue_status", "ocr_success_rate")
