@@ -14,7 +14,7 @@ from dossierlake.functions import text as tx
 from dossierlake.operators import layout as ly
 from dossierlake.operators import records as rec
 from dossierlake.operators import timeseries as ts
-from dossierlake.plans import metric_queries as mq
+from dossierlake.plans import document_queries  # noqa: F401  its SQL is used
 from dossierlake.plans import rule_queries as rq
 from dossierlake.plans import rules, search
 from dossierlake.plans import text_queries as tq
