@@ -1,14 +1,16 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dossierlake.llm import quality, toxicity
 from dossierlake.llm._bytes import BLANK, LOWER, NOT_ALNUM, Words
-from tests.llm.conftest import prose
+from tests.llm.conftest import prose, whole
 
 
 def slices(texts):
@@ -66,6 +68,39 @@ def test_quality_of_a_table(spark, rated, strange, empty):
     assert quality.score(empty, model).collect() == []
 
 
+def test_likelihood_equals_plain_sums(rated):
+    """Probabilities of grades, written out from weights and thresholds, and the loss that training minimises."""
+    texts, y = [t for _, t, _ in rated[:60]], [g for *_, g in rated[:60]]
+    x = quality.features(*slices(texts))
+    model = quality.fit(x, np.array(y), penalty=0.0, steps=1500, rate=0.02)
+    total = 0.0
+    for row, grade, above in zip(x.astype(float), y, model.above(x), strict=True):
+        score = sum(a * b for a, b in zip(row.tolist(), model.weights.astype(float).tolist(), strict=True))
+        below = [1 / (1 + math.exp(score - t)) for t in model.thresholds.tolist()]
+        p = [b - a for a, b in zip([0.0, *below], [*below, 1.0], strict=True)]
+        assert abs(sum(p) - 1) < 1e-9 and all(abs(1 - b - a) < 1e-4 for a, b in zip(above, below, strict=True))
+        assert abs(sum(k * q for k, q in enumerate(p)) - model.expected(above[None])[0]) < 1e-3
+        assert abs(sum(p[1:]) - model.tail(above[None], 1)[0]) < 1e-4 and abs(p[2] - model.tail(above[None], 2)[0]) < 1e-4
+        total -= math.log(max(p[grade], 1e-12))
+    assert total / len(y) < 0.3  # separable without a penalty, so far below that of the shares alone, 1.04
+
+
+def test_clashing_columns(spark, clashing, rated):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(61)], "doc_id long, quality int")
+    model = quality.train(clashing, labels)
+    left = quality.keep_selected(clashing, model)
+    assert whole(left, clashing)
+    assert {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in quality.score(clashing.select("doc_id", "text"), model).where("selected").collect()}
+
+
+def test_rows_that_share_an_id_take_the_smallest_text(spark):
+    rows = [(1, "b bad %%%"), (1, "a good text of words"), (2, "%%% zz"), (3, "good words here")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    twice = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    once = quality.train(spark.createDataFrame([x for x in rows if x[1] != "b bad %%%"], "doc_id long, text string"), labels)
+    assert (twice.weights == once.weights).all()
+
+
 def test_one_grade_and_no_rows(spark, empty):
     none = quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
@@ -130,6 +165,55 @@ def test_gradients():
             assert abs((up - down) / 2e-3 - g[k].reshape(-1)[i]) < 2e-3, k
 
 
+def test_forward_pass_equals_plain_loops(insults):
+    """The network written out for one window at a time, with Python numbers."""
+    net = toxicity.Network.new(5)
+    data, offsets = slices([t for _, t, _ in insults[:12]])
+    words = Words(data, offsets, NOT_ALNUM, LOWER)
+    v = toxicity.vocabulary(words)
+    _, start, size = toxicity.windows(words.first)
+    fast = net.forward(net.inputs(v), v.place, start, size)
+    p, h = {k: a.astype(float).tolist() for k, a in net.p.items()}, toxicity.HIDDEN
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    dot = lambda x, m: [sum(a * b for a, b in zip(x, column, strict=True)) for column in zip(*m, strict=True)]
+
+    def vector(word):
+        grams = v.grams[v.first[word] : v.first[word + 1]].tolist()
+        pooled = [sum(p["gram"][g][i] for g in grams) / math.sqrt(len(grams)) for i in range(toxicity.EMBED)]
+        return [a + b for a, b in zip(p["word"][int(v.word[word])], pooled, strict=True)]
+
+    for k in range(0, len(start), 3):
+        inputs = [vector(int(x)) for x in v.place[start[k] : start[k] + size[k]]]
+        states = [[0.0] * (2 * h) for _ in inputs]
+        for layer in (0, 1):
+            s = [0.0] * h
+            for t in range(len(inputs)) if layer == 0 else reversed(range(len(inputs))):
+                g = [a + b for a, b in zip(dot(inputs[t], p["w"]), p["b"], strict=True)][3 * h * layer : 3 * h * (layer + 1)]
+                su = dot(s, p[f"u{layer}"])
+                z, r = [sig(a + b) for a, b in zip(g[:h], su[:h], strict=True)], [sig(a + b) for a, b in zip(g[h : 2 * h], su[h : 2 * h], strict=True)]
+                n = [math.tanh(a + x * b) for a, x, b in zip(g[2 * h :], r, su[2 * h :], strict=True)]
+                s = [a + x * (b - a) for a, x, b in zip(n, z, s, strict=True)]
+                states[t][h * layer : h * (layer + 1)] = s
+        e = [sum(math.tanh(a + b) * c for a, b, c in zip(dot(x, p["a"]), p["c"], p["v"], strict=True)) for x in states]
+        weight = [math.exp(x) for x in e]
+        pool = [sum(a * x[i] for a, x in zip(weight, states, strict=True)) / sum(weight) for i in range(2 * h)]
+        assert abs(sum(a * b for a, b in zip(pool, p["o"], strict=True)) + p["bias"][0] - fast[k]) < 1e-4
+
+
+def test_toxicity_query(spark, tiny):
+    """Every document once, held out by its id, scored within 0 and 1; labels of held-out rows don't matter."""
+    docs = {r["doc_id"] for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id").collect()}
+    rows = toxicity.op6_toxicity(spark, tiny).collect()
+    assert [r.asDict().keys() for r in rows[:1]] == [{"doc_id", "held_out", "score", "predicted"}] and {r["doc_id"] for r in rows} == docs and len(rows) == len(docs)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    table = spark.read.parquet(f"{tiny}/documents.parquet")
+    again = {r["doc_id"]: r["score"] for r in toxicity.score(table, toxicity.train(table, turned)).collect()}
+    assert all(again[r["doc_id"]] == r["score"] for r in rows)
+
+
 def test_held_out_accuracy(insults):
     y = np.array([t for *_, t in insults])
     net = toxicity.fit([t for _, t, _ in insults[:500]], y[:500], 0.33)
