@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossierlake.functions import marksheets as mk
 from dossierlake.functions import parsers as ps
+from dossierlake.functions import scores as sc
 from dossierlake.operators import documents as dc
 from dossierlake.plans import rule_queries as rq
 from dossierlake.plans import rules
@@ -260,3 +262,48 @@ def stored_alerts(s: SparkSession, d: str) -> DataFrame:
     stream = jobs.read_files(s, f"{at}/in", s.read.parquet(f"{at}/in").schema)
     jobs.run_once(rules.alerts(stream), f"{at}/state", jobs.append_new(f"{at}/out", ["alert_type"]))
     return s.read.parquet(f"{at}/out").select("alert_type", "severity", "title", "metric_value")
+
+
+# Fields of marksheets
+MARKSHEETS = [
+    "MAHARASHTRA STATE BOARD OF SECONDARY EDUCATION\nCandidate's Name: ASHA RAO\nMother's Name: MEERA\nSeat No: A12345\nMarch, 2019\nTotal Marks: 500\nObtained: 412\nPercentage: 82.40\nFirst Class\nResult PASS",
+    "CBSE delhi\nName of the Candidate - RAVI  KUMAR\nRoll No. : 998877\nCertificate No: CERT-2020\nSchool Code: SC12\nexamination 2020\nMarks: 300 out of 650\nscience stream\nFailed",
+    "Some State Board\nname: ZED ALI\nyear: 2018\nsecond division grade : b+ DOB: 01/02/2001\nGrand Total: 99\nMaximum Marks: 90",
+    "Pune Central University of Arts\nStudent Name: MINA SEN\nPRN: 2019ABC123\nB.Tech programme: Computer Science\nSem I : SGPA 8.25\nSemester 2 SGPA: 7.50\nSem ii 9.10 SGPA\nfirst class with distinction",
+    "University of Mumbai,\nEnrollment No: EN998877\nM.Sc. department of Physics\nCGPA: 8.74\nSemester xi 9.99 Sem 3: 11.50\naverage passed in 2021",
+    "Name of Student: LEE\nstream: Fine Things\nborn on - 1.2.99\nnothing else 1985",
+    None,
+    "",
+]
+_MS = "ms AS (SELECT o_orderkey AS id, " + _sql_pick("o_orderkey", MARKSHEETS).replace("\n", "' || chr(10) || '") + " AS t FROM orders)"
+
+
+def _anchor_sql(patterns) -> str:
+    return "coalesce(" + ", ".join("nullif(regexp_replace(regexp_extract(t, '(?i){}', 1), '^\\s+|\\s+$', '', 'g'), '')".format(p.replace("'", "''")) for p in patterns) + ")"
+
+
+def _named_sql(phrases) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){p}') THEN '{n}'" for p, n in phrases) + " END"
+
+
+def _title_sql(x: str) -> str:
+    return f"array_to_string(list_transform(string_split(lower(regexp_replace({x}, '\\s+', ' ', 'g')), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')"
+
+
+_PCT_SQL = "coalesce(" + ", ".join(f"CASE WHEN try_cast(nullif(regexp_extract(t, '{p}', 1), '') AS DOUBLE) <= 100 THEN round(try_cast(nullif(regexp_extract(t, '{p}', 1), '') AS DOUBLE), 2) END" for p in sc.PERCENTAGES) + ")"
+_A = {f: _anchor_sql(p) for f, p in mk.SCHOOL.items()}
+query("r19_school_fields", f"""WITH {_MS}, a AS (SELECT id, t, {_title_sql(_A['candidate_name'])} AS candidate_name, {_title_sql(_A['mother_name'])} AS mother_name, {_A['seat_number']} AS seat_number, {_A['certificate_no']} AS certificate_no, {_title_sql(_A['board'])} AS board, {_A['school_number']} AS school_number, {_A['passing_year']}::INT AS passing_year,
+    {_A['total_marks']}::DOUBLE AS total_marks, {_A['obtained_marks']}::DOUBLE AS obtained_marks, {_title_sql(_A['division'])} AS division, {_A['dob']} AS dob, {_PCT_SQL} AS p FROM ms)
+  SELECT * EXCLUDE (t, p), coalesce(CASE WHEN p > 0 THEN p END, CASE WHEN total_marks > 0 AND obtained_marks <= total_marks THEN round(obtained_marks / total_marks * 100, 2) END, p) AS percentage, coalesce({_named_sql(mk.GRADES)}, upper(nullif(regexp_extract(t, '{mk.GRADE_LETTER}', 1), ''))) AS grade, {_named_sql(mk.RESULTS)} AS result, coalesce({_named_sql(mk.STREAMS)}, {_title_sql(_anchor_sql((mk.STREAM.removeprefix('(?i)'),)))}) AS stream FROM a""")(
+    lambda s, d: _marksheets(s, d).select("id", *[x.alias(f) for f, x in mk.school_fields(F.col("t")).items()]))
+_B = {f: _anchor_sql(p) for f, p in mk.DEGREE.items()}
+_TERM = f"list_transform(regexp_extract_all(t, '{mk.SEMESTER}', 0), lambda m: {{'s': coalesce(try_cast(lower(regexp_extract(m, '{mk.SEMESTER}', 1)) AS INT), list_position({list(mk.ROMAN)}, lower(regexp_extract(m, '{mk.SEMESTER}', 1))), 0), 'g': regexp_extract(m, '{mk.SEMESTER}', 2)::DOUBLE}})"
+query("r19_degree_fields", f"""WITH {_MS}, a AS (SELECT id, t, {_title_sql(_B['student_name'])} AS student_name, {_B['prn']} AS prn, {_B['seat_number']} AS seat_number, {_title_sql(_B['university'])} AS university, replace(upper({_B['degree_name']}), '.', '') AS degree_name, {_title_sql(_B['course_name'])} AS course_name, {_B['passing_year']}::INT AS passing_year, {_PCT_SQL} AS p, try_cast(nullif(regexp_extract(t, '{sc.CGPA}', 1), '') AS DOUBLE) AS c, list_filter({_TERM}, lambda x: x.g <= 10) AS terms FROM ms),
+  e AS (SELECT id, s, arg_min(g, i) AS g FROM (SELECT id, unnest(terms).s AS s, unnest(terms).g AS g, generate_subscripts(terms, 1) AS i FROM a) GROUP BY 1, 2), f AS (SELECT id, string_agg(s || ':' || g, ',' ORDER BY s) AS semesters, round(avg(g) FILTER (g <> 0), 2) AS mean FROM e GROUP BY 1),
+  h AS (SELECT a.*, coalesce(semesters, '') AS sem, coalesce(CASE WHEN c <> 0 AND c <= 10 THEN round(c, 2) END, mean) AS cgpa FROM a LEFT JOIN f USING (id))
+  SELECT id, student_name, prn, seat_number, university, degree_name, course_name, passing_year, cgpa, coalesce(nullif(p, 0), round(cgpa / 10.0::DOUBLE * 100, 2)) AS aggregate_percentage, {_named_sql(mk.CLASSES)} AS result_class, {_named_sql(mk.DEGREE_GRADES)} AS grade, CASE WHEN t IS NOT NULL THEN sem END AS semesters FROM h""")(
+    lambda s, d: _marksheets(s, d).select("id", *[x.alias(f) for f, x in mk.degree_fields(F.col("t")).items()]))
+
+
+def _marksheets(s: SparkSession, d: str) -> DataFrame:
+    return lt.table(s, d, "orders").select(_key().alias("id"), _pick(_key(), MARKSHEETS).alias("t"))
