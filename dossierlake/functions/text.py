@@ -105,13 +105,12 @@ def check_digit_holds(number: Column) -> Column:
 _LINE_END = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 #: Fixed value: a line that names a field before a colon.
 FIELD = r"[A-Za-z\x{0900}-\x{097F}][^:]+:\s*\S"
-_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 def _share(text: Column, characters: str) -> Column:
-    """The share of characters that are among some; counted by leaving them out, without a pattern."""
+    """The share of characters of a class; counted by leaving runs of them out."""
     n = F.char_length(text)
-    return (n - F.char_length(F.translate(text, characters, ""))) / F.greatest(n, F.lit(1))
+    return (n - F.char_length(F.regexp_replace(text, f"[{characters}]+", ""))) / F.greatest(n, F.lit(1))
 
 
 def _fields(text: Column) -> Column:
@@ -125,13 +124,13 @@ def features(text: Column) -> dict[str, Column]:
     """Counts and shares of words, lines, scripts, digits, fields and rows of numbers, and which formats occur."""
     lines = F.filter(F.split(text, _LINE_END), lambda x: x.rlike(r"\S"))
     count = F.size(lines)
-    numeric = F.size(F.filter(lines, lambda x: _share(x, "0123456789,.₹/- ") > 0.5))
+    numeric = F.size(F.filter(lines, lambda x: _share(x, r"0-9,.₹/\- ") > 0.5))
     out = {
-        "word_count": F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")),
+        "word_count": F.regexp_count(text, F.lit(r"\S+")),
         "line_count": count,
         "devanagari_ratio": F.round(F.when(text.rlike(r"[\x{0900}-\x{097F}]"), F.regexp_count(text, F.lit(r"[\x{0900}-\x{097F}]")) / F.greatest(F.char_length(text), F.lit(1))).otherwise(0.0), 3),
-        "latin_ratio": F.round(_share(text, _LETTERS), 3),
-        "numeric_ratio": F.round(_share(text, "0123456789"), 3),
+        "latin_ratio": F.round(_share(text, "A-Za-z"), 3),
+        "numeric_ratio": F.round(_share(text, "0-9"), 3),
         "currency_present": text.rlike("[₹$€£]"),
         "has_currency_amounts": text.rlike(r"₹\s*[0-9,]+"),
         "field_pattern_density": F.round(_fields(text) / F.greatest(count, F.lit(1)), 3),
@@ -140,9 +139,9 @@ def features(text: Column) -> dict[str, Column]:
     return out | {k: text.rlike(p) for k, p in PATTERNS.items()}
 
 
-def java_pattern(pattern: str) -> str:
-    """A pattern of Python's ``re`` that finds the same in Spark: classes and cases of all of Unicode."""
-    return "(?U)" + pattern
+def _occurs(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern of Python's ``re`` occurs, with classes of all of Unicode; one that ignores case is looked for in the lower-cased text, which is much faster."""
+    return low.rlike("(?U)" + pattern.removeprefix("(?i)")) if pattern.startswith("(?i)") else text.rlike("(?U)" + pattern)
 
 
 def signature_type(text: Column, table_density: Column | None = None, hint: Column | None = None) -> Column:
@@ -151,20 +150,21 @@ def signature_type(text: Column, table_density: Column | None = None, hint: Colu
     A score is the sum of the weights of the type's patterns that occur and of what formats, tables, scripts and the
     hint add. ``table_density`` is the share of blocks that are tables.
     """
+    low = F.lower(text)
     scores = {}
     for kind, patterns in SIGNATURES.items():
         found = F.lit(0.0)
         for weight, pattern in patterns:
-            found = found + F.when(text.rlike(java_pattern(pattern)), weight).otherwise(0.0)
+            found = found + F.when(_occurs(text, low, pattern), weight).otherwise(0.0)
         scores[kind] = F.least(F.lit(MOST), found / max(sum(x for x, _ in patterns), 1.0))
 
     def add(kind: str, when: Column, points: float) -> None:
         scores[kind] = F.least(F.lit(MOST), scores[kind] + F.when(when, points).otherwise(0.0))
 
     for kind, (pattern, points) in FORMATS.items():
-        add(kind, text.rlike(java_pattern(pattern)), points)
+        add(kind, _occurs(text, low, pattern), points)
     lines = F.filter(F.split(text, _LINE_END), lambda x: x.rlike(r"(?U)[^\s]"))
-    numbers = F.filter(lines, lambda x: _share(x, "0123456789,.₹/- ") > 0.5)
+    numbers = F.filter(lines, lambda x: _share(x, r"0-9,.₹/\- ") > 0.5)
     numeric = F.round(F.size(numbers) / F.greatest(F.size(lines), F.lit(1)), 3) > 0.3
     if table_density is not None:
         tabular = F.coalesce((F.round(table_density, 3) > 0.4) & numeric, F.lit(False))

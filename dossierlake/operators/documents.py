@@ -57,8 +57,8 @@ def _events(actions: DataFrame) -> DataFrame:
 
 
 def reviewed(reviews: DataFrame, actions: DataFrame) -> DataFrame:
-    """Each review after its last action, by time and position: status, reviewer and number of actions."""
-    last = F.struct("acted_at", "position")
+    """Each review after its last action, by time and position, then by action and reviewer: status, reviewer and number of actions."""
+    last = F.struct("acted_at", "position", "action", "reviewer_id")
     folded = _events(actions).groupBy("id").agg(F.max_by("after", last).alias("after"), F.max_by("reviewer_id", last).alias("by"), F.count(F.lit(1)).alias("n"))
     joined = reviews.select("id", "status", "reviewer_id").join(folded, "id", "left")
     return joined.select("id", F.coalesce("after", "status").alias("status"), F.coalesce("by", "reviewer_id").alias("reviewer_id"), F.coalesce("n", F.lit(0)).alias("actions"))
@@ -66,7 +66,7 @@ def reviewed(reviews: DataFrame, actions: DataFrame) -> DataFrame:
 
 def action_log(actions: DataFrame) -> DataFrame:
     """(id, action, reviewer_id, acted_at, before, after) of every action that changes a review."""
-    order = Window.partitionBy("id").orderBy("acted_at", "position")
+    order = Window.partitionBy("id").orderBy("acted_at", "position", "action", "reviewer_id")
     return _events(actions).select("id", _chosen(F.col("action"), {a: n for a, (_, n) in ACTIONS.items()}).alias("action"), "reviewer_id", "acted_at", F.lag("after").over(order).alias("before"), "after")
 
 

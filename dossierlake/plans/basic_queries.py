@@ -25,7 +25,7 @@ from dossierlake.sources import sinks
 from dossierlake.sources.logical import EVENTS_AS_OF as E_AT
 from dossierlake.sources.logical import ORDERS_AS_OF as O_AT
 from dossierlake.sources.logical import with_tables as w
-from dossierlake.sources.shared import shared_root
+from dossierlake.sources.shared import remove, shared_root
 from dossierlake.streaming import jobs
 
 # Scans and filters
@@ -144,6 +144,7 @@ def _appended(s: SparkSession, d: str, rows: DataFrame, keys: list[str], name: s
     at = f"{shared_root(s)}/{name}-{uuid.uuid4().hex}"
     rows.repartition(3).write.parquet(f"{at}/in")
     jobs.run_once(jobs.read_files(s, f"{at}/in", rows.schema, files_per_batch=1), f"{at}/state", jobs.append_new(f"{at}/out", keys))
+    remove(s, f"{at}/in", f"{at}/state")
     return s.read.parquet(f"{at}/out").select(*rows.columns)
 
 

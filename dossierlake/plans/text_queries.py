@@ -12,7 +12,7 @@ from dossierlake.operators import layout as ly
 from dossierlake.plans._registry import edges, query
 from dossierlake.sources import logical as lt
 from dossierlake.sources import sinks
-from dossierlake.sources.shared import shared_root
+from dossierlake.sources.shared import remove, shared_root
 from dossierlake.sources.logical import with_tables as w
 from dossierlake.streaming import jobs
 
@@ -111,6 +111,7 @@ def _streamed(s: SparkSession, d: str, build, mode: str = "append") -> DataFrame
     stream = build(jobs.read_files(s, f"{at}/in", lt.uploads(s, d).schema))
     s.createDataFrame([], stream.schema).write.parquet(f"{at}/out/batch=-1")
     jobs.run_once(stream, f"{at}/state", lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), mode)
+    remove(s, f"{at}/in", f"{at}/state")
     return s.read.schema(stream.schema).parquet(f"{at}/out").select(*stream.columns)
 
 

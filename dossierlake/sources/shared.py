@@ -17,3 +17,10 @@ def shared_root(spark: SparkSession) -> str:
     root = "file://" + tempfile.mkdtemp(prefix="dossierlake-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes folders that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
