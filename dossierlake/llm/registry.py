@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierlake.llm import chat, decontam, exact, minhash, packing, pii, quality, substring, tokens, toxicity
+from dossierlake.llm import chat, decontam, exact, fim, licenses, minhash, negatives, packing, pii, quality, substring, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_decontam": decontam.op9_decontam,
         "op10_token_counts": tokens.op10_token_counts,
+        "op11_licenses": licenses.op11_licenses,
+        "op12_negatives": negatives.op12_negatives,
+        "op13_fim": fim.op13_fim,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.OP1_SQL, "op2_substring": substring.OP2_SQL, "op5_exact": exact.OP5_SQL, "op9_decontam": decontam.OP9_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op2_substring": substring.OP2_SQL, "op5_exact": exact.OP5_SQL, "op9_decontam": decontam.OP9_SQL, "op12_negatives": negatives.OP12_SQL, "op13_fim": fim.OP13_SQL}
