@@ -64,10 +64,12 @@ def reviewed(reviews: DataFrame, actions: DataFrame) -> DataFrame:
     return joined.select("id", F.coalesce("after", "status").alias("status"), F.coalesce("by", "reviewer_id").alias("reviewer_id"), F.coalesce("n", F.lit(0)).alias("actions"))
 
 
-def action_log(actions: DataFrame) -> DataFrame:
-    """(id, action, reviewer_id, acted_at, before, after) of every action that changes a review."""
+def action_log(reviews: DataFrame, actions: DataFrame) -> DataFrame:
+    """(id, action, reviewer_id, acted_at, before, after) of every action that changes a review; before the first stands the review's own state."""
     order = Window.partitionBy("id").orderBy("acted_at", "position", "action", "reviewer_id")
-    return _events(actions).select("id", _chosen(F.col("action"), {a: n for a, (_, n) in ACTIONS.items()}).alias("action"), "reviewer_id", "acted_at", F.lag("after").over(order).alias("before"), "after")
+    own = reviews.select("id", F.col("status").alias("first"))
+    changed = _events(actions).withColumn("last", F.lag("after").over(order)).join(own, "id", "left")
+    return changed.select("id", _chosen(F.col("action"), {a: n for a, (_, n) in ACTIONS.items()}).alias("action"), "reviewer_id", "acted_at", F.coalesce("last", "first").alias("before"), "after")
 
 
 def against_truth(truth: DataFrame, predicted: DataFrame) -> DataFrame:

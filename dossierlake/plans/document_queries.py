@@ -165,7 +165,7 @@ query("r4_audit_rows", f"""WITH e AS (SELECT * FROM ({SQL['r2_approval']})) SELE
 _NEW = "CASE action WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' WHEN 'correct' THEN 'corrected' WHEN 'reprocess' THEN 'reprocess_requested' END"
 _ACTS = f"ac AS (SELECT l_orderkey AS id, {_ACT} AS action, 'rev' || (l_suppkey % 40) AS reviewer_id, l_shipdate AS acted_at, l_linenumber AS position FROM lineitem), ev AS (SELECT *, {_NEW} AS status FROM ac WHERE action <> 'note')"
 query("r5_reviewed", w(f"WITH {_ACTS} SELECT r.id, coalesce(arg_max(e.status, (e.acted_at, e.position, e.action, e.reviewer_id)), any_value(r.status)) AS status, coalesce(arg_max(e.reviewer_id, (e.acted_at, e.position, e.action, e.reviewer_id)), any_value(r.reviewer_id)) AS reviewer_id, count(e.id) AS actions FROM reviews r LEFT JOIN ev e ON e.id = r.id GROUP BY r.id", "reviews"))(lambda s, d: dc.reviewed(lt.reviews(s, d), actions(s, d)))
-query("r5_audit_rows", f"WITH {_ACTS} SELECT id, CASE action WHEN 'approve' THEN 'APPROVED' WHEN 'reject' THEN 'REJECTED' WHEN 'correct' THEN 'CORRECTED' ELSE 'REPROCESS_REQUESTED' END AS action, reviewer_id, acted_at, lag(status) OVER (PARTITION BY id ORDER BY acted_at, position, action, reviewer_id) AS before, status AS after FROM ev")(lambda s, d: dc.action_log(actions(s, d)))
+query("r5_audit_rows", w(f"WITH {_ACTS} SELECT ev.id, CASE action WHEN 'approve' THEN 'APPROVED' WHEN 'reject' THEN 'REJECTED' WHEN 'correct' THEN 'CORRECTED' ELSE 'REPROCESS_REQUESTED' END AS action, ev.reviewer_id, acted_at, coalesce(lag(ev.status) OVER (PARTITION BY ev.id ORDER BY acted_at, position, action, ev.reviewer_id), r.status) AS before, ev.status AS after FROM ev LEFT JOIN reviews r ON r.id = ev.id", "reviews"))(lambda s, d: dc.action_log(lt.reviews(s, d), actions(s, d)))
 
 # Evaluation
 _TRUTH = {"name": (["Asha Rao", "Ravi Kumar", None], ["rao asha x", "Ravi", None, "Ravi Kumar"]), "percentage": (["80", "75.5", None], ["81.9", "70", None, "x"]), "obtained_marks": (["400", None], ["401", "390", None]), "total_marks": (["500", "650"], ["500", "x", None]), "result": (["PASS", None, "FAIL"], ["pass ", "FAIL", None])}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import text as tx
 from dossierlake.operators import layout as ly
+from dossierlake.operators import ledgers as ld
 from dossierlake.plans._registry import edges, query
 from dossierlake.sources import logical as lt
 from dossierlake.sources import sinks
@@ -94,8 +95,25 @@ query("s6_upsert", w("SELECT * FROM reviews WHERE NOT (status = 'pending' AND id
     lambda s, d: sinks.upsert(lt.reviews(s, d), lt.reviews(s, d).where("status = 'pending' AND id % 2 = 0").withColumn("status", F.lit("approved")), ["id"]))
 query("s7_replace_by_key", w("SELECT * FROM extracted WHERE user_id % 3 <> 0 UNION ALL SELECT * REPLACE (0.5::DOUBLE AS confidence_score) FROM extracted WHERE user_id % 3 = 0 AND doc_type = 'view'", "extracted"))(
     lambda s, d: sinks.replace_by_key(lt.extracted(s, d), lt.extracted(s, d).where("user_id % 3 = 0 AND doc_type = 'view'").withColumn("confidence_score", F.lit(0.5)), ["user_id"]))
-query("s8_claims", w("SELECT r.id, coalesce(e.s, r.status) AS status FROM reviews r LEFT JOIN (SELECT l_orderkey, arg_max(CASE WHEN l_linestatus = 'O' THEN 'in_review' ELSE 'pending' END, (l_linenumber * 1000000 + l_partkey, CASE WHEN l_linestatus = 'O' THEN 'in_review' ELSE 'pending' END)) AS s FROM lineitem GROUP BY 1) e ON e.l_orderkey = r.id", "reviews"))(
-    lambda s, d: sinks.fold_events(lt.reviews(s, d).select("id", "status"), lt.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linestatus") == "O", "in_review").otherwise("pending").alias("status"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("at")), "id", "status", "at"))
+# Events of reviews: three reviewers claim and release them, and now and then one decides.
+_EVENTS = """ev AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, a, r) AS n, a AS action, r AS reviewer_id FROM (
+    SELECT *, CASE WHEN l_partkey % 8 < 4 THEN 'claim' WHEN l_partkey % 8 < 7 THEN 'release' WHEN l_suppkey % 2 = 0 THEN 'approve' ELSE 'reprocess' END AS a, CASE WHEN l_partkey % 11 > 0 THEN 'rev' || (l_suppkey % 3) END AS r FROM lineitem)),
+  st AS (SELECT r.id, 0::BIGINT AS n, NULL::VARCHAR AS action, NULL::VARCHAR AS reviewer_by, true AS accepted, NULL::VARCHAR AS before, r.status AS after, r.reviewer_id AS holder FROM reviews r
+    UNION ALL SELECT e.id, e.n, e.action, e.reviewer_id, CASE e.action WHEN 'claim' THEN st.after = 'pending' WHEN 'release' THEN coalesce(st.holder = e.reviewer_id, false) ELSE true END, st.after,
+      CASE e.action WHEN 'claim' THEN CASE WHEN st.after = 'pending' THEN 'in_review' ELSE st.after END WHEN 'release' THEN CASE WHEN st.holder = e.reviewer_id THEN 'pending' ELSE st.after END WHEN 'approve' THEN 'approved' ELSE 'reprocess_requested' END,
+      CASE e.action WHEN 'claim' THEN CASE WHEN st.after = 'pending' THEN e.reviewer_id ELSE st.holder END WHEN 'release' THEN CASE WHEN st.holder = e.reviewer_id THEN NULL ELSE st.holder END ELSE coalesce(e.reviewer_id, st.holder) END
+    FROM st JOIN ev e ON e.id = st.id AND e.n = st.n + 1)"""
+
+
+def review_events(s: SparkSession, d: str) -> DataFrame:
+    p, r = F.col("l_partkey"), F.col("l_suppkey")
+    action = F.when(p % 8 < 4, "claim").when(p % 8 < 7, "release").when(r % 2 == 0, "approve").otherwise("reprocess")
+    return lt.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("position"), action.alias("action"), F.when(p % 11 > 0, F.concat(F.lit("rev"), (r % 3).cast("string"))).alias("reviewer_id"))
+
+
+_LEDGER = lambda s, d: ld.review_ledger(lt.reviews(s, d).select("id", "status", "reviewer_id"), review_events(s, d))
+query("s8_claims", w("SELECT 1", "reviews").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("SELECT 1") + f", {_EVENTS} SELECT id, arg_max(after, n) AS status, arg_max_null(holder, n) AS reviewer_id, count(*) FILTER (accepted AND n > 0) AS accepted FROM st GROUP BY id")(lambda s, d: ld.review_states(_LEDGER(s, d)))
+query("s8_rejected_events", w("SELECT 1", "reviews").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("SELECT 1") + f", {_EVENTS} SELECT id, n AS number, action, reviewer_by AS reviewer_id, before AS status, holder FROM st WHERE NOT accepted")(lambda s, d: ld.rejected_events(_LEDGER(s, d)))
 query("s9_bulk_approve", w("SELECT id, CASE WHEN id % 10 = 0 AND status IN ('pending', 'in_review') THEN 'approved' ELSE status END AS status FROM reviews", "reviews"))(
     lambda s, d: sinks.bulk_update(lt.reviews(s, d).select("id", "status"), lt.reviews(s, d).where("id % 10 = 0"), "id", "status", F.lit("approved")))
 query("s10_key_values", w("SELECT unnest(['a', 'b']) AS key, unnest([count(*)::VARCHAR, max(id)::VARCHAR]) AS value FROM reviews", "reviews"))(lambda s, d: sinks.key_values(lt.reviews(s, d).agg(F.count(F.lit(1)).alias("a"), F.max("id").alias("b"))))
@@ -103,6 +121,21 @@ query("s14_json_rows", "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\
 query("s20_content_keys", f"SELECT sha256({_T}) AS content_key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")(lambda s, d: _documents(s, d).groupBy(F.sha2("text", 256).alias("content_key")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")))
 
 
+
+def cache_requests(s: SparkSession, d: str) -> DataFrame:
+    """Requests for the readings of documents: an event asks for the content of one document, every 50th for a new reading."""
+    e = lt.table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.floor(F.col("user_id") * 7 % 200 + F.col("event_id") % 3).alias("doc_id"), (F.col("event_id") % 50 == 0).alias("fresh"))
+    return e.join(_documents(s, d).select("doc_id", F.sha2("text", 256).alias("key")), "doc_id").select("id", "at", "key", "fresh")
+
+
+# One cache large enough for all its keys, so that SQL can follow a key by itself; eviction is held against a plain table in tests.
+query("s20_cache_log", f"""WITH RECURSIVE r AS (SELECT event_id AS id, ts, sha256({_T}) AS key, event_id % 50 = 0 AS fresh FROM events JOIN documents ON doc_id = user_id * 7 % 200 + event_id % 3),
+  o AS (SELECT *, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS n FROM r),
+  c AS (SELECT key, n, id, sec AS put, 'miss' AS outcome, NULL::DOUBLE AS age FROM o WHERE n = 1
+    UNION ALL SELECT o.key, o.n, o.id, CASE WHEN o.fresh OR o.sec - c.put > 86400 THEN o.sec ELSE c.put END, CASE WHEN o.fresh THEN 'refreshed' WHEN o.sec - c.put > 86400 THEN 'expired' ELSE 'hit' END, CASE WHEN NOT o.fresh AND o.sec - c.put <= 86400 THEN o.sec - c.put END FROM c JOIN o ON o.key = c.key AND o.n = c.n + 1)
+  SELECT id, key, outcome, round(age, 3) AS age FROM c""")(lambda s, d: ld.cache_log(cache_requests(s, d), most=1_000_000).select("id", "key", "outcome", F.round("age", 3).alias("age")))
+query("s20_evicting_cache_log")(lambda s, d: ld.cache_log(cache_requests(s, d), shards=4, most=20))
+
 # Streams
 def _streamed(s: SparkSession, d: str, build, mode: str = "append") -> DataFrame:
     """Runs a stream over the events once into a memory of files, and returns what it wrote."""

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from dossierlake.operators.ledgers import fold_in_order
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -43,6 +47,104 @@ def first_seen(events: DataFrame, *keys: str, column: str = "uploaded_at", late:
     return _instant(events, column).withWatermark(column, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def latest_state(events: DataFrame, keys: list[str], column: str, tie: str, lives: str = "7 days", late: str = "1 day") -> DataFrame:
+    """The last row of each key by ``column`` and then ``tie``, in every span of ``lives``: what a newer row replaces and an older, late one doesn't.
+
+    Keyed state is kept for a span and ``late`` longer, and then dropped, so it doesn't grow with the keys ever seen.
+    Written with ``KeyedTable.keep_latest``, the spans of a key come down to its last row. Rows that come more than
+    ``late`` after later ones are dropped. Works on a stream (update mode) and on a table.
+    """
+    x = events.withColumn("instant_", F.col(column).cast("timestamp"))
+    x = x.withWatermark("instant_", late) if events.isStreaming else x
+    rest = [c for c in events.columns if c not in (*keys, column, tie)]
+    g = x.groupBy(*keys, F.window("instant_", lives).alias("span_")).agg(F.max(F.struct(column, tie, *rest)).alias("top_"))
+    return g.select(*keys, "top_.*").select(*events.columns)
+
+
+#: Users that wait at most, are taken at once, and are remembered as done; states that need no work.
+MOST_WAITING, AT_ONCE, REMEMBERED = 1000, 3, 50
+SETTLED = ("VERIFIED", "APPROVED", "REJECTED")
+_QUEUE_OUT = "queue long, id long, user_id long, outcome string, recent long"
+_QUEUE_STATE = "waiting array<bigint>, recent array<bigint>, cancelled boolean"
+
+
+class WorkQueue:
+    """Waiting users of one queue, the last that were done, and whether the run is cancelled."""
+
+    def __init__(self, waiting=(), recent=(), cancelled=False, most: int = MOST_WAITING):
+        self.waiting, self.recent, self.cancelled, self.most = list(waiting), list(recent), cancelled, most
+
+    def step(self, kind: str, user: int | None, settled: bool, forced: bool) -> list[tuple[int | None, str]]:
+        """(user, outcome) of what an event brings about."""
+        if kind == "start":
+            self.cancelled = False
+        elif kind == "cancel":
+            gone, self.waiting, self.cancelled = self.waiting, [], True
+            return [(u, "cancelled") for u in gone]
+        elif kind == "work":
+            taken, self.waiting = self.waiting[:AT_ONCE], self.waiting[AT_ONCE:]
+            for u in taken:
+                if u not in self.recent:
+                    self.recent = [*self.recent, u][-REMEMBERED:]
+            return [(u, "done") for u in taken]
+        elif kind == "request":
+            if settled and not forced:
+                return [(user, "skipped")]
+            if self.cancelled:
+                return [(user, "cancelled")]
+            if len(self.waiting) >= self.most:
+                return [(user, "refused")]
+            self.waiting.append(user)
+            return [(user, "accepted")]
+        return []
+
+
+def work_events(requests: DataFrame, controls: DataFrame, users: DataFrame) -> DataFrame:
+    """(queue, at, id, kind, user_id, settled, forced): requests (queue, at, id, user_id, forced) with whether their user needs no work, and controls (queue, at, id, kind).
+
+    ``users`` are (id, status), each id once. Both may be streams; a user without a row needs work.
+    """
+    known = users.select(F.col("id").alias("user_id"), F.upper("status").isin(*SETTLED).alias("settled"))
+    asked = requests.join(known, "user_id", "left").select("queue", "at", "id", F.lit("request").alias("kind"), "user_id", F.coalesce("settled", F.lit(False)).alias("settled"), F.coalesce("forced", F.lit(False)).alias("forced"))
+    return asked.unionByName(controls.select("queue", "at", "id", "kind", F.lit(None).cast("long").alias("user_id"), F.lit(False).alias("settled"), F.lit(False).alias("forced")))
+
+
+def run_queue(events: DataFrame, most: int = MOST_WAITING) -> DataFrame:
+    """(queue, id, user_id, outcome, recent) of a table of ``work_events``: what each event, by ``at`` and ``id``, brings about for each user, and how many are remembered as done.
+
+    A request is skipped where its user needs no work, cancelled while the run is, refused while ``most`` wait, and
+    else accepted; work takes three users at a time; a cancel empties the queue until the next start.
+    """
+
+    def fold(rows):
+        queue, state = None, WorkQueue(most=most)
+        for q, _, ident, kind, user, settled, forced in rows:
+            if q != queue:
+                queue, state = q, WorkQueue(most=most)
+            for u, outcome in state.step(kind, user, settled, forced):
+                yield q, ident, u, outcome, len(state.recent)
+
+    x = events.where("queue IS NOT NULL").select("queue", "at", "id", "kind", "user_id", "settled", "forced")
+    return fold_in_order(x, "queue", [F.col("at").asc_nulls_first(), F.col("id"), F.col("kind"), F.col("user_id")], _QUEUE_OUT, fold)
+
+
+def stream_queue(events: DataFrame, most: int = MOST_WAITING) -> DataFrame:
+    """The same of a stream whose batches come in order: waiting users, the last done and the cancel are state of each queue."""
+
+    def handle(key, frames, state):
+        held = WorkQueue(*state.get, most=most) if state.exists else WorkQueue(most=most)
+        rows = pd.concat(list(frames)).sort_values(["at", "id", "kind", "user_id"], na_position="first", kind="stable")
+        out = []
+        for ident, kind, user, settled, forced in rows[["id", "kind", "user_id", "settled", "forced"]].itertuples(index=False):
+            user = None if pd.isna(user) else int(user)
+            out += [(key[0], ident, u, outcome, len(held.recent)) for u, outcome in held.step(kind, user, settled, forced)]
+        state.update((held.waiting, held.recent, held.cancelled))
+        frame = pd.DataFrame(out, columns=["queue", "id", "user_id", "outcome", "recent"])
+        yield frame.astype({"user_id": "Int64"})
+
+    return events.where("queue IS NOT NULL").groupBy("queue").applyInPandasWithState(handle, _QUEUE_OUT, _QUEUE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 def run_once(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """All that is there now, batch by batch; ``write`` gets (batch, number) and must give the same result if a batch comes again."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
