@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossierlake.functions import card_names as cn
 from dossierlake.operators import sheets as sh
 from dossierlake.plans._registry import query
 from dossierlake.sources import logical as lt
@@ -82,3 +83,50 @@ _SHEETS = f"""WITH t AS (SELECT c_custkey AS doc, (c_custkey % 5)::INT AS style,
 # A short second year takes the first one's century, so 1999-00 is read as 1999-1900.
 query("r12_marksheet_fields", f"{_SHEETS} SELECT doc, field, value, confidence, strategy FROM f")(
     lambda s, d: sh.sheet_fields(sheet_words(s, d)).select("doc", "field", "value", F.round("confidence", 6).alias("confidence"), "strategy"))
+
+
+
+def cards(s: SparkSession, d: str) -> DataFrame:
+    """(id, number, tax, identity, sheet): texts of a tax card in six styles, an identity card in five and a sheet in four, for each customer."""
+    t = sheet_truth(s, d)
+    k = F.col("doc")
+    number = F.concat(F.lit("ABCDE"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("F"))
+    upper = F.upper(F.concat_ws(" ", "surname", "given", "middle"))
+    titled = F.concat_ws(" ", "given", "middle", "surname")
+    born = F.concat(F.lit("01/02/"), F.col("year"))
+    lines = lambda *some: F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in some])
+    tax = F.element_at(F.array(
+        lines("INCOME TAX DEPARTMENT", "GOVT OF INDIA", number, "नाम / Name", upper, "पिता का नाम / Father's Name", "MADHAV RAO", born),
+        lines("INCOME TAX DEPARTMENT", "Permanent Account Number", number, upper, "Father's Name", "MADHAV RAO", born),
+        lines("INCOME TAX DEPARTMENT", "a 1234 b", titled, "x9", "S/O MADHAV RAO", "Asha Late Line", born),
+        lines("INCOME TAX DEPARTMENT", number, "Name", "q 9981", upper, "A Further Name", "Father's Name", "MADHAV RAO"),
+        lines("INCOME TAX DEPARTMENT", "Name", "/ Date of Birth", upper, number, "1 2", titled, "Signature"),
+        lines("INCOME TAX DEPARTMENT", number, "12345", "Signature"),
+    ), (k % 6).cast("int") + 1)
+    identity = F.element_at(F.array(
+        lines("Government of India", titled, F.concat(F.lit("DOB: "), born), "Male", "2345 6789 0123"),
+        lines("Government of India", F.concat(titled, F.lit(" DOB: "), born, F.lit(" Male")), "2345 6789 0123"),
+        lines(titled, F.concat(F.lit("Year of Birth "), F.col("year")), "2345 6789 0123"),
+        lines("Unique Identification Authority", "12 Main Road, Pune", titled, F.concat(F.lit("DOB "), born)),
+        lines("2345 6789 0123", "9988"),
+    ), (k % 5).cast("int") + 1)
+    sheet = F.element_at(F.array(
+        lines("STATEMENT OF MARKS", "CANDIDATE'S FULL NAME", "", upper, "MOTHER'S NAME"),
+        lines("higher secondary board", "seat no 12", titled, "total marks 600"),
+        lines("Candidate", "12 34", "9", "8", F.concat(F.lit("roll 77 "), titled, F.lit(" pass"))),
+        lines("12", "total marks", "x1"),
+    ), (k % 4).cast("int") + 1)
+    return t.select(k.alias("id"), F.when(k % 6 != 2, number).alias("number"), tax.alias("tax"), identity.alias("identity"), sheet.alias("sheet"))
+
+
+_NAMES = f"""WITH n AS (SELECT c_custkey AS id, {_sql_at(SURNAMES, 'c_custkey % 7')} AS s, {_sql_at(GIVEN, 'c_custkey // 7 % 9')} AS g, {_sql_at(MIDDLE, 'c_custkey // 63 % 8')} AS m FROM customer),
+  p AS (SELECT *, upper(s || ' ' || g || ' ' || m) AS u, g || ' ' || m || ' ' || s AS t, (length(s || g || m) / (length(s || g || m) + 2)::DOUBLE) * 40 AS a FROM n)"""
+# A name of too many blanks for its letters is none.
+query("x16_card_holders", f"""{_NAMES}, h AS (SELECT id, a / 40 < 0.88 AS short, CASE id % 6 WHEN 2 THEN t WHEN 4 THEN t WHEN 5 THEN NULL ELSE u END AS name, ([4, 3, 2, 4, 6, NULL])[id % 6 + 1]::INT AS line,
+    (['name_label', 'below_number', 'any_line', 'name_label', 'below_number', NULL])[id % 6 + 1] AS method, round(a + ([100, 66, 45, 90, 57, NULL])[id % 6 + 1]::DOUBLE, 6) AS score FROM p)
+  SELECT id, CASE WHEN NOT short THEN name END AS name, CASE WHEN NOT short THEN line END AS line, CASE WHEN NOT short THEN method END AS method, CASE WHEN NOT short THEN score END AS score FROM h""")(
+    lambda s, d: cards(s, d).select("id", cn.card_holder(F.col("tax"), F.col("number")).alias("h")).select("id", "h.*"))
+query("x16_identity_names", f"{_NAMES} SELECT id, CASE WHEN id % 5 < 4 THEN t END AS name, ([1, 1, 0, 2, NULL])[id % 5 + 1]::INT AS line, (['zone', 'fused_line', 'zone', 'zone', NULL])[id % 5 + 1] AS method FROM p")(
+    lambda s, d: cards(s, d).select("id", cn.identity_name(F.col("identity")).alias("h")).select("id", "h.*"))
+query("x14_candidate_names", f"{_NAMES} SELECT id, CASE id % 4 WHEN 0 THEN s || ' ' || g || ' ' || m WHEN 1 THEN t WHEN 2 THEN g || ' ' || m ELSE 'Total Marks' END AS name, CASE id % 4 WHEN 0 THEN 'label' ELSE 'ranked' END AS method, ([NULL, 90.0, 90.0, 30.0])[id % 4 + 1]::DOUBLE AS score FROM p")(
+    lambda s, d: cards(s, d).select("id", cn.candidate_name(F.col("sheet")).alias("h")).select("id", "h.*"))
