@@ -1,9 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
 A word comes in as the sum of two inputs: an embedding of the whole word and the pooled embeddings of its
-character n-grams, both hashed. A word of more than ``WHOLE`` bytes, as a text without blanks is, comes in as
-overlapping pieces that together hold all its bytes. Windows of ``LENGTH`` words overlap; a forward and a backward gated recurrent
-layer read each, attention pools their states, and a linear layer scores the pool. A text scores as its highest
+character n-grams, both hashed. A word of more than ``WHOLE`` bytes, as a text without blanks is, comes in like any
+other and is followed by overlapping pieces, words of their own, that together hold all its bytes. Windows of
+``LENGTH`` words overlap; a forward and a backward gated recurrent layer read each, attention pools their states, and a linear layer scores the pool. A text scores as its highest
 window, over all windows of the whole text, and a logistic curve fitted on held-back training rows turns that
 into a probability.
 
@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossierlake.llm._bytes import LOWER, NOT_ALNUM, U64, Words, mix, text_slices
+from dossierlake.llm._bytes import LOWER, NOT_ALNUM, U64, Words, hash_spans, mix, text_slices
+from dossierlake.llm._scratch import Scratch
 
 LENGTH, STRIDE = 32, 16
 EMBED, HIDDEN, TABLE = 12, 8, 1 << 14
 GRAMS = (3, 4, 5)
-#: Bytes of the longest word that is read as one; those of a longer word's pieces, and from one's beginning to the next.
+#: Bytes of the longest word without pieces; those of a longer word's pieces, and from one's beginning to the next.
 WHOLE, PIECE, STEP = 64, 12, 2
 #: Windows that are scored at once.
 BLOCK = 4096
@@ -55,19 +56,30 @@ class Vocabulary:
 
 
 class Pieces(Words):
-    """The words of a run of texts; one of more than ``WHOLE`` bytes is cut into overlapping pieces that are words of their own.
+    """The words of a run of texts; one of more than ``WHOLE`` bytes is followed by overlapping pieces that are words of their own.
 
     Pieces are as short as a word, as an insult among the pooled n-grams of a long one would weigh next to nothing.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         super().__init__(data, offsets, NOT_ALNUM, LOWER)
-        size = self.end - self.start
-        per = np.where(size > WHOLE, 1 - (PIECE - size) // STEP, 1)
-        total = np.concatenate([[0], np.cumsum(per)])
-        k = np.arange(total[-1]) - np.repeat(total[:-1], per)
-        self.start = np.repeat(self.start, per) + k * STEP
-        self.end = np.where(np.repeat(size > WHOLE, per), np.minimum(self.start + PIECE, np.repeat(self.end, per)), np.repeat(self.end, per))
+        size, whole = self.end - self.start, self.hash
+        per = np.where(size > WHOLE, 1 - (PIECE - size) // STEP, 0)
+        k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        start = np.repeat(self.start, per) + k * STEP
+        end = np.minimum(start + PIECE, np.repeat(self.end, per))
+        before = np.cumsum(per) - per  # pieces of earlier words
+        at = np.repeat(np.arange(len(size)) + 1, per) + np.arange(len(start))  # a piece comes after its own word
+        word = np.arange(len(size)) + before
+
+        def mixed(of_words: np.ndarray, of_pieces: np.ndarray) -> np.ndarray:
+            out = np.empty(len(size) + len(start), of_words.dtype)
+            out[word], out[at] = of_words, of_pieces
+            return out
+
+        total = np.concatenate([word, [len(size) + len(start)]])
+        self._hash = mixed(whole, hash_spans(self.data, start, end))
+        self.start, self.end = mixed(self.start, start), mixed(self.end, end)
         self.first = total[self.first]
 
 
@@ -340,22 +352,69 @@ def _set_curve(net: Network, logit: np.ndarray, y: np.ndarray, share: float) ->
     net.curve = (float(a), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", sample_rows: int = 2048, sample_bytes: int = 8192) -> Network:
+def telling_part(net: Network, text: bytes, most: int) -> str:
+    """Of a long text the windows that score highest, in the text's order, up to ``most`` bytes in all."""
+    (_, _, data, offsets), = text_slices(pa.array([text.decode()], pa.large_string()), 1 << 62)
+    words = Pieces(data, offsets)
+    _, start, size = windows(words.first)
+    if not len(start):
+        return ""
+    logits = []
+    for a in range(0, len(start), BLOCK):
+        own = slice(a, a + BLOCK)
+        lo = int(start[a])
+        v = vocabulary(words, lo, int((start[own] + size[own]).max()))
+        logits.append(net.forward(net.inputs(v), v.place, start[own] - lo, size[own]))
+    taken, used = [], 0
+    for w in np.argsort(-np.concatenate(logits), kind="stable"):
+        low = int(words.start[start[w] : start[w] + size[w]].min())
+        high = min(int(words.end[start[w] : start[w] + size[w]].max()), low + most)
+        if used and used + high - low > most:
+            break
+        taken.append((low, high))
+        used += high - low + 1
+    return " ".join(text[low:high].decode(errors="replace") for low, high in sorted(taken))
+
+
+def _telling_parts(long: DataFrame, net: Network, most: int) -> DataFrame:
+    """(_id, _text, _label) of long texts, each read whole and cut down to its telling part."""
+    shared = long.sparkSession.sparkContext.broadcast(net)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [telling_part(shared.value, x.as_py().encode(), most) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.string()), batch.column(2)], names=["_id", "_text", "_label"])
+
+    return long.select("_id", "_text", "_label").mapInArrow(run, long.select("_id", "_text", "_label").schema)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", sample_rows: int = 2048, sample_bytes: int = 8192, scratch: Scratch | None = None) -> Network:
     """Fits on at most ``sample_rows`` rows of either label, those of the smallest hashes of their ids.
 
     Rows that ``held_out`` names are never learned from, nor are rows without id or label; of rows that share an id
-    the smallest text is taken. Texts of more than
-    ``sample_bytes`` aren't taken into the sample, which is at most 2 * sample_rows * sample_bytes on the driver.
+    the smallest text is taken. The driver holds at most 2 * sample_rows * sample_bytes: where a text of the sample
+    is longer, a network fitted on the others reads all its windows in its task, and those that score highest, up to
+    ``sample_bytes``, are what the last fit has of it, with its label.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     given = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("_label"))
     totals = {r[0]: r[1] for r in given.where("_label IN (0, 1)").groupBy("_label").count().collect()}
     drawn = [given.where(f"_label = {k}").orderBy(F.xxhash64(id_col), id_col).limit(sample_rows) for k in (0, 1)]
     sample = F.broadcast(drawn[0].unionByName(drawn[1]).withColumnRenamed(id_col, "_id"))  # at most twice sample_rows rows
-    fits = docs.where(docs[text].isNotNull() & (F.octet_length(docs[text]) <= sample_bytes))
-    rows = fits.select(fits[id_col].alias("_id"), fits[text].alias("_text")).join(sample, "_id").groupBy("_id").agg(F.min(F.struct("_text", "_label")).alias("least")).select("_id", "least._text", "least._label").collect()
-    rows.sort(key=lambda r: (zlib.crc32(f"{r[0]}:".encode()), r[0]))
+    there = docs.where(docs[text].isNotNull()).select(docs[id_col].alias("_id"), docs[text].alias("_text"))
+    least = there.join(sample, "_id").groupBy("_id").agg(F.min(F.struct("_text", "_label")).alias("least"))
+    sampled = scratch.keep(least.select("_id", "least.*"), "sample")
+    short = sampled.where(F.octet_length("_text") <= sample_bytes).collect()
     share = totals.get(1, 0) / max(1, sum(totals.values()))
-    return fit([r[1] for r in rows], np.array([r[2] for r in rows]), min(max(share, 0.001), 0.999))
+
+    def fitted(rows: list) -> Network:
+        rows = sorted(rows, key=lambda r: (zlib.crc32(f"{r[0]}:".encode()), r[0]))
+        return fit([r[1] for r in rows], np.array([r[2] for r in rows]), min(max(share, 0.001), 0.999))
+
+    net, long = fitted(short), sampled.where(F.octet_length("_text") > sample_bytes)
+    parts = _telling_parts(long, net, sample_bytes).collect()
+    scratch.discard()
+    return fitted(short + parts) if parts else net
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:

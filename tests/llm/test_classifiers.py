@@ -282,7 +282,10 @@ def test_pieces_hold_all_bytes_of_long_words():
     texts = ["short", "x" * 64, "", "".join(map(chr, range(0x4E00, 0x4E00 + 100))) + " end", "y" * 65]
     data, offsets = slices(texts)
     w = toxicity.Pieces(data, offsets)
-    assert w.counts.tolist() == [1, 1, 0, 146, 28] and (w.end - w.start)[2:147].max() == toxicity.PIECE
+    assert w.counts.tolist() == [1, 1, 0, 147, 29]
+    assert (w.end - w.start)[2] == 300 and (w.end - w.start)[3:148].max() == toxicity.PIECE and (w.end - w.start)[149] == 65
+    whole = Words(data, offsets, NOT_ALNUM, LOWER)
+    assert w.hash[[0, 1, 2, 148, 149]].tolist() == whole.hash.tolist()
     seen = np.zeros(len(data), bool)
     for s, e in zip(w.start, w.end, strict=True):
         seen[s:e] = True
@@ -294,6 +297,25 @@ def test_pieces_hold_all_bytes_of_long_words():
         assert (own == p.grams).all() and len(own) == sum(max(w.end[k] - w.start[k] + 3 - n, 0) for n in toxicity.GRAMS)
 
 
+def test_long_texts_teach_by_the_windows_that_score_highest(spark, insults):
+    y = np.array([t for *_, t in insults])
+    net = toxicity.fit([t for _, t, _ in insults], y, 0.33)
+    calm, bad = next(t for _, t, k in insults if not k), next(t for _, t, k in insults if k)
+    text = (calm + " ") * 200 + "\n" + bad + "\n" + (calm + " ") * 200
+    part = toxicity.telling_part(net, text.encode(), 2000)
+    assert len(part.encode()) <= 2000 and net.highest(*slices([part]))[0] > net.highest(*slices([calm]))[0] + 0.1
+    assert toxicity.telling_part(net, b" \n ", 100) == "" and len(toxicity.telling_part(net, b"x" * 5000, 100)) == 100
+
+
+def test_labelled_texts_beyond_the_bound_are_learned_from(spark, insults, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, share, real=toxicity.fit: seen.append(sorted(map(len, texts))) or real(texts, y, share))
+    rows = [(i, t, k) for i, t, k in insults if i % 4 != 2][:60] + [(10_000 + i, (insults[i][1] + " ") * 60, insults[i][2]) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), sample_bytes=600)
+    assert len(seen) == 2 and len(seen[1]) > len(seen[0]) and max(seen[1]) <= 600 + 60
+
+
 def test_phrases_of_half_a_window_are_seen_whole():
     first = np.array([0, 200, 233])
     _, start, size = toxicity.windows(first)
