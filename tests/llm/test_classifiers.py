@@ -304,7 +304,7 @@ def test_long_texts_teach_by_the_windows_that_score_highest(spark, insults):
     text = (calm + " ") * 200 + "\n" + bad + "\n" + (calm + " ") * 200
     part = toxicity.telling_part(net, text.encode(), 2000)
     assert len(part.encode()) <= 2000 and net.highest(*slices([part]))[0] > net.highest(*slices([calm]))[0] + 0.1
-    assert toxicity.telling_part(net, b" \n ", 100) == "" and len(toxicity.telling_part(net, b"x" * 5000, 100)) == 100
+    assert toxicity.telling_part(net, b" \n ", 100) == "" and 0 < len(toxicity.telling_part(net, b"x" * 5000, 100)) <= 100
 
 
 def test_labelled_texts_beyond_the_bound_are_learned_from(spark, insults, monkeypatch):
