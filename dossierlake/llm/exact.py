@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierlake.llm._columns import join_groups, spare
@@ -84,9 +84,15 @@ def _resolve(docs: DataFrame, id_col: str, text: str, digests: Sequence[str], fi
 
 
 def _bytes_agree(scratch: Scratch, texts: DataFrame, rows: DataFrame, name: str) -> bool:
-    """Whether every hit has the bytes of the row that stays. Hits are found by digest and id, which no group makes large."""
-    hits = rows.where(F.col("size") > 1).select("digest", "id", F.col("keep.id").alias("keep_id"), "size").distinct()
-    found = texts.alias("t").join(hits.alias("h"), (F.col("t.digest") == F.col("h.digest")) & F.col("t.id").eqNullSafe(F.col("h.id"))).select("t.digest", "t.id", "body", "keep_id", "size")
+    """Whether every hit has the bytes of the row that stays.
+
+    Hits are found by digest and id. Rows without id, or of one id, can make such a key large, so it has its own size.
+    """
+    own = F.concat(F.hex("digest"), F.coalesce(F.concat(F.lit(":"), F.col("id").cast("string")), F.lit("")))
+    hits = rows.where(F.col("size") > 1).groupBy("digest", "id").agg(F.any_value("keep.id").alias("keep_id"), F.max("size").alias("group"), F.count(F.lit(1)).alias("size"))
+    hits = scratch.keep(hits.select(own.alias("own"), "keep_id", "group", "size"), f"{name}-keys")
+    total = hits.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    found = join_groups(texts.withColumn("own", own), hits, "own", total).select("digest", "id", "body", "keep_id", F.col("group").alias("size"))
     found = scratch.keep(found, f"{name}-hits")
     # Of rows that share the id that stays, any one serves: the others are compared with it.
     kept = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.any_value("body").alias("kept_body"), F.max("size").alias("size"))
@@ -94,20 +100,19 @@ def _bytes_agree(scratch: Scratch, texts: DataFrame, rows: DataFrame, name: str)
     kept = kept.select("digest", "kept_body", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))).alias("copy"))
     dealt = found.withColumn("copy", F.pmod(F.xxhash64(F.monotonically_increasing_id()), copies).cast("int"))
     agree = dealt.join(kept, ["digest", "copy"]).where(F.col("body") != F.col("kept_body")).isEmpty()
-    scratch.discard(f"{name}-hits")
+    scratch.discard(f"{name}-hits", f"{name}-keys")
     return agree
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, whatever their names; see ``exact_groups``."""
     rows, name = _resolve(docs, id_col, text, ("sha256", "sha512"), 64, scratch or Scratch(docs.sparkSession, "exact"))
-    own, known, digest, number = spare(docs, "own_digest", "kept_id", "kept_digest", "number")
+    own, known, digest = spare(docs, "own_digest", "kept_id", "kept_digest")
     kept = rows.where("kept").select(F.col("id").alias(known), F.col("digest").alias(digest))
     keyed = docs.withColumn(own, _digest(name, F.coalesce(docs[text], F.lit(""))))
     found = keyed.join(kept, (F.col(own) == F.col(digest)) & F.col(id_col).eqNullSafe(F.col(known)), "left_semi")
-    # Rows that share id and text are told apart by nothing but their place, so any one of them stays.
-    first = Window.partitionBy(own, id_col).orderBy(F.lit(1))
-    return found.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(own, number)
+    # Rows that share id and text are told apart by nothing but their place, so any one of them stays, of each task first.
+    return found.dropDuplicates([own, id_col]).drop(own)
 
 
 def op5_exact(spark, sf_dir: str) -> DataFrame:
