@@ -89,10 +89,9 @@ def _bytes_agree(scratch: Scratch, texts: DataFrame, rows: DataFrame, name: str)
     Hits are found by digest and id. Rows without id, or of one id, can make such a key large, so it has its own size.
     """
     own = F.concat(F.hex("digest"), F.coalesce(F.concat(F.lit(":"), F.col("id").cast("string")), F.lit("")))
-    hits = rows.where(F.col("size") > 1).groupBy("digest", "id").agg(F.any_value("keep.id").alias("keep_id"), F.max("size").alias("group"), F.count(F.lit(1)).alias("size"))
-    hits = scratch.keep(hits.select(own.alias("own"), "keep_id", "group", "size"), f"{name}-keys")
-    total = hits.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    found = join_groups(texts.withColumn("own", own), hits, "own", total).select("digest", "id", "body", "keep_id", F.col("group").alias("size"))
+    several = rows.where(F.col("size") > 1)
+    hits = several.groupBy("digest", "id").agg(F.any_value("keep.id").alias("keep_id"), F.max("size").alias("group"), F.count(F.lit(1)).alias("size"))
+    found = join_groups(texts.withColumn("own", own), hits.select(own.alias("own"), "keep_id", "group", "size"), "own", several.count()).select("digest", "id", "body", "keep_id", F.col("group").alias("size"))
     found = scratch.keep(found, f"{name}-hits")
     # Of rows that share the id that stays, any one serves: the others are compared with it.
     kept = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.any_value("body").alias("kept_body"), F.max("size").alias("size"))
@@ -100,7 +99,7 @@ def _bytes_agree(scratch: Scratch, texts: DataFrame, rows: DataFrame, name: str)
     kept = kept.select("digest", "kept_body", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))).alias("copy"))
     dealt = found.withColumn("copy", F.pmod(F.xxhash64(F.monotonically_increasing_id()), copies).cast("int"))
     agree = dealt.join(kept, ["digest", "copy"]).where(F.col("body") != F.col("kept_body")).isEmpty()
-    scratch.discard(f"{name}-hits", f"{name}-keys")
+    scratch.discard(f"{name}-hits")
     return agree
 
 
