@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,28 +123,95 @@ def _fields(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(":")), F.regexp_count(body, F.lit(FIELD))).otherwise(0)
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Counts and shares of words, lines, scripts, digits, fields and rows of numbers, and which formats occur."""
-    lines = F.filter(F.split(text, _LINE_END), lambda x: x.rlike(r"\S"))
-    count = F.size(lines)
-    numeric = F.size(F.filter(lines, lambda x: _share(x, r"0-9,.₹/\- ") > 0.5))
-    out = {
-        "word_count": F.regexp_count(text, F.lit(r"\S+")),
-        "line_count": count,
-        "devanagari_ratio": F.round(F.when(text.rlike(r"[\x{0900}-\x{097F}]"), F.regexp_count(text, F.lit(r"[\x{0900}-\x{097F}]")) / F.greatest(F.char_length(text), F.lit(1))).otherwise(0.0), 3),
-        "latin_ratio": F.round(_share(text, "A-Za-z"), 3),
-        "numeric_ratio": F.round(_share(text, "0-9"), 3),
-        "currency_present": text.rlike("[₹$€£]"),
-        "has_currency_amounts": text.rlike(r"₹\s*[0-9,]+"),
-        "field_pattern_density": F.round(_fields(text) / F.greatest(count, F.lit(1)), 3),
-        "numeric_row_density": F.round(numeric / F.greatest(count, F.lit(1)), 3),
-    }
-    return out | {k: text.rlike(p) for k, p in PATTERNS.items()}
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
 
+#: Fixed value: characters of rows of numbers.
+NUMERIC = r"0-9,.₹/\- "
 
-def _occurs(text: Column, low: Column, pattern: str) -> Column:
-    """Whether a pattern of Python's ``re`` occurs, with classes of all of Unicode; one that ignores case is looked for in the lower-cased text, which is much faster."""
-    return low.rlike("(?U)" + pattern.removeprefix("(?i)")) if pattern.startswith("(?i)") else text.rlike("(?U)" + pattern)
+
+def _line_counts(text: Column) -> Column:
+    """A struct of lines that aren't blank and of those among them that are numeric for more than half.
+
+    Numeric characters are taken out of the whole text at once, and its lines then compared in length with what is left of them.
+    """
+    lines, rest = F.split(text, _LINE_END), F.split(F.regexp_replace(text, f"[{NUMERIC}]+", ""), _LINE_END)
+    kept = F.filter(F.arrays_zip(lines.alias("line"), rest.alias("rest")), lambda x: x["line"].rlike(r"\S"))
+    numeric = lambda x: 2 * F.char_length(x["rest"]) < F.char_length(x["line"])
+    return once(kept, lambda k: F.struct(F.size(k).alias("all"), F.size(F.filter(k, numeric)).alias("numeric")))
+
+
+def feature_row(text: Column) -> Column:
+    """A struct of counts and shares of words, lines, scripts, digits, fields and rows of numbers, and which formats occur."""
+
+    def made(x: Column) -> Column:
+        t, n = x["text"], F.greatest(x["lines"]["all"], F.lit(1))
+        out = {
+            "word_count": F.regexp_count(t, F.lit(r"\S+")),
+            "line_count": x["lines"]["all"],
+            "devanagari_ratio": F.round(F.when(t.rlike(r"[\x{0900}-\x{097F}]"), F.regexp_count(t, F.lit(r"[\x{0900}-\x{097F}]")) / F.greatest(F.char_length(t), F.lit(1))).otherwise(0.0), 3),
+            "latin_ratio": F.round(_share(t, "A-Za-z"), 3),
+            "numeric_ratio": F.round(_share(t, "0-9"), 3),
+            "currency_present": t.rlike("[₹$€£]"),
+            "has_currency_amounts": F.contains(t, F.lit("₹")) & t.rlike(r"₹\s*[0-9,]+"),
+            "field_pattern_density": F.round(_fields(t) / n, 3),
+            "numeric_row_density": F.round(x["lines"]["numeric"] / n, 3),
+        }
+        digit = t.rlike("[0-9]")
+        out |= {k: t.rlike(p) if k == "has_mrz" else digit & t.rlike(p) for k, p in PATTERNS.items()}
+        return F.struct(*[v.alias(k) for k, v in out.items()])
+
+    return once(F.struct(text.alias("text"), _line_counts(text).alias("lines")), made)
+
+
+def needed(pattern: str) -> list[str]:
+    """Strings of which every match of a pattern has one, none if that can't be told: the longest plain run of each alternative of its first group, or of the pattern."""
+    body = pattern.removeprefix("(?i)").removeprefix(r"\b")
+    if m := re.match(r"\(([^()?](?:[^()]|\([^()]*\))*)\)(?![?*])", body):
+        body = m[1]
+    parts, depth, part = [], 0, ""
+    for token in re.findall(r"\\.|.", body):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and not depth:
+            parts.append(part)
+            part = ""
+        else:
+            part += token
+    out = []
+    for part in [*parts, part]:
+        plain = re.sub(r"\((?:[^()]|\([^()]*\))*\)[?*]?|\[[^\]]*\](?:[?*+]|\{[^}]*\})?", "\0", part)  # groups and classes
+        plain = re.sub(r"(?:\\?[^\\])[?*]", "\0", plain)  # what may be absent
+        plain = re.sub(r"\\([^A-Za-z0-9])", lambda m: m[1], re.sub(r"\\[A-Za-z](?:\+|\{[^}]*\})?", "\0", plain))
+        run = max(re.split(r"[\0+{}^$]", plain), key=len)
+        if not run:
+            return []
+        out.append(run)
+    # One that holds another adds nothing.
+    return [x for x in dict.fromkeys(out) if not any(y != x and y in x for y in out)]
+
+
+def needs_digit(pattern: str) -> bool:
+    """Whether every match of a pattern has a digit, as one stands outside its groups and other classes and isn't optional."""
+    body = re.sub(r"\((?:[^()]|\([^()]*\))*\)", "", pattern.removeprefix("(?i)").replace("[0-9]", r"\d"))
+    return bool(re.search(r"\\d(?!\{0|[?*])", re.sub(r"\[[^\]]*\]", "", body)))
+
+
+def _occurs(t: Column, pattern: str) -> Column:
+    """Whether a pattern of Python's ``re`` occurs in ``t``, a struct of text, low, ascii and digit, with classes of all of Unicode.
+
+    One that ignores case is looked for in the lower-cased text. Before the pattern, a plain string that it needs is
+    looked for, or a digit; and a text of ASCII alone doesn't need classes of all of Unicode, which are slow.
+    """
+    own, p = (t["low"], pattern.removeprefix("(?i)")) if pattern.startswith("(?i)") else (t["text"], pattern)
+    found = F.when(t["ascii"], own.rlike(p)).otherwise(own.rlike("(?U)" + p))
+    if pattern.startswith("(?i)") and (strings := needed(pattern)):
+        guard = F.contains(own, F.lit(strings[0]))
+        for x in strings[1:]:
+            guard = guard | F.contains(own, F.lit(x))
+        found = guard & found
+    return (t["digit"] & found) if needs_digit(pattern) else found
 
 
 def signature_type(text: Column, table_density: Column | None = None, hint: Column | None = None) -> Column:
@@ -150,35 +220,38 @@ def signature_type(text: Column, table_density: Column | None = None, hint: Colu
     A score is the sum of the weights of the type's patterns that occur and of what formats, tables, scripts and the
     hint add. ``table_density`` is the share of blocks that are tables.
     """
-    low = F.lower(text)
-    scores = {}
-    for kind, patterns in SIGNATURES.items():
-        found = F.lit(0.0)
-        for weight, pattern in patterns:
-            found = found + F.when(_occurs(text, low, pattern), weight).otherwise(0.0)
-        scores[kind] = F.least(F.lit(MOST), found / max(sum(x for x, _ in patterns), 1.0))
-
-    def add(kind: str, when: Column, points: float) -> None:
-        scores[kind] = F.least(F.lit(MOST), scores[kind] + F.when(when, points).otherwise(0.0))
-
-    for kind, (pattern, points) in FORMATS.items():
-        add(kind, _occurs(text, low, pattern), points)
-    lines = F.filter(F.split(text, _LINE_END), lambda x: x.rlike(r"(?U)[^\s]"))
-    numbers = F.filter(lines, lambda x: _share(x, r"0-9,.₹/\- ") > 0.5)
-    numeric = F.round(F.size(numbers) / F.greatest(F.size(lines), F.lit(1)), 3) > 0.3
-    if table_density is not None:
-        tabular = F.coalesce((F.round(table_density, 3) > 0.4) & numeric, F.lit(False))
-        add("bank_statement", tabular, 0.10)
-        add("marksheet", tabular, 0.08)
-    devanagari = F.round(F.regexp_count(text, F.lit("[\u0900-\u097F]")) / F.greatest(F.char_length(text), F.lit(1)), 3) > 0.30
-    add("ration_card", devanagari, 0.08)
-    add("government_doc", devanagari, 0.05)
-    if hint is not None:
-        for kind in SIGNATURES:
-            add(kind, F.coalesce(hint == kind, F.lit(False)), 0.10)
-    best = F.array_max(F.array(*[F.struct(x.alias("score"), F.lit(-k).alias("place"), F.lit(t).alias("type")) for k, (t, x) in enumerate(scores.items())]))
-    # Inside a function of arrays, so that all patterns are looked for once.
-    return F.get(F.transform(F.array(best), lambda b: F.when(b["score"] >= LEAST, b["type"]).otherwise("unknown")), F.lit(0))
+
+    def judged(t: Column) -> Column:
+        scores = {}
+        for kind, patterns in SIGNATURES.items():
+            found = F.lit(0.0)
+            for weight, pattern in patterns:
+                found = found + F.when(_occurs(t, pattern), weight).otherwise(0.0)
+            scores[kind] = F.least(F.lit(MOST), found / max(sum(x for x, _ in patterns), 1.0))
+
+        def add(kind: str, when: Column, points: float) -> None:
+            scores[kind] = F.least(F.lit(MOST), scores[kind] + F.when(when, points).otherwise(0.0))
+
+        for kind, (pattern, points) in FORMATS.items():
+            add(kind, _occurs(t, pattern), points)
+        if table_density is not None:
+            lines = F.filter(F.split(t["text"], _LINE_END), lambda x: x.rlike(r"(?U)[^\s]"))
+            numbers = F.filter(lines, lambda x: _share(x, NUMERIC) > 0.5)
+            numeric = F.round(F.size(numbers) / F.greatest(F.size(lines), F.lit(1)), 3) > 0.3
+            tabular = F.coalesce((F.round(table_density, 3) > 0.4) & numeric, F.lit(False))
+            add("bank_statement", tabular, 0.10)
+            add("marksheet", tabular, 0.08)
+        devanagari = ~t["ascii"] & (F.round(F.regexp_count(t["text"], F.lit("[\u0900-\u097F]")) / F.greatest(F.char_length(t["text"]), F.lit(1)), 3) > 0.30)
+        add("ration_card", devanagari, 0.08)
+        add("government_doc", devanagari, 0.05)
+        if hint is not None:
+            for kind in SIGNATURES:
+                add(kind, F.coalesce(hint == kind, F.lit(False)), 0.10)
+        return F.array_max(F.array(*[F.struct(x.alias("score"), F.lit(-k).alias("place"), F.lit(kind).alias("type")) for k, (kind, x) in enumerate(scores.items())]))
+
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    read = F.struct(text.alias("text"), F.lower(text).alias("low"), ascii_.alias("ascii"), F.when(ascii_, text.rlike("[0-9]")).otherwise(text.rlike(r"(?U)\d")).alias("digit"))
+    return once(once(read, judged), lambda b: F.when(b["score"] >= LEAST, b["type"]).otherwise("unknown"))
 
 
 def first_match(text: Column, *patterns: str) -> Column:

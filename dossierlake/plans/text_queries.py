@@ -31,7 +31,7 @@ def _documents(s: SparkSession, d: str) -> DataFrame:
     return lt.table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-query("x20_text_features", _FEATURES)(lambda s, d: _documents(s, d).select("doc_id", *[v.alias(k) for k, v in tx.features(F.col("text")).items()]))
+query("x20_text_features", _FEATURES)(lambda s, d: _documents(s, d).select("doc_id", tx.feature_row(F.col("text")).alias("f")).select("doc_id", "f.*"))
 _Q = lambda p: edges(p).replace("'", "''")
 _RAW = ", ".join("least(0.95::DOUBLE, (0.0::DOUBLE + " + " + ".join(f"CASE WHEN regexp_matches(t, '{_Q(p)}') THEN {x}::DOUBLE ELSE 0.0::DOUBLE END" for x, p in ps) + f") / greatest({sum(x for x, _ in ps)!r}::DOUBLE, 1.0::DOUBLE)) AS s_{k}" for k, ps in tx.SIGNATURES.items())
 _BOOST = ", ".join(f"CASE WHEN regexp_matches(t, '{_Q(tx.FORMATS[k][0])}') THEN least(0.95::DOUBLE, s_{k} + {tx.FORMATS[k][1]}::DOUBLE) ELSE s_{k} END AS b_{k}" if k in tx.FORMATS else f"CASE WHEN devanagari > 0.30 THEN least(0.95::DOUBLE, s_{k} + {x}::DOUBLE) ELSE s_{k} END AS b_{k}" for k, x in ((k, {"ration_card": 0.08, "government_doc": 0.05}.get(k, 0.0)) for k in tx.SIGNATURES))

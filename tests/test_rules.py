@@ -140,3 +140,26 @@ def test_keyed_changes(spark, tmp_path):
     assert spark.read.csv(f"file://{tmp_path}/out", header=True).count() == 2
     with pytest.raises(Exception, match="not exactly one row"):
         sinks.single(old).collect()
+
+
+def test_what_patterns_need():
+    import re
+
+    from dossierlake.functions import text as tx
+
+    assert tx.needed(r"(?i)\b(a|bc\s*def)\b") == ["a", "def"] and tx.needed(r"(?i)\b(x\?y|reg(istration)?)\b") == ["x?y", "reg"]
+    assert tx.needs_digit(r"\b\d{4}\s?x") and not tx.needs_digit(r"[₹]\s*[\d,]+\.?\d{0,2}") and not tx.needs_digit(r"(?i)(tax|%)[\s:]+[\d,.]+")
+    samples = {
+        "bank_statement": ["a/c: 12345678", "ac 123456789", "₹ ,", "NEFT", "1/2/24 3,4", "available"],
+        "invoice": ["tax: ,", "% 12", "grand  total", "amount\tdue"],
+        "marksheet": ["reg number", "registration no", "roll no", "75 / 100"],
+        "government_doc": ["no. 7", "order 1", "ref no", "ref. no", "this is  to certify"],
+        "pan": ["father's name", "income tax department", "भारत सरकार"],
+        "passport": ["republic of india", "date  of issue", "P<INDABCDEF"],
+    }
+    for kind, texts in samples.items():
+        for t in texts:
+            for _, p in tx.SIGNATURES[kind]:
+                if re.search(p, t):
+                    assert not p.startswith("(?i)") or not tx.needed(p) or any(x in t.lower() for x in tx.needed(p)), (t, p)
+                    assert not tx.needs_digit(p) or re.search(r"\d", t), (t, p)
