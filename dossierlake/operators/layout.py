@@ -1,14 +1,12 @@
 """Lines, phrases, regions and tables from positioned words.
 
 Words come as rows (doc, page, word_id, text, conf, x1, y1, x2, y2). Steps that look only at neighbours are windows
-over (doc, page); steps that carry a running mean or a growing row are grouped pandas functions over one page, so work
-is spread by page.
+over (doc, page); steps that carry a running mean or a growing row are folds over the array of a page's words or lines, so
+work is spread by page.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,25 +28,35 @@ def clean_words(words: DataFrame) -> DataFrame:
     return x.withColumns({"width": w, "height": h, "cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
 
 
+def median_of(values: Column) -> Column:
+    """The median of an array of numbers; null without any."""
+    n = F.size(values)
+    return F.get(F.transform(F.array(F.array_sort(values)), lambda v: F.when(n > 0, (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2)), F.lit(0))
+
+
+def _numbered(pages: DataFrame, starts: Column, name: str) -> DataFrame:
+    """The rows held in each page's array ``held`` (their columns under ``row``), with how many of ``starts``, places in the array, come up to theirs."""
+    x = pages.select("held", starts.alias("starts")).select("starts", F.posexplode("held").alias("at", "h"))
+    return x.select("h.row.*", F.size(F.filter("starts", lambda s: s <= F.col("at"))).cast("long").alias(name))
+
+
 def row_bands(words: DataFrame, policy: str = "line") -> DataFrame:
-    """Adds ``line``: words from top to bottom stay in a line while their centre is near the mean centre of the line so far."""
+    """Adds ``line``: words from top to bottom stay in a line while their centre is near the mean centre of the line so far.
+
+    A page's words are an array that one fold goes through, keeping the line's sum and count and where lines begin.
+    """
     factor, floor, ceiling = TOLERANCE[policy]
+    held = F.array_sort(F.collect_list(F.struct("cy", "x1", "word_id", F.struct(*words.columns).alias("row"))))
+    pages = words.groupBy(*PAGE).agg(held.alias("held"), F.median(F.when(F.col("height") > 2, F.col("height"))).alias("tall"))
+    tolerance = F.greatest(F.lit(floor), F.coalesce("tall", F.lit(12.0)) * factor)
+    tolerance = F.least(tolerance, F.lit(ceiling)) if ceiling else tolerance
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("total"), F.lit(0).alias("count"), F.array().cast("array<int>").alias("starts"))
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cy", "x1", "word_id"], kind="stable")
-        tall = pdf["height"][pdf["height"] > 2]
-        tolerance = max(floor, (float(tall.median()) if len(tall) else 12.0) * factor)
-        tolerance = min(tolerance, ceiling) if ceiling else tolerance
-        line, total, count, out = 0, 0.0, 0, []
-        for cy in pdf["cy"].to_numpy():
-            if count and abs(cy - total / count) > tolerance:
-                line, total, count = line + 1, 0.0, 0
-            total, count = total + cy, count + 1
-            out.append(line)
-        return pdf.assign(line=np.asarray(out, "int64"))
+    def step(s: Column, w: Column) -> Column:
+        new = F.when(s["count"] > 0, F.abs(w["cy"] - s["total"] / s["count"]) > F.col("tolerance")).otherwise(False)
+        return F.struct((s["at"] + 1).alias("at"), (F.when(new, 0.0).otherwise(s["total"]) + w["cy"]).alias("total"), (F.when(new, 0).otherwise(s["count"]) + 1).alias("count"), F.when(new, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"))
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in words.schema), "line long"])
-    return words.groupBy(*PAGE).applyInPandas(page, schema)
+    return _numbered(pages.withColumn("tolerance", tolerance), F.aggregate("held", start, step)["starts"], "line")
 
 
 def phrases(words: DataFrame) -> DataFrame:
@@ -104,15 +112,20 @@ def x_clusters(parts: DataFrame, share: float = 0.05, width: float = 1000.0) ->
     return parts.withColumn("_new", F.when(gap > width * share, 1).otherwise(0)).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def column_anchors(centres: np.ndarray, tolerance: float = 45.0) -> np.ndarray:
-    """Means of runs of centres that stay within the tolerance of the mean so far."""
-    out, total, count = [], 0.0, 0
-    for x in np.sort(centres):
-        if count and x - total / count > tolerance:
-            out.append(total / count)
-            total, count = 0.0, 0
-        total, count = total + x, count + 1
-    return np.asarray([*out, total / count] if count else out)
+def column_anchors(centres: Column, tolerance: float = 45.0) -> Column:
+    """Means of runs of centres, from left to right, that stay within the tolerance of the mean so far; as an array."""
+    start = F.struct(F.array().cast("array<double>").alias("done"), F.lit(0.0).alias("total"), F.lit(0).alias("count"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = F.when(s["count"] > 0, x - s["total"] / s["count"] > tolerance).otherwise(False)
+        return F.struct(F.when(new, F.concat(s["done"], F.array(s["total"] / s["count"]))).otherwise(s["done"]).alias("done"), (F.when(new, 0.0).otherwise(s["total"]) + x).alias("total"), (F.when(new, 0).otherwise(s["count"]) + 1).alias("count"))
+
+    return F.aggregate(F.array_sort(centres), start, step, lambda s: F.when(s["count"] > 0, F.concat(s["done"], F.array(s["total"] / s["count"]))).otherwise(s["done"]))
+
+
+def _nearest_of(anchors: Column, x: Column) -> Column:
+    """The place of the nearest anchor, the first of equals."""
+    return F.array_min(F.transform(anchors, lambda a, i: F.struct(F.abs(x - a).alias("far"), i.alias("i"))))["i"]
 
 
 def table_cells(parts: DataFrame, most_columns: int = 12) -> DataFrame:
@@ -121,17 +134,14 @@ def table_cells(parts: DataFrame, most_columns: int = 12) -> DataFrame:
     Anchors are met on two lines or more, and a phrase is in the column of its nearest anchor. With too many columns,
     or none, a line is one cell.
     """
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        centres = pdf["cx"].to_numpy()
-        nearest = lambda a: np.abs(centres[:, None] - a[None]).argmin(1)
-        anchors = column_anchors(centres)
-        hits = pd.DataFrame({"line": pdf["line"].to_numpy(), "a": nearest(anchors)}).drop_duplicates()["a"].value_counts()
-        anchors = anchors[[k for k in range(len(anchors)) if hits.get(k, 0) >= 2]]
-        usable = 0 < len(anchors) <= most_columns
-        return pdf[["doc", "page", "line", "x1", "phrase", "text"]].assign(column=nearest(anchors) if usable else 0, columns=len(anchors) if usable else 1)
-
-    placed = parts.groupBy(*PAGE).applyInPandas(page, "doc long, page long, line long, x1 double, phrase long, text string, column int, columns int")
+    held = F.collect_list(F.struct("line", "x1", "phrase", "text", "cx"))
+    pages = parts.groupBy(*PAGE).agg(held.alias("held")).withColumn("every", column_anchors(F.transform("held", lambda p: p["cx"])))
+    met = F.array_distinct(F.transform("held", lambda p: F.struct(p["line"].alias("line"), _nearest_of(F.col("every"), p["cx"]).alias("i"))))
+    pages = pages.withColumn("met", met).withColumn("anchors", F.filter("every", lambda a, i: F.size(F.filter("met", lambda m: m["i"] == i)) >= 2))
+    usable = F.size("anchors").between(1, most_columns)
+    column = F.when(F.col("usable"), _nearest_of(F.col("anchors"), F.col("p.cx"))).otherwise(0)
+    placed = pages.withColumn("usable", usable).select(*PAGE, "anchors", "usable", F.explode("held").alias("p"))
+    placed = placed.select(*PAGE, "p.line", "p.x1", "p.phrase", "p.text", column.cast("int").alias("column"), F.when(F.col("usable"), F.size("anchors")).otherwise(1).alias("columns"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x1", "phrase", "text"))), lambda w: w["text"]), " ")
     return placed.groupBy(*PAGE, "line", "column", "columns").agg(F.trim(text).alias("text"))
 
@@ -252,21 +262,28 @@ def anchor_scores(words: DataFrame, anchors: DataFrame, reach: float = 500.0) ->
 def wrapped_lines(rows: DataFrame, indent: float = 20.0) -> DataFrame:
     """Adds ``logical``: a line that is indented, overlaps the row above, follows it closely and is short or no further left joins that row.
 
-    The row grows with each line that joins it, so a page's lines are taken in order.
+    The row grows with each line that joins it; a fold over a page's lines keeps its extent and where rows begin.
     """
+    held = F.array_sort(F.collect_list(F.struct("line", F.struct(*rows.columns).alias("row"))))
+    pages = rows.groupBy(*PAGE).agg(held.alias("held"), F.min("x1").alias("margin"))
+    falls = F.filter(F.transform("held", lambda h, i: F.when(i > 0, h["row"]["cy"] - F.get(F.col("held"), i - 1)["row"]["cy"])), lambda f: f > 0)
+    pages = pages.withColumn("spacing", F.coalesce(median_of(falls), F.lit(15.0)))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).alias("at"), none.alias("left"), none.alias("right"), none.alias("bottom"), F.array().cast("array<int>").alias("starts"))
+
+    def step(s: Column, h: Column) -> Column:
+        x = h["row"]
+        joins = (x["x1"] > F.col("margin") + indent) & (x["x2"] >= s["left"]) & (x["x1"] <= s["right"]) & (x["y1"] - s["bottom"] < F.col("spacing") * 1.5) & ((x["tokens"] < 5) | (x["x1"] >= s["left"]))
+        joins = F.coalesce(joins, F.lit(False))
+        return F.struct(
+            (s["at"] + 1).alias("at"),
+            F.when(joins, F.least(s["left"], x["x1"])).otherwise(x["x1"]).cast("double").alias("left"),
+            F.when(joins, F.greatest(s["right"], x["x2"])).otherwise(x["x2"]).cast("double").alias("right"),
+            F.when(joins, F.greatest(s["bottom"], x["y2"])).otherwise(x["y2"]).cast("double").alias("bottom"),
+            F.when(joins | (s["at"] == 0), s["starts"]).otherwise(F.concat(s["starts"], F.array(s["at"]))).alias("starts"),
+        )
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line", kind="stable")
-        steps = np.diff(pdf["cy"].to_numpy())
-        spacing = float(np.median(steps[steps > 0])) if (steps > 0).any() else 15.0
-        margin, number, out, row = pdf["x1"].min(), -1, [], None
-        for x1, x2, y1, y2, tokens in pdf[["x1", "x2", "y1", "y2", "tokens"]].itertuples(index=False):
-            joins = row is not None and x1 > margin + indent and x2 >= row[0] and x1 <= row[1] and y1 - row[2] < spacing * 1.5 and (tokens < 5 or x1 >= row[0])
-            number, row = (number, (min(row[0], x1), max(row[1], x2), max(row[2], y2))) if joins else (number + 1, (x1, x2, y2))
-            out.append(number)
-        return pdf.assign(logical=np.asarray(out, "int64"))
-
-    return rows.groupBy(*PAGE).applyInPandas(page, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "logical long"]))
+    return _numbered(pages, F.aggregate("held", start, step)["starts"], "logical")
 
 
 def positioned_text(words: DataFrame, least: float = 5.0, most: float = 15.0, usual: float = 8.0) -> DataFrame:
