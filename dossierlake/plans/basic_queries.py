@@ -76,7 +76,17 @@ query("x27_masked", "SELECT o_orderkey AS id, 'XXXX XXXX ' || right(lpad((o_orde
 # Positioned words
 _OK = f"{tq._WORDS}, q AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM ok)"
 query("j13_nearest_below", f"{_OK} SELECT a.doc, a.page, a.word_id AS a, arg_min(b.word_id, (b.cy - a.cy, b.word_id)) AS below FROM q a JOIN q b ON a.doc = b.doc AND a.page = b.page AND a.word_id <> b.word_id AND b.cy > a.cy AND abs(a.cx - b.cx) < 50 GROUP BY ALL")(lambda s, d: ly.nearest_below(ly.clean_words(tq.words(s, d))))
-query("j14_label_values")(lambda s, d: ly.label_values(ly.clean_words(tq.words(s, d)), ["the", "name"]))
+# The hops of labels: right, below, right of right and once more, and what a word has besides the label.
+_HOPS = f"""{tq._WORDS}, q AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM ok),
+  rt AS (SELECT a.doc, a.page, a.word_id AS a, arg_min(b.word_id, (b.x1 - a.x2, b.word_id)) AS nxt FROM q a JOIN q b ON a.doc = b.doc AND a.page = b.page AND a.word_id <> b.word_id AND abs(a.cy - b.cy) < 0.8 * 20 AND b.x1 >= a.x2 GROUP BY ALL),
+  bl AS (SELECT a.doc, a.page, a.word_id AS a, arg_min(b.word_id, (b.cy - a.cy, b.word_id)) AS nxt FROM q a JOIN q b ON a.doc = b.doc AND a.page = b.page AND a.word_id <> b.word_id AND b.cy > a.cy AND abs(a.cx - b.cx) < 50 GROUP BY ALL),
+  ht AS (SELECT doc, page, word_id AS label_id, text AS label FROM ok WHERE regexp_matches(lower(text), 'the|name')),
+  r1 AS (SELECT ht.*, rt.nxt AS n1 FROM ht LEFT JOIN rt ON rt.doc = ht.doc AND rt.page = ht.page AND rt.a = label_id), r2 AS (SELECT r1.*, rt.nxt AS n2 FROM r1 LEFT JOIN rt ON rt.doc = r1.doc AND rt.page = r1.page AND rt.a = n1), r3 AS (SELECT r2.*, rt.nxt AS n3 FROM r2 LEFT JOIN rt ON rt.doc = r2.doc AND rt.page = r2.page AND rt.a = n2),
+  al AS (SELECT r3.doc, r3.page, label_id, label, unnest([0, 1, 2, 3]) AS step, unnest(['nearest_right', 'nearest_below', 'right_hop', 'right_hop']) AS strategy, unnest([n1, bl.nxt, n2, n3]) AS id FROM r3 LEFT JOIN bl ON bl.doc = r3.doc AND bl.page = r3.page AND bl.a = label_id),
+  vl AS (SELECT al.doc, al.page, label_id, label, step, strategy, ok.text AS value FROM al JOIN ok ON ok.doc = al.doc AND ok.page = al.page AND ok.word_id = al.id
+    UNION ALL SELECT doc, page, label_id, label, 4, 'inline', rest FROM (SELECT *, regexp_replace(regexp_replace(label, 'the|name', '', 'gi'), '^[ :/|-]+|[ :/|-]+$', '', 'g') AS rest FROM ht) WHERE rest <> '' AND rest <> trim(label))
+  SELECT doc, page, label_id, label, value, strategy FROM vl QUALIFY row_number() OVER (PARTITION BY doc, page, value ORDER BY label_id, step) = 1"""
+query("j14_label_values", _HOPS)(lambda s, d: ly.label_values(ly.clean_words(tq.words(s, d)), ["the", "name"]))
 query("j15_anchor_values")(lambda s, d: ly.anchor_scores(tq.gridded(s, d), _anchors(tq.gridded(s, d))))
 query("j17_nearest_anchors", f"{tq._PHR} SELECT doc, page, line, phrase, (list_sort(list_transform([100.0, 300.0, 500.0, 700.0], lambda x, i: {{'d': abs(x - (x1 + x2) / 2), 'i': i - 1}}))[1]).i::INT AS anchor FROM ph")(
     lambda s, d: ly.phrases(tq.gridded(s, d)).select("doc", "page", "line", "phrase", ly.nearest_anchor(F.col("cx"), [100.0, 300.0, 500.0, 700.0]).alias("anchor")))
@@ -84,9 +94,18 @@ query("m17_geometry", f"{_OK} SELECT a.doc, a.page, a.word_id AS a, abs(a.cy - b
     lambda s, d: ly.neighbours(ly.clean_words(tq.words(s, d))))
 query("o6_reading_order", f"{tq._BAND} SELECT doc, page, word_id, row_number() OVER (PARTITION BY doc, page ORDER BY line, x1, word_id)::INT AS place FROM b")(lambda s, d: ly.reading_order(tq.gridded(s, d)))
 query("w10_smoothed_regions", SQL["r14_regions_smoothed"])(lambda s, d: ly.regions(ly.lines(ly.phrases(tq.gridded(s, d)))).select("doc", "page", "line", "region"))
-query("w13_wrapped_lines")(lambda s, d: ly.wrapped_lines(ly.lines(ly.phrases(tq.gridded(s, d)))).select("doc", "page", "line", "logical"))
-query("x24_positioned_text")(lambda s, d: ly.positioned_text(tq.gridded(s, d)))
-query("r17_column_gaps")(lambda s, d: ly.column_gaps(ly.clean_words(tq.words(s, d))))
+_WRAP = f"""WITH RECURSIVE {tq._PHR.removeprefix("WITH ")}, ln AS (SELECT doc, page, line, min(x1) AS x1, max(x2) AS x2, min(y1) AS y1, max(y2) AS y2, (min(y1) + max(y2)) / 2 AS cy, count(*) AS tokens FROM ph GROUP BY ALL),
+  st AS (SELECT *, cy - lag(cy) OVER (PARTITION BY doc, page ORDER BY line) AS fall, row_number() OVER (PARTITION BY doc, page ORDER BY line) AS r, min(x1) OVER (PARTITION BY doc, page) AS margin FROM ln),
+  sp AS (SELECT *, coalesce(median(CASE WHEN fall > 0 THEN fall END) OVER (PARTITION BY doc, page), 15.0) AS spacing FROM st),
+  wr AS (SELECT doc, page, line, r, x1 AS l, x2 AS rt, y2 AS b, 0::BIGINT AS logical FROM sp WHERE r = 1
+    UNION ALL SELECT s.doc, s.page, s.line, s.r, CASE WHEN j THEN least(s.l, s.x1) ELSE s.x1 END, CASE WHEN j THEN greatest(s.rt, s.x2) ELSE s.x2 END, CASE WHEN j THEN greatest(s.b, s.y2) ELSE s.y2 END, CASE WHEN j THEN s.logical ELSE s.logical + 1 END
+      FROM (SELECT sp.*, wr.l, wr.rt, wr.b, wr.logical, sp.x1 > margin + 20 AND sp.x2 >= wr.l AND sp.x1 <= wr.rt AND sp.y1 - wr.b < spacing * 1.5 AND (tokens < 5 OR sp.x1 >= wr.l) AS j FROM wr JOIN sp ON sp.doc = wr.doc AND sp.page = wr.page AND sp.r = wr.r + 1) s)
+  SELECT doc, page, line, logical FROM wr"""
+query("w13_wrapped_lines", _WRAP)(lambda s, d: ly.wrapped_lines(ly.lines(ly.phrases(tq.gridded(s, d)))).select("doc", "page", "line", "logical"))
+_SLOTS = f"""{tq._BAND}, cw AS (SELECT *, least(greatest(coalesce(median(CASE WHEN x2 > x1 THEN (x2 - x1) / length(text) END) OVER (PARTITION BY doc, page), 8.0), 5.0), 15.0) AS char FROM b),
+  k AS (SELECT *, greatest(0, floor(x1 / char))::BIGINT AS col FROM cw), s AS (SELECT doc, page, line, col, arg_max(text, (x1, word_id)) AS t FROM k GROUP BY ALL)
+  SELECT doc, page, line, rtrim(list_reduce(list({{'c': col, 't': t}} ORDER BY col), lambda a, x: {{'c': 0, 't': rpad(a.t[1:x.c], x.c::INT, ' ') || x.t || a.t[x.c + length(x.t) + 1:]}}, {{'c': 0, 't': ''}}).t) AS text FROM s GROUP BY ALL"""
+query("x24_positioned_text", _SLOTS)(lambda s, d: ly.positioned_text(tq.gridded(s, d)))
 query("r17_row_blocks", f"{tq._LINES}, t AS (SELECT *, tokens >= greatest(2, max(tokens) OVER v * 0.5) AS wide FROM ln WINDOW v AS (PARTITION BY doc, page)), ed AS (SELECT *, min(CASE WHEN wide THEN line END) OVER v AS a, max(CASE WHEN wide THEN line END) OVER v AS z FROM t WINDOW v AS (PARTITION BY doc, page)) SELECT doc, page, line, CASE WHEN a IS NULL OR line < a THEN 'header' WHEN line > z THEN 'footer' ELSE 'table' END AS block FROM ed")(lambda s, d: ly.row_blocks(ly.lines(ly.phrases(tq.gridded(s, d)))).select("doc", "page", "line", "block"))
 
 

@@ -69,7 +69,7 @@ _CUTS = """oc AS (SELECT doc, page, greatest(0, greatest(0, floor(x1)::INT) - 2)
   rc AS (SELECT *, coalesce(max(b) OVER (PARTITION BY doc, page ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0) AS start FROM oc),
   ct AS (SELECT doc, page, ((start + a) // 2)::INT AS cut FROM rc WHERE a - start >= {g} UNION SELECT doc, page, ((max(b) + 1 + {w} + 1) // 2)::INT FROM oc GROUP BY ALL HAVING {w} + 1 - (max(b) + 1) >= {g}),
   ed AS (SELECT doc, page, CASE WHEN cuts IS NULL THEN [0, {w}] ELSE list_concat(list_concat([0], cuts), [{w}]) END AS e FROM (SELECT DISTINCT doc, page FROM {t}) LEFT JOIN (SELECT doc, page, list(DISTINCT cut ORDER BY cut) AS cuts FROM ct GROUP BY ALL) USING (doc, page))"""
-query("r17_column_cuts", f"{_WORDS}, {_CUTS.format(w=1000, g=20, t='ok')} SELECT doc, page, unnest(range(0, len(e) - 1))::INT AS column, unnest(e[:-2])::INT AS x_left, unnest(e[2:])::INT AS x_right FROM ed".replace("AS column,", 'AS "column",'))(lambda s, d: ly.column_gaps(ly.clean_words(words(s, d))))
+query("r17_column_gaps", f"{_WORDS}, {_CUTS.format(w=1000, g=20, t='ok')} SELECT doc, page, unnest(range(0, len(e) - 1))::INT AS column, unnest(e[:-2])::INT AS x_left, unnest(e[2:])::INT AS x_right FROM ed".replace("AS column,", 'AS "column",'))(lambda s, d: ly.column_gaps(ly.clean_words(words(s, d))))
 query("r17_column_grid", f"""{_BAND}, sz AS (SELECT doc, page, line, count(*) AS tokens FROM b GROUP BY ALL), wd2 AS (SELECT *, tokens >= greatest(2.0, max(tokens) OVER (PARTITION BY doc, page) * 0.5) AS wide FROM sz),
   tb AS (SELECT doc, page, line FROM wd2 QUALIFY line BETWEEN min(line) FILTER (wide) OVER (PARTITION BY doc, page) AND max(line) FILTER (wide) OVER (PARTITION BY doc, page)),
   ins AS (SELECT b.*, (x1 + x2) / 2 AS cx FROM b SEMI JOIN tb USING (doc, page, line)), {_CUTS.format(w=1488, g=18, t='ins')},

@@ -85,7 +85,23 @@ query("r14_regions_smoothed", f"""WITH RECURSIVE {_LINES.removeprefix("WITH ")},
   sm AS (SELECT doc, page, line, r, kind AS region FROM nb WHERE r = 1 UNION ALL SELECT nb.doc, nb.page, nb.line, nb.r, CASE WHEN nb.kind = 'paragraph' AND nb.below IS NOT NULL AND sm.region = 'table' AND (nb.below = 'table' OR nb.tokens < 5) THEN 'table' ELSE nb.kind END FROM sm JOIN nb ON nb.doc = sm.doc AND nb.page = sm.page AND nb.r = sm.r + 1) SELECT doc, page, line, region FROM sm""")(lambda s, d: ly.regions(ly.lines(ly.phrases(gridded(s, d)))).select("doc", "page", "line", "region"))
 query("w11_x_clusters", f"{_PHR}, cl AS (SELECT doc, page, line, phrase, (x1 + x2) / 2 AS cx FROM ph), cg AS (SELECT *, cx - lag(cx) OVER (PARTITION BY doc, page ORDER BY cx, line, phrase) AS gap FROM cl) SELECT doc, page, line, phrase, sum(CASE WHEN gap > 50.0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY cx, line, phrase)::BIGINT AS cluster FROM cg")(
     lambda s, d: ly.x_clusters(ly.phrases(gridded(s, d))).select("doc", "page", "line", "phrase", "cluster"))
-query("r13_table_grid")(lambda s, d: ly.table_grid(ly.phrases(gridded(s, d))).select("doc", "page", "row", F.concat_ws(" | ", "cells").alias("cells")))
+_GRID = f"""WITH RECURSIVE {_PHR.removeprefix("WITH ")}, pc AS (SELECT doc, page, line, phrase, text, x1, (x1 + x2) / 2 AS cx FROM ph), so AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY cx, line, phrase) AS r FROM pc),
+  an AS (SELECT doc, page, r, 0 AS k, cx AS total, 1 AS n FROM so WHERE r = 1
+    UNION ALL SELECT so.doc, so.page, so.r, CASE WHEN so.cx - total / n > 45 THEN k + 1 ELSE k END, CASE WHEN so.cx - total / n > 45 THEN so.cx ELSE total + so.cx END, CASE WHEN so.cx - total / n > 45 THEN 1 ELSE n + 1 END FROM an JOIN so ON so.doc = an.doc AND so.page = an.page AND so.r = an.r + 1),
+  me AS (SELECT doc, page, k, arg_max(total / n, r) AS pos FROM an GROUP BY ALL),
+  hi AS (SELECT doc, page, k FROM (SELECT pc.doc, pc.page, line, phrase, arg_min(k, (abs(cx - pos), k)) AS k FROM pc JOIN me ON me.doc = pc.doc AND me.page = pc.page GROUP BY ALL) GROUP BY ALL HAVING count(DISTINCT line) >= 2),
+  kp AS (SELECT me.doc, me.page, pos, row_number() OVER (PARTITION BY me.doc, me.page ORDER BY k) - 1 AS c, count(*) OVER (PARTITION BY me.doc, me.page) AS n FROM me JOIN hi USING (doc, page, k)),
+  pl AS (SELECT pc.doc, pc.page, line, phrase, x1, text, CASE WHEN any_value(n) <= 12 THEN arg_min(c, (abs(cx - pos), c)) ELSE 0 END AS col, CASE WHEN any_value(n) <= 12 THEN any_value(n) ELSE 1 END AS cols FROM pc LEFT JOIN kp ON kp.doc = pc.doc AND kp.page = pc.page GROUP BY ALL),
+  ce AS (SELECT doc, page, line, coalesce(col, 0) AS col, coalesce(cols, 1) AS cols, trim(string_agg(text, ' ' ORDER BY x1, phrase, text)) AS t FROM pl GROUP BY ALL),
+  li AS (SELECT doc, page, line, cols, count(*) FILTER (t <> '') AS filled, string_agg(t, ' ' ORDER BY col) AS whole FROM ce GROUP BY ALL),
+  ca AS (SELECT *, lag(line) OVER w IS NOT NULL AND filled > 0 AND filled < 0.65 * cols AND NOT regexp_matches(whole, '{ly.DATE}') AND NOT (regexp_matches(whole, '{ly.AMOUNT}') AND filled >= 2) AS can FROM li WINDOW w AS (PARTITION BY doc, page ORDER BY line)),
+  ru AS (SELECT *, sum(CASE WHEN can THEN 0 ELSE 1 END) OVER (PARTITION BY doc, page ORDER BY line) AS run FROM ca),
+  mg AS (SELECT *, can AND coalesce(max(filled) OVER (PARTITION BY doc, page, run ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 2, false) AS merged FROM ru),
+  ro AS (SELECT *, sum(CASE WHEN merged THEN 0 ELSE 1 END) OVER (PARTITION BY doc, page ORDER BY line) - 1 AS row_ FROM mg),
+  tx AS (SELECT ce.doc, ce.page, row_, col, string_agg(t, ' ' ORDER BY ce.line) AS t FROM ce JOIN ro ON ro.doc = ce.doc AND ro.page = ce.page AND ro.line = ce.line WHERE t <> '' GROUP BY ALL),
+  mp AS (SELECT doc, page, row_, map_from_entries(list((col, t))) AS m FROM tx GROUP BY ALL)
+  SELECT ro.doc, ro.page, row_::BIGINT AS row, array_to_string(list_transform(range(0, cols), lambda i: coalesce(m[i], '')), ' | ') AS cells FROM ro LEFT JOIN mp USING (doc, page, row_) WHERE NOT merged""".replace("AS row,", 'AS "row",')
+query("r13_table_grid", _GRID)(lambda s, d: ly.table_grid(ly.phrases(gridded(s, d))).select("doc", "page", "row", F.concat_ws(" | ", "cells").alias("cells")))
 query("j12_nearest_right", f"{_WORDS}, q AS (SELECT *, (y1 + y2) / 2 AS cy FROM ok) SELECT a.doc, a.page, a.word_id AS a, arg_min(b.word_id, (b.x1 - a.x2, b.word_id)) AS right FROM q a JOIN q b ON a.doc = b.doc AND a.page = b.page AND a.word_id <> b.word_id AND abs(a.cy - b.cy) < 0.8 * 20 AND b.x1 >= a.x2 GROUP BY ALL".replace("AS right", 'AS "right"'))(lambda s, d: ly.nearest_right(ly.clean_words(words(s, d))))
 query("j16_box_overlaps", f"""{_WORDS}, i AS (SELECT a.doc, a.page, a.word_id AS a, b.word_id AS b, greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS v, (a.x2 - a.x1) * 20.0 AS s1, (b.x2 - b.x1) * 20.0 AS s2 FROM ok a JOIN ok b ON a.doc = b.doc AND a.page = b.page AND a.word_id < b.word_id)
   SELECT doc, page, a, b, round(v / (s1 + s2 - v), 6) AS iou FROM i WHERE round(v / (s1 + s2 - v), 6) > 0.4""")(lambda s, d: ly.overlaps(ly.clean_words(words(s, d))))
