@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from dossierlake.functions import scores as sc
 from dossierlake.functions.text import title_case
 
-_NAME, _NUMBER = r"\s*[:\-]\s*([A-Z][A-Z\s.]{%d,40})", r"\.?\s*[:\-]\s*([A-Z0-9]{4,%d})"
-_DATE = r"([0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4})"
-_YEAR = r"(20[0-2][0-9]|19[89][0-9])"
-#: The labels after which a field stands, in the order in which they are tried; letter case doesn't matter.
+# The labels after which a field stands, in the order in which they are tried; letter case doesn't matter.
 SCHOOL = {
-    "candidate_name": (r"candidate(?:'s)?\s+name" + _NAME % 2, r"student(?:'s)?\s+name" + _NAME % 2, r"name\s+of\s+(?:the\s+)?candidate" + _NAME % 2, r"name" + _NAME % 4),
-    "mother_name": (r"mother(?:'s)?\s+name" + _NAME % 2, r"name\s+of\s+mother" + _NAME % 2),
-    "seat_number": (r"seat\s+no" + _NUMBER % 12, r"exam\s+seat\s+no" + _NUMBER % 12, r"roll\s+no" + _NUMBER % 12),
-    "certificate_no": (r"certificate\s+no\.?\s*[:\-]\s*([A-Z0-9\-]{4,20})", r"cert\.\s*no\.?\s*[:\-]\s*([A-Z0-9\-]{4,20})"),
+    "candidate_name": (
+        r"candidate(?:'s)?\s+name\s*[:\-]\s*([A-Z][A-Z\s.]{2,40})",
+        r"student(?:'s)?\s+name\s*[:\-]\s*([A-Z][A-Z\s.]{2,40})",
+        r"name\s+of\s+(?:the\s+)?candidate\s*[:\-]\s*([A-Z][A-Z\s.]{2,40})",
+        r"name\s*[:\-]\s*([A-Z][A-Z\s.]{4,40})",
+    ),
+    "mother_name": (
+        r"mother(?:'s)?\s+name\s*[:\-]\s*([A-Z][A-Z\s.]{2,40})",
+        r"name\s+of\s+mother\s*[:\-]\s*([A-Z][A-Z\s.]{2,40})",
+    ),
+    "seat_number": (
+        r"seat\s+no\.?\s*[:\-]\s*([A-Z0-9]{4,12})",
+        r"exam\s+seat\s+no\.?\s*[:\-]\s*([A-Z0-9]{4,12})",
+        r"roll\s+no\.?\s*[:\-]\s*([A-Z0-9]{4,12})",
+    ),
+    "certificate_no": (
+        r"certificate\s+no\.?\s*[:\-]\s*([A-Z0-9\-]{4,20})",
+        r"cert\.\s*no\.?\s*[:\-]\s*([A-Z0-9\-]{4,20})",
+    ),
     "board": (
         r"(maharashtra\s+state\s+board[^\n]{0,40})",
         r"(cbse[^\n]{0,20})",
@@ -26,20 +38,62 @@ SCHOOL = {
         r"(board\s+of\s+secondary\s+education[^\n]{0,30})",
         r"(\w+\s+state\s+board[^\n]{0,30})",
     ),
-    "school_number": (r"school\s+(?:index\s+)?no" + _NUMBER % 12, r"school\s+code\s*[:\-]\s*([A-Z0-9]{4,12})"),
-    "passing_year": (r"(?:march|october|november)\s*[,\-]\s*" + _YEAR, r"year\s*[:\-]\s*" + _YEAR, r"(?:passing|passed)\s+in\s+" + _YEAR, r"examination\s+" + _YEAR, r"\b((?:19[89]|20[0-2])[0-9])\b"),
-    "total_marks": (r"total\s+marks?\s*[:\-]\s*([0-9]{2,4})", r"maximum\s+marks?\s*[:\-]\s*([0-9]{2,4})", r"out\s+of\s*[:\-]?\s*([0-9]{2,4})"),
-    "obtained_marks": (r"(?:marks?|marks?\s+obtained|total\s+obtained)\s*[:\-]\s*([0-9]{2,4})", r"obtained\s*[:\-]\s*([0-9]{2,4})", r"grand\s+total\s*[:\-]\s*([0-9]{2,4})"),
+    "school_number": (
+        r"school\s+(?:index\s+)?no\.?\s*[:\-]\s*([A-Z0-9]{4,12})",
+        r"school\s+code\s*[:\-]\s*([A-Z0-9]{4,12})",
+    ),
+    "passing_year": (
+        r"(?:march|october|november)\s*[,\-]\s*(20[0-2]\d|19[89]\d)",
+        r"year\s*[:\-]\s*(20[0-2]\d|19[89]\d)",
+        r"(?:passing|passed)\s+in\s+(20[0-2]\d|19[89]\d)",
+        r"examination\s+(20[0-2]\d|19[89]\d)",
+        r"\b((?:19[89]|20[0-2])\d)\b",
+    ),
+    "total_marks": (
+        r"total\s+marks?\s*[:\-]\s*(\d{2,4})",
+        r"maximum\s+marks?\s*[:\-]\s*(\d{2,4})",
+        r"out\s+of\s*[:\-]?\s*(\d{2,4})",
+    ),
+    "obtained_marks": (
+        r"(?:marks?|marks?\s+obtained|total\s+obtained)\s*[:\-]\s*(\d{2,4})",
+        r"obtained\s*[:\-]\s*(\d{2,4})",
+        r"grand\s+total\s*[:\-]\s*(\d{2,4})",
+    ),
     "division": (r"\b((?:first|second|third|distinction)\s+division)\b",),
-    "dob": (r"(?:date\s+of\s+birth|dob)\s*[:\-]\s*" + _DATE, r"(?:born\s+on)\s*[:\-]\s*" + _DATE, r"\b([0-9]{2}[/\-.][0-9]{2}[/\-.][0-9]{4})\b"),
+    "dob": (
+        r"(?:date\s+of\s+birth|dob)\s*[:\-]\s*(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})",
+        r"(?:born\s+on)\s*[:\-]\s*(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})",
+        r"\b(\d{2}[/\-.]\d{2}[/\-.]\d{4})\b",
+    ),
 }
 DEGREE = {
-    "student_name": (r"student(?:'s)?\s+name" + _NAME % 3, r"name\s+of\s+(?:the\s+)?student" + _NAME % 3, r"candidate(?:'s)?\s+name" + _NAME % 3, r"name" + _NAME % 4),
-    "prn": (r"\bprn\b\s*[:\-.#]?\s*([0-9A-Z]{6,20})", r"permanent\s+reg(?:istration)?\s+no\.?\s*[:\-]\s*([0-9A-Z]{6,20})", r"enroll(?:ment)?\s+no\.?\s*[:\-]\s*([0-9A-Z]{6,20})", r"reg(?:istration)?\s+no\.?\s*[:\-]\s*([0-9A-Z]{6,20})"),
-    "seat_number": (r"seat\s+no" + _NUMBER % 14, r"roll\s+no" + _NUMBER % 14, r"exam\s+seat\s+no" + _NUMBER % 14),
-    "university": (r"((?:\w+\s+){1,5}university[^\n]{0,30})", r"university\s+of\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})"),
+    "student_name": (
+        r"student(?:'s)?\s+name\s*[:\-]\s*([A-Z][A-Z\s.]{3,40})",
+        r"name\s+of\s+(?:the\s+)?student\s*[:\-]\s*([A-Z][A-Z\s.]{3,40})",
+        r"candidate(?:'s)?\s+name\s*[:\-]\s*([A-Z][A-Z\s.]{3,40})",
+        r"name\s*[:\-]\s*([A-Z][A-Z\s.]{4,40})",
+    ),
+    "prn": (
+        r"\bprn\b\s*[:\-.#]?\s*([0-9A-Z]{6,20})",
+        r"permanent\s+reg(?:istration)?\s+no\.?\s*[:\-]\s*([0-9A-Z]{6,20})",
+        r"enroll(?:ment)?\s+no\.?\s*[:\-]\s*([0-9A-Z]{6,20})",
+        r"reg(?:istration)?\s+no\.?\s*[:\-]\s*([0-9A-Z]{6,20})",
+    ),
+    "seat_number": (
+        r"seat\s+no\.?\s*[:\-]\s*([A-Z0-9]{4,14})",
+        r"roll\s+no\.?\s*[:\-]\s*([A-Z0-9]{4,14})",
+        r"exam\s+seat\s+no\.?\s*[:\-]\s*([A-Z0-9]{4,14})",
+    ),
+    "university": (
+        r"((?:\w+\s+){1,5}university[^\n]{0,30})",
+        r"university\s+of\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})",
+    ),
     "degree_name": (r"\b(b\.?tech|b\.?e\.?|b\.?sc\.?|b\.?com\.?|b\.?ca|b\.?a\.?|m\.?tech|m\.?sc\.?|m\.?com\.?|mba|mca|ph\.?d|b\.?arch)\b",),
-    "course_name": (r"course\s+name\s*[:\-]\s*([A-Za-z &()]{5,50})", r"programme\s*[:\-]\s*([A-Za-z &()]{5,50})", r"department\s+of\s+([A-Za-z &]{5,40})"),
+    "course_name": (
+        r"course\s+name\s*[:\-]\s*([A-Za-z &()]{5,50})",
+        r"programme\s*[:\-]\s*([A-Za-z &()]{5,50})",
+        r"department\s+of\s+([A-Za-z &]{5,40})",
+    ),
     "passing_year": SCHOOL["passing_year"],
 }
 #: Phrases that name a grade, class, result or stream, the first that occurs.

@@ -109,11 +109,17 @@ GRADE_NAMES = {"O": "Outstanding", "A+": "Excellent", "A": "Very Good", "B+": "G
 ADDRESS = r"(?i)\b(village|dist|district|state|pin|post|tehsil|mandal|taluk|taluka|near|landmark|ward|nagar|colony|sector|block|road|street|mohalla|flat|house|plot|s/o|d/o|w/o|c/o|at|po|ps|via)\b"
 NO_START = r"(?i)^(gn|mn|dn|tn|rn|fn|vn|bn|pn|ng|nr|nl|nk|wr([^i]|$)|ch([^aeiou]|$)|gh([^aeiou]|$)|[bcdfghjklmnpqrstvwxyz]{3})"
 NO_NAMES = (
-    "to of in by an at on or as is it if no up do go so us we he me my any the and for not but can was are did had has may too see get use say put end his her him she our its "
-    "now new old big all one two yes yet also well than with this that they from have been what when your some just will more very much only even both such then into over back "
-    "here made take time like good know look make come give most need else away down each many next same said once tell want went were whom"
-).split()
-SHORT_NAMES = "al el de du la le mc st da di do ma ra sa ka ta na pa va ba om sk rk ak pk ed ad bo".split()
+    "to", "of", "in", "by", "an", "at", "on", "or", "as", "is", "it", "if", "no", "up", "do", "go", "so", "us", "we", "he", "me", "my", "any", "the", "and",
+    "for", "not", "but", "can", "was", "are", "did", "had", "has", "may", "too", "see", "get", "use", "say", "put", "end", "his", "her", "him", "she", "our",
+    "its", "now", "new", "old", "big", "all", "one", "two", "yes", "yet", "also", "well", "than", "with", "this", "that", "they", "from", "have", "been",
+    "what", "when", "your", "some", "just", "will", "more", "very", "much", "only", "even", "both", "such", "then", "into", "over", "back", "here", "made",
+    "take", "time", "like", "good", "know", "look", "make", "come", "give", "most", "need", "else", "away", "down", "each", "many", "next", "same", "said",
+    "once", "tell", "want", "went", "were", "whom",
+)
+SHORT_NAMES = (
+    "al", "el", "de", "du", "la", "le", "mc", "st", "da", "di", "do", "ma", "ra", "sa", "ka", "ta", "na", "pa", "va", "ba", "om", "sk", "rk", "ak", "pk", "ed",
+    "ad", "bo",
+)
 #: Lines of a card that are no names.
 NO_NAME_LINES = (
     r"(?i)\b(income|tax|department|government|india|permanent|account|number|pan|signature|dob|date|birth|father|holder|individual|company|firm|huf|trust|name)\b",
