@@ -67,6 +67,21 @@ _WORDS = """WITH c AS (SELECT conv_id AS doc, turn AS page, regexp_split_to_arra
 query("s18_clean_words", f"{_WORDS} SELECT doc, page, word_id, text, x1, y1, x2, y2, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM ok")(lambda s, d: ly.clean_words(words(s, d)).select("doc", "page", "word_id", "text", "x1", "y1", "x2", "y2", "cx", "cy"))
 _BAND = f"{_WORDS}, b AS (SELECT *, floor(word_id / 7.0)::BIGINT AS line FROM ok)"
 query("w11_row_bands", f"{_BAND} SELECT doc, page, word_id, dense_rank() OVER (PARTITION BY doc, page ORDER BY line) - 1 AS line FROM b")(lambda s, d: ly.row_bands(ly.clean_words(words(s, d))).select("doc", "page", "word_id", "line"))
+# Words on a slope: no fixed bands part them, so where a line ends is up to the mean of its words so far.
+_SLOPE = f"""WITH RECURSIVE {_WORDS.removeprefix("WITH ")}, sl AS (SELECT doc, page, word_id, x1, p.word_id * 3.5 + p.word_id * 7 % 6 + 10 AS cy FROM ok p),
+  so AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY cy, x1, word_id) AS r FROM sl),
+  ln AS (SELECT doc, page, word_id, r, 0::BIGINT AS line, cy::DOUBLE AS total, 1 AS n FROM so WHERE r = 1
+    UNION ALL SELECT s.doc, s.page, s.word_id, s.r, CASE WHEN far THEN line + 1 ELSE line END, CASE WHEN far THEN s.cy ELSE total + s.cy END, CASE WHEN far THEN 1 ELSE n + 1 END
+      FROM (SELECT so.*, line, total, n, abs(so.cy - total / n) > 20 * 0.55::DOUBLE AS far FROM ln JOIN so ON so.doc = ln.doc AND so.page = ln.page AND so.r = ln.r + 1) s)
+  SELECT doc, page, word_id, line FROM ln"""
+
+
+def sloping(s: SparkSession, d: str) -> DataFrame:
+    y = F.col("word_id") * 3.5 + F.col("word_id") * 7 % 6
+    return ly.clean_words(words(s, d).withColumns({"y1": y, "y2": y + 20}))
+
+
+query("w11_sloping_bands", _SLOPE)(lambda s, d: ly.row_bands(sloping(s, d)).select("doc", "page", "word_id", "line"))
 _PHR = f"""{_BAND}, g AS (SELECT *, greatest(8.0, median((x2 - x1) / length(text)) OVER (PARTITION BY doc, page, line) * 1.8::DOUBLE) AS lim, x1 - lag(x2) OVER (PARTITION BY doc, page, line ORDER BY x1, word_id) AS gap FROM b),
  h AS (SELECT *, sum(CASE WHEN gap > lim THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page, line ORDER BY x1, word_id) AS phrase FROM g), ph AS (SELECT doc, page, line, phrase::BIGINT AS phrase, string_agg(text, ' ' ORDER BY x1, word_id) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS words FROM h GROUP BY ALL)"""
 
