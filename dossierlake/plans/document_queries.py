@@ -111,7 +111,22 @@ query("x14_names", f"""WITH {_TX}, n AS (SELECT id, trim(line) AS s, list_filter
   SELECT id, coalesce(length(s) BETWEEN 4 AND 50 AND regexp_matches(s, '^[A-Za-z\\s.\\-'']+$') AND len(ws) BETWEEN 1 AND 5 AND NOT regexp_matches(s, '{ps.ADDRESS}') AND len(list_filter(ws, lambda x: NOT ({_PART}))) = 0, false) AS human,
     length(s) >= 4 AND NOT ({' OR '.join(f"regexp_matches(s, '{p}')" for p in ps.NO_NAME_LINES)}) AND {_LETTERS.format('s')} / greatest(length(s), 1)::DOUBLE >= 0.88 AND len(ws) BETWEEN 2 AND 5 AND len(list_filter(ws, lambda x: length(x) > 1 AND {_LETTERS.format('x')} / length(x)::DOUBLE < 0.7)) = 0 AS holder FROM n""")(
     lambda s, d: texts(s, d).select("id", ps.human_name(F.col("line")).alias("human"), ps.name_line(F.col("line")).alias("holder")))
-query("r18_subjects")(lambda s, d: dc.subjects(texts(s, d).select("id", F.col("sheet").alias("text")), "id"))
+# Rows of cells, and of sentences where a text has fewer than two of cells.
+_SUBJ, _GRADE, _MARKS = ps.SUBJECT.removeprefix("(?i)"), ps.GRADE, ps.MARKS
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_TITLE = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_GNAME = "CASE upper(trim({0})) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ps.GRADE_NAMES.items()) + " ELSE trim({0}) END"
+_NUM = "'^[0-9]+(?:\\.[0-9]+)?$'"
+_SUBJECTS = rf"""WITH {_TX}, ln AS (SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT id, regexp_split_to_array(sheet, '\r\n|\n|\r') AS ls FROM tx)),
+  ce AS (SELECT id, pos, {_STRIP.format('line')} AS t, list_filter(list_transform(regexp_split_to_array({_STRIP.format('line')}, '\|+|\t+|\s{{3,}}'), lambda x: trim(x)), lambda x: x <> '') AS cells FROM ln),
+  pa AS (SELECT *, list_filter(cells, lambda x: regexp_matches(x, {_NUM})) AS nums, list_filter(cells, lambda x: NOT regexp_matches(x, {_NUM}) AND regexp_matches(x, '{_SUBJ}', 'i')) AS subj,
+    list_filter(cells, lambda x: NOT regexp_matches(x, {_NUM}) AND NOT regexp_matches(x, '{_SUBJ}', 'i') AND regexp_matches(x, '^(?:{_GRADE})$')) AS gr,
+    list_filter(list_transform(regexp_extract_all(t, '{_MARKS}'), lambda m: {{'got': regexp_extract(m, '^([0-9]+)', 1)::DOUBLE, 'of': try_cast(regexp_extract(m, '/\s*([0-9]+)$', 1) AS DOUBLE)}}), lambda m: m.got <= 200) AS marks, regexp_extract(t, '{_GRADE}', 1) AS g FROM ce),
+  ta AS (SELECT id, 0 AS way, pos, {_TITLE.format('subj[-1]')} AS subject, nums[1]::DOUBLE AS marks_obtained, nums[2]::DOUBLE AS marks_total, CASE WHEN len(gr) > 0 THEN {_GNAME.format('gr[-1]')} END AS grade FROM pa WHERE len(cells) >= 2 AND len(subj) > 0 AND len(nums) > 0),
+  te AS (SELECT id, 1 AS way, pos, {_TITLE.format(f"regexp_extract(t, '({_SUBJ})', 1, 'i')")} AS subject, marks[1].got AS marks_obtained, list_filter(marks, lambda m: m.of IS NOT NULL)[1].of AS marks_total, CASE WHEN g NOT IN ('', 'OF') THEN {_GNAME.format('g')} END AS grade
+    FROM pa WHERE length(t) >= 4 AND regexp_matches(t, '{_SUBJ}', 'i') AND len(marks) > 0 AND id NOT IN (SELECT id FROM ta GROUP BY id HAVING count(*) >= 2))
+  SELECT id, subject, marks_obtained, marks_total, grade FROM (SELECT * FROM ta UNION ALL SELECT * FROM te) QUALIFY row_number() OVER (PARTITION BY id, lower(replace(subject, ' ', '')) ORDER BY way, pos) = 1"""
+query("r18_subjects", _SUBJECTS)(lambda s, d: dc.subjects(texts(s, d).select("id", F.col("sheet").alias("text")), "id"))
 _LABELS = ["Candidate's Full Name", "Name of Student", "Surname", "Nane of Studnt", "NAME", "Father", ""]
 _LT = "lower(trim({0}))"
 _CLEAN = "regexp_replace({0}, '[^a-z\\s]', ' ', 'g')"
@@ -241,7 +256,7 @@ def review_export(s: SparkSession, d: str) -> DataFrame:
     return _written(s, rows, "review-export", schema).select(*_EXPORT[:-2])
 
 
-query("s13_subject_export")(lambda s, d: _written(s, dc.subjects(texts(s, d).select("id", F.col("sheet").alias("text")), "id"), "subject-export", "id long, subject string, marks_obtained double, marks_total double, grade string"))
+query("s13_subject_export", _SUBJECTS)(lambda s, d: _written(s, dc.subjects(texts(s, d).select("id", F.col("sheet").alias("text")), "id"), "subject-export", "id long, subject string, marks_obtained double, marks_total double, grade string"))
 query("s19_known_users", w("SELECT id, full_name, id IN (SELECT user_id FROM identities WHERE aadhaar_number LIKE '%2%') AS known FROM users", "users", "identities"))(lambda s, d: dc.known(lt.users(s, d), lt.identities(s, d).where(F.contains("aadhaar_number", F.lit("2")))))
 query("s11_csv_rows", w("SELECT id, full_name, dob FROM users", "users"))(lambda s, d: _written(s, lt.users(s, d).select("id", "full_name", "dob"), "users", "id long, full_name string, dob string"))
 query("s15_json_rows", "SELECT r_regionkey, r_name FROM region")(lambda s, d: _as_json(s, lt.table(s, d, "region").select("r_regionkey", "r_name")))
