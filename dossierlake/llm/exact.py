@@ -91,7 +91,9 @@ def _bytes_agree(scratch: Scratch, texts: DataFrame, rows: DataFrame, name: str)
     own = F.concat(F.hex("digest"), F.coalesce(F.concat(F.lit(":"), F.col("id").cast("string")), F.lit("")))
     several = rows.where(F.col("size") > 1)
     hits = several.groupBy("digest", "id").agg(F.any_value("keep.id").alias("keep_id"), F.max("size").alias("group"), F.count(F.lit(1)).alias("size"))
-    found = join_groups(texts.withColumn("own", own), hits.select(own.alias("own"), "keep_id", "group", "size"), "own", several.count()).select("digest", "id", "body", "keep_id", F.col("group").alias("size"))
+    # Keys are as many as hits, so they are shuffled at every size; without the hint a small table's would be broadcast.
+    keys = hits.select(own.alias("own"), "keep_id", "group", "size").hint("merge")
+    found = join_groups(texts.withColumn("own", own), keys, "own", several.count()).select("digest", "id", "body", "keep_id", F.col("group").alias("size"))
     found = scratch.keep(found, f"{name}-hits")
     # Of rows that share the id that stays, any one serves: the others are compared with it.
     kept = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.any_value("body").alias("kept_body"), F.max("size").alias("size"))
