@@ -288,3 +288,15 @@ def title_case(text: Column) -> Column:
     marked = F.regexp_replace(F.lower(text), r"([^a-z]|^)([a-z])", "$1\u0001$2")
     parts = F.split(marked, "\u0001")
     return F.array_join(F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))).otherwise(p)), "")
+
+
+#: Letters that ``upper`` spells out although they have a capital of one letter, sharp s and Greek letters with an iota below, and these capitals.
+_SPELT = "ß" + "".join(c for c in map(chr, range(0x1F80, 0x2000)) if len(c.upper()) > 1 and len(c.title()) == 1 and c.title() != c)
+_CAPITALS = "ẞ" + "".join(c.title() for c in _SPELT[1:])
+
+
+def capitals(text: Column) -> Column:
+    """Each letter as its capital of one letter, as it is if it has none; ``upper`` makes several of some."""
+    up = F.upper(text)
+    one = lambda c: F.when(F.char_length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, _SPELT, _CAPITALS))
+    return F.when(F.char_length(up) == F.char_length(text), up).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossierlake.functions import text as tx
 from dossierlake.operators import boxes as bx
 from dossierlake.operators import layout as ly
 from dossierlake.operators import votes as vt
@@ -19,7 +20,7 @@ def engine_readings(s: SparkSession, d: str) -> DataFrame:
     x = w.withColumn("engine", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     p, e = F.col("word_id"), F.col("engine")
     off, down = (p * 7 + e * 5) % 23, (p + e * 3) % 4
-    text = F.when((e == 2) & (p % 7 == 0), F.upper("text")).when((e == 1) & (p % 5 == 0), F.concat("text", F.lit("_"))).otherwise(F.col("text"))
+    text = F.when((e == 2) & (p % 7 == 0), tx.capitals(F.col("text"))).when((e == 1) & (p % 5 == 0), F.concat("text", F.lit("_"))).otherwise(F.col("text"))
     return x.select("doc", "page", (e * 1000 + (p * 37 + e) % 997).alias("word_id"), text.alias("text"), (F.col("conf") - e * 0.05).alias("conf"), *[(F.col(c) + (off if c[0] == "x" else down)).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 

@@ -6,10 +6,13 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.operators import boxes as bx
+from dossierlake.plans.registry import QUERIES, SQL
+from tests.oracle import assert_same
 
 WORDS = "doc long, page long, word_id int, text string, conf double, x1 double, y1 double, x2 double, y2 double"
 
@@ -100,3 +103,15 @@ def test_grids_and_empty_tables(spark):
     assert sorted((r["line"], r["cells"]) for r in bx.column_grid(df).collect()) == [(1, ["a", "b", "c", ""]), (2, ["d", "e f", "g", ""])]
     none = df.limit(0)
     assert [f(none).collect() for f in (bx.box_groups, bx.box_rows, bx.mapped_fields, bx.column_grid)] == [[]] * 4
+
+
+def test_votes_for_letters_whose_capital_is_spelt_out(spark, tmp_path):
+    letters = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and len(chr(c).upper()) > 1]
+    texts = [*letters, *"äéñдωᾼ", "a", "Straße", "Maßstäbe", "ﬁnß", "ΐᾳ", "ß̈"]
+    rows = [(i, 1, f"a a a a a a a {t} x") for i, t in enumerate(texts)]
+    spark.createDataFrame([*rows, (-1, 1, None)], "conv_id long, turn int, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = QUERIES["j16_group_votes"](spark, str(tmp_path)).toPandas()
+    assert {"ß", "ẞ", "ᾼ", "ﬁ", "Ä", "Д", "A"} <= set(found["text"]) and not {"SS", "FI", "ΑΙ"} & set(found["text"])
+    assert_same(found, duck.sql(SQL["j16_group_votes"]).df())
