@@ -142,7 +142,7 @@ def review_events(s: SparkSession, d: str) -> DataFrame:
     return lt.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("position"), action.alias("action"), F.when(p % 11 > 0, F.concat(F.lit("rev"), (r % 3).cast("string"))).alias("reviewer_id"))
 
 
-_LEDGER = lambda s, d: ld.review_ledger(lt.reviews(s, d).select("id", "status", "reviewer_id"), review_events(s, d))
+_LEDGER = lambda s, d: ld.review_ledger(lt.reviews(s, d).select("id", "status", "reviewer_id"), review_events(s, d), nulls_last=True)
 query("s8_claims", w("SELECT 1", "reviews").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("SELECT 1") + f", {_EVENTS} SELECT id, arg_max(after, n) AS status, arg_max_null(holder, n) AS reviewer_id, count(*) FILTER (accepted AND n > 0) AS accepted FROM st GROUP BY id")(lambda s, d: ld.review_states(_LEDGER(s, d)))
 query("s8_rejected_events", w("SELECT 1", "reviews").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("SELECT 1") + f", {_EVENTS} SELECT id, n AS number, action, reviewer_by AS reviewer_id, before AS status, holder FROM st WHERE NOT accepted")(lambda s, d: ld.rejected_events(_LEDGER(s, d)))
 query("s9_bulk_approve", w("SELECT id, CASE WHEN id % 10 = 0 AND status IN ('pending', 'in_review') THEN 'approved' ELSE status END AS status FROM reviews", "reviews"))(

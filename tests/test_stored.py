@@ -6,13 +6,16 @@ import random
 import uuid
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.operators import ledgers as ld
+from dossierlake.plans.registry import QUERIES, SQL
 from dossierlake.sources.keyed import KeyedTable
 from dossierlake.sources.shared import shared_root
 from dossierlake.streaming import jobs
+from tests.oracle import assert_same
 
 EVENTS = "id long, at timestamp, position long, action string, reviewer_id string"
 
@@ -69,6 +72,25 @@ def test_empty_ledgers_and_other_columns(spark):
     assert ld.review_ledger(reviews.limit(0), none).collect() == []
 
 
+@pytest.mark.parametrize("name", ["s8_claims"])
+def test_events_without_reviewer_or_time_come_last_as_in_sql(spark, tmp_path, name):
+    from datetime import datetime
+
+    day = datetime(2024, 1, 1)
+    spark.createDataFrame([(i, i, "OPF"[i % 3], day, "1-URGENT") for i in range(30)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    # Order 0 is claimed at once by nobody (part 11) and by a reviewer (part 1); others at random, many at once.
+    r = random.Random(4)
+    events = [(0, 11, 5, 1, day), (0, 1, 5, 1, day)] + [(r.randrange(32), r.choice((11, 1, 22, 2, 33, 4, 5, 44, 7, None)), r.choice((*range(6), None)), r.choice((1, 2, None)), r.choice((day, day, None))) for _ in range(500)]
+    events = [e for e in events if e[0] or e in events[:2]]
+    spark.createDataFrame(events, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert name != "s8_claims" or found.set_index("id").loc[0, "reviewer_id"] == "rev2"
+    assert_same(found, duck.sql(SQL[name]).df())
+
+
 @pytest.mark.parametrize(("shards", "most"), [(1, 5), (3, 4), (2, 1000)])
 def test_cache_against_a_plain_table(spark, shards, most):
     r = random.Random(most)
