@@ -144,7 +144,7 @@ def review_events(s: SparkSession, d: str) -> DataFrame:
 
 _LEDGER = lambda s, d: ld.review_ledger(lt.reviews(s, d).select("id", "status", "reviewer_id"), review_events(s, d), nulls_last=True)
 query("s8_claims", w("SELECT 1", "reviews").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("SELECT 1") + f", {_EVENTS} SELECT id, arg_max(after, n) AS status, arg_max_null(holder, n) AS reviewer_id, count(*) FILTER (accepted AND n > 0) AS accepted FROM st GROUP BY id")(lambda s, d: ld.review_states(_LEDGER(s, d)))
-query("s8_rejected_events", w("SELECT 1", "reviews").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("SELECT 1") + f", {_EVENTS} SELECT id, n AS number, action, reviewer_by AS reviewer_id, before AS status, holder FROM st WHERE NOT accepted")(lambda s, d: ld.rejected_events(_LEDGER(s, d)))
+query("s8_rejected_events", w("SELECT 1", "reviews").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("SELECT 1") + f", {_EVENTS} SELECT id, n AS number, action, reviewer_by AS reviewer_id, before AS status, holder FROM st WHERE NOT accepted")(lambda s, d: ld.rejected_events(_LEDGER(s, d)).where("status IS NOT NULL"))  # of reviews that are there
 query("s9_bulk_approve", w("SELECT id, CASE WHEN id % 10 = 0 AND status IN ('pending', 'in_review') THEN 'approved' ELSE status END AS status FROM reviews", "reviews"))(
     lambda s, d: sinks.bulk_update(lt.reviews(s, d).select("id", "status"), lt.reviews(s, d).where("id % 10 = 0"), "id", "status", F.lit("approved")))
 query("s10_key_values", w("SELECT unnest(['a', 'b']) AS key, unnest([count(*)::VARCHAR, max(id)::VARCHAR]) AS value FROM reviews", "reviews"))(lambda s, d: sinks.key_values(lt.reviews(s, d).agg(F.count(F.lit(1)).alias("a"), F.max("id").alias("b"))))

@@ -72,7 +72,7 @@ def test_empty_ledgers_and_other_columns(spark):
     assert ld.review_ledger(reviews.limit(0), none).collect() == []
 
 
-@pytest.mark.parametrize("name", ["s8_claims"])
+@pytest.mark.parametrize("name", ["s8_claims", "s8_rejected_events"])
 def test_events_without_reviewer_or_time_come_last_as_in_sql(spark, tmp_path, name):
     from datetime import datetime
 
