@@ -2,39 +2,112 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from dossierlake.operators import layout as ly
 from dossierlake.operators.layout import PAGE
 
 
-def box_groups(words: DataFrame, least: float = 0.4) -> DataFrame:
-    """(doc, page, word_id, leader, place): each box with the box that leads its group, and the group's place in reading order.
+def box_groups(words: DataFrame, least: float = 0.4, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc, page, word_id, leader, place) and the columns of ``keep``: each box with the box that leads its group, and the group's place in reading order.
 
     Boxes are gone through by number: one that no leader has taken leads a group and takes all boxes, not yet taken,
     that it overlaps by more than ``least`` of their union. So a box leads if none that it overlaps leads before it,
-    and else follows the first such. Only boxes that overlap meet; those of a page that do are folded in one array.
-    Groups go by their leader's row of 15 pixels, then from the left. Repeated numbers aren't allowed on a page.
+    and else follows the first such. Groups go by their leader's row of 15 pixels, then from the left. Boxes are dealt
+    by page once and sorted within their partitions, and a task holds a page at a time and a batch of rows: boxes
+    cross no join, whose broadcast of them Spark would choose by the size of the texts that they come from. Repeated
+    numbers aren't allowed on a page; boxes without a page or a number have no part.
     """
-    pairs = ly.overlaps(words, least)
-    earlier = pairs.groupBy(*PAGE, F.col("b").alias("word_id")).agg(F.array_sort(F.collect_list("a")).alias("earlier"))
-    entry = F.struct("word_id", "earlier")
-    folded = earlier.groupBy(*PAGE).agg(F.array_sort(F.collect_list(entry)).alias("boxes"))
-    kind = earlier.schema["word_id"].dataType.simpleString()
-    none = F.array().cast(f"array<struct<word_id:{kind},leader:{kind}>>")
-
-    def follow(taken, box):
-        free = F.filter(box["earlier"], lambda a: ~F.exists(taken, lambda t: t["word_id"] == a))
-        leader = F.get(free, F.lit(0))
-        return F.when(leader.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(box["word_id"].alias("word_id"), leader.alias("leader")))))
-
-    followers = folded.select(*PAGE, F.inline(F.aggregate("boxes", none, follow)))
-    all_ = words.select(*PAGE, "word_id", "x1", "y1").join(followers, [*PAGE, "word_id"], "left").withColumn("leader", F.coalesce("leader", "word_id"))
-    heads = all_.where(F.col("leader") == F.col("word_id")).select(*PAGE, "leader", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.floor(F.col("y1") / 15), "x1", "word_id")).alias("place"))
-    return all_.select(*PAGE, "word_id", "leader").join(heads, [*PAGE, "leader"]).select(*PAGE, "word_id", "leader", "place")
+    sides = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    there = words.where(" AND ".join(f"{c} IS NOT NULL" for c in (*PAGE, "word_id")))
+    dealt = there.select(*PAGE, "word_id", *keep, *sides).repartition(*PAGE).sortWithinPartitions(*PAGE, "word_id")
+    numbers = F.lit(None).cast(words.schema["word_id"].dataType)
+    shape = words.select(*PAGE, "word_id", numbers.alias("leader"), F.lit(None).cast("int").alias("place"), *keep).schema
+    shape = StructType([StructField(f.name, f.dataType) for f in shape])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_pages(batches):
+            yield _grouped(rows, least, keep)
+
+    return dealt.mapInArrow(run, shape)
+
+
+def _starts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where pages begin in rows sorted by page."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in PAGE:
+        code = rows.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, cut where a page ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(_starts(batch)[-1])
+        if not last and held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in PAGE):
+            yield pa.concat_batches(held)
+            held = []
+        if last:
+            yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _overlapping(page: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of two boxes of a page that overlap by more than ``least``, by the later and then the earlier one.
+
+    Going down a page, each box is held against the next, the next but one and so on while these begin above its end.
+    """
+    down = np.lexsort((y1, page))
+    page, x1, y1, x2, y2 = (v[down] for v in (page, x1, y1, x2, y2))
+    area = (x2 - x1) * (y2 - y1)
+    upper, found = np.arange(len(down)), [np.empty((2, 0), np.int64)]
+    for far in range(1, len(down)):
+        upper = upper[upper + far < len(down)]
+        upper = upper[(page[upper + far] == page[upper]) & (y1[upper + far] < y2[upper])]
+        if not len(upper):
+            break
+        across = np.minimum(x2[upper], x2[upper + far]) - np.maximum(x1[upper], x1[upper + far])
+        i, across = upper[across > 0], across[across > 0]
+        j = i + far
+        shared = across * (np.minimum(y2[i], y2[j]) - y1[j])
+        near = (shared > 0) & (np.floor(shared / (area[i] + area[j] - shared) * 1e6 + 0.5) / 1e6 > least)
+        found.append(np.stack([down[i[near]], down[j[near]]]))
+    pairs = np.sort(np.concatenate(found, axis=1), axis=0)
+    earlier, later = pairs[:, np.lexsort(pairs)]
+    return earlier, later
+
+
+def _grouped(rows: pa.RecordBatch, least: float, keep: Sequence[str]) -> pa.RecordBatch:
+    n, starts = rows.num_rows, _starts(rows)
+    page = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    x1, y1, x2, y2 = (rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x1", "y1", "x2", "y2"))
+    leader = list(range(n))
+    for a, b in zip(*(v.tolist() for v in _overlapping(page, x1, y1, x2, y2, least)), strict=True):
+        if leader[a] == a and leader[b] == b:
+            leader[b] = a
+    leads = np.array(leader)
+    heads = np.flatnonzero(leads == np.arange(n))
+    first = lambda v: np.where(np.isnan(v), -np.inf, v)[heads]
+    heads = heads[np.lexsort((heads, first(x1), first(np.floor(y1 / 15)), page[heads]))]
+    place = np.zeros(n, np.int32)
+    place[heads] = np.arange(len(heads)) - np.searchsorted(page[heads], page[heads]) + 1
+    found = {"leader": rows.column("word_id").take(pa.array(leads)), "place": pa.array(place[leads])}
+    return pa.RecordBatch.from_pydict({c: found[c] if c in found else rows.column(c) for c in (*PAGE, "word_id", "leader", "place", *keep)})
 
 
 def box_rows(words: DataFrame, gap: float = 20.0) -> DataFrame:

@@ -59,6 +59,27 @@ def test_greedy_groups(spark, rows):
     assert sorted(map(tuple, bx.box_groups(spark.createDataFrame(rows, WORDS).repartition(3)).collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("name", ["j16_reading_groups", "j16_group_votes"])
+def test_readings_cross_no_join_however_small_their_texts(spark, tiny, name):
+    plan = QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_groups_of_pages_across_batches(spark):
+    r = random.Random(3)
+    boxes = [(doc, page, i, "t", 0.9, float(x), float(y), float(x + 30), float(y + 20)) for doc, page, n in ((None, 1, 3), (1, 1, 40), (1, 2, 1), (1, None, 2), (2, 1, 25), (2, 2, 90)) for i in range(n) for x, y in [(r.randrange(0, 60, 3), r.randrange(0, 60, 3))]]
+    boxes += [(3, 1, 0, "t", 0.9, None, 1.0, 2.0, 3.0), (3, 1, 1, "t", 0.9, 5.0, 1.0, 5.0, 3.0), (3, 1, 2, "t", 0.9, 5.0, 1.0, 5.0, 3.0), (3, 1, None, "t", 0.9, 5.0, 1.0, 9.0, 3.0)]
+    df = spark.createDataFrame(boxes, WORDS)
+    whole = sorted(map(tuple, bx.box_groups(df, keep=["conf"]).collect()))
+    assert len(whole) == 159 and {x[:5] for x in whole if x[0] == 3} == {(3, 1, 0, 0, 1), (3, 1, 1, 1, 2), (3, 1, 2, 2, 3)}
+    for size in (1, 7, 40):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(map(tuple, bx.box_groups(df, keep=["conf"]).collect())) == whole
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_rows_of_boxes(spark, rows):
     want = []
     for page, words in by_page(rows).items():
