@@ -42,8 +42,7 @@ query("j16_reading_groups", f"{_READINGS} SELECT * FROM gr")(lambda s, d: bx.box
   SELECT doc, page, leader, text, round(weight, 4) AS weight FROM w QUALIFY row_number() OVER (PARTITION BY doc, page, leader ORDER BY round(weight, 6) DESC, text) = 1""")
 def group_votes(s: SparkSession, d: str) -> DataFrame:
     """What the readings of each group agree on."""
-    read = engine_readings(s, d)
-    return vt.weighted(bx.box_groups(read).join(read.select("doc", "page", "word_id", "text", "conf"), ["doc", "page", "word_id"]), ["doc", "page", "leader"], "text", "conf", 0.1)
+    return vt.weighted(bx.box_groups(engine_readings(s, d), keep=["text", "conf"]), ["doc", "page", "leader"], "text", "conf", 0.1)
 
 
 query("m17_box_rows", f"""{_WORDS}, r AS (SELECT *, max(y2) OVER (PARTITION BY doc, page ORDER BY y1, word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ok)
