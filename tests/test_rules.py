@@ -86,6 +86,30 @@ def test_hash_distances(spark):
     assert [one(spark, dup.match_class(F.lit(d))) for d in (3, 4, 10, 11, 20, 21)] == ["IDENTICAL", "NEAR_DUPLICATE", "NEAR_DUPLICATE", "SIMILAR", "SIMILAR", "DIFFERENT"]
 
 
+@pytest.mark.parametrize(("block", "at_once"), [(1 << 18, 1 << 16), (40, 7), (7, 1)])
+def test_hashes_meet_in_blocks_without_a_join(spark, monkeypatch, block, at_once):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(dup, "BLOCK", block)
+    monkeypatch.setattr(dup, "AT_ONCE", at_once)
+    r = random.Random(block)
+    codes = [r.getrandbits(64) for _ in range(12)]
+    codes = sorted({c ^ sum(1 << b for b in r.sample(range(64), k)) for c in codes for k in (0, 0, 1, 2, 9, 10, 11, 12)} | {0, 1, 2**64 - 1})
+    near = {(a, b, (a ^ b).bit_count()) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 10}
+    signed = np.array(codes, np.uint64).view(np.int64)
+    i, j, d = dup.near_codes(signed, None, 10)
+    assert sorted((codes[x], codes[y], z) for x, y, z in zip(i, j, d.tolist(), strict=True)) == sorted(near)
+    i, j, d = dup.near_codes(signed[::2], signed[1::2], 10)
+    odd = {c for c in codes[1::2]}
+    assert {(*sorted((codes[::2][x], codes[1::2][y])), z) for x, y, z in zip(i, j, d.tolist(), strict=True)} == {p for p in near if (p[0] in odd) != (p[1] in odd)}
+    frame = spark.createDataFrame([(n, n, f"{c:016x}", f"{c:016x}"[:15], None) for n, c in enumerate(codes)], "document_id long, user_id long, phash string, ahash string, dhash string")
+    found = dup.near_images(frame)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(int(x["hash_a"], 16), int(x["hash_b"], 16), x["distance"]) for x in found.where("kind = 'phash'").collect()} == near
+
+
 @pytest.mark.parametrize("most", [10, 3, 15])
 def test_bands_miss_no_near_pair(spark, most):
     import random
