@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from dossierlake.plans import metric_queries, text_queries  # noqa: F401  their SQL is used here
 from dossierlake.plans._registry import SQL, query
@@ -45,14 +46,15 @@ def stored_extractions(s: SparkSession, d: str) -> DataFrame:
     return table.read()
 
 
-def in_rounds(s: SparkSession, rows: DataFrame, rounds: list[str], build: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], mode: str) -> None:
-    """Runs a stream over ``rows`` that arrive in rounds, named by conditions; it stops and goes on from its checkpoint between them."""
+def in_rounds(s: SparkSession, rows: DataFrame, rounds: list[str], build: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], mode: str) -> StreamingQuery:
+    """Runs a stream over ``rows`` that arrive in rounds, named by conditions; it stops and goes on from its checkpoint between them. Returns the last run."""
     at = _place(s, "rounds")
     for k, condition in enumerate(rounds):
         rows.where(condition).write.mode("append").parquet(f"{at}/in/round={k}")
         source = s.readStream.schema(rows.schema).parquet(f"{at}/in/*")
-        jobs.run_once(build(source), f"{at}/state", write, mode)
+        last = jobs.run_once(build(source), f"{at}/state", write, mode)
     remove(s, at)
+    return last
 
 
 @query("st5_latest_state", SQL["w7_latest_extractions"])
@@ -106,7 +108,17 @@ def _rows_of(build: Callable[[DataFrame], DataFrame], rounds: list[str]) -> Call
 # Half of one day comes a round late; what ends two days before the last event is closed in the end.
 _LATE = ["uploaded_at < '2024-01-10' AND NOT (uploaded_at >= '2024-01-09' AND id % 2 = 0)", "uploaded_at >= '2024-01-10' AND uploaded_at < '2024-01-20' OR uploaded_at >= '2024-01-09' AND uploaded_at < '2024-01-10' AND id % 2 = 0", "uploaded_at >= '2024-01-20'"]
 _CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 2 DAY"
-query("st1_streamed_bursts", f'SELECT * FROM ({SQL["st1_upload_bursts"]}) WHERE "end" <= {_CLOSED}')(_rows_of(lambda x: jobs.upload_bursts(x, over=1, late="2 days"), _LATE))
+
+
+@query("st1_streamed_bursts", f'SELECT * FROM ({SQL["st1_upload_bursts"]}) WHERE "end" <= {_CLOSED}')
+def streamed_bursts(s: SparkSession, d: str) -> DataFrame:
+    """Bursts in the hours that a stream has closed: it hands on counts of five minutes, of which hours are made where they are read."""
+    out = _place(s, "streamed")
+    last = in_rounds(s, lt.uploads(s, d), _LATE, lambda x: jobs.upload_buckets(x, late="2 days"), lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), "append")
+    buckets = s.read.schema(jobs.upload_buckets(lt.uploads(s, d)).schema).parquet(out).select("user_id", "second", "n")
+    return jobs.bursts_of(buckets, over=1, until=jobs.watermark(last))
+
+
 query("st7_streamed_sessions", w("""WITH g AS (SELECT user_id, uploaded_at, CASE WHEN uploaded_at - lag(uploaded_at) OVER (PARTITION BY user_id ORDER BY uploaded_at) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM uploads),
   h AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY uploaded_at ROWS UNBOUNDED PRECEDING) AS k FROM g)
   SELECT user_id, min(uploaded_at) AS start, count(*) AS uploads FROM h GROUP BY user_id, k HAVING max(uploaded_at) + INTERVAL 30 MINUTE <= """ + _CLOSED, "uploads"))(_rows_of(lambda x: jobs.sessions(x, late="2 days"), _LATE))

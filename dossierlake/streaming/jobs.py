@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -30,6 +30,46 @@ def upload_bursts(events: DataFrame, column: str = "uploaded_at", over: int = 5,
     return g.where(F.col("uploads") > over).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "uploads")
 
 
+#: Seconds of a bucket, from which hours start, and of an hour.
+STEP, HOUR = 300, 3600
+
+
+def upload_buckets(events: DataFrame, column: str = "uploaded_at", late: str = "2 hours") -> DataFrame:
+    """(user_id, second, n): uploads of each user in each five minutes, which begin at ``second``. Works on a stream and on a table.
+
+    On a stream a bucket is one row of state, where each of the twelve hours that it is in would be one, and comes out
+    once, when the watermark passes its end; an upload whose bucket has come out is dropped.
+    """
+    x = _instant(events, column)
+    x = x.withWatermark(column, late) if events.isStreaming else x
+    return x.groupBy("user_id", F.window(column, f"{STEP} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_seconds("w.start").alias("second"), "n")
+
+
+def bursts_of(buckets: DataFrame, over: int = 5, until: int | None = None) -> DataFrame:
+    """The rows of ``upload_bursts`` from ``upload_buckets``; with ``until``, of hours that end by that second.
+
+    A bucket that has uploads is the first such of the hours that begin after the one before it. Those are looked at
+    only where it and the buckets of an hour from it on have more than ``over`` uploads together.
+    """
+    user = Window.partitionBy("user_id").orderBy("second")
+    ahead = user.rangeBetween(0, HOUR - STEP)
+    x = buckets.select("user_id", "second", "n", F.lag("second").over(user).alias("before"), F.sum("n").over(ahead).alias("most"), F.collect_list(F.struct("second", "n")).over(ahead).alias("held"))
+    first = F.greatest(F.col("second") - (HOUR - STEP), F.col("before") + STEP)
+    x = x.where(F.col("most") > over).select("user_id", "held", F.explode(F.sequence(first, "second", F.lit(STEP).cast("long"))).alias("from_"))
+    x = x.where(F.col("from_") + HOUR <= until) if until is not None else x
+    uploads = F.aggregate(F.filter("held", lambda h: h["second"] < F.col("from_") + HOUR), F.lit(0).cast("long"), lambda a, h: a + h["n"])
+    at = lambda second: F.timestamp_seconds(second).cast("timestamp_ntz")
+    return x.select("user_id", at(F.col("from_")).alias("start"), at(F.col("from_") + HOUR).alias("end"), uploads.alias("uploads")).where(F.col("uploads") > over)
+
+
+def watermark(query: StreamingQuery) -> int:
+    """The second up to which a stream that has ended had closed its windows."""
+    from datetime import datetime
+
+    told = (query.lastProgress or {"eventTime": {}})["eventTime"].get("watermark")
+    return int(datetime.fromisoformat(told).timestamp() // 1) if told else 0
+
+
 def daily_buckets(events: DataFrame, column: str = "uploaded_at", late: str = "2 days") -> DataFrame:
     x = _instant(events, column)
     x = x.withWatermark(column, late) if events.isStreaming else x

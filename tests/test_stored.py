@@ -190,3 +190,38 @@ def test_state_before_the_first_action(spark):
     reviews = spark.createDataFrame([(1, "pending")], "id long, status string")
     actions = spark.createDataFrame([(1, "approve", "a", 1, 1), (1, "correct", "a", 2, 1), (2, "approve", "a", 1, 1)], "id long, action string, reviewer_id string, acted_at int, position int")
     assert sorted((r["id"], r["acted_at"], r["before"], r["after"]) for r in dc.action_log(reviews, actions).collect()) == [(1, 1, "pending", "approved"), (1, 2, "approved", "corrected"), (2, 1, None, "approved")]
+
+
+def test_counts_of_five_minutes_give_the_hours_and_one_row_of_state(spark):
+    from dossierlake.plans import stored_queries as st
+
+    r = random.Random(6)
+    rows = [(u, 300 * r.randrange(60) + r.choice((0, 299, 17))) for u in (1, 1, 1, 2, None) for _ in range(30)] + [(3, 0), (3, 3599), (4, 0), (4, 3600), (5, 7), (None, None), (6, None)]
+    ups = spark.createDataFrame(rows, "user_id long, sec long").select("user_id", (F.timestamp_seconds("sec")).cast("timestamp_ntz").alias("uploaded_at"))
+    for over in (0, 1, 5):
+        got = sorted(map(tuple, jobs.bursts_of(jobs.upload_buckets(ups), over).collect()), key=str)
+        assert got and got == sorted(map(tuple, jobs.upload_bursts(ups, over=over).collect()), key=str)
+    # Three hours, then a day later one upload: all but the last is closed, and each bucket was one row of state.
+    ups = ups.where("user_id IS NOT NULL AND uploaded_at IS NOT NULL").withColumn("id", F.lit(0)).unionByName(spark.sql("SELECT 9L AS user_id, TIMESTAMP_NTZ'1970-01-02 05:00:00' AS uploaded_at, 1 AS id"))
+    out = place(spark)
+    last = st.in_rounds(spark, ups, ["id = 0", "id = 1"], lambda x: jobs.upload_buckets(x, late="1 hour"), lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), "append")
+    assert jobs.watermark(last) == 28 * 3600
+    kept = sum(p["stateOperators"][0]["numRowsUpdated"] for p in last.recentProgress if p["stateOperators"])
+    assert kept == 1
+    held = spark.read.parquet(out).select("user_id", "second", "n")
+    assert held.count() == ups.where("id = 0").select("user_id", F.floor(F.unix_seconds(F.col("uploaded_at").cast("timestamp")) / 300)).distinct().count()
+    want = sorted(map(tuple, jobs.upload_bursts(ups.where("id = 0"), over=1).where("end <= '1970-01-01 03:00:00'").collect()))
+    assert sorted(map(tuple, jobs.bursts_of(held, 1, 3 * 3600).collect())) == want and want
+
+
+def test_streamed_bursts_keep_a_row_of_state_for_each_upload(spark, tiny, monkeypatch):
+    updated, once = [], jobs.run_once
+
+    def run(*a, **k):
+        q = once(*a, **k)
+        updated.append(sum(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["stateOperators"]))
+        return q
+
+    monkeypatch.setattr(jobs, "run_once", run)
+    QUERIES["st1_streamed_bursts"](spark, tiny)
+    assert len(updated) == 3 and sum(updated) <= spark.read.parquet(f"{tiny}/events.parquet").count()
