@@ -33,40 +33,12 @@ def box_groups(words: DataFrame, least: float = 0.4, keep: Sequence[str] = ()) -
     shape = StructType([StructField(f.name, f.dataType) for f in shape])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_pages(batches):
+        for rows in ly.whole_pages(batches):
             yield _grouped(rows, least, keep)
 
     return dealt.mapInArrow(run, shape)
 
 
-def _starts(rows: pa.RecordBatch) -> np.ndarray:
-    """Where pages begin in rows sorted by page."""
-    new = np.zeros(rows.num_rows, bool)
-    new[:1] = True
-    for c in PAGE:
-        code = rows.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        new[1:] |= code[1:] != code[:-1]
-    return np.flatnonzero(new)
-
-
-def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, cut where a page ends."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = int(_starts(batch)[-1])
-        if not last and held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in PAGE):
-            yield pa.concat_batches(held)
-            held = []
-        if last:
-            yield pa.concat_batches([*held, batch.slice(0, last)])
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _overlapping(page: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of two boxes of a page that overlap by more than ``least``, by the later and then the earlier one.
 
@@ -93,7 +65,7 @@ def _overlapping(page: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarra
 
 
 def _grouped(rows: pa.RecordBatch, least: float, keep: Sequence[str]) -> pa.RecordBatch:
-    n, starts = rows.num_rows, _starts(rows)
+    n, starts = rows.num_rows, ly.page_starts(rows)
     page = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
     x1, y1, x2, y2 = (rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x1", "y1", "x2", "y2"))
     leader = list(range(n))

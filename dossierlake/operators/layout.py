@@ -7,6 +7,13 @@ work is spread by page.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import groupby, pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,65 +119,109 @@ def x_clusters(parts: DataFrame, share: float = 0.05, width: float = 1000.0) ->
     return parts.withColumn("_new", F.when(gap > width * share, 1).otherwise(0)).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def column_anchors(centres: Column, tolerance: float = 45.0) -> Column:
-    """Means of runs of centres, from left to right, that stay within the tolerance of the mean so far; as an array."""
-    start = F.struct(F.array().cast("array<double>").alias("done"), F.lit(0.0).alias("total"), F.lit(0).alias("count"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = F.when(s["count"] > 0, x - s["total"] / s["count"] > tolerance).otherwise(False)
-        return F.struct(F.when(new, F.concat(s["done"], F.array(s["total"] / s["count"]))).otherwise(s["done"]).alias("done"), (F.when(new, 0.0).otherwise(s["total"]) + x).alias("total"), (F.when(new, 0).otherwise(s["count"]) + 1).alias("count"))
-
-    return F.aggregate(F.array_sort(centres), start, step, lambda s: F.when(s["count"] > 0, F.concat(s["done"], F.array(s["total"] / s["count"]))).otherwise(s["done"]))
-
-
-def _nearest_of(anchors: Column, x: Column) -> Column:
-    """The place of the nearest anchor, the first of equals."""
-    return F.array_min(F.transform(anchors, lambda a, i: F.struct(F.abs(x - a).alias("far"), i.alias("i"))))["i"]
-
-
-def table_cells(parts: DataFrame, most_columns: int = 12) -> DataFrame:
-    """Rows (doc, page, line, column, columns, text) of the table of each page before rows are merged.
-
-    Anchors are met on two lines or more, and a phrase is in the column of its nearest anchor. With too many columns,
-    or none, a line is one cell.
-    """
-    held = F.collect_list(F.struct("line", "x1", "phrase", "text", "cx"))
-    pages = parts.groupBy(*PAGE).agg(held.alias("held")).withColumn("every", column_anchors(F.transform("held", lambda p: p["cx"])))
-    met = F.array_distinct(F.transform("held", lambda p: F.struct(p["line"].alias("line"), _nearest_of(F.col("every"), p["cx"]).alias("i"))))
-    pages = pages.withColumn("met", met).withColumn("anchors", F.filter("every", lambda a, i: F.size(F.filter("met", lambda m: m["i"] == i)) >= 2))
-    usable = F.size("anchors").between(1, most_columns)
-    column = F.when(F.col("usable"), _nearest_of(F.col("anchors"), F.col("p.cx"))).otherwise(0)
-    placed = pages.withColumn("usable", usable).select(*PAGE, "anchors", "usable", F.explode("held").alias("p"))
-    placed = placed.select(*PAGE, "p.line", "p.x1", "p.phrase", "p.text", column.cast("int").alias("column"), F.when(F.col("usable"), F.size("anchors")).otherwise(1).alias("columns"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x1", "phrase", "text"))), lambda w: w["text"]), " ")
-    return placed.groupBy(*PAGE, "line", "column", "columns").agg(F.trim(text).alias("text"))
+def page_starts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where pages begin in rows sorted by page."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in PAGE:
+        code = rows.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, sorted by page, cut where a page ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(page_starts(batch)[-1])
+        if not last and held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in PAGE):
+            yield pa.concat_batches(held)
+            held = []
+        if last:
+            yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def column_anchors(centres: list[float], tolerance: float = 45.0) -> list[float]:
+    """Means of runs of centres, from left to right, that stay within the tolerance of the mean so far."""
+    done, total, count = [], 0.0, 0
+    for x in sorted(centres):
+        if count and x - total / count > tolerance:
+            done.append(total / count)
+            total, count = 0.0, 0
+        total, count = total + x, count + 1
+    return [*done, total / count] if count else done
+
+
+def _nearest_of(anchors: list[float], x: float) -> int:
+    """The place of the nearest of ascending anchors, the first of equals."""
+    i = bisect_left(anchors, x)
+    return i - 1 if i == len(anchors) or (i and x - anchors[i - 1] <= anchors[i] - x) else i
+
+
+# Digits, letters and blanks of ASCII alone, as in SQL.
+_DATE, _AMOUNT = (re.compile(p.replace(r"\s", r"\t\n\f\r "), re.ASCII) for p in (DATE, AMOUNT))
+
+
+def _page_grid(parts: list[tuple], most_columns: int) -> list[list[str]]:
+    """The rows of a page's table, from its phrases (line, x1, phrase, text, cx), sorted."""
+    every = column_anchors([p[4] for p in parts])
+    on: list[set] = [set() for _ in every]
+    for p in parts:
+        on[_nearest_of(every, p[4])].add(p[0])
+    anchors = [a for a, lines in zip(every, on, strict=True) if len(lines) >= 2]
+    usable = 1 <= len(anchors) <= most_columns
+    columns = len(anchors) if usable else 1
+    rows: list[list[list[str]]] = []
+    reach = 0  # the most cells filled by a line of the run
+    for _, line in groupby(parts, key=lambda p: p[0]):
+        cells: list[list[str]] = [[] for _ in range(columns)]
+        for p in line:
+            if p[3] is not None:
+                cells[_nearest_of(anchors, p[4]) if usable else 0].append(p[3])
+        texts = [" ".join(c).strip(" ") for c in cells]
+        filled, whole = sum(x != "" for x in texts), " ".join(x for x, c in zip(texts, cells, strict=True) if c)
+        can = bool(rows) and 0 < filled < 0.65 * columns and not _DATE.search(whole) and not (filled >= 2 and _AMOUNT.search(whole))
+        if not (can and reach >= 2):
+            rows.append([[] for _ in range(columns)])
+        reach = max(reach, filled) if can else filled
+        for cell, x in zip(rows[-1], texts, strict=True):
+            if x:
+                cell.append(x)
+    return [[" ".join(c) for c in r] for r in rows]
 
 
 def table_grid(parts: DataFrame, most_columns: int = 12) -> DataFrame:
     """Rows (doc, page, row, cells) of the table of each page, continuation rows appended to the row above.
 
+    Anchors are means of centres, met on two lines or more, and a phrase is in the column of its nearest anchor. With
+    too many columns, or none, a line is one cell.
     A row can continue another if it has text in less than .65 of the columns, no date, and no number beside other
     text; it does if the row it would continue has text in two columns. Rows that can't continue begin runs: within a
     run a row continues as soon as any row before it there has two columns filled.
+    Phrases are dealt by page once and sorted; a task goes through them with one page at hand and a batch of rows.
     """
-    cells = table_cells(parts, most_columns)
-    filled = F.count_if(F.col("text") != "")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "text"))), lambda c: c["text"]), " ")
-    lines = cells.groupBy(*PAGE, "line", "columns").agg(filled.alias("filled"), whole.alias("whole"))
-    can = (F.col("filled") > 0) & (F.col("filled") < 0.65 * F.col("columns")) & ~F.col("whole").rlike(DATE) & ~(F.col("whole").rlike(AMOUNT) & (F.col("filled") >= 2))
-    down = Window.partitionBy(*PAGE).orderBy("line")
-    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    x = lines.withColumn("can", can & F.lag("line").over(down).isNotNull())
-    x = x.withColumn("run", F.sum(F.when(F.col("can"), 0).otherwise(1)).over(so_far))
-    run = Window.partitionBy(*PAGE, "run").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("merged", F.col("can") & F.coalesce(F.max("filled").over(run) >= 2, F.lit(False)))
-    x = x.withColumn("row", F.sum(F.when(F.col("merged"), 0).otherwise(1)).over(so_far) - 1)
-    joined = cells.join(x.select(*PAGE, "line", "row"), [*PAGE, "line"]).where("text <> ''")
-    cell = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda c: c["text"]), " ")
-    texts = joined.groupBy(*PAGE, "row", "column").agg(cell.alias("text"))
-    filled_cells = texts.groupBy(*PAGE, "row").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("by_column"))
-    rows = x.where("NOT merged").select(*PAGE, "row", "columns").join(filled_cells, [*PAGE, "row"], "left")
-    return rows.select(*PAGE, "row", F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda k: F.coalesce(F.element_at("by_column", k), F.lit(""))).alias("cells"))
+    order = ["line", "x1", "phrase", "text"]
+    there = parts.where("line IS NOT NULL AND cx IS NOT NULL")
+    dealt = there.select(*PAGE, *order, F.col("cx").cast("double").alias("cx")).repartition(*PAGE).sortWithinPartitions(*PAGE, *order)
+    shape = parts.select(*PAGE, F.lit(None).cast("long").alias("row"), F.array().cast("array<string>").alias("cells")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_pages(batches):
+            starts = page_starts(rows)
+            held = list(zip(*(rows.column(c).to_pylist() for c in (*order, "cx")), strict=True))
+            grids = [_page_grid(held[i:j], most_columns) for i, j in pairwise([*starts.tolist(), len(held)])]
+            sizes = [len(g) for g in grids]
+            pages = rows.select(PAGE).take(pa.array(np.repeat(starts, sizes)))
+            number = pa.array([k for n in sizes for k in range(n)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*pages.columns, number, pa.array([r for g in grids for r in g], pa.list_(pa.string()))], names=[*PAGE, "row", "cells"])
+
+    return dealt.mapInArrow(run, shape)
 
 
 def _bands(words: DataFrame, size: float, low: Column, high: Column) -> DataFrame:

@@ -269,3 +269,29 @@ def test_numbers_and_kinds(spark):
     kind = one(ps.academic_kind(F.lit("SSC state board total marks 500 obtained marks 412")))
     assert kind["document_type"] == "ssc" and 30 <= kind["confidence"] <= 99
     assert one(ps.academic_kind(F.lit(None).cast("string")))["document_type"] == "unknown"
+
+
+def test_grids_need_no_join_and_no_page_in_one_batch(spark, tiny):
+    from dossierlake.plans.registry import QUERIES
+
+    grid = QUERIES["r13_table_grid"](spark, tiny)
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    r = random.Random(8)
+    rows = [(doc, page, line, k, r.choice(("a", "bc", "12", "01/02/2024", " ", "")), float(10 + 200 * k), float(10 + 200 * k + r.randrange(60))) for doc, page, n in ((1, 1, 30), (1, 2, 1), (2, 2, 9), (None, 2, 4), (2, None, 4)) for line in range(n) for k in range(4) if r.random() < 0.6]
+    rows += [(3, 1, 0, 0, None, 1.0, 1.0), (3, 1, 0, 1, "x", 2.0, 2.0), (3, 1, 1, 0, "y", 1.0, 1.0)]
+    parts = spark.createDataFrame(rows, "doc long, page long, line long, phrase long, text string, x1 double, cx double").repartition(3)
+    whole = sorted(((x["doc"], x["page"], x["row"], x["cells"]) for x in ly.table_grid(parts).collect()), key=str)
+    assert {len(x[3]) for x in whole if x[:2] == (1, 1)} == {4} and [x[3] for x in whole if x[0] == 3] == [["x"], ["y"]]
+    for size in (1, 6, 50):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(((x["doc"], x["page"], x["row"], x["cells"]) for x in ly.table_grid(parts).collect()), key=str) == whole
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("anchors", [[5.0], [1.0, 2.0, 4.0], [0.0, 10.0, 10.5]])
+def test_the_nearest_of_anchors_is_the_first_of_equals(anchors):
+    for x in [k / 4 for k in range(-8, 60)]:
+        assert ly._nearest_of(anchors, x) == min(range(len(anchors)), key=lambda i: (abs(x - anchors[i]), i))
